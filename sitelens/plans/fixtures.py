@@ -66,3 +66,52 @@ def sites(spark: SparkSession, sf_dir: str, with_usage: bool = True) -> DataFram
     else:
         df = df.withColumn("last_used_at", F.lit(None).cast("timestamp_ntz"))
     return df
+
+
+# FIXED VALUES: markup put right after the charset tag, by page_id mod 8
+# (index 6 empties the page: a failed fetch).
+CHARSET_TAG = '<meta charset="utf-8">'
+PAGE_SEEDS = [
+    "",
+    '<link rel="stylesheet" href="https://cdn.shopify.com/s/files/theme.css">'
+    '<script src="/_next/static/a.js"></script>',
+    '<meta name="theme-color" content="#FFF"><link rel="stylesheet" href="/wp-content/x.css">'
+    '<meta name="generator" content="WordPress">',
+    '<meta name="description" content="Cloud software platform with an api dashboard and '
+    'subscription billing">',
+    "<style>.hero{color:#0070f3;border-color:#7928caff;background:#abcd}</style>",
+    '<meta name="msapplication-TileColor" content="#00aabb"><style>a{color:#0AB}b{color:#123456}'
+    '</style><script src="https://assets.example.net/webflow.js"></script>',
+    "",
+    '<div data-reactroot style="color:#123">hero</div>'
+    '<script src="https://framerusercontent.com/m.js"></script>',
+]
+FAILED_FETCH_MOD = 6
+
+# FIXED VALUES: phrase appended to documents by doc_id mod 6.
+DOC_SEEDS = [
+    "",
+    "cloud software platform api dashboard",
+    "shop store cart checkout product",
+    "health clinic doctor training fitness gym",
+    "real estate property listing rent",
+    "",
+]
+
+
+def pages_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    m = F.pmod(F.col("page_id"), F.lit(8))
+    ins = F.element_at(F.array(*[F.lit(s) for s in PAGE_SEEDS]), (m + 1).cast("int"))
+    html = F.when(m == FAILED_FETCH_MOD, F.lit("")).otherwise(
+        F.replace(F.col("html"), F.lit(CHARSET_TAG), F.concat(F.lit(CHARSET_TAG), ins)))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+def documents_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    m = F.pmod(F.col("doc_id"), F.lit(6))
+    phrase = F.element_at(F.array(*[F.lit(s) for s in DOC_SEEDS]), (m + 1).cast("int"))
+    text = F.when(F.length(phrase) > 0, F.concat(F.col("text"), F.lit(" "), phrase)) \
+        .otherwise(F.col("text"))
+    return d.select("doc_id", text.alias("text"), "lang", "source")

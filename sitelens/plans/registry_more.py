@@ -1,3 +1,123 @@
 """Registered queries beyond search (enrichment, heat, ingest, streams)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitelens.operators import enrich as E
+from sitelens.plans import fixtures as FX
+from sitelens.plans import oracles_enrich as OE
+from sitelens.plans.registry import register
+
+
+def labels_str(arr):
+    """'label:micro-units|...' -- confidences as exact integers, '' for none."""
+    return F.coalesce(F.array_join(F.transform(arr, lambda x: F.concat(
+        x["label"], F.lit(":"),
+        F.floor(x["confidence"] * F.lit(1e6) + F.lit(0.5)).cast("long").cast("string"))), "|"),
+        F.lit(""))
+
+
+def display_sql(arr: str) -> str:
+    return (f"CASE WHEN len({arr}) > 0 THEN array_to_string(list_transform(({arr})[1:3], "
+            f"lambda x: x.label), ', ') ELSE 'Unknown' END")
+
+
+# ---------------------------------------------------------------------------
+# enrichment
+# ---------------------------------------------------------------------------
+
+@register("detect_platforms", f"""WITH {OE.pages_seeded_cte()},
+a AS (SELECT page_id, html, {OE.platform_items('html')} AS _pi FROM pages_seeded),
+b AS (SELECT page_id, {OE.platforms_from_items('html', '_pi')} AS _p FROM a)
+SELECT page_id, {OE.labels_str('_p')} AS platforms, coalesce(len(_p), 0) AS n_platforms FROM b""")
+def q_detect_platforms(spark, sf_dir):
+    p = FX.pages_seeded(spark, sf_dir)
+    d = E.detect_platforms(p, "html", "_p")
+    return d.select("page_id", labels_str(F.col("_p")).alias("platforms"),
+                    F.size("_p").alias("n_platforms"))
+
+
+@register("detect_industries", f"""WITH {OE.documents_seeded_cte()},
+a AS (SELECT doc_id, {OE.industry_items(OE.clean_text('text'))} AS _ii FROM documents_seeded),
+b AS (SELECT doc_id, {OE.industries_from_items('_ii')} AS _i FROM a)
+SELECT doc_id, {OE.labels_str('_i')} AS industries, coalesce(len(_i), 0) AS n_industries FROM b""")
+def q_detect_industries(spark, sf_dir):
+    d = FX.documents_seeded(spark, sf_dir)
+    out = E.detect_industries(d.select("doc_id", "text"), "text", out="_i")
+    return out.select("doc_id", labels_str(F.col("_i")).alias("industries"),
+                      F.size("_i").alias("n_industries"))
+
+
+@register("extract_tags", f"""WITH {OE.documents_seeded_cte()},
+{OE.tags_sql('documents_seeded', 'doc_id', 'text')}
+SELECT doc_id, rank, tag, freq, confidence FROM tag_rows""")
+def q_extract_tags(spark, sf_dir):
+    d = FX.documents_seeded(spark, sf_dir)
+    return E.extract_tags(d, "doc_id", "text")
+
+
+@register("extract_colors", f"""WITH {OE.pages_seeded_cte()},
+a AS (SELECT page_id, list_transform({OE.colors_sql('html')}, lambda v: {OE.normalize_hex("'#' || v")})
+        AS _raw FROM pages_seeded),
+b AS (SELECT page_id, {OE.distinct_keep_order('_raw')} AS _c FROM a)
+SELECT page_id, _c[1] AS primary_color, _c[2] AS secondary_color FROM b""")
+def q_extract_colors(spark, sf_dir):
+    p = FX.pages_seeded(spark, sf_dir)
+    c = E.with_colors(p, "html", "c")
+    return c.select("page_id", F.col("c.primary").alias("primary_color"),
+                    F.col("c.secondary").alias("secondary_color"))
+
+
+@register("page_text", f"""WITH {OE.pages_seeded_cte()}
+SELECT page_id, {OE.page_text('html')} AS text FROM pages_seeded""")
+def q_page_text(spark, sf_dir):
+    p = FX.pages_seeded(spark, sf_dir)
+    return E.with_page_text(p, "html", "text").select("page_id", "text")
+
+
+ENRICH_SQL = f"""WITH {OE.pages_seeded_cte()},
+base AS (SELECT page_id, url AS website_url, html AS _h, {OE.page_text('html')} AS _text
+         FROM pages_seeded),
+lab AS (SELECT page_id, website_url, _h, {OE.platform_items('_h')} AS _pi,
+               {OE.industry_items(OE.clean_text('_text'))} AS _ii,
+               list_transform({OE.colors_sql('_h')}, lambda v: {OE.normalize_hex("'#' || v")}) AS _raw
+        FROM base),
+lab2 AS (SELECT page_id, website_url, {OE.platforms_from_items('_h', '_pi')} AS _p,
+                {OE.industries_from_items('_ii')} AS _i, {OE.distinct_keep_order('_raw')} AS _c
+         FROM lab),
+{OE.tags_sql('base', 'page_id', '_text')},
+packed AS (
+  SELECT page_id, string_agg(tag, ', ' ORDER BY rank) AS tags,
+         string_agg(tag || ':' || CAST(CAST(floor(confidence * 1e6 + 0.5) AS BIGINT) AS VARCHAR), '|'
+                    ORDER BY rank) AS tag_conf
+  FROM tag_rows GROUP BY page_id)
+SELECT lab2.page_id, website_url, {display_sql('_p')} AS platform, {display_sql('_i')} AS industry,
+  coalesce(tags, '') AS tags, {OE.labels_str('_p')} AS platform_scores,
+  {OE.labels_str('_i')} AS industry_scores, _c[1] AS primary_color, _c[2] AS secondary_color,
+  coalesce(tag_conf, '') AS tag_conf
+FROM lab2 LEFT JOIN packed ON packed.page_id = lab2.page_id"""
+
+
+def flat_enrichment(rec):
+    """Flat, hashable view of an ``enrich_pages`` record."""
+    def entries(m):
+        return F.map_entries(m)
+    tag_conf = F.coalesce(F.array_join(F.transform(entries(F.col("tag_confidence")), lambda e: F.concat(
+        e["key"], F.lit(":"),
+        F.floor(e["value"] * F.lit(1e6) + F.lit(0.5)).cast("long").cast("string"))), "|"), F.lit(""))
+    ps = F.transform(entries(F.col("enrichment_signals.platform_scores")),
+                     lambda e: F.struct(e["key"].alias("label"), e["value"].alias("confidence")))
+    inds = F.transform(entries(F.col("enrichment_signals.industry_scores")),
+                       lambda e: F.struct(e["key"].alias("label"), e["value"].alias("confidence")))
+    return rec.select("page_id", "website_url", "platform", "industry", "tags",
+                      labels_str(ps).alias("platform_scores"), labels_str(inds).alias("industry_scores"),
+                      F.col("colors.primary").alias("primary_color"),
+                      F.col("colors.secondary").alias("secondary_color"),
+                      tag_conf.alias("tag_conf"))
+
+
+@register("enrich_pages", ENRICH_SQL)
+def q_enrich_pages(spark, sf_dir):
+    p = FX.pages_seeded(spark, sf_dir)
+    return flat_enrichment(E.enrich_pages(p, as_of=FX.AS_OF))
