@@ -48,7 +48,8 @@ def sites(spark: SparkSession, sf_dir: str, with_usage: bool = True) -> DataFram
         F.array("p_type").alias("industries"),
         F.lit(None).cast("struct<primary:string,secondary:string>").alias("colors"),
         conf.alias("tag_confidence"),
-        (as_of_col() - F.make_dt_interval(F.pmod(key, F.lit(45)))).alias("last_enriched_at"),
+        (as_of_col() - F.make_dt_interval(F.pmod(key, F.lit(45)), F.pmod(key, F.lit(3))))
+        .alias("last_enriched_at"),
         F.when(F.pmod(key, F.lit(10)) == 3, F.lit(None).cast("double"))
         .otherwise((F.pmod(key * 37, F.lit(1001)) / F.lit(10)).cast("double")).alias("heat_score"),
         F.when(F.pmod(key, F.lit(4)) == 0, F.create_map(F.lit("seeded_at"), F.lit(SEEDED_AT),

@@ -85,7 +85,8 @@ def sites_cte(with_usage: bool = True) -> str:
     [p_brand] AS platforms, [p_type] AS industries,
     CASE WHEN {w1} = {w2} THEN MAP {{{w1}: 0.4::DOUBLE}}
          ELSE MAP {{{w1}: 0.9::DOUBLE, {w2}: 0.4::DOUBLE}} END AS tag_confidence,
-    {AS_OF_SQL} - to_days(CAST(p_partkey % 45 AS INTEGER)) AS last_enriched_at,
+    {AS_OF_SQL} - to_days(CAST(p_partkey % 45 AS INTEGER)) - to_hours(CAST(p_partkey % 3 AS INTEGER))
+      AS last_enriched_at,
     CASE WHEN p_partkey % 10 = 3 THEN NULL
          ELSE CAST((p_partkey * 37) % 1001 AS DOUBLE) / 10 END AS heat_score,
     CASE WHEN p_partkey % 4 = 0 THEN MAP {{'seeded_at': '{FX.SEEDED_AT}', 'source': 'part'}}

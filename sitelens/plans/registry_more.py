@@ -121,3 +121,127 @@ def flat_enrichment(rec):
 def q_enrich_pages(spark, sf_dir):
     p = FX.pages_seeded(spark, sf_dir)
     return flat_enrichment(E.enrich_pages(p, as_of=FX.AS_OF))
+
+
+# ---------------------------------------------------------------------------
+# heat and usage
+# ---------------------------------------------------------------------------
+
+from sitelens.functions.numeric import py_round_sql  # noqa: E402
+from sitelens.operators import heat as H  # noqa: E402
+from sitelens.operators import suggest as SG  # noqa: E402
+from sitelens.plans import oracles as O  # noqa: E402
+from sitelens.plans.registry import _r6  # noqa: E402
+
+
+def _pct_sql(num: str, den: str) -> str:
+    ratio = f"(CAST({num} AS DOUBLE) / CAST(nullif({den}, 0) AS DOUBLE))"
+    return py_round_sql(f"{ratio} * 100.0", 1)
+
+
+@register("heat_report", f"""WITH {O.sites_cte()},
+a AS (SELECT count(*) AS total,
+        count(*) FILTER (WHERE heat_score > 0 OR heat_score < 0) AS seeded,
+        count(*) FILTER (WHERE heat_score >= 70) AS hot,
+        count(*) FILTER (WHERE heat_score >= 30 AND heat_score < 70) AS warm,
+        count(*) FILTER (WHERE heat_score >= 0 AND heat_score < 30) AS cold FROM sites)
+SELECT *, {_pct_sql('seeded', 'total')} AS seeded_pct, {_pct_sql('hot', 'seeded')} AS hot_pct,
+  {_pct_sql('warm', 'seeded')} AS warm_pct, {_pct_sql('cold', 'seeded')} AS cold_pct FROM a""")
+def q_heat_report(spark, sf_dir):
+    return H.heat_report(FX.sites(spark, sf_dir))
+
+
+@register("heat_top", f"""WITH {O.sites_cte()}
+SELECT CAST(row_number() OVER (ORDER BY heat_score DESC, id) AS BIGINT) AS rank, id, website_url,
+  heat_score, {O.days_between(O.AS_OF_SQL, 'last_used_at')} AS days_since_use
+FROM sites WHERE heat_score > 0 ORDER BY heat_score DESC, id LIMIT 5""")
+def q_heat_top(spark, sf_dir):
+    return H.heat_top(FX.sites(spark, sf_dir), 5, as_of=FX.AS_OF)
+
+
+@register("usage_rollup", f"""WITH {O.sites_cte(with_usage=False)},
+u AS (SELECT l_partkey AS sid, max(l_shipdate) AS ts, sum(l_quantity) AS amt, count(*) AS n
+      FROM lineitem GROUP BY l_partkey)
+SELECT id, greatest(last_used_at, u.ts) AS last_used_at,
+  {O.r6('CASE WHEN u.n IS NOT NULL THEN coalesce(heat_score, 0.0) + u.amt ELSE heat_score END')}
+    AS heat_score
+FROM sites LEFT JOIN u ON u.sid = sites.id""")
+def q_usage_rollup(spark, sf_dir):
+    sites = FX.sites(spark, sf_dir, with_usage=False)
+    usage = FX.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("site_id"), F.col("l_shipdate").alias("ts"),
+        F.col("l_quantity").alias("amount"))
+    out = H.apply_usage(sites, usage)
+    return out.select("id", "last_used_at", _r6(F.col("heat_score")).alias("heat_score"))
+
+
+@register("quota_buckets", f"""WITH {O.sites_cte(with_usage=False)},
+c AS (SELECT id FROM sites WHERE heat_score IS NULL OR heat_score = 0),
+n AS (SELECT count(*) AS total FROM c),
+p AS (SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS pos FROM c)
+SELECT id, pos, CASE WHEN pos <= greatest(1, floor(total * 0.2)) THEN 'hot'
+  WHEN pos <= greatest(1, floor(total * 0.2)) + greatest(1, floor(total * 0.5)) THEN 'warm'
+  ELSE 'cold' END AS bucket FROM p, n""")
+def q_quota_buckets(spark, sf_dir):
+    return H.quota_buckets(FX.sites(spark, sf_dir, with_usage=False))
+
+
+@register("rollback_marked", f"""WITH {O.sites_cte()},
+r AS (SELECT id,
+  CASE WHEN site_metadata['seeded_at'] IS NOT NULL THEN 0.0 ELSE heat_score END AS heat_score,
+  CASE WHEN site_metadata['seeded_at'] IS NOT NULL THEN NULL ELSE last_used_at END AS last_used_at,
+  CASE WHEN site_metadata['seeded_at'] IS NOT NULL
+       THEN list_filter(map_keys(site_metadata), lambda k: k <> 'seeded_at')
+       ELSE map_keys(site_metadata) END AS _keys FROM sites)
+SELECT id, heat_score, last_used_at, array_to_string(list_sort(_keys), ',') AS meta_keys FROM r""")
+def q_rollback_marked(spark, sf_dir):
+    out = H.rollback_marked(FX.sites(spark, sf_dir))
+    return out.select("id", "heat_score", "last_used_at",
+                      F.array_join(F.array_sort(F.map_keys("site_metadata")), ",").alias("meta_keys"))
+
+
+@register("stale_sites", f"""WITH {O.sites_cte(with_usage=False)}
+SELECT id, last_enriched_at, {O.days_between(O.AS_OF_SQL, 'last_enriched_at')} AS days_since
+FROM sites WHERE last_enriched_at IS NULL
+  OR {O.days_between(O.AS_OF_SQL, 'last_enriched_at')} >= 30""")
+def q_stale_sites(spark, sf_dir):
+    out = H.stale_sites(FX.sites(spark, sf_dir, with_usage=False), as_of=FX.AS_OF)
+    from sitelens.functions import days_between
+    return out.select("id", "last_enriched_at",
+                      days_between(FX.as_of_col(), F.col("last_enriched_at")).alias("days_since"))
+
+
+# ---------------------------------------------------------------------------
+# suggestions
+# ---------------------------------------------------------------------------
+
+VALUES_SQL = f"""vals AS (
+  SELECT unnest(list_concat(list_concat(coalesce(platforms, []::VARCHAR[]), coalesce(industries, []::VARCHAR[])),
+    list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda t: {O.strip_ws('t')}),
+                lambda t: length(t) > 0))) AS value FROM sites)"""
+SUGGEST_PARTIAL = "re"
+SUGGEST_PREFIXES = ["re", "wi", "eco", "x", "Brand#1", "sm", "al", "g"]
+
+
+@register("suggest", f"""WITH {O.sites_cte(with_usage=False)}, {VALUES_SQL},
+c AS (SELECT value, count(*) AS n FROM vals WHERE contains({O.norm('value')}, '{SUGGEST_PARTIAL}')
+      GROUP BY value)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, value) AS BIGINT) AS rank, value, n FROM c
+ORDER BY n DESC, value LIMIT 5""")
+def q_suggest(spark, sf_dir):
+    return SG.suggest(FX.sites(spark, sf_dir, with_usage=False), SUGGEST_PARTIAL)
+
+
+def _prefixes_sql() -> str:
+    rows = ", ".join(f"({O.lit(p)})" for p in SUGGEST_PREFIXES)
+    return f"prefixes AS (SELECT * FROM (VALUES {rows}) AS t(prefix))"
+
+
+@register("suggest_batch", f"""WITH {O.sites_cte(with_usage=False)}, {VALUES_SQL}, {_prefixes_sql()},
+c AS (SELECT value, count(*) AS n, {O.norm('value')} AS vn FROM vals GROUP BY value),
+m AS (SELECT prefix, value, n, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, value) AS rank
+      FROM c, prefixes WHERE length({O.norm('prefix')}) >= 2 AND contains(vn, {O.norm('prefix')}))
+SELECT prefix, CAST(rank AS BIGINT) AS rank, value, n FROM m WHERE rank <= 5""")
+def q_suggest_batch(spark, sf_dir):
+    prefixes = spark.createDataFrame([(p,) for p in SUGGEST_PREFIXES], "prefix string")
+    return SG.suggest_batch(FX.sites(spark, sf_dir, with_usage=False), prefixes)
