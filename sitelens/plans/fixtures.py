@@ -116,3 +116,87 @@ def documents_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.length(phrase) > 0, F.concat(F.col("text"), F.lit(" "), phrase)) \
         .otherwise(F.col("text"))
     return d.select("doc_id", text.alias("text"), "lang", "source")
+
+
+# FIXED VALUES of the import fixtures (FIXTURES.md 3.4).
+IMPORT_PLATFORMS = ["WordPress", "Webflow", "Shopify", "Custom", "Wix"]
+IMPORT_INDUSTRIES = ["SaaS", "Blog", "Agency"]
+REPEAT_ROW_OFFSET = 1_000_000
+
+
+def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-enriched upload rows (all text), one per page, with seeded faults:
+    every 7th row repeated later, every 11th URL blank, every 13th without
+    scheme, every 17th bad JSON, every 19th bad timestamp, every 4th empty list."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    pid = F.col("page_id")
+    plat = F.element_at(F.array(*[F.lit(x) for x in IMPORT_PLATFORMS]),
+                        (F.pmod(pid, F.lit(5)) + 1).cast("int"))
+    ind = F.element_at(F.array(*[F.lit(x) for x in IMPORT_INDUSTRIES]),
+                       (F.pmod(pid, F.lit(3)) + 1).cast("int"))
+    url = (F.when(F.pmod(pid, F.lit(11)) == 0, F.lit("  "))
+           .when(F.pmod(pid, F.lit(13)) == 0, F.regexp_replace("url", "^https?://", ""))
+           .otherwise(F.col("url")))
+    day = F.lpad((F.pmod(pid, F.lit(28)) + 1).cast("string"), 2, "0")
+    rows = p.select(
+        (pid + 2).cast("long").alias("row_no"), pid.alias("page_id"),
+        url.alias("website_url"), plat.alias("platform"), ind.alias("industry"),
+        F.lit("alpha, beta").alias("tags"),
+        F.when(F.pmod(pid, F.lit(17)) == 0, F.lit('["broken'))
+        .otherwise(F.concat(F.lit('["'), plat, F.lit('"]'))).alias("platforms"),
+        F.when(F.pmod(pid, F.lit(4)) == 0, F.lit("[]"))
+        .otherwise(F.concat(F.lit('["'), ind, F.lit('"]'))).alias("industries"),
+        F.lit('{"primary": "#aabbcc", "secondary": null}').alias("colors"),
+        F.lit('{"alpha": 0.9, "beta": 0.4}').alias("tag_confidence"),
+        F.concat(F.lit('{"platform_scores": {"'), plat,
+                 F.lit('": 1.0}, "industry_scores": {}, "colors": {"primary": "#aabbcc", '
+                       '"secondary": null}}')).alias("enrichment_signals"),
+        F.when(F.pmod(pid, F.lit(19)) == 0, F.lit("not-a-time"))
+        .otherwise(F.concat(F.lit("2001-12-"), day, F.lit("T10:00:00Z"))).alias("last_enriched_at"))
+    repeats = rows.filter(F.pmod(F.col("page_id"), F.lit(7)) == 0) \
+        .withColumn("row_no", F.col("row_no") + REPEAT_ROW_OFFSET)
+    return rows.unionByName(repeats)
+
+
+def import_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing catalog rows for pages with page_id mod 3 = 0 (other labels, heat
+    and metadata filled: an upsert must keep them)."""
+    p = table(spark, sf_dir, "pages").filter(F.pmod(F.col("page_id"), F.lit(3)) == 0)
+    pid = F.col("page_id")
+    return p.select(
+        pid.alias("id"), F.col("url").alias("website_url"),
+        F.lit("Legacy").alias("platform"), F.lit("Legacy").alias("industry"),
+        F.lit("old").alias("tags"),
+        F.array(F.lit("Legacy")).alias("platforms"), F.array(F.lit("Legacy")).alias("industries"),
+        (pid.cast("double") / F.lit(10.0)).alias("heat_score"),
+        F.create_map(F.lit("owner"), F.lit("import-test")).alias("site_metadata"),
+        (as_of_col() - F.make_dt_interval(F.lit(100))).alias("created_at"),
+        (as_of_col() - F.make_dt_interval(F.pmod(pid, F.lit(50)))).alias("last_used_at"))
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag feedback for every 5th page; every 4th of those has an unknown URL, every
+    7th of those blank tags."""
+    p = table(spark, sf_dir, "pages").filter(F.pmod(F.col("page_id"), F.lit(5)) == 0)
+    pid = F.col("page_id")
+    url = F.when(F.pmod(pid, F.lit(20)) == 0, F.concat(F.col("url"), F.lit("/unknown"))) \
+        .otherwise(F.concat(F.lit(" "), F.col("url")))
+    tags = F.when(F.pmod(pid, F.lit(35)) == 0, F.lit("   ")) \
+        .otherwise(F.concat(F.lit("tag"), pid.cast("string"), F.lit(", extra ")))
+    return p.select(pid.alias("feedback_id"), url.alias("website_url"), tags.alias("suggested_tags"),
+                    (as_of_col() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), pid)).alias("created_at"))
+
+
+def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs to add, with seeded bad forms by page_id mod 6: padded, no scheme,
+    upper-case scheme, ftp, 2,049+ characters."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    m = F.pmod(F.col("page_id"), F.lit(6))
+    bare = F.regexp_replace("url", "^https?://", "")
+    u = (F.when(m == 1, F.concat(F.lit("  "), F.col("url"), F.lit(" ")))
+         .when(m == 2, bare)
+         .when(m == 3, F.concat(F.lit("HTTP://"), bare))
+         .when(m == 4, F.concat(F.lit("ftp://"), bare))
+         .when(m == 5, F.concat(F.col("url"), F.lit("/"), F.repeat(F.lit("a"), 2048)))
+         .otherwise(F.col("url")))
+    return p.select((F.col("page_id") + 2).cast("long").alias("row_no"), "page_id", u.alias("url"))

@@ -76,27 +76,33 @@ def q_page_text(spark, sf_dir):
     return E.with_page_text(p, "html", "text").select("page_id", "text")
 
 
-ENRICH_SQL = f"""WITH {OE.pages_seeded_cte()},
-base AS (SELECT page_id, url AS website_url, html AS _h, {OE.page_text('html')} AS _text
-         FROM pages_seeded),
-lab AS (SELECT page_id, website_url, _h, {OE.platform_items('_h')} AS _pi,
+def enrich_ctes(src: str, key: str, url: str = "url", html: str = "html") -> str:
+    """CTE chain ending in ``enriched`` (flat enrichment record per row of ``src``)."""
+    return f"""ebase AS (SELECT {key}, {url} AS website_url, {html} AS _h, {OE.page_text(html)} AS _text
+         FROM {src}),
+elab AS (SELECT {key}, website_url, _h, {OE.platform_items('_h')} AS _pi,
                {OE.industry_items(OE.clean_text('_text'))} AS _ii,
                list_transform({OE.colors_sql('_h')}, lambda v: {OE.normalize_hex("'#' || v")}) AS _raw
-        FROM base),
-lab2 AS (SELECT page_id, website_url, {OE.platforms_from_items('_h', '_pi')} AS _p,
+        FROM ebase),
+elab2 AS (SELECT {key}, website_url, {OE.platforms_from_items('_h', '_pi')} AS _p,
                 {OE.industries_from_items('_ii')} AS _i, {OE.distinct_keep_order('_raw')} AS _c
-         FROM lab),
-{OE.tags_sql('base', 'page_id', '_text')},
+         FROM elab),
+{OE.tags_sql('ebase', key, '_text')},
 packed AS (
-  SELECT page_id, string_agg(tag, ', ' ORDER BY rank) AS tags,
+  SELECT {key}, string_agg(tag, ', ' ORDER BY rank) AS tags,
          string_agg(tag || ':' || CAST(CAST(floor(confidence * 1e6 + 0.5) AS BIGINT) AS VARCHAR), '|'
                     ORDER BY rank) AS tag_conf
-  FROM tag_rows GROUP BY page_id)
-SELECT lab2.page_id, website_url, {display_sql('_p')} AS platform, {display_sql('_i')} AS industry,
-  coalesce(tags, '') AS tags, {OE.labels_str('_p')} AS platform_scores,
-  {OE.labels_str('_i')} AS industry_scores, _c[1] AS primary_color, _c[2] AS secondary_color,
-  coalesce(tag_conf, '') AS tag_conf
-FROM lab2 LEFT JOIN packed ON packed.page_id = lab2.page_id"""
+  FROM tag_rows GROUP BY {key}),
+enriched AS (
+  SELECT elab2.{key}, website_url, {display_sql('_p')} AS platform, {display_sql('_i')} AS industry,
+    coalesce(tags, '') AS tags, {OE.labels_str('_p')} AS platform_scores,
+    {OE.labels_str('_i')} AS industry_scores, _c[1] AS primary_color, _c[2] AS secondary_color,
+    coalesce(tag_conf, '') AS tag_conf
+  FROM elab2 LEFT JOIN packed ON packed.{key} = elab2.{key})"""
+
+
+ENRICH_SQL = f"""WITH {OE.pages_seeded_cte()}, {enrich_ctes('pages_seeded', 'page_id')}
+SELECT * FROM enriched"""
 
 
 def flat_enrichment(rec):
