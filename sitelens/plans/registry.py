@@ -171,4 +171,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # Importing a module registers its queries.
-    from sitelens.plans import registry_ingest, registry_more  # noqa: F401
+    from sitelens.plans import registry_ingest, registry_more, registry_streams  # noqa: F401
