@@ -54,7 +54,11 @@ SITES_SCHEMA = T.StructType([
                                           T.StructField("secondary", T.StringType())])),
     T.StructField("tag_confidence", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("last_enriched_at", T.TimestampNTZType()),
-    T.StructField("enrichment_signals", T._parse_datatype_string(SIGNALS_TYPE)),
+    T.StructField("enrichment_signals", T.StructType([
+        T.StructField("platform_scores", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("industry_scores", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("colors", T.StructType([T.StructField("primary", T.StringType()),
+                                              T.StructField("secondary", T.StringType())]))])),
     T.StructField("last_used_at", T.TimestampNTZType()),
     T.StructField("heat_score", T.DoubleType()),
     T.StructField("site_metadata", T.MapType(T.StringType(), T.StringType())),
