@@ -296,10 +296,17 @@ def display_labels(arr: Column) -> Column:
 
 def enrich_pages(pages: DataFrame, dicts: Dictionaries = DEFAULT, as_of=None,
                  key: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Enrichment record per page.
+    """Enrichment record per page, in one pass over the HTML.
 
     Output: key, website_url, platform, industry, tags, platforms, industries,
     colors, tag_confidence, enrichment_signals, last_enriched_at.
+
+    Plan: one narrow stage parses each page once (text, platforms, industries,
+    colours, kept words).  Every page then emits one *label row* and one row per
+    kept word; both go through the same ``groupBy(page, word)`` (partial counts
+    before the shuffle).  Word groups are ranked per page with a window limit of
+    10, and a final ``groupBy(page)`` packs the label row and its top tags
+    together -- so the HTML is read and parsed once and nothing is joined back.
     """
     ts = (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
           else F.localtimestamp())
@@ -307,24 +314,47 @@ def enrich_pages(pages: DataFrame, dicts: Dictionaries = DEFAULT, as_of=None,
         pages.select(F.col(key), F.col(url_col).alias("website_url"), F.col(html_col).alias("_h")),
         "_h", "_text")
     base = base.withColumn("_clean", clean_text(F.col("_text")))
-    labeled = detect_platforms(base, "_h", "_p", dicts)
-    labeled = detect_industries(labeled, "_text", "_i", dicts, clean_col="_clean")
-    labeled = with_colors(labeled, "_h", "colors").select(key, "website_url", "_p", "_i", "colors")
-    tags = pack_tags(extract_tags(base.select(key, "_text"), key, "_text", dicts=dicts), key)
-    j = labeled.join(tags, key, "left")
+    lab = detect_platforms(base, "_h", "_p", dicts)
+    lab = detect_industries(lab, "_text", "_i", dicts, clean_col="_clean")
+    lab = with_colors(lab, "_h", "colors")
+    label = F.struct(F.col("website_url"), F.col("_p"), F.col("_i"), F.col("colors"))
+    # position 0 is the page's label row; positions >= 1 are its words
+    slots = F.concat(F.array(F.lit(None).cast("string")), py_split(F.col("_clean")))
+    rows = (lab.select(F.col(key), label.alias("_lab"), F.posexplode(slots).alias("pos", "word"))
+            .filter((F.col("pos") == 0) | ((F.length("word") >= MIN_TAG_LENGTH)
+                                           & ~F.col("word").isin(list(dicts.stopwords))))
+            .select(F.col(key), "word", "pos",
+                    F.when(F.col("pos") == 0, F.col("_lab")).alias("lab")))
+    g = rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("freq"),
+                                      F.min("pos").alias("first_pos"),
+                                      F.first("lab", ignorenulls=True).alias("lab"))
+    # One window per page: the label row (word NULL) first, then words by
+    # frequency and first occurrence; keep it and the top 10 words.
+    w = Window.partitionBy(key).orderBy(F.col("word").isNotNull().asc(), F.col("freq").desc(),
+                                        F.col("first_pos").asc())
+    top = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TAGS + 1)
+    packed = top.groupBy(key).agg(
+        F.first("lab", ignorenulls=True).alias("lab"),
+        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(
+            F.col("rank"), F.col("word").alias("tag"), F.col("freq"))))).alias("_w"))
+    fmax = F.get(F.col("_w"), 0)["freq"].cast("double")
+    packed = packed.withColumn("_t", F.transform("_w", lambda x: F.struct(
+        x["tag"].alias("tag"),
+        py_round(F.least(F.lit(1.0), F.lit(0.2) + F.lit(0.8) * (x["freq"].cast("double") / fmax)), 2)
+        .alias("confidence"))))
     to_map = (lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["label"],
                                                                               x["confidence"]))))
-    return j.select(
-        F.col(key), "website_url",
-        display_labels(F.col("_p")).alias("platform"),
-        display_labels(F.col("_i")).alias("industry"),
-        F.coalesce(F.col("tags"), F.lit("")).alias("tags"),
-        F.transform("_p", lambda x: x["label"]).alias("platforms"),
-        F.transform("_i", lambda x: x["label"]).alias("industries"),
-        "colors",
-        F.coalesce(F.col("tag_confidence"), F.create_map().cast("map<string,double>"))
+    p, i = F.col("lab._p"), F.col("lab._i")
+    return packed.select(
+        F.col(key), F.col("lab.website_url").alias("website_url"),
+        display_labels(p).alias("platform"),
+        display_labels(i).alias("industry"),
+        F.array_join(F.transform("_t", lambda x: x["tag"]), ", ").alias("tags"),
+        F.transform(p, lambda x: x["label"]).alias("platforms"),
+        F.transform(i, lambda x: x["label"]).alias("industries"),
+        F.col("lab.colors").alias("colors"),
+        F.map_from_entries(F.transform("_t", lambda x: F.struct(x["tag"], x["confidence"])))
         .alias("tag_confidence"),
-        F.struct(to_map(F.col("_p")).alias("platform_scores"),
-                 to_map(F.col("_i")).alias("industry_scores"),
-                 F.col("colors").alias("colors")).alias("enrichment_signals"),
+        F.struct(to_map(p).alias("platform_scores"), to_map(i).alias("industry_scores"),
+                 F.col("lab.colors").alias("colors")).alias("enrichment_signals"),
         ts.alias("last_enriched_at"))
