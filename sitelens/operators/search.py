@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
 from sitelens.functions import days_between, fuzzy_host, norm, tag_tokens, url_host, url_path
+from sitelens.session import shared_dir
 
 PAGE_SIZE = 10
 ALL_RESULTS_CAP = 10_000
@@ -111,8 +112,12 @@ def _add(acc: Column, cond: Column, value: float) -> Column:
     return acc + F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
 
 
-def _term_step(acc: Column, t: Column, f: _Fields) -> Column:
-    """Running score after one term, in the rule's order of additions."""
+def _term_step(acc: Column, t: Column, f: _Fields, missing: Column | None = None) -> Column:
+    """Running score after one term, in the rule's order of additions.
+
+    ``missing``: when true the term is absent; every addition is then 0.0 and
+    the tag loop runs over an empty list.
+    """
     acc = _add(acc, f.host.contains(t), 5.0)
     acc = _add(acc, f.path.contains(t), 4.0)
     acc = _add(acc, f.plat.contains(t), 4.5)
@@ -125,7 +130,9 @@ def _term_step(acc: Column, t: Column, f: _Fields) -> Column:
         return a + F.when(matched, F.lit(2.5) * (F.lit(1.0) + F.least(conf, F.lit(1.0)))) \
             .otherwise(F.lit(0.0))
 
-    acc = F.aggregate(f.tags, acc, tag_step)
+    tags = f.tags if missing is None else F.when(missing, F.array().cast("array<string>")) \
+        .otherwise(f.tags)
+    acc = F.aggregate(tags, acc, tag_step)
     for field in (f.plat, f.ind):
         near = ((F.length(field) > 0) & (F.length(t) <= 12)
                 & (F.abs(F.length(t) - F.length(field)) <= 6)
@@ -159,6 +166,31 @@ def score_terms_col(terms: Column, as_of: Column) -> Column:
     return _multipliers(F.aggregate(terms, F.lit(0.0), lambda a, t: _term_step(a, t, f)), as_of)
 
 
+def score_terms_unrolled(terms: Column, n_max: int, as_of: Column) -> Column:
+    """Score for a per-row array of at most ``n_max`` terms, loop unrolled.
+
+    Same additions in the same order as ``score_terms_col``; a missing term
+    leaves the running score untouched.  The term loop is plain generated code;
+    only the per-tag loop stays a higher-order function.
+    """
+    f = _fields()
+    acc = F.lit(0.0)
+    for i in range(n_max):
+        t = F.get(terms, i)
+        acc = _term_step(acc, t, f, missing=t.isNull())
+    return _multipliers(acc, as_of)
+
+
+def _direct_unrolled(terms: Column, n_max: int) -> Column:
+    f = _fields()
+    cond = F.lit(False)
+    for i in range(n_max):
+        t = F.get(terms, i)
+        cond = cond | (t.isNotNull() & (f.url_l.contains(t) | f.plat_l.contains(t)
+                                         | f.ind_l.contains(t) | f.tags_l.contains(t)))
+    return F.coalesce(cond, F.lit(False))
+
+
 def _direct(terms: list[str]) -> Column:
     f = _fields()
     cond = F.lit(False)
@@ -270,15 +302,32 @@ def search_all(sites: DataFrame, q: str, limit: int = ALL_RESULTS_CAP,
 # many queries
 # ---------------------------------------------------------------------------
 
-def _batch_chunk(sites_p: DataFrame, queries: DataFrame, k: int, as_of: Column) -> DataFrame:
-    q = queries.select(
-        F.col("query_id"),
-        expand_terms_col(F.col("q")).alias("_terms"),
-        norm(F.col("q")).alias("_main"))
-    q = q.filter(F.size("_terms") > 0)
-    pairs = (sites_p.join(F.broadcast(q), _direct_col(F.col("_terms")) | _fuzzy(F.col("_main")))
-             .withColumn("_is_direct", _direct_col(F.col("_terms")))
-             .withColumn("score", score_terms_col(F.col("_terms"), as_of)))
+def _query_terms(queries: DataFrame, dicts: Dictionaries) -> DataFrame:
+    q = queries.select(F.col("query_id"), expand_terms_col(F.col("q"), dicts).alias("_terms"),
+                       norm(F.col("q")).alias("_main"))
+    return q.filter(F.size("_terms") > 0)
+
+
+def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, n_max: int) -> DataFrame:
+    """Scored candidate pairs (query_id, id, _is_direct, score), lazily: a broadcast
+    nested-loop join of the prepared catalog with the query terms."""
+    direct = _direct_unrolled(F.col("_terms"), n_max)
+    return (sites_p.join(F.broadcast(q), direct | _fuzzy(F.col("_main")))
+            .select("query_id", "id", direct.alias("_is_direct"),
+                    score_terms_col(F.col("_terms"), as_of).alias("score")))
+
+
+def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max: int) -> DataFrame:
+    """Top-k rows and totals of one chunk of queries: query_id, id, rank, score, total_results.
+
+    The scored pairs are cut down to four small columns and checkpointed to the
+    shared folder (``spark.checkpoint.dir``): the top-k window and the totals
+    aggregate both read that table, so candidates are generated and scored
+    once, and a lost executor does not force the scoring to run again.
+    """
+    pairs = batch_pairs(sites_p, q, as_of, n_max)
+    shared_dir(sites_p.sparkSession)
+    pairs = pairs.checkpoint(eager=True)
     order = [F.col("_is_direct").desc(), F.col("score").desc(), F.col("id").asc()]
     w = Window.partitionBy("query_id").orderBy(*order)
     top = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
@@ -287,15 +336,15 @@ def _batch_chunk(sites_p: DataFrame, queries: DataFrame, k: int, as_of: Column)
     wq = Window.partitionBy("query_id").orderBy("_rn")
     top = (top.withColumn("_any_direct", F.first("_is_direct").over(wq))
            .filter((F.col("score") > 0) & (F.col("_is_direct") | ~F.col("_any_direct"))))
-    wr = Window.partitionBy("query_id").orderBy("_rn")
-    top = top.withColumn("rank", F.row_number().over(wr).cast("long"))
+    top = top.withColumn("rank", F.row_number().over(wq).cast("long"))
     totals = (pairs.groupBy("query_id")
               .agg(F.max("_is_direct").alias("_any"),
-                   F.count_if(F.col("_is_direct") & (F.col("score") > 0)).alias("_nd"),
+                   F.count_if(F.col("_is_direct") & (F.col("score") > 0) & F.col("id").isNotNull())
+                   .alias("_nd"),
                    F.count_if(F.col("score") > 0).alias("_na"))
               .select("query_id", F.when(F.col("_any"), F.col("_nd")).otherwise(F.col("_na"))
                       .alias("total_results")))
-    return top.join(totals, "query_id")
+    return top.select("query_id", "id", "rank", "score").join(totals, "query_id")
 
 
 def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
@@ -307,17 +356,20 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     cols = sites.columns
     as_of_c = _as_of(as_of)
     sites_p = _prepare(sites)
-    n = queries.count()  # size check for the broadcast side
+    q = _query_terms(queries, dicts)
+    # size check of the broadcast side, and the longest term list (for unrolling)
+    st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_terms")).alias("m")).first()
+    n, n_max = st["n"], (st["m"] or 0)
     chunks = max(1, math.ceil(n / MAX_BROADCAST_QUERIES))
     parts = []
     for i in range(chunks):
-        qi = queries if chunks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
-        parts.append(_batch_chunk(sites_p, qi, k, as_of_c))
+        qi = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
+        parts.append(_batch_chunk(sites_p, qi, k, as_of_c, n_max))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("query_id", "rank", *cols, "score", "total_results")
+    # top-k rows are at most k per (size-checked) query; fetch their site columns
+    return out.join(sites, "id").select("query_id", "rank", *cols, "score", "total_results")
 
 
 # ---------------------------------------------------------------------------

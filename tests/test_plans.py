@@ -31,11 +31,13 @@ def test_scan_prunes_columns(spark, sf_small):
 def test_batch_search_broadcasts_queries(spark, sf_small):
     cat = FX.sites(spark, sf_small, with_usage=False)
     q = spark.createDataFrame([(1, "gear"), (2, "red")], "query_id long, q string")
-    out = S.search_batch(cat, q, as_of=FX.AS_OF)
-    out.collect()
-    p = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in p
+    pairs = S.batch_pairs(S._prepare(cat), S._query_terms(q, S.DEFAULT),
+                          F.lit(FX.AS_OF).cast("timestamp_ntz"), 2)
+    p = plan(pairs)
+    assert "BroadcastNestedLoopJoin" in p and "BroadcastExchange" in p
     assert "Python" not in p
+    out = S.search_batch(cat, q, as_of=FX.AS_OF)
+    assert "Python" not in plan(out)
 
 
 def test_detectors_stay_in_jvm(spark, sf_small):
