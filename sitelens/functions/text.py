@@ -56,3 +56,16 @@ def count_sub(text, key: str) -> Column:
     t = _c(text)
     n = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(key), F.lit("")))) / len(key)
     return F.when(t.contains(key), n.cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def count_sub_sql(col: str, key: str) -> str:
+    """``count_sub`` as Spark SQL text (one expression per keyword, built in one call)."""
+    k = sql_str(key)
+    c = f"`{col}`"
+    return (f"CASE WHEN contains({c}, {k}) THEN "
+            f"(octet_length({c}) - octet_length(replace({c}, {k}, ''))) DIV {len(key)} ELSE 0L END")

@@ -29,7 +29,9 @@ from sitelens.dictionaries import (
     STYLE_TEXT_LIMIT,
     Dictionaries,
 )
-from sitelens.functions import clean_text, count_sub, normalize_hex, py_round, py_split, strip_ws
+from sitelens.functions import clean_text, normalize_hex, py_round, py_split, strip_ws
+from sitelens.functions.text import count_sub_sql, sql_str
+from sitelens.operators.layout import spread
 
 # FIXED VALUES: markup patterns (valid in Java regex and RE2 alike).
 COMMENT_RE = r"(?s)<!--.*?-->"
@@ -83,9 +85,9 @@ def without_scripts(html) -> Column:
 # H1 page text
 # ---------------------------------------------------------------------------
 
-def with_page_text(df: DataFrame, html_col: str, out: str = "text") -> DataFrame:
+def with_page_text(df: DataFrame, html_col: str, out: str = "text", spread_input: bool = True) -> DataFrame:
     """Add ``out`` = ``page_text`` of ``html_col`` (markup-free HTML projected once)."""
-    tmp = df.withColumn("_bare", F.regexp_replace(without_scripts(F.col(html_col)),
+    tmp = (spread(df) if spread_input else df).withColumn("_bare", F.regexp_replace(without_scripts(F.col(html_col)),
                                                   STYLE_BLOCK_RE, ""))
     return tmp.withColumn(out, page_text(F.col("_bare"), bare=True)).drop("_bare")
 
@@ -110,16 +112,17 @@ def page_text(html, bare: bool = False) -> Column:
 # H2 platforms
 # ---------------------------------------------------------------------------
 
-def _platform_count_cols(low: Column, dicts: Dictionaries) -> list:
-    """One integer column per platform: how many of its signals occur."""
+def _platform_count_cols(low_col: str, dicts: Dictionaries) -> list:
+    """One integer column per platform: how many of its signals occur.
+
+    Each count is one SQL expression (one call to build, however many signals).
+    """
     cols = []
     for o, (label, sigs) in enumerate(dicts.platforms):
         if not sigs:
             continue
-        n = F.lit(0)
-        for sig in sigs:
-            n = n + low.contains(sig.lower()).cast("int")
-        cols.append((f"_pc{o}", o, label, n))
+        n = " + ".join(f"CAST(contains(`{low_col}`, {sql_str(sig.lower())}) AS INT)" for sig in sigs)
+        cols.append((f"_pc{o}", o, label, F.expr(n)))
     return cols
 
 
@@ -148,7 +151,7 @@ def platforms_from_counts(h: Column, items: list) -> Column:
 
 
 def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
-                     dicts: Dictionaries = DEFAULT) -> DataFrame:
+                     dicts: Dictionaries = DEFAULT, spread_input: bool = True) -> DataFrame:
     """Add ``out``: array<struct<label, confidence>>, confidence desc then dictionary order.
 
     Per platform: number of its signals found in the lower-cased HTML; confidence
@@ -157,8 +160,8 @@ def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
     per-platform counts are projected as plain columns first, so the few
     higher-order steps at the end only read attributes.
     """
-    low = df.withColumn("_low", F.lower(F.col(html_col)))
-    items = _platform_count_cols(F.col("_low"), dicts)
+    low = (spread(df) if spread_input else df).withColumn("_low", F.lower(F.col(html_col)))
+    items = _platform_count_cols("_low", dicts)
     counted = low.select("*", *[n.alias(c) for c, _, _, n in items])
     res = counted.withColumn(out, platforms_from_counts(F.col(html_col),
                                                         [(c, o, lab) for c, o, lab, _ in items]))
@@ -169,26 +172,27 @@ def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
 # H3 industries
 # ---------------------------------------------------------------------------
 
-def _industry_count_cols(clean: Column, dicts: Dictionaries) -> list:
+def _industry_count_cols(clean_col: str, dicts: Dictionaries) -> list:
+    """One long column per industry: summed keyword counts (one SQL expression each)."""
     cols = []
     for o, (label, kws) in enumerate(dicts.industries):
-        n = F.lit(0).cast("long")
-        for k in kws:
-            n = n + count_sub(clean, k.lower())
-        cols.append((f"_ic{o}", o, label, n))
+        n = " + ".join(f"({count_sub_sql(clean_col, k.lower())})" for k in kws)
+        cols.append((f"_ic{o}", o, label, F.expr(f"CAST(0 AS BIGINT) + {n}")))
     return cols
 
 
 def detect_industries(df: DataFrame, text_col: str, out: str = "industries_conf",
-                      dicts: Dictionaries = DEFAULT, clean_col: str | None = None) -> DataFrame:
+                      dicts: Dictionaries = DEFAULT, clean_col: str | None = None,
+                      spread_input: bool = True) -> DataFrame:
     """Add ``out``: array<struct<label, confidence>>, confidence = n / max n, >= 0.15, top 5.
 
     The cleaned text and the 18 per-industry keyword counts are projected as
     plain columns (a ``contains`` guard skips the replace when a keyword is
     absent, the common case); the ranking then only reads those columns.
     """
+    df = spread(df) if spread_input else df
     src = df if clean_col else df.withColumn("_clean", clean_text(F.col(text_col)))
-    items = _industry_count_cols(F.col(clean_col or "_clean"), dicts)
+    items = _industry_count_cols(clean_col or "_clean", dicts)
     counted = src.select("*", *[n.alias(c) for c, _, _, n in items])
     res = counted.withColumn(out, industries_from_counts(
         F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(lab).alias("label"), F.col(c).alias("n"))
@@ -223,7 +227,7 @@ def extract_tags(df: DataFrame, id_col: str, text_col: str, k: int = MAX_TAGS,
     frequency desc, then first occurrence.  confidence = round(min(1, 0.2 + 0.8 *
     f / fmax), 2), rounded exactly as Python does.
     """
-    words = (df.select(F.col(id_col), F.posexplode(py_split(clean_text(F.col(text_col))))
+    words = (spread(df).select(F.col(id_col), F.posexplode(py_split(clean_text(F.col(text_col))))
                        .alias("pos", "word"))
              .filter((F.length("word") >= MIN_TAG_LENGTH) & ~F.col("word").isin(list(dicts.stopwords))))
     counted = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("freq"),
@@ -254,9 +258,9 @@ def pack_tags(tags: DataFrame, id_col: str) -> DataFrame:
 # H5 colours
 # ---------------------------------------------------------------------------
 
-def with_colors(df: DataFrame, html_col: str, out: str = "colors") -> DataFrame:
+def with_colors(df: DataFrame, html_col: str, out: str = "colors", spread_input: bool = True) -> DataFrame:
     """Add ``out`` = ``extract_colors`` of ``html_col`` (script-free HTML projected once)."""
-    tmp = df.withColumn("_nos", without_scripts(F.col(html_col)))
+    tmp = (spread(df) if spread_input else df).withColumn("_nos", without_scripts(F.col(html_col)))
     return tmp.withColumn(out, extract_colors(F.col("_nos"), bare=True)).drop("_nos")
 
 
@@ -311,12 +315,13 @@ def enrich_pages(pages: DataFrame, dicts: Dictionaries = DEFAULT, as_of=None,
     ts = (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
           else F.localtimestamp())
     base = with_page_text(
-        pages.select(F.col(key), F.col(url_col).alias("website_url"), F.col(html_col).alias("_h")),
-        "_h", "_text")
+        spread(pages).select(F.col(key), F.col(url_col).alias("website_url"),
+                             F.col(html_col).alias("_h")),
+        "_h", "_text", spread_input=False)
     base = base.withColumn("_clean", clean_text(F.col("_text")))
-    lab = detect_platforms(base, "_h", "_p", dicts)
-    lab = detect_industries(lab, "_text", "_i", dicts, clean_col="_clean")
-    lab = with_colors(lab, "_h", "colors")
+    lab = detect_platforms(base, "_h", "_p", dicts, spread_input=False)
+    lab = detect_industries(lab, "_text", "_i", dicts, clean_col="_clean", spread_input=False)
+    lab = with_colors(lab, "_h", "colors", spread_input=False)
     label = F.struct(F.col("website_url"), F.col("_p"), F.col("_i"), F.col("colors"))
     # position 0 is the page's label row; positions >= 1 are its words
     slots = F.concat(F.array(F.lit(None).cast("string")), py_split(F.col("_clean")))

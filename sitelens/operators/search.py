@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
 from sitelens.functions import days_between, fuzzy_host, norm, tag_tokens, url_host, url_path
+from sitelens.operators.layout import spread
 from sitelens.session import shared_dir
 
 PAGE_SIZE = 10
@@ -89,7 +90,7 @@ class _Fields:
 
 def _prepare(sites: DataFrame) -> DataFrame:
     """Add the normalised fields the score reads (computed once per site)."""
-    return (sites
+    return (spread(sites)
             .withColumn("_url_n", norm("website_url"))
             .withColumn("_plat_n", norm("platform"))
             .withColumn("_ind_n", norm("industry"))
