@@ -291,6 +291,12 @@ def search(sites: DataFrame, q: str, page: int = 1, page_size: int = PAGE_SIZE,
     return rows, info
 
 
+def with_page_info(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Attach the one-row page information to every result row (scalar subquery)."""
+    st = info.select(F.struct(*info.columns).alias("i")).scalar()
+    return rows.select("*", *[st[c].alias(c) for c in info.columns])
+
+
 def search_all(sites: DataFrame, q: str, limit: int = ALL_RESULTS_CAP,
                dicts: Dictionaries = DEFAULT, as_of=None) -> DataFrame:
     """All matches of one query in rank order, at most ``limit`` (the all-results view)."""
@@ -390,4 +396,4 @@ def heat_leaderboard(sites: DataFrame, limit: int = 10, offset: int = 0) -> Data
             .limit(off + max(0, limit)))
     w = Window.orderBy(F.col("heat_score").desc_nulls_first(), F.col("id").asc())
     page = page.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") > off)
-    return page.crossJoin(F.broadcast(total))
+    return page.withColumn("total_positive_or_null", total.scalar())

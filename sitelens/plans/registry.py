@@ -47,7 +47,7 @@ CUSTOM_SYNONYMS = Dictionaries(synonyms=[("ring", ["bolt"]), ("small", ["tiny",
 def _page_rows(spark, sf_dir, q, page, dicts=DEFAULT):
     sites = FX.sites(spark, sf_dir)
     rows, info = S.search(sites, q, page=page, dicts=dicts, as_of=FX.AS_OF)
-    out = rows.crossJoin(F.broadcast(info))
+    out = S.with_page_info(rows, info)
     return out.select("rank", "id", "website_url", "platform", "industry",
                       _r6(F.col("score")).alias("score"), "page", "total_pages", "total_results",
                       "has_previous", "has_next")

@@ -1,0 +1,15 @@
+"""Table existence and column listing (S9) over Spark's catalog."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """True when the catalog knows a table or view called ``name``."""
+    return spark.catalog.tableExists(name)
+
+
+def table_columns(df: DataFrame) -> list[str]:
+    """Column names of a table or frame, in order."""
+    return list(df.columns)
