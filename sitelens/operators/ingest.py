@@ -218,25 +218,33 @@ def insert_ignore(target: DataFrame, batch: DataFrame, as_of=None):
     return new_target, report
 
 
-def import_enriched(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
+def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
                     max_rows: int | None = None):
-    """Import pre-enriched rows (text columns, JSON as text) if their URL is new.
+    """The rows an import would add, and its report: ``(new_rows, report)``.
 
-    mode 'bulk': bad JSON -> empty value, bad timestamp -> NULL, existing or
-    repeated URL -> skipped.  mode 'upload': bad JSON fails the row, existing or
-    repeated URL is an error ("Site already exists").  ``max_rows`` applies the
-    upload row limit.  Returns ``(new_target, report)``.
+    ``target`` only needs a ``website_url`` column (the existence check).
     """
     b = apply_batch_limit(batch, max_rows)
     c = _decode(_classify(b, target, "first", mode), strict=(mode == "upload"))
     c = (c.withColumn("outcome", F.when((F.col("outcome") == "inserted") & F.col("_json_error").isNotNull(),
                                         F.lit("error")).otherwise(F.col("outcome")))
          .withColumn("error", F.coalesce(F.col("error"), F.col("_json_error"))))
-    ins = c.filter(F.col("outcome") == "inserted")
-    new_rows = _site_rows(ins, _as_of(as_of))
-    new_target = conform(target).unionByName(new_rows)
+    new_rows = _site_rows(c.filter(F.col("outcome") == "inserted"), _as_of(as_of))
     report = c.select("row_no", F.col("_url").alias("website_url"), "outcome", "error")
-    return new_target, report
+    return new_rows, report
+
+
+def import_enriched(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
+                    max_rows: int | None = None):
+    """Import pre-enriched rows (text columns, JSON as text) if their URL is new.
+
+    mode 'bulk': bad JSON -> empty value, bad timestamp -> NULL, existing or
+    repeated URL -> skipped.  mode 'upload': bad JSON fails the row, existing or
+    repeated URL is an error ("Site already exists").  ``max_rows`` applies the
+    upload row limit.  Returns ``(new_target, report)``.
+    """
+    new_rows, report = import_new_rows(target, batch, mode, as_of, max_rows)
+    return conform(target).unionByName(new_rows), report
 
 
 def import_stats(report: DataFrame) -> DataFrame:

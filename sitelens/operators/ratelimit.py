@@ -45,26 +45,35 @@ def decide(times_us, kept: list[int], max_n: int, window_us: int):
 
 
 class _LimiterProcessor(StatefulProcessor):
-    def __init__(self, max_n: int, window_us: int):
+    """``presorted``: rows of a key arrive in (ts, event id) order (batch input is
+    sorted before grouping), so they are decided chunk by chunk and never held
+    together; otherwise (a stream's micro-batch) one key's rows of the batch
+    are sorted first."""
+
+    def __init__(self, max_n: int, window_us: int, presorted: bool = False):
         self.max_n = max_n
         self.window_us = window_us
+        self.presorted = presorted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.allowed = handle.getListState("allowed", "t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [int(t) for (t,) in self.allowed.get()] if self.allowed.exists() else []
-        # Rows of one key inside one (micro-)batch: sort them by time, then decide.
-        # The input is pre-sorted, so this holds one batch's rows of one key.
-        chunks = list(rows)
-        pdf = pd.concat(chunks, ignore_index=True) if len(chunks) > 1 else chunks[0]
-        pdf = pdf.sort_values(["ts_us", "event_id"], kind="stable")
-        verdicts, kept = decide(pdf["ts_us"].tolist(), kept, self.max_n, self.window_us)
+        if self.presorted:
+            chunks = rows
+        else:
+            parts = list(rows)  # one key's rows of one micro-batch (bounded by the trigger)
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            chunks = [pdf.sort_values(["ts_us", "event_id"], kind="stable")]
+        for pdf in chunks:
+            verdicts, kept = decide(pdf["ts_us"].tolist(), kept, self.max_n, self.window_us)
+            yield pd.DataFrame({"key": pdf["key"].astype(str).values,
+                                "event_id": pdf["event_id"].values,
+                                "ts_us": pdf["ts_us"].values, "allowed": verdicts})
         self.allowed.clear()
         if kept:
             self.allowed.put([(int(t),) for t in kept])
-        yield pd.DataFrame({"key": pdf["key"].astype(str).values, "event_id": pdf["event_id"].values,
-                            "ts_us": pdf["ts_us"].values, "allowed": verdicts})
 
     def close(self) -> None:
         pass
@@ -83,10 +92,12 @@ def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_i
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     _ = spark.streams  # registers the state-store coordinator batch state needs
-    prep = _prepared(requests, key, ts, event_id).repartition("key") \
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prep = _prepared(requests, key, ts, event_id).repartition(parts, "key") \
         .sortWithinPartitions("key", "ts_us", "event_id")
     verdicts = prep.groupBy("key").transformWithStateInPandas(
-        _LimiterProcessor(max_n, int(window_s * 1_000_000)), OUT_SCHEMA, "Append", "None")
+        _LimiterProcessor(max_n, int(window_s * 1_000_000), presorted=True), OUT_SCHEMA,
+        "Append", "None")
     return requests.join(verdicts.select(F.col("event_id").alias(event_id), "allowed"), event_id)
 
 

@@ -160,14 +160,15 @@ def q_import_stream(spark, sf_dir):
     for i in range(N_GROUPS):  # a fixed number of fixture files, written in order
         (g.filter(F.col("_g") == i).drop("_g").coalesce(1).write.mode("overwrite")
          .option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/g{i}"))
-    target_root = scratch_path(spark, "import-target")
-    I.conform(FX.import_target(spark, sf_dir)).write.parquet(f"{target_root}/v=0")
+    base = scratch_path(spark, "import-base")
+    I.conform(FX.import_target(spark, sf_dir)).write.parquet(base)
+    deltas = scratch_path(spark, "import-deltas")
     report_root = scratch_path(spark, "import-report")
     schema = ", ".join(f"{c} string" for c in batch.columns if c != "row_no")
     stream = (spark.readStream.schema(f"row_no long, {schema}").option("header", True)
               .option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", 1)
               .csv(f"{path}/*"))
-    _run(ST.import_stream(stream, target_root, report_root, scratch_path(spark, "import-ckpt"),
+    _run(ST.import_stream(stream, base, deltas, report_root, scratch_path(spark, "import-ckpt"),
                           as_of=FX.AS_OF))
     return spark.read.parquet(report_root).select("row_no", "website_url", "outcome")
 

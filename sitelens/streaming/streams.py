@@ -4,9 +4,9 @@
   -> per-site running max(ts) / sum(amount) in the state store (update mode) ->
   ``foreachBatch`` appends each batch's changed aggregates, tagged with the
   batch id, to a table; ``usage_totals`` reads the newest aggregate per site.
-* ``import_stream`` (T-3): CSV batches -> ``foreachBatch(import_enriched)``
-  against the current catalog version; every batch writes catalog version
-  ``batch_id + 1`` and its report, so a re-run batch rewrites the same paths.
+* ``import_stream`` (T-3): CSV batches -> ``foreachBatch``: each batch checks its
+  URLs against the base catalog plus earlier deltas, and writes only its
+  inserted rows (a delta) and its report; the catalog is never rewritten.
 * ``feedback_stream`` (T-4): stream-static left join with the catalog, append.
 * ``rate_limit_stream`` (T-1) lives in ``operators/ratelimit.py``.
 
@@ -17,6 +17,7 @@ batch replayed after a failure is idempotent.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,6 @@ from sitelens.operators.heat import apply_usage
 USAGE_DELAY = "3650 days"
 
 
-def _latest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root)
-
-
 def usage_stream(events: DataFrame, sink: str, checkpoint: str, ts: str = "ts",
                  site_col: str = "site_id", amount_col: str = "amount", event_id: str = "event_id",
                  delay: str = USAGE_DELAY, trigger: dict | None = None):
@@ -61,18 +58,38 @@ def apply_usage_totals(sites: DataFrame, totals: DataFrame) -> DataFrame:
     return apply_usage(sites, totals, site_col="site_id", ts_col="ts", amount_col="amount")
 
 
-def import_stream(batches: DataFrame, target_root: str, report_root: str, checkpoint: str,
+def current_catalog(spark: SparkSession, base: str, deltas: str) -> DataFrame:
+    """The catalog as the base table plus every imported delta."""
+    cat = I.conform(spark.read.parquet(base))
+    try:
+        d = spark.read.parquet(deltas).drop("batch_id")
+    except AnalysisException:  # no batch has inserted anything yet
+        return cat
+    return cat.unionByName(I.conform(d))
+
+
+def import_stream(batches: DataFrame, base: str, deltas: str, report_root: str, checkpoint: str,
                   mode: str = "bulk", as_of=None, trigger: dict | None = None):
-    """Start the import stream.  ``target_root/v=0`` must hold the initial catalog.
+    """Start the import stream.
 
-    Batch ``b`` reads version ``v=b`` and writes ``v=b+1`` plus ``report_root/batch_id=b``.
+    Batch ``b`` checks its rows against the base catalog plus the deltas of
+    earlier batches (only the URL column is read), then writes its inserted rows
+    to ``deltas/batch_id=b`` and its report to ``report_root/batch_id=b``, both
+    with overwrite: a replayed batch rewrites the same paths.  The catalog is
+    never rewritten per batch; ``current_catalog`` assembles it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = spark.read.parquet(f"{target_root}/v={batch_id}")
-        new_target, report = I.import_enriched(target, batch, mode=mode, as_of=as_of)
+        known = spark.read.parquet(base).select("website_url")
+        try:
+            earlier = (spark.read.parquet(deltas).filter(F.col("batch_id") < batch_id)
+                       .select("website_url"))
+            known = known.unionByName(earlier)
+        except AnalysisException:  # no delta written yet
+            pass
+        new_rows, report = I.import_new_rows(known, batch, mode=mode, as_of=as_of)
         report.write.mode("overwrite").parquet(f"{report_root}/batch_id={batch_id}")
-        new_target.write.mode("overwrite").parquet(f"{target_root}/v={batch_id + 1}")
+        new_rows.write.mode("overwrite").parquet(f"{deltas}/batch_id={batch_id}")
 
     return (batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
