@@ -88,9 +88,9 @@ class _Fields:
     conf: Column
 
 
-def _prepare(sites: DataFrame) -> DataFrame:
+def _prepare(sites: DataFrame, spread_input: bool = True) -> DataFrame:
     """Add the normalised fields the score reads (computed once per site)."""
-    return (spread(sites)
+    return ((spread(sites) if spread_input else sites)
             .withColumn("_url_n", norm("website_url"))
             .withColumn("_plat_n", norm("platform"))
             .withColumn("_ind_n", norm("industry"))
@@ -247,7 +247,9 @@ def scored_candidates(sites: DataFrame, q: str, dicts: Dictionaries = DEFAULT,
     main = F.lit((q or "").strip().lower())
     # "no direct candidate at all" as an uncorrelated subquery: one cheap
     # filtered scan that stops at the first hit, evaluated once.
-    has_direct = base.filter(direct).select(F.lit(1).alias("one")).limit(1).exists()
+    # (on the input as stored: no shuffle just to find one row)
+    has_direct = (_prepare(sites, spread_input=False).filter(direct)
+                  .select(F.lit(1).alias("one")).limit(1).exists())
     cand = base.filter(direct | (~has_direct & _fuzzy(main)))
     return cand.select(*cols, score_terms(terms, _as_of(as_of)).alias("score"))
 
@@ -286,15 +288,20 @@ def search(sites: DataFrame, q: str, page: int = 1, page_size: int = PAGE_SIZE,
            .limit(raw_page * page_size).filter(F.col("score") > 0))
     w = Window.orderBy(F.col("score").desc(), F.col("id").asc())
     top = top.withColumn("rank", F.row_number().over(w).cast("long"))
-    eff_page = info.select("page").scalar()
-    rows = top.filter(F.floor((F.col("rank") - 1) / F.lit(page_size)) + 1 == eff_page)
+    rows = (with_page_info(top, info.select("page"))
+            .filter(F.floor((F.col("rank") - 1) / F.lit(page_size)) + 1 == F.col("page"))
+            .drop("page"))
     return rows, info
 
 
 def with_page_info(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Attach the one-row page information to every result row (scalar subquery)."""
-    st = info.select(F.struct(*info.columns).alias("i")).scalar()
-    return rows.select("*", *[st[c].alias(c) for c in info.columns])
+    """Attach the one-row page information to every result row.
+
+    ``info`` is a global aggregate (exactly one row), so it is broadcast and
+    joined on a constant key; computed once however many columns are attached.
+    """
+    one = F.lit(1).alias("_one")
+    return (rows.select("*", one).join(F.broadcast(info.select("*", one)), "_one").drop("_one"))
 
 
 def search_all(sites: DataFrame, q: str, limit: int = ALL_RESULTS_CAP,
@@ -396,4 +403,4 @@ def heat_leaderboard(sites: DataFrame, limit: int = 10, offset: int = 0) -> Data
             .limit(off + max(0, limit)))
     w = Window.orderBy(F.col("heat_score").desc_nulls_first(), F.col("id").asc())
     page = page.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") > off)
-    return page.withColumn("total_positive_or_null", total.scalar())
+    return with_page_info(page, total)
