@@ -251,3 +251,19 @@ SELECT prefix, CAST(rank AS BIGINT) AS rank, value, n FROM m WHERE rank <= 5""")
 def q_suggest_batch(spark, sf_dir):
     prefixes = spark.createDataFrame([(p,) for p in SUGGEST_PREFIXES], "prefix string")
     return SG.suggest_batch(FX.sites(spark, sf_dir, with_usage=False), prefixes)
+
+
+@register("seed_rollback", f"""WITH {O.sites_cte()},
+r AS (SELECT id,
+  CASE WHEN heat_score IS NULL OR heat_score = 0 OR site_metadata['seeded_at'] IS NOT NULL
+       THEN 0.0 ELSE heat_score END AS heat_score,
+  CASE WHEN heat_score IS NULL OR heat_score = 0 OR site_metadata['seeded_at'] IS NOT NULL
+       THEN NULL ELSE last_used_at END AS last_used_at,
+  list_filter(map_keys(site_metadata), lambda k: k <> 'seeded_at') AS _keys FROM sites)
+SELECT id, heat_score, last_used_at, array_to_string(list_sort(_keys), ',') AS meta_keys FROM r""")
+def q_seed_rollback(spark, sf_dir):
+    sites = FX.sites(spark, sf_dir)
+    seeded = H.seed_heat(sites, H.quota_buckets(sites, seed=7), as_of=FX.AS_OF, seed=7)
+    out = H.rollback_marked(seeded)
+    return out.select("id", "heat_score", "last_used_at",
+                      F.array_join(F.array_sort(F.map_keys("site_metadata")), ",").alias("meta_keys"))

@@ -79,3 +79,24 @@ def test_stale(spark):
             (3, "c", None, None, None, None)]
     got = sorted(r["id"] for r in H.stale_sites(spark.createDataFrame(rows, SCHEMA), as_of=AS_OF).collect())
     assert got == [2, 3]
+
+
+def test_seed_then_rollback(spark):
+    rows = [(i, f"u{i}", None if i % 2 else 0.0, None, None, {"k": "v"} if i == 3 else None)
+            for i in range(10)]
+    rows.append((99, "keep", 50.0, AS_OF, None, None))
+    sites = spark.createDataFrame(rows, SCHEMA)
+    b = H.quota_buckets(sites, seed=11)
+    seeded = H.seed_heat(sites, b, as_of=AS_OF, seed=11)
+    got = {r["id"]: r for r in seeded.collect()}
+    by_bucket = {r["id"]: r["bucket"] for r in b.collect()}
+    for i, bucket in by_bucket.items():
+        (dlo, dhi), (hlo, hhi) = H.BUCKET_RANGES[bucket]
+        assert hlo <= got[i]["heat_score"] <= hhi
+        assert dlo <= (AS_OF - got[i]["last_used_at"]).days <= dhi
+        assert "seeded_at" in got[i]["site_metadata"]
+    assert got[3]["site_metadata"]["k"] == "v"
+    assert got[99]["heat_score"] == 50.0 and got[99]["site_metadata"] is None
+    back = {r["id"]: r for r in H.rollback_marked(seeded).collect()}
+    assert all(back[i]["heat_score"] == 0.0 and back[i]["last_used_at"] is None for i in by_bucket)
+    assert back[3]["site_metadata"] == {"k": "v"} and back[99]["heat_score"] == 50.0
