@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import days_between, py_round
+from sitelens.operators.layout import global_positions  # noqa: F401  (re-exported)
 
 HOT_MIN = 70.0
 WARM_MIN = 30.0
@@ -74,24 +75,6 @@ def apply_usage(sites: DataFrame, usage: DataFrame, site_col: str = "site_id", t
     return j.select(*cols)
 
 
-def global_positions(df: DataFrame, order: list[Column], col: str = "pos") -> DataFrame:
-    """1-based position of every row in a total order, computed without a single task.
-
-    The rows are range-partitioned and sorted; each partition's row count is a
-    tiny table whose running sum gives the partition's offset; positions are
-    offset + row number inside the partition.
-    """
-    srt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_pid").orderBy(*order)
-    local = srt.withColumn("_local", F.row_number().over(wl))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(col, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_off", "_local"))
-
-
 def quota_buckets(sites: DataFrame, hot: float = 0.2, warm: float = 0.5, n: int | None = None,
                   seed: int | None = None) -> DataFrame:
     """Assign unseeded sites (heat NULL or 0) to hot / warm / cold by position.

@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
 from sitelens.functions import days_between, fuzzy_host, norm, tag_tokens, url_host, url_path
-from sitelens.operators.layout import spread
+from sitelens.operators.layout import global_positions, spread
 from sitelens.session import shared_dir
 
 PAGE_SIZE = 10
 ALL_RESULTS_CAP = 10_000
+# Pages ending beyond this many rows are ranked with distributed positions
+# instead of one top-k merge.
+TOP_K_MAX = 100_000
 # Largest query table broadcast in one piece; bigger tables are processed in
 # chunks of at most this many queries (each chunk broadcast on its own).
 MAX_BROADCAST_QUERIES = 200_000
@@ -167,21 +170,6 @@ def score_terms_col(terms: Column, as_of: Column) -> Column:
     return _multipliers(F.aggregate(terms, F.lit(0.0), lambda a, t: _term_step(a, t, f)), as_of)
 
 
-def score_terms_unrolled(terms: Column, n_max: int, as_of: Column) -> Column:
-    """Score for a per-row array of at most ``n_max`` terms, loop unrolled.
-
-    Same additions in the same order as ``score_terms_col``; a missing term
-    leaves the running score untouched.  The term loop is plain generated code;
-    only the per-tag loop stays a higher-order function.
-    """
-    f = _fields()
-    acc = F.lit(0.0)
-    for i in range(n_max):
-        t = F.get(terms, i)
-        acc = _term_step(acc, t, f, missing=t.isNull())
-    return _multipliers(acc, as_of)
-
-
 def _direct_unrolled(terms: Column, n_max: int) -> Column:
     f = _fields()
     cond = F.lit(False)
@@ -201,14 +189,6 @@ def _direct(terms: list[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _direct_col(terms: Column) -> Column:
-    f = _fields()
-    hit = F.exists(terms, lambda t: F.coalesce(
-        f.url_l.contains(t) | f.plat_l.contains(t) | f.ind_l.contains(t) | f.tags_l.contains(t),
-        F.lit(False)))
-    return F.coalesce(hit, F.lit(False))
-
-
 def _fuzzy(main: Column) -> Column:
     cond = F.lit(False)
     for field in (F.col("_fhost"), F.col("_plat_n"), F.col("_ind_n")):
@@ -282,18 +262,30 @@ def search(sites: DataFrame, q: str, page: int = 1, page_size: int = PAGE_SIZE,
             .withColumn("has_next", (F.col("page") < F.col("total_pages"))
                         & (F.col("total_results") > page_size))
             .select("page", "total_pages", "total_results", "has_previous", "has_next"))
-    # Distributed top-(page*size) (TakeOrderedAndProject); zero scores sort
-    # last, so dropping them above the limit is exact.  Rank only that bounded set.
-    top = (c.orderBy(F.col("score").desc(), F.col("id").asc())
-           .limit(raw_page * page_size).filter(F.col("score") > 0))
-    w = Window.orderBy(F.col("score").desc(), F.col("id").asc())
-    top = top.withColumn("rank", F.row_number().over(w).cast("long"))
+    top = ranked_prefix(c, raw_page * page_size)
     rows = (with_page_info(top, info.select("page"))
             .filter(F.floor((F.col("rank") - 1) / F.lit(page_size)) + 1 == F.col("page"))
             .drop("page"))
     return rows, info
 
 
+def ranked_prefix(c: DataFrame, n: int) -> DataFrame:
+    """Rows ranked 1..n by (score desc, id) among those with score > 0, with ``rank``.
+
+    Up to ``TOP_K_MAX`` rows: a distributed top-k (TakeOrderedAndProject), then
+    ranks over that bounded set.  Deeper: positions over the whole candidate
+    set with ``global_positions`` (no single-task merge).  Zero scores sort
+    last, so dropping them after ranking is exact.
+    """
+    order = [F.col("score").desc(), F.col("id").asc()]
+    if n <= TOP_K_MAX:
+        top = c.orderBy(*order).limit(n).filter(F.col("score") > 0)
+        w = Window.orderBy(*order)
+        return top.withColumn("rank", F.row_number().over(w).cast("long"))
+    pos = global_positions(c, order, col="rank")
+    return pos.filter((F.col("rank") <= n) & (F.col("score") > 0))
+
+
 def with_page_info(rows: DataFrame, info: DataFrame) -> DataFrame:
     """Attach the one-row page information to every result row.
 
@@ -399,8 +391,13 @@ def heat_leaderboard(sites: DataFrame, limit: int = 10, offset: int = 0) -> Data
     total = sites.agg(F.count_if((F.col("heat_score") > 0) | F.col("heat_score").isNull())
                       .alias("total_positive_or_null"))
     off = max(0, offset)
-    page = (sites.orderBy(F.col("heat_score").desc_nulls_first(), F.col("id").asc())
-            .limit(off + max(0, limit)))
-    w = Window.orderBy(F.col("heat_score").desc_nulls_first(), F.col("id").asc())
-    page = page.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") > off)
+    end = off + max(0, limit)
+    order = [F.col("heat_score").desc_nulls_first(), F.col("id").asc()]
+    if end <= TOP_K_MAX:
+        page = sites.orderBy(*order).limit(end)
+        w = Window.orderBy(*order)
+        page = page.withColumn("rank", F.row_number().over(w).cast("long"))
+    else:
+        page = global_positions(sites, order, col="rank")
+    page = page.filter((F.col("rank") > off) & (F.col("rank") <= end))
     return with_page_info(page, total)

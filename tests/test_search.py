@@ -104,3 +104,17 @@ def test_heat_leaderboard(spark):
     out = S.heat_leaderboard(s, limit=3, offset=0).orderBy("rank").collect()
     assert [r["id"] for r in out] == [1, 4, 3]
     assert out[0]["total_positive_or_null"] == 3
+
+
+def test_deep_page_uses_distributed_positions(spark, sf_small, monkeypatch):
+    from sitelens.plans import fixtures as FX
+    cat = FX.sites(spark, sf_small)
+    shallow, _ = S.search(cat, "small", page=3, as_of=FX.AS_OF)
+    monkeypatch.setattr(S, "TOP_K_MAX", 5)
+    deep, _ = S.search(cat, "small", page=3, as_of=FX.AS_OF)
+    key = lambda df: [(r["rank"], r["id"], round(r["score"], 9)) for r in df.orderBy("rank").collect()]
+    assert key(shallow) == key(deep) and len(key(deep)) == 10
+    lb_deep = S.heat_leaderboard(cat, limit=7, offset=3)
+    monkeypatch.setattr(S, "TOP_K_MAX", 100_000)
+    lb = S.heat_leaderboard(cat, limit=7, offset=3)
+    assert [r["id"] for r in lb.orderBy("rank").collect()] == [r["id"] for r in lb_deep.orderBy("rank").collect()]
