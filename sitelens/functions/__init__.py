@@ -24,6 +24,8 @@ from sitelens.functions.urls import (  # noqa: F401
     validate_url,
 )
 from sitelens.functions.parse import (  # noqa: F401
+    as_of_col,
+    ntz_lit,
     decode_json_array,
     decode_json_map,
     decode_json_struct,

@@ -37,13 +37,54 @@ def icon_key(platform, dicts: Dictionaries = DEFAULT) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(DEFAULT_ICON))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime or ISO text, without passing through
+    the session or process time zone (a Python datetime literal would)."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    if isinstance(value, Column):
+        return value
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def as_of_col(as_of) -> Column:
+    """The evaluation time of an operator: ``as_of`` if given, else the current
+    local time without zone."""
+    return F.localtimestamp() if as_of is None else ntz_lit(as_of)
+# an offset counts only right after a time of day (so '2024-01-05' has none)
+_OFFSET_RE = r"[0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    """An instant (TIMESTAMP) as its UTC wall-clock time (TIMESTAMP_NTZ), by epoch
+    arithmetic -- independent of the session time zone and of DST."""
+    secs = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return (F.lit(EPOCH_NTZ).cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs))
+
+
+def epoch_micros(ts: Column, is_ntz: bool) -> Column:
+    """Microseconds since the epoch; NTZ values count as UTC wall clock."""
+    if is_ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts)
+
+
 def parse_ts(c) -> Column:
-    """ISO-8601 text ('Z' allowed) -> UTC timestamp without zone; invalid -> NULL.
+    """ISO-8601 text -> UTC timestamp without zone; invalid -> NULL.
 
-    Assumes the session time zone is UTC (as ``get_spark`` sets it).
+    With an explicit offset ('Z', '+02:00') the text is an instant and becomes
+    its UTC wall clock; without one, the wall clock is kept as written.  The
+    result never depends on the session time zone.
     """
     s = strip_ws(_c(c))
-    return F.try_to_timestamp(s).cast("timestamp_ntz")
+    with_zone = F.regexp_like(s, F.lit(_OFFSET_RE))
+    return F.when(with_zone, utc_wall_clock(F.try_to_timestamp(s))) \
+        .otherwise(s.try_cast("timestamp_ntz"))
 
 
 def _blank(c: Column) -> Column:

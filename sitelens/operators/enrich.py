@@ -30,6 +30,7 @@ from sitelens.dictionaries import (
     Dictionaries,
 )
 from sitelens.functions import clean_text, normalize_hex, py_round, py_split, strip_ws
+from sitelens.functions.parse import as_of_col
 from sitelens.functions.text import count_sub_sql, sql_str
 from sitelens.operators.layout import spread
 
@@ -312,8 +313,7 @@ def enrich_pages(pages: DataFrame, dicts: Dictionaries = DEFAULT, as_of=None,
     10, and a final ``groupBy(page)`` packs the label row and its top tags
     together -- so the HTML is read and parsed once and nothing is joined back.
     """
-    ts = (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
-          else F.localtimestamp())
+    ts = as_of_col(as_of)
     base = with_page_text(
         spread(pages).select(F.col(key), F.col(url_col).alias("website_url"),
                              F.col(html_col).alias("_h")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions.parse import as_of_col
+
 from sitelens.functions import days_between, py_round
 from sitelens.operators.layout import global_positions  # noqa: F401  (re-exported)
 
@@ -17,9 +19,7 @@ ROLLBACK_PLACEHOLDER = "..."
 
 
 def _as_of(as_of) -> Column:
-    if as_of is None:
-        return F.localtimestamp()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    return as_of_col(as_of)
 
 
 def heat_report(sites: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from sitelens.functions.parse import as_of_col
 from pyspark.sql import types as T
 
 from sitelens.functions import (
@@ -70,9 +72,7 @@ REPORT_COLUMNS = ["row_no", "website_url", "outcome", "error"]
 
 
 def _as_of(as_of) -> Column:
-    if as_of is None:
-        return F.localtimestamp()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    return as_of_col(as_of)
 
 
 def site_id(url: Column) -> Column:

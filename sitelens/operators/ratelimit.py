@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from sitelens.functions.parse import epoch_micros
+
 # FIXED VALUES: the catalog's write limits (events per window, window seconds).
 ADD_SITE_LIMIT = (10, 60)
 UPLOAD_LIMIT = (2, 60)
@@ -80,9 +82,11 @@ class _LimiterProcessor(StatefulProcessor):
 
 
 def _prepared(requests: DataFrame, key: str, ts: str, event_id: str) -> DataFrame:
+    from pyspark.sql.types import TimestampNTZType
+    is_ntz = isinstance(requests.schema[ts].dataType, TimestampNTZType)
     return requests.select(F.col(key).cast("string").alias("key"),
                            F.col(event_id).cast("long").alias("event_id"),
-                           F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
+                           epoch_micros(F.col(ts), is_ntz).alias("ts_us"))
 
 
 def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_id: str = "event_id",
@@ -109,6 +113,9 @@ def rate_limit_stream(requests: DataFrame, key: str = "client", ts: str = "ts",
     Each micro-batch is decided in time order per key, carrying the allowed
     times in the state store between batches.
     """
+    requests.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     prep = _prepared(requests, key, ts, event_id)
     return prep.groupBy("key").transformWithStateInPandas(
         _LimiterProcessor(max_n, int(window_s * 1_000_000)), OUT_SCHEMA, "Append", "None")

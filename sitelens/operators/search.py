@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
-from sitelens.functions import days_between, fuzzy_host, norm, tag_tokens, url_host, url_path
+from sitelens.functions import (as_of_col, days_between, fuzzy_host, norm, tag_tokens, url_host,
+                                url_path)
 from sitelens.operators.layout import global_positions, spread
 from sitelens.session import shared_dir
 
@@ -199,11 +200,7 @@ def _fuzzy(main: Column) -> Column:
 
 
 def _as_of(as_of) -> Column:
-    if as_of is None:
-        return F.localtimestamp()
-    if isinstance(as_of, Column):
-        return as_of
-    return F.lit(as_of).cast("timestamp_ntz")
+    return as_of_col(as_of)
 
 
 # ---------------------------------------------------------------------------

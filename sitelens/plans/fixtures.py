@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.functions.parse import ntz_lit
+
 # FIXED VALUES of the fixtures (also written in the oracle SQL).
 AS_OF = dt.datetime(2002, 1, 1, 0, 0, 0)
 FUTURE_USE_DAYS = 10          # ids with id % 50 = 7 were "used" 10 days after AS_OF
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_of_col():
-    return F.lit(AS_OF).cast("timestamp_ntz")
+    return ntz_lit(AS_OF)
 
 
 def sites(spark: SparkSession, sf_dir: str, with_usage: bool = True) -> DataFrame:

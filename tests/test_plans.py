@@ -32,7 +32,7 @@ def test_batch_search_broadcasts_queries(spark, sf_small):
     cat = FX.sites(spark, sf_small, with_usage=False)
     q = spark.createDataFrame([(1, "gear"), (2, "red")], "query_id long, q string")
     pairs = S.batch_pairs(S._prepare(cat), S._query_terms(q, S.DEFAULT),
-                          F.lit(FX.AS_OF).cast("timestamp_ntz"), 2)
+                          FX.as_of_col(), 2)
     p = plan(pairs)
     assert "BroadcastNestedLoopJoin" in p and "BroadcastExchange" in p
     assert "Python" not in p
