@@ -14,6 +14,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     otherwise use one core.  On large inputs (more splits than cores) this is a
     no-op, so no shuffle is added where parallelism already exists.
     """
+    if df.isStreaming:  # micro-batches are partitioned by the source
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     n = df._jdf.rdd().getNumPartitions()
     return df.repartition(target) if n < target else df

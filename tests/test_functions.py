@@ -116,3 +116,19 @@ def test_parse_ts_and_json(spark):
     assert got[2]["t"] is None
     assert got[0]["a"] == ["a", "b"] and got[1]["a"] is None and got[2]["a"] is None
     assert got[0]["m"] == {"k": 1.5} and got[1]["m"] is None and got[2]["m"] is None
+
+
+def test_time_handling_ignores_session_zone(spark):
+    rows = [("2001-12-01T10:00:00Z",), ("2001-12-01T12:00:00+02:00",), ("2024-01-05",),
+            ("2024-01-05 07:08:09",), ("bad",)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame(rows, "t string")
+        got = [r["p"] for r in df.select(SF.parse_ts("t").alias("p")).collect()]
+        lit = spark.range(1).select(SF.ntz_lit(dt.datetime(2002, 1, 1, 3, 4, 5)).alias("x")).first()["x"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2001, 12, 1, 10), dt.datetime(2001, 12, 1, 10), dt.datetime(2024, 1, 5),
+                   dt.datetime(2024, 1, 5, 7, 8, 9), None]
+    assert lit == dt.datetime(2002, 1, 1, 3, 4, 5)
