@@ -24,14 +24,14 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
-from sitelens.functions import (as_of_col, days_between, fuzzy_host, norm, tag_tokens, url_host,
+from sitelens.functions import (as_of_col, fuzzy_host, norm, tag_tokens, url_host,
                                 url_path)
+from sitelens.functions.text import sql_str
 from sitelens.operators.layout import global_positions, spread
 from sitelens.session import shared_dir
 
@@ -78,125 +78,101 @@ def expand_terms_col(q: Column, dicts: Dictionaries = DEFAULT) -> Column:
 # score
 # ---------------------------------------------------------------------------
 
-@dataclass
-class _Fields:
-    url_l: Column
-    plat_l: Column
-    ind_l: Column
-    tags_l: Column
-    host: Column
-    path: Column
-    plat: Column
-    ind: Column
-    tags: Column
-    conf: Column
-
-
 def _prepare(sites: DataFrame, spread_input: bool = True) -> DataFrame:
-    """Add the normalised fields the score reads (computed once per site)."""
-    return ((spread(sites) if spread_input else sites)
-            .withColumn("_url_n", norm("website_url"))
-            .withColumn("_plat_n", norm("platform"))
-            .withColumn("_ind_n", norm("industry"))
-            .withColumn("_host", url_host(F.col("_url_n")))
-            .withColumn("_path", url_path(F.col("_url_n")))
-            .withColumn("_tags", tag_tokens("tags"))
-            .withColumn("_tags_l", F.lower("tags"))
-            .withColumn("_url_l", F.lower("website_url"))
-            .withColumn("_fhost", fuzzy_host("website_url")))
-
-
-def _fields() -> _Fields:
-    return _Fields(url_l=F.col("_url_l"), plat_l=F.lower("platform"), ind_l=F.lower("industry"),
-                   tags_l=F.col("_tags_l"), host=F.col("_host"), path=F.col("_path"),
-                   plat=F.col("_plat_n"), ind=F.col("_ind_n"), tags=F.col("_tags"),
-                   conf=F.col("tag_confidence"))
+    """Add the normalised fields the score reads (computed once per site), in one
+    projection."""
+    src = spread(sites) if spread_input else sites
+    url_n = norm("website_url")
+    return src.select(
+        "*",
+        norm("platform").alias("_plat_n"), norm("industry").alias("_ind_n"),
+        url_host(url_n).alias("_host"), url_path(url_n).alias("_path"),
+        tag_tokens("tags").alias("_tags"), F.lower("tags").alias("_tags_l"),
+        F.lower("website_url").alias("_url_l"), fuzzy_host("website_url").alias("_fhost"))
 
 
-def _add(acc: Column, cond: Column, value: float) -> Column:
-    return acc + F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
-
-
-def _term_step(acc: Column, t: Column, f: _Fields, missing: Column | None = None) -> Column:
-    """Running score after one term, in the rule's order of additions.
+# ---------------------------------------------------------------------------
+# The score is generated as Spark SQL text: one expression per plan instead of
+# hundreds of Column calls.  ``t`` below is a SQL term -- a quoted literal for
+# a single query, a lambda variable for a table of queries.  Additions happen in
+# the rule's order, so doubles are identical for either form.
+# ---------------------------------------------------------------------------
 
-    ``missing``: when true the term is absent; every addition is then 0.0 and
-    the tag loop runs over an empty list.
-    """
-    acc = _add(acc, f.host.contains(t), 5.0)
-    acc = _add(acc, f.path.contains(t), 4.0)
-    acc = _add(acc, f.plat.contains(t), 4.5)
-    acc = _add(acc, f.ind.contains(t), 4.0)
-
-    def tag_step(a, tag):
-        matched = (tag.contains(t) | t.contains(tag)
-                   | ((F.abs(F.length(t) - F.length(tag)) <= 2) & (F.levenshtein(t, tag, 1) >= 0)))
-        conf = F.coalesce(F.try_element_at(f.conf, tag), F.lit(0.0))
-        return a + F.when(matched, F.lit(2.5) * (F.lit(1.0) + F.least(conf, F.lit(1.0)))) \
-            .otherwise(F.lit(0.0))
-
-    tags = f.tags if missing is None else F.when(missing, F.array().cast("array<string>")) \
-        .otherwise(f.tags)
-    acc = F.aggregate(tags, acc, tag_step)
-    for field in (f.plat, f.ind):
-        near = ((F.length(field) > 0) & (F.length(t) <= 12)
-                & (F.abs(F.length(t) - F.length(field)) <= 6)
-                & (F.levenshtein(t, field, 1) == 1))
-        acc = _add(acc, near, 1.0)
+def _add_sql(acc: str, cond: str, value: float) -> str:
+    return f"({acc} + CASE WHEN {cond} THEN {value!r}D ELSE 0.0D END)"
+
+
+def _term_sql(acc: str, t: str, depth: int = 0) -> str:
+    """Running score after one term."""
+    a, tag = f"lv_a{depth}", f"lv_tag{depth}"
+    acc = _add_sql(acc, f"contains(_host, {t})", 5.0)
+    acc = _add_sql(acc, f"contains(_path, {t})", 4.0)
+    acc = _add_sql(acc, f"contains(_plat_n, {t})", 4.5)
+    acc = _add_sql(acc, f"contains(_ind_n, {t})", 4.0)
+    matched = (f"(contains({tag}, {t}) OR contains({t}, {tag}) OR "
+               f"(abs(length({t}) - length({tag})) <= 2 AND levenshtein({t}, {tag}, 1) >= 0))")
+    conf = f"coalesce(try_element_at(tag_confidence, {tag}), 0.0D)"
+    acc = (f"aggregate(_tags, {acc}, ({a}, {tag}) -> {a} + CASE WHEN {matched} "
+           f"THEN 2.5D * (1.0D + least({conf}, 1.0D)) ELSE 0.0D END)")
+    for field in ("_plat_n", "_ind_n"):
+        near = (f"(length({field}) > 0 AND length({t}) <= 12 AND "
+                f"abs(length({t}) - length({field})) <= 6 AND levenshtein({t}, {field}, 1) = 1)")
+        acc = _add_sql(acc, near, 1.0)
     return acc
 
 
-def _multipliers(score: Column, as_of: Column) -> Column:
-    lu = F.col("last_used_at")
-    heat = F.col("heat_score")
-    days = days_between(as_of, lu).cast("double")
-    s = F.when(lu.isNotNull(),
-               score * (F.lit(1.0) + F.greatest(F.lit(0.0), F.lit(-0.0001) * days))).otherwise(score)
-    boost = F.least(F.lit(0.05), F.lit(0.01) * (heat / F.lit(10.0)))
-    return F.when(heat.isNotNull() & (heat != 0), s * (F.lit(1.0) + boost)).otherwise(s)
+def _multipliers_sql(score: str) -> str:
+    """Recency and heat multipliers; ``_as_of`` is a column of the frame."""
+    micros = "timestampdiff(MICROSECOND, last_used_at, _as_of)"
+    days = f"CAST((({micros}) - pmod({micros}, 86400000000L)) div 86400000000L AS DOUBLE)"
+    s = (f"CASE WHEN last_used_at IS NOT NULL THEN ({score}) * (1.0D + greatest(0.0D, -0.0001D * {days})) "
+         f"ELSE ({score}) END")
+    boost = "least(0.05D, 0.01D * (heat_score / 10.0D))"
+    return (f"CASE WHEN heat_score IS NOT NULL AND heat_score <> 0 THEN ({s}) * (1.0D + {boost}) "
+            f"ELSE ({s}) END")
+
 
+def score_terms(terms: list[str]) -> Column:
+    """Score for a fixed list of terms (unrolled; no loop over terms at run time).
 
-def score_terms(terms: list[str], as_of: Column) -> Column:
-    """Score for a fixed list of terms (unrolled; no higher-order loop over terms)."""
-    f = _fields()
-    acc = F.lit(0.0)
+    Reads the prepared columns and ``_as_of``.
+    """
+    acc = "0.0D"
     for t in terms:
-        acc = _term_step(acc, F.lit(t), f)
-    return _multipliers(acc, as_of)
+        acc = _term_sql(acc, sql_str(t))
+    return F.expr(_multipliers_sql(acc))
 
 
-def score_terms_col(terms: Column, as_of: Column) -> Column:
-    """Score for a per-row array of terms (batch search)."""
-    f = _fields()
-    return _multipliers(F.aggregate(terms, F.lit(0.0), lambda a, t: _term_step(a, t, f)), as_of)
+def score_terms_col(terms_col: str = "_terms") -> Column:
+    """Score for a per-row array of terms (a table of queries)."""
+    body = _term_sql("lv_acc", "lv_t", depth=1)
+    return F.expr(_multipliers_sql(f"aggregate({terms_col}, 0.0D, (lv_acc, lv_t) -> {body})"))
 
 
-def _direct_unrolled(terms: Column, n_max: int) -> Column:
-    f = _fields()
-    cond = F.lit(False)
-    for i in range(n_max):
-        t = F.get(terms, i)
-        cond = cond | (t.isNotNull() & (f.url_l.contains(t) | f.plat_l.contains(t)
-                                         | f.ind_l.contains(t) | f.tags_l.contains(t)))
-    return F.coalesce(cond, F.lit(False))
+def _direct_one_sql(t: str) -> str:
+    return (f"coalesce(contains(_url_l, {t}) OR contains(lower(platform), {t}) OR "
+            f"contains(lower(industry), {t}) OR contains(_tags_l, {t}), false)")
 
 
 def _direct(terms: list[str]) -> Column:
-    f = _fields()
-    cond = F.lit(False)
-    for t in terms:
-        cond = (cond | f.url_l.contains(t) | f.plat_l.contains(t)
-                | f.ind_l.contains(t) | f.tags_l.contains(t))
-    return F.coalesce(cond, F.lit(False))
+    """Some term occurs in the URL, platform, industry or tags (case-insensitive)."""
+    if not terms:
+        return F.lit(False)
+    return F.expr(" OR ".join(_direct_one_sql(sql_str(t)) for t in terms))
+
+
+def _direct_unrolled(n_max: int, terms_col: str = "_terms") -> Column:
+    """Same test for a per-row term array, unrolled over its longest length."""
+    parts = [f"(get({terms_col}, {i}) IS NOT NULL AND {_direct_one_sql(f'get({terms_col}, {i})')})"
+             for i in range(n_max)]
+    return F.expr(" OR ".join(parts) if parts else "false")
 
 
-def _fuzzy(main: Column) -> Column:
-    cond = F.lit(False)
-    for field in (F.col("_fhost"), F.col("_plat_n"), F.col("_ind_n")):
-        cond = cond | ((F.length(field) > 0)
-                       & (F.abs(F.length(main) - F.length(field)) <= 6)
-                       & (F.levenshtein(main, field, 2) >= 0))
-    return cond
+def _fuzzy(main: str) -> Column:
+    """The whole query is within edit distance 2 of the host, platform or industry."""
+    parts = [f"(length({f}) > 0 AND abs(length({main}) - length({f})) <= 6 "
+             f"AND levenshtein({main}, {f}, 2) >= 0)" for f in ("_fhost", "_plat_n", "_ind_n")]
+    return F.expr(" OR ".join(parts))
 
 
 def _as_of(as_of) -> Column:
@@ -221,14 +197,15 @@ def scored_candidates(sites: DataFrame, q: str, dicts: Dictionaries = DEFAULT,
         return sites.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     base = _prepare(sites)
     direct = _direct(terms)
-    main = F.lit((q or "").strip().lower())
+    main = sql_str((q or "").strip().lower())
     # "no direct candidate at all" as an uncorrelated subquery: one cheap
     # filtered scan that stops at the first hit, evaluated once.
     # (on the input as stored: no shuffle just to find one row)
     has_direct = (_prepare(sites, spread_input=False).filter(direct)
                   .select(F.lit(1).alias("one")).limit(1).exists())
     cand = base.filter(direct | (~has_direct & _fuzzy(main)))
-    return cand.select(*cols, score_terms(terms, _as_of(as_of)).alias("score"))
+    return (cand.select("*", _as_of(as_of).alias("_as_of"))
+            .select(*cols, score_terms(terms).alias("score")))
 
 
 def ranked(sites: DataFrame, q: str, dicts: Dictionaries = DEFAULT, as_of=None) -> DataFrame:
@@ -314,10 +291,10 @@ def _query_terms(queries: DataFrame, dicts: Dictionaries) -> DataFrame:
 def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, n_max: int) -> DataFrame:
     """Scored candidate pairs (query_id, id, _is_direct, score), lazily: a broadcast
     nested-loop join of the prepared catalog with the query terms."""
-    direct = _direct_unrolled(F.col("_terms"), n_max)
-    return (sites_p.join(F.broadcast(q), direct | _fuzzy(F.col("_main")))
-            .select("query_id", "id", direct.alias("_is_direct"),
-                    score_terms_col(F.col("_terms"), as_of).alias("score")))
+    direct = _direct_unrolled(n_max)
+    return (sites_p.join(F.broadcast(q), direct | _fuzzy("_main"))
+            .select("*", as_of.alias("_as_of"))
+            .select("query_id", "id", direct.alias("_is_direct"), score_terms_col().alias("score")))
 
 
 def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max: int) -> DataFrame:
