@@ -114,7 +114,6 @@ BATCH_QUERIES_SQL = """queries AS (
 
 
 def _batch_sql(k: int = 10) -> str:
-    from sitelens.operators.search import expand_terms  # noqa: F401  (terms built in SQL)
     syn = ", ".join(f"{O.lit(a)}: [{', '.join(O.lit(x) for x in b)}]" for a, b in DEFAULT.synonyms)
     toks = f"list_filter(regexp_split_to_array({O.norm('q')}, '[^a-z0-9]+'), lambda t: length(t) > 0)"
     terms = (f"list_sort(list_distinct(list_concat({toks}, flatten(list_transform({toks}, "

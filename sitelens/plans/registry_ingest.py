@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sitelens import functions as SF
 from sitelens.operators import ingest as I
-from sitelens.operators.enrich import enrich_pages
 from sitelens.plans import fixtures as FX
 from sitelens.plans import oracles as O
 from sitelens.plans import oracles_enrich as OE
@@ -356,6 +355,3 @@ def q_json_decode(spark, sf_dir):
     return a.select("event_id", F.try_element_at(dm, F.lit("k")).alias("k"),
                     dm.isNotNull().alias("props_ok"), SF.parse_ts(F.col("ts_in")).alias("ts_parsed"))
 
-
-# keep flake quiet about unused imports used only in SQL text
-_ = (enrich_pages,)

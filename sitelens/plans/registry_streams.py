@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from sitelens.operators import ingest as I
 from sitelens.operators import ratelimit as RL
 from sitelens.plans import fixtures as FX
-from sitelens.plans import oracles as O
 from sitelens.plans.registry import ORACLES, _r6, register
 from sitelens.plans.registry_ingest import _report_sql, HEAD
-from sitelens.plans.registry_more import ENRICH_SQL, enrich_ctes  # noqa: F401
+from sitelens.plans.registry_more import ENRICH_SQL
 from sitelens.session import scratch_path
 from sitelens.sources import csv_io
 from sitelens.streaming import streams as ST

@@ -51,7 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and intermediate tables are written there)")
+        conf_dir = tempfile.mkdtemp(prefix="sitelens-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", conf_dir)
         spark.sparkContext.setCheckpointDir(conf_dir)
     elif not spark.sparkContext.getCheckpointDir():

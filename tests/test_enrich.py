@@ -1,6 +1,5 @@
 """Enrichment detectors: hand goldens."""
 
-from pyspark.sql import functions as F
 
 from sitelens.operators import enrich as E
 

@@ -1,8 +1,6 @@
 """Plan shape: pushdown, pruning, no Python in the hot path, expected join strategies."""
 
-import datetime as dt
 
-from pyspark.sql import functions as F
 
 from sitelens.operators import enrich as E
 from sitelens.operators import search as S
