@@ -9,6 +9,8 @@ registered DataFrame reads what the sink holds afterwards.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def _run(q) -> None:
         raise RuntimeError(str(q.exception()))
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """Size a stream's state partitions to the cluster for this run (the number is
+    fixed in the checkpoint at the first batch), then restore the session."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 # ---------------------------------------------------------------------------
 # T-1 limiter: batch and stream, with a recursive-SQL oracle (2 per hour)
 # ---------------------------------------------------------------------------
@@ -105,10 +120,11 @@ def q_rate_limit_stream(spark, sf_dir):
     verdicts = RL.rate_limit_stream(s, key="user_id", ts="ts", event_id="event_id",
                                     max_n=LIMIT_N, window_s=LIMIT_WINDOW_S)
     sink = scratch_path(spark, "limit-sink")
-    q = (verdicts.writeStream.outputMode("append").format("parquet").option("path", sink)
-         .option("checkpointLocation", scratch_path(spark, "limit-ckpt"))
-         .trigger(availableNow=True).start())
-    _run(q)
+    with _state_partitions(spark):
+        q = (verdicts.writeStream.outputMode("append").format("parquet").option("path", sink)
+             .option("checkpointLocation", scratch_path(spark, "limit-ckpt"))
+             .trigger(availableNow=True).start())
+        _run(q)
     out = spark.read.parquet(sink)
     return out.select("event_id", F.col("key").cast("long").alias("user_id"), "allowed")
 
@@ -135,7 +151,8 @@ def q_usage_stream(spark, sf_dir):
               .option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     sink = scratch_path(spark, "usage-sink")
-    _run(ST.usage_stream(stream, sink, scratch_path(spark, "usage-ckpt")))
+    with _state_partitions(spark):
+        _run(ST.usage_stream(stream, sink, scratch_path(spark, "usage-ckpt")))
     totals = ST.usage_totals(spark, sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     sites = FX.sites(spark, sf_dir, with_usage=False)
     out = ST.apply_usage_totals(sites, totals)
