@@ -24,16 +24,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def global_positions(df: DataFrame, order: list[Column], col: str = "pos") -> DataFrame:
     """1-based position of every row in a total order, computed without a single task.
 
-    The rows are range-partitioned and sorted; each partition's row count is a
-    tiny table whose running sum gives the partition's offset; positions are
-    offset + row number inside the partition.
+    One range exchange and a sort within each partition; a row's index inside
+    its partition comes from ``monotonically_increasing_id`` (partition id in the
+    upper bits, row index in the lower 33), so no second shuffle is needed.
+    Each partition's row count forms a tiny table whose running sum gives the
+    partition's offset.  ``order`` must be a total order (end with a unique key).
     """
-    srt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    srt = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_local", F.monotonically_increasing_id()
+                       - F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.lit(1)))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_pid").orderBy(*order)
-    local = srt.withColumn("_local", F.row_number().over(wl))
-    return (local.join(F.broadcast(offsets), "_pid")
+    return (srt.join(F.broadcast(offsets), "_pid")
             .withColumn(col, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_pid", "_off", "_local"))
