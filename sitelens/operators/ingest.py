@@ -36,6 +36,7 @@ MSG_EMPTY_URL = "Empty URL"
 MSG_EXISTS = "Site already exists"
 MSG_DUPLICATE = "Duplicate in batch"
 MSG_ROW_LIMIT = "CSV exceeds 500-row limit"
+MSG_TOO_LARGE = "File too large (max 5 MB)"
 MSG_FETCH_FAILED = "Failed to fetch {url}"
 MSG_BAD_JSON = "Invalid JSON in {col}"
 MAX_UPLOAD_ROWS = 500
@@ -115,18 +116,36 @@ def detect_import_mode(columns: list[str]) -> str:
 # row checks
 # ---------------------------------------------------------------------------
 
-def apply_batch_limit(batch: DataFrame, max_rows: int | None = MAX_UPLOAD_ROWS) -> DataFrame:
-    """Keep data rows with row_no - 2 < max_rows; rows after the limit are replaced
-    by one error row (row number max_rows + 2).  ``max_rows=None`` keeps all."""
-    if max_rows is None:
-        return batch.withColumn("_limit_error", F.lit(None).cast("string"))
-    limit_row = max_rows + 2
-    kept = batch.filter(F.col("row_no") < limit_row).withColumn("_limit_error", F.lit(None).cast("string"))
-    over = (batch.filter(F.col("row_no") >= limit_row).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 0)
-            .select(F.lit(limit_row).cast("long").alias("row_no"), F.lit("").alias("website_url"),
-                    F.lit(MSG_ROW_LIMIT).alias("_limit_error")))
-    return kept.unionByName(over, allowMissingColumns=True)
+def apply_batch_limit(batch: DataFrame, max_rows: int | None = MAX_UPLOAD_ROWS,
+                      max_bytes: int | None = None) -> DataFrame:
+    """Upload limits.
+
+    Rows: keep data rows with row_no - 2 < max_rows; the rows after the limit
+    are replaced by one error row (row number max_rows + 2).  Size: when the
+    batch carries ``source_file``/``source_bytes`` (``read_csv_rows`` adds them),
+    every row of a file larger than ``max_bytes`` is replaced by one error row
+    for that file.  ``None`` turns a limit off.  Per file when ``source_file``
+    is present, else for the whole batch.
+    """
+    out = batch.withColumn("_limit_error", F.lit(None).cast("string"))
+    per_file = "source_file" in batch.columns
+    keys = ["source_file"] if per_file else []
+    if max_bytes is not None and "source_bytes" in batch.columns:
+        big = F.col("source_bytes") > max_bytes
+        rejected = (out.filter(big).groupBy(*keys).agg(F.min("row_no").alias("row_no"))
+                    .select(*keys, "row_no", F.lit("").alias("website_url"),
+                            F.lit(MSG_TOO_LARGE).alias("_limit_error")))
+        out = out.filter(~big).unionByName(rejected, allowMissingColumns=True)
+    if max_rows is not None:
+        limit_row = max_rows + 2
+        over = F.col("row_no") >= limit_row
+        extra = (out.filter(over & F.col("_limit_error").isNull()).groupBy(*keys)
+                 .agg(F.count(F.lit(1)).alias("_n"))
+                 .select(*keys, F.lit(limit_row).cast("long").alias("row_no"),
+                         F.lit("").alias("website_url"), F.lit(MSG_ROW_LIMIT).alias("_limit_error")))
+        out = out.filter(~over | F.col("_limit_error").isNotNull()) \
+            .unionByName(extra, allowMissingColumns=True)
+    return out
 
 
 def _decode(batch: DataFrame, strict: bool) -> DataFrame:
@@ -219,12 +238,12 @@ def insert_ignore(target: DataFrame, batch: DataFrame, as_of=None):
 
 
 def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
-                    max_rows: int | None = None):
+                    max_rows: int | None = None, max_bytes: int | None = None):
     """The rows an import would add, and its report: ``(new_rows, report)``.
 
     ``target`` only needs a ``website_url`` column (the existence check).
     """
-    b = apply_batch_limit(batch, max_rows)
+    b = apply_batch_limit(batch, max_rows, max_bytes)
     c = _decode(_classify(b, target, "first", mode), strict=(mode == "upload"))
     c = (c.withColumn("outcome", F.when((F.col("outcome") == "inserted") & F.col("_json_error").isNotNull(),
                                         F.lit("error")).otherwise(F.col("outcome")))
@@ -235,15 +254,16 @@ def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_
 
 
 def import_enriched(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
-                    max_rows: int | None = None):
+                    max_rows: int | None = None, max_bytes: int | None = None):
     """Import pre-enriched rows (text columns, JSON as text) if their URL is new.
 
     mode 'bulk': bad JSON -> empty value, bad timestamp -> NULL, existing or
     repeated URL -> skipped.  mode 'upload': bad JSON fails the row, existing or
     repeated URL is an error ("Site already exists").  ``max_rows`` applies the
-    upload row limit.  Returns ``(new_target, report)``.
+    upload row limit and ``max_bytes`` the file size limit.  Returns
+    ``(new_target, report)``.
     """
-    new_rows, report = import_new_rows(target, batch, mode, as_of, max_rows)
+    new_rows, report = import_new_rows(target, batch, mode, as_of, max_rows, max_bytes)
     return conform(target).unionByName(new_rows), report
 
 

@@ -19,18 +19,19 @@ ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, plus ``source_file`` and ``row_no`` (2 = first data row).
+    """All columns as strings, plus ``source_file``, ``source_bytes`` (file size) and
+    ``row_no`` (2 = first data row).
 
     An explicit ``row_no`` column in the file is kept as is.
     """
     df = (spark.read.option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
           .csv(path))
+    df = df.withColumn("source_file", F.col("_metadata.file_path")) \
+        .withColumn("source_bytes", F.col("_metadata.file_size"))
     if "row_no" in df.columns:
-        return df.withColumn("row_no", F.col("row_no").cast("long")) \
-            .withColumn("source_file", F.input_file_name())
-    df = df.withColumn("source_file", F.input_file_name()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
+        return df.withColumn("row_no", F.col("row_no").cast("long"))
+    df = df.withColumn("_mid", F.monotonically_increasing_id())
     w = Window.partitionBy("source_file").orderBy("_mid")
     return df.withColumn("row_no", (F.row_number().over(w) + 1).cast("long")).drop("_mid")
 

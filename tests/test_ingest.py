@@ -175,3 +175,16 @@ def test_import_stream_deltas_and_replay(spark, tmp_path):
     ST.import_stream(stream, base, deltas, reports, ckpt, as_of=AS_OF).awaitTermination()
     assert ST.current_catalog(spark, base, deltas).count() == 3
     assert spark.read.parquet(reports).count() == 5
+
+
+def test_file_size_limit(spark, tmp_path):
+    from sitelens.sources import csv_io
+    small = spark.createDataFrame([(f"https://s{i}.test",) for i in range(3)], "website_url string")
+    small.coalesce(1).write.option("header", True).csv(str(tmp_path / "in" / "a"))
+    big = spark.createDataFrame([(f"https://b{i}.test/" + "x" * 200,) for i in range(400)], "website_url string")
+    big.coalesce(1).write.option("header", True).csv(str(tmp_path / "in" / "b"))
+    rows = csv_io.read_csv_rows(spark, str(tmp_path / "in" / "*"))
+    _, report = I.import_enriched(target(spark), rows, mode="upload", max_bytes=50_000, as_of=AS_OF)
+    got = report.groupBy("outcome", "error").count().collect()
+    assert {(r["outcome"], r["error"]): r["count"] for r in got} == {
+        ("inserted", None): 3, ("error", "File too large (max 5 MB)"): 1}
