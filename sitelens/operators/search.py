@@ -43,6 +43,9 @@ TOP_K_MAX = 100_000
 # Largest query table broadcast in one piece; bigger tables are processed in
 # chunks of at most this many queries (each chunk broadcast on its own).
 MAX_BROADCAST_QUERIES = 200_000
+# From this many queries on, direct candidates come from a trigram index of the
+# catalog instead of testing every (query, site) pair.
+INDEX_MIN_QUERIES = 20_000
 
 
 # ---------------------------------------------------------------------------
@@ -297,7 +300,53 @@ def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, n_max: int) ->
             .select("query_id", "id", direct.alias("_is_direct"), score_terms_col().alias("score")))
 
 
-def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max: int) -> DataFrame:
+def _trigrams(c: Column) -> Column:
+    """Every 3-character piece of a string (none for shorter strings)."""
+    n = F.length(c)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2),
+                                      lambda i: F.substr(c, i, F.lit(3)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def site_trigrams(sites_p: DataFrame) -> DataFrame:
+    """(gram, id): the distinct 3-character pieces of a site's lower-cased URL,
+    platform, industry and tags -- the index of the direct-match join."""
+    fields = [F.col("_url_l"), F.lower("platform"), F.lower("industry"), F.col("_tags_l")]
+    grams = F.array_distinct(F.concat(*[_trigrams(F.coalesce(f, F.lit(""))) for f in fields]))
+    return sites_p.select("id", F.explode(grams).alias("gram"))
+
+
+def batch_pairs_indexed(sites_p: DataFrame, q: DataFrame, as_of: Column,
+                        grams: DataFrame) -> DataFrame:
+    """Scored candidate pairs like ``batch_pairs``, found through the trigram index.
+
+    A term of 3+ characters can only occur in a field holding its first
+    trigram: an equi-join on that trigram, then an exact ``contains`` check,
+    gives exactly the direct pairs of such terms.  Shorter terms, and the typo
+    fallback of queries without any direct pair, are tested against every site
+    (broadcast loop over a chunk-bounded query set).  Cost grows with the
+    matches instead of queries x sites.
+    """
+    terms = q.select("query_id", F.explode("_terms").alias("t"))
+    fields = sites_p.select("id", "_url_l", "platform", "industry", "_tags_l")
+    direct_t = F.expr(_direct_one_sql("t"))
+    long_t = terms.filter(F.length("t") >= 3).withColumn("gram", F.substr("t", F.lit(1), F.lit(3)))
+    via_index = (grams.join(long_t, "gram").select("query_id", "id", "t")
+                 .join(fields, "id").filter(direct_t).select("query_id", "id"))
+    short_t = terms.filter(F.length("t") < 3)
+    via_loop = fields.join(F.broadcast(short_t), direct_t).select("query_id", "id")
+    direct = via_index.unionByName(via_loop).distinct().withColumn("_is_direct", F.lit(True))
+    no_direct = q.join(direct.select("query_id").distinct(), "query_id", "left_anti")
+    fuzzy = (sites_p.join(F.broadcast(no_direct), _fuzzy("_main"))
+             .select("query_id", "id", F.lit(False).alias("_is_direct")))
+    cand = direct.unionByName(fuzzy)
+    return (cand.join(sites_p, "id").join(F.broadcast(q), "query_id")
+            .select("*", as_of.alias("_as_of"))
+            .select("query_id", "id", "_is_direct", score_terms_col().alias("score")))
+
+
+def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max: int,
+                 grams: DataFrame | None = None) -> DataFrame:
     """Top-k rows and totals of one chunk of queries: query_id, id, rank, score, total_results.
 
     The scored pairs are cut down to four small columns and checkpointed to the
@@ -305,7 +354,8 @@ def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max:
     aggregate both read that table, so candidates are generated and scored
     once, and a lost executor does not force the scoring to run again.
     """
-    pairs = batch_pairs(sites_p, q, as_of, n_max)
+    pairs = (batch_pairs(sites_p, q, as_of, n_max) if grams is None
+             else batch_pairs_indexed(sites_p, q, as_of, grams))
     shared_dir(sites_p.sparkSession)
     pairs = pairs.checkpoint(eager=True)
     order = [F.col("_is_direct").desc(), F.col("score").desc(), F.col("id").asc()]
@@ -328,10 +378,13 @@ def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max:
 
 
 def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
-                 dicts: Dictionaries = DEFAULT, as_of=None) -> DataFrame:
+                 dicts: Dictionaries = DEFAULT, as_of=None, strategy: str = "auto") -> DataFrame:
     """Top ``k`` results of every query in ``queries(query_id, q)``.
 
     Output: query_id, rank, the site columns, score, total_results.
+    ``strategy``: 'loop' tests every (query, site) pair; 'index' finds direct
+    candidates through a trigram index; 'auto' uses the index from
+    ``INDEX_MIN_QUERIES`` queries on.  Both give the same rows.
     """
     cols = sites.columns
     as_of_c = _as_of(as_of)
@@ -341,10 +394,15 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_terms")).alias("m")).first()
     n, n_max = st["n"], (st["m"] or 0)
     chunks = max(1, math.ceil(n / MAX_BROADCAST_QUERIES))
+    use_index = strategy == "index" or (strategy == "auto" and n >= INDEX_MIN_QUERIES)
+    grams = None
+    if use_index:  # built once, written to the shared folder, read by every chunk
+        shared_dir(sites.sparkSession)
+        grams = site_trigrams(sites_p).checkpoint(eager=True)
     parts = []
     for i in range(chunks):
         qi = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
-        parts.append(_batch_chunk(sites_p, qi, k, as_of_c, n_max))
+        parts.append(_batch_chunk(sites_p, qi, k, as_of_c, n_max, grams))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

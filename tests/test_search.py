@@ -117,3 +117,22 @@ def test_deep_page_uses_distributed_positions(spark, sf_small, monkeypatch):
     monkeypatch.setattr(S, "TOP_K_MAX", 100_000)
     lb = S.heat_leaderboard(cat, limit=7, offset=3)
     assert [r["id"] for r in lb.orderBy("rank").collect()] == [r["id"] for r in lb_deep.orderBy("rank").collect()]
+
+
+def test_index_strategy_equals_loop(spark, sf_small):
+    from pyspark.sql import functions as F
+    from sitelens.plans import fixtures as FX
+    cat = FX.sites(spark, sf_small)
+    p = FX.table(spark, sf_small, "part")
+    qs = (p.select(F.col("p_name").alias("q")).unionByName(p.select(F.col("p_brand").alias("q")))
+          .unionByName(p.select(F.col("p_type").alias("q"))).distinct())
+    extra = spark.createDataFrame([("econmy",), ("smoll",), ("zzzz",), ("design",), ("a red",),
+                                   ("https",), ("ui",)], "q string")
+    qs = qs.unionByName(extra).select(F.col("q").alias("query_id"), "q")
+
+    def rows(strategy):
+        out = S.search_batch(cat, qs, k=10, as_of=FX.AS_OF, strategy=strategy)
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9), r["total_results"])
+                      for r in out.collect())
+    loop, index = rows("loop"), rows("index")
+    assert loop == index and len(loop) > 100
