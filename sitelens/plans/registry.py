@@ -145,6 +145,16 @@ def q_search_batch(spark, sf_dir):
                       "total_results")
 
 
+@register("search_batch_index", _batch_sql())
+def q_search_batch_index(spark, sf_dir):
+    """The same batch search through the trigram-index strategy."""
+    sites = FX.sites(spark, sf_dir)
+    out = S.search_batch(sites, _batch_queries_spark(spark, sf_dir), k=10, as_of=FX.AS_OF,
+                         strategy="index")
+    return out.select("query_id", "rank", "id", "website_url", _r6(F.col("score")).alias("score"),
+                      "total_results")
+
+
 @register("heat_leaderboard", f"""WITH {O.sites_cte()},
 t AS (SELECT count(*) FILTER (WHERE heat_score > 0 OR heat_score IS NULL) AS total_positive_or_null
       FROM sites),
