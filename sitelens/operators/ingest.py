@@ -197,9 +197,16 @@ def _site_rows(dec: DataFrame, as_of: Column) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _classify(batch: DataFrame, target: DataFrame, keep: str, mode: str) -> DataFrame:
-    """Add _url and outcome/error for insert-if-absent semantics."""
+    """Add _url and outcome/error for insert-if-absent semantics.
+
+    Batch order is (source_file, row_no) when the batch comes from several
+    files (row numbers restart per file), else row_no.
+    """
     b = batch.withColumn("_url", strip_ws(F.coalesce(F.col("website_url"), F.lit(""))))
-    pick = F.min("row_no") if keep == "first" else F.max("row_no")
+    order = (F.struct(F.col("source_file"), F.col("row_no")) if "source_file" in batch.columns
+             else F.struct(F.col("row_no")))
+    b = b.withColumn("_order", order)
+    pick = F.min("_order") if keep == "first" else F.max("_order")
     chosen = (b.filter(F.length("_url") > 0).groupBy("_url").agg(pick.alias("_chosen")))
     existing = target.select(F.col("website_url").alias("_url")).filter(F.col("_url").isNotNull()) \
         .distinct().withColumn("_exists", F.lit(True))
@@ -207,7 +214,7 @@ def _classify(batch: DataFrame, target: DataFrame, keep: str, mode: str) -> Data
     j = b.join(keys, "_url", "left")
     limit_err = F.col("_limit_error") if "_limit_error" in b.columns else F.lit(None).cast("string")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
-    dup = F.col("row_no") != F.col("_chosen")
+    dup = F.col("_order") != F.col("_chosen")
     skip_kind = "error" if mode == "upload" else "skipped"
     outcome = (F.when(limit_err.isNotNull(), "error")
                .when(F.length("_url") == 0, "error")
@@ -221,6 +228,12 @@ def _classify(batch: DataFrame, target: DataFrame, keep: str, mode: str) -> Data
     return j.withColumn("outcome", outcome).withColumn("error", error)
 
 
+def _report(c: DataFrame) -> DataFrame:
+    """row_no, website_url, outcome, error (+ source_file when the batch has it)."""
+    cols = (["source_file"] if "source_file" in c.columns else []) + ["row_no"]
+    return c.select(*cols, F.col("_url").alias("website_url"), "outcome", "error")
+
+
 def insert_ignore(target: DataFrame, batch: DataFrame, as_of=None):
     """Insert batch rows whose URL is new; the first copy in the batch wins.
 
@@ -233,8 +246,7 @@ def insert_ignore(target: DataFrame, batch: DataFrame, as_of=None):
                        .withColumn("id", site_id(F.col("website_url")))
                        .withColumn("created_at", _as_of(as_of)).withColumn("updated_at", _as_of(as_of)))
     new_target = conform(target).unionByName(new_rows)
-    report = c.select("row_no", F.col("_url").alias("website_url"), "outcome", "error")
-    return new_target, report
+    return new_target, _report(c)
 
 
 def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,
@@ -249,8 +261,7 @@ def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_
                                         F.lit("error")).otherwise(F.col("outcome")))
          .withColumn("error", F.coalesce(F.col("error"), F.col("_json_error"))))
     new_rows = _site_rows(c.filter(F.col("outcome") == "inserted"), _as_of(as_of))
-    report = c.select("row_no", F.col("_url").alias("website_url"), "outcome", "error")
-    return new_rows, report
+    return new_rows, _report(c)
 
 
 def import_enriched(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_of=None,

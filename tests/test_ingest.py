@@ -188,3 +188,17 @@ def test_file_size_limit(spark, tmp_path):
     got = report.groupBy("outcome", "error").count().collect()
     assert {(r["outcome"], r["error"]): r["count"] for r in got} == {
         ("inserted", None): 3, ("error", "File too large (max 5 MB)"): 1}
+
+
+def test_repeated_url_across_files(spark, tmp_path):
+    from sitelens.sources import csv_io
+    for name in ("a", "b"):
+        spark.createDataFrame([("https://same.test",), (f"https://{name}.test",)], "website_url string") \
+            .coalesce(1).write.option("header", True).csv(str(tmp_path / "in" / name))
+    rows = csv_io.read_csv_rows(spark, str(tmp_path / "in" / "*"))
+    new_target, report = I.import_enriched(target(spark), rows, as_of=AS_OF)
+    urls = sorted(r["website_url"] for r in new_target.collect())
+    assert urls == ["https://a.test", "https://b.test", "https://old.test", "https://same.test"]
+    got = sorted((r["outcome"], r["error"]) for r in report.collect())
+    assert got == [("inserted", None)] * 3 + [("skipped", "Duplicate in batch")]
+    assert "source_file" in report.columns
