@@ -316,6 +316,12 @@ def site_trigrams(sites_p: DataFrame) -> DataFrame:
     return sites_p.select("id", F.explode(grams).alias("gram"))
 
 
+def search_index(sites: DataFrame) -> DataFrame:
+    """The trigram index of a catalog, (gram, id), to store next to it and pass to
+    ``search_batch(index=...)`` so batch searches do not rebuild it."""
+    return site_trigrams(_prepare(sites))
+
+
 def batch_pairs_indexed(sites_p: DataFrame, q: DataFrame, as_of: Column,
                         grams: DataFrame) -> DataFrame:
     """Scored candidate pairs like ``batch_pairs``, found through the trigram index.
@@ -378,13 +384,16 @@ def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max:
 
 
 def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
-                 dicts: Dictionaries = DEFAULT, as_of=None, strategy: str = "auto") -> DataFrame:
+                 dicts: Dictionaries = DEFAULT, as_of=None, strategy: str = "auto",
+                 index: DataFrame | None = None) -> DataFrame:
     """Top ``k`` results of every query in ``queries(query_id, q)``.
 
     Output: query_id, rank, the site columns, score, total_results.
     ``strategy``: 'loop' tests every (query, site) pair; 'index' finds direct
     candidates through a trigram index; 'auto' uses the index from
-    ``INDEX_MIN_QUERIES`` queries on.  Both give the same rows.
+    ``INDEX_MIN_QUERIES`` queries on.  Both give the same rows.  ``index``: a
+    stored ``search_index(sites)`` (it must belong to the same catalog); built
+    and checkpointed per call when absent.
     """
     cols = sites.columns
     as_of_c = _as_of(as_of)
@@ -396,7 +405,9 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     chunks = max(1, math.ceil(n / MAX_BROADCAST_QUERIES))
     use_index = strategy == "index" or (strategy == "auto" and n >= INDEX_MIN_QUERIES)
     grams = None
-    if use_index:  # built once, written to the shared folder, read by every chunk
+    if use_index and index is not None:
+        grams = index.select("gram", "id")
+    elif use_index:  # built once, written to the shared folder, read by every chunk
         shared_dir(sites.sparkSession)
         grams = site_trigrams(sites_p).checkpoint(eager=True)
     parts = []

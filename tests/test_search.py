@@ -136,3 +136,18 @@ def test_index_strategy_equals_loop(spark, sf_small):
                       for r in out.collect())
     loop, index = rows("loop"), rows("index")
     assert loop == index and len(loop) > 100
+
+
+def test_stored_index(spark, sf_small, tmp_path):
+    from pyspark.sql import functions as F
+    from sitelens.plans import fixtures as FX
+    cat = FX.sites(spark, sf_small)
+    S.search_index(cat).write.parquet(str(tmp_path / "idx"))
+    idx = spark.read.parquet(str(tmp_path / "idx"))
+    qs = spark.createDataFrame([("red widget",), ("brand17",), ("econmy",), ("ui",)], "q string") \
+        .select(F.col("q").alias("query_id"), "q")
+
+    def rows(**kw):
+        out = S.search_batch(cat, qs, k=10, as_of=FX.AS_OF, **kw)
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in out.collect())
+    assert rows(strategy="index", index=idx) == rows(strategy="loop")
