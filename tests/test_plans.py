@@ -53,3 +53,23 @@ def test_tags_use_partial_group_limit(spark, sf_small):
     p = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p
     assert "HashAggregate" in p
+
+
+def test_spread_only_when_needed(spark):
+    from sitelens.operators.layout import spread
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, 100, numPartitions=1)
+    many = spark.range(0, 100, numPartitions=cores * 2)
+    assert spread(few)._jdf.rdd().getNumPartitions() == cores
+    assert spread(many) is many
+
+
+def test_search_all_cap(spark, sf_small):
+    from sitelens.operators import search as S
+    cat = FX.sites(spark, sf_small)
+    full = S.ranked(cat, "small", as_of=FX.AS_OF).count()
+    assert full > 5
+    capped = S.search_all(cat, "small", limit=5, as_of=FX.AS_OF).collect()
+    assert len(capped) == 5
+    scores = [r["score"] for r in capped]
+    assert scores == sorted(scores, reverse=True)
