@@ -73,3 +73,29 @@ def test_search_all_cap(spark, sf_small):
     assert len(capped) == 5
     scores = [r["score"] for r in capped]
     assert scores == sorted(scores, reverse=True)
+
+
+def test_hot_keys_are_pre_aggregated(spark):
+    import datetime as _dt
+
+    from sitelens.operators import heat as H
+    from sitelens.operators import ingest as I
+    t0 = _dt.datetime(2001, 1, 1)
+    n = 3000
+    # site 1 holds a third of all usage events
+    usage = spark.createDataFrame([(1 if i % 3 == 0 else i, t0, 1.0) for i in range(n)],
+                                  "site_id long, ts timestamp_ntz, amount double")
+    sites = spark.createDataFrame([(i, None, None) for i in range(n)],
+                                  "id long, heat_score double, last_used_at timestamp_ntz")
+    out = H.apply_usage(sites, usage)
+    assert out.filter("id = 1").first()["heat_score"] == 1000.0 + 1.0
+    p = plan(out)
+    assert "partial_sum" in p and "partial_max" in p
+    # one URL makes up a third of an import batch
+    batch = spark.createDataFrame([(i + 2, "https://hot.test" if i % 3 == 0 else f"https://s{i}.test")
+                                   for i in range(n)], "row_no long, website_url string")
+    target = spark.createDataFrame([], I.SITES_SCHEMA)
+    _, report = I.import_enriched(target, batch)
+    counts = {r["outcome"]: r["count"] for r in report.groupBy("outcome").count().collect()}
+    assert counts == {"inserted": 2001, "skipped": 999}
+    assert "partial_min" in plan(report)
