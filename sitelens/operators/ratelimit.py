@@ -91,7 +91,11 @@ def _prepared(requests: DataFrame, key: str, ts: str, event_id: str) -> DataFram
 
 def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_id: str = "event_id",
                max_n: int = UPLOAD_LIMIT[0], window_s: float = UPLOAD_LIMIT[1]) -> DataFrame:
-    """Batch limiter: requests + ``allowed`` (joined back on event id)."""
+    """Batch limiter: requests + ``allowed``.
+
+    Verdicts are joined back on ``event_id``, which must identify an event
+    uniquely.
+    """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
