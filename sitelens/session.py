@@ -8,15 +8,17 @@ finds the shared folder used for checkpoints and intermediate tables.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "sitelens", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
-    """Session tuned for this library: AQE with skew handling, UTC, no UI."""
+              shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """Session tuned for this library: AQE with skew handling, UTC, no UI.
+
+    ``shared`` sets the shared folder where the session has none yet.
+    """
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or os.environ.get("SITELENS_MASTER", f"local[{cpus}]")
     parts = shuffle_partitions or int(os.environ.get("SITELENS_SHUFFLE_PARTITIONS", cpus))
@@ -35,6 +37,8 @@ def get_spark(app: str = "sitelens", master: str | None = None,
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -43,21 +47,15 @@ def get_spark(app: str = "sitelens", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set -- local runs and tests -- a private folder is created
-    and registered, so later calls in the same session agree.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir, which
+    tests and the bench set to a folder of their own).  No folder is ever made
+    up here: a machine-local one would be lost with its machine.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf_dir:
-        conf_dir = spark.sparkContext.getCheckpointDir()
-    if not conf_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
-                               "(checkpoints and intermediate tables are written there)")
-        conf_dir = tempfile.mkdtemp(prefix="sitelens-ckpt-")  # local runs and tests only
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    elif not spark.sparkContext.getCheckpointDir():
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(checkpoints and intermediate tables are written there)")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir.rstrip("/")
 

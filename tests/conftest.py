@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,9 +13,8 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from sitelens.session import get_spark, shared_dir
-    s = get_spark(app="sitelens-tests", master="local[*]", shuffle_partitions=8)
-    shared_dir(s)  # tests run without a cluster folder: a private one is set
+    from sitelens.session import get_spark
+    s = get_spark(app="sitelens-tests", master="local[*]", shuffle_partitions=8, shared=tempfile.mkdtemp(prefix="sitelens-tests-"))
     yield s
 
 
