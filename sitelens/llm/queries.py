@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm import block_dedup as OP4
 from sitelens.llm import suffix_dedup as OP1
+from sitelens.llm import topk_search as OP9
+from sitelens.llm import warc as OP2
 from sitelens.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -27,3 +30,38 @@ def register(name: str, sql: str | None = None):
 def q_op1(spark, sf_dir) -> DataFrame:
     kept = OP1.suffix_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+@register("op2_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS payload_digest, payload FROM p),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last > page_id THEN last END AS refers_to FROM w""")
+def q_op2(spark, sf_dir) -> DataFrame:
+    found = OP2.round_trip(table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    response = F.col("type") == "response"
+    return found.select(
+        page("record_id").cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(F.col("refers_to").isNotNull(), page("refers_to").cast("long")).alias("refers_to"))
+
+
+@register("op4_block_dedup")
+def q_op4(spark, sf_dir) -> DataFrame:
+    kept = OP4.block_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@register("op9_topk_search", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def q_op9(spark, sf_dir) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return OP9.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
