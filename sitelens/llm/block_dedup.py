@@ -97,21 +97,25 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     docs = narrow(docs)
     chosen = _chosen(docs, window, gram)
     again = chosen.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    again = staged(again, "grams")  # read back, so that both sides of the joins are plain exchanges that can be split
     at = staged(chosen.join(again, "gram"), "block-grams")
     key = ["gram", "c1", "c2"]
     classes = staged(at.groupBy(*key).agg(F.min("doc_id").alias("first")), "block-contexts")
     several = classes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram")
+    several = staged(several, "several")
     whole = at.join(classes, key).filter("doc_id > first").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + window).alias("end"))
     zones = at.join(classes.join(several, "gram"), key).filter("doc_id = first").select("doc_id", "lo", "hi")
     rows = staged(_probes(docs, zones, window), "block-probes")
     index = (rows.groupBy("h").agg(F.min(F.when(F.col("aligned"), F.col("doc_id"))).alias("first"), F.max("doc_id").alias("last"))
              .filter("first < last"))
+    index = staged(index, "block-index")
     hit = (F.col("first") < F.col("doc_id")) | (F.col("aligned") & (F.col("doc_id") < F.col("last")))
     near = Window.partitionBy("doc_id").orderBy("p").rangeBetween(0, window - window // 2)
     grown = (rows.join(index, "h", "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
              .withColumn("grown", F.max("hit").over(near)).filter("grown and w1 is not null").select("doc_id", "p", "w1", "w2"))
     grown = staged(grown, "block-windows")
     smallest = grown.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    smallest = staged(smallest, "block-first")
     part = grown.join(smallest, ["w1", "w2"]).filter("doc_id > first").select("doc_id", F.col("p").alias("start"), (F.col("p") + window).alias("end"))
     return whole.unionByName(part)
 

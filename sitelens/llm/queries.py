@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm import block_dedup as OP4
+from sitelens.llm import language as OP5
+from sitelens.llm import quality as OP3
 from sitelens.llm import suffix_dedup as OP1
 from sitelens.llm import topk_search as OP9
 from sitelens.llm import warc as OP2
@@ -65,3 +67,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def q_op9(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return OP9.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@register("op3_quality")
+def q_op3(spark, sf_dir) -> DataFrame:
+    return OP3.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_language")
+def q_op5(spark, sf_dir) -> DataFrame:
+    return OP5.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

@@ -184,6 +184,7 @@ def _one_by_one(rows: DataFrame, min_len: int) -> DataFrame:
 
     strings = rows.mapInArrow(run, "doc_id long, start long, c1 long, c2 long")
     many = strings.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    strings, many = staged(strings, "strings"), staged(many, "many")
     return strings.join(many, ["c1", "c2"]).select("doc_id", "start", (F.col("start") + min_len).alias("end"))
 
 
@@ -192,11 +193,13 @@ def repeat_spans(docs: DataFrame, min_len: int = MIN_LEN, seed: int = SEED, max_
     docs = narrow(docs)
     all_at = sampled_suffixes(docs, min_len, seed)
     again = all_at.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    again = staged(again, "grams")  # read back, so that both sides of the joins are plain exchanges that can be split
     at = staged(all_at.join(again, "gram"), "suffixes")
     key = ["gram", "c1", "c2"]
     classes = staged(at.groupBy(*key).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "a", "lo", "hi"))), "contexts")
     whole = at.join(classes.filter("n > 1").select(*key), key).select("doc_id", F.col("lo").alias("start"), (F.col("hi") + min_len).alias("end"))
     several = classes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram", (F.col("m") > max_bucket).alias("hot"))
+    several = staged(several, "several")
     rows = staged(_contexts(classes.join(several, "gram"), docs, min_len), "context-bytes")
     tree = _interval_tree(rows.filter("not hot"), min_len).select("doc_id", "start", "end")
     return whole.unionByName(tree).unionByName(_one_by_one(rows.filter("hot"), min_len))
