@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm import block_dedup as OP4
+from sitelens.llm import decontaminate as OP7
+from sitelens.llm import jaccard_join as OP8
 from sitelens.llm import language as OP5
 from sitelens.llm import quality as OP3
 from sitelens.llm import suffix_dedup as OP1
@@ -77,3 +79,13 @@ def q_op3(spark, sf_dir) -> DataFrame:
 @register("op5_language")
 def q_op5(spark, sf_dir) -> DataFrame:
     return OP5.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@register("op7_decontaminate")
+def q_op7(spark, sf_dir) -> DataFrame:
+    return OP7.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_jaccard_join")
+def q_op8(spark, sf_dir) -> DataFrame:
+    return OP8.similar_documents(table(spark, sf_dir, "documents"))
