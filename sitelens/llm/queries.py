@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm import attention_lm as OP6
 from sitelens.llm import block_dedup as OP4
 from sitelens.llm import decontaminate as OP7
 from sitelens.llm import jaccard_join as OP8
@@ -89,3 +90,8 @@ def q_op7(spark, sf_dir) -> DataFrame:
 @register("op8_jaccard_join")
 def q_op8(spark, sf_dir) -> DataFrame:
     return OP8.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op6_attention_lm")
+def q_op6(spark, sf_dir) -> DataFrame:
+    return OP6.score_texts(table(spark, sf_dir, "documents"))
