@@ -13,6 +13,7 @@ from sitelens.llm import decontaminate as OP7
 from sitelens.llm import jaccard_join as OP8
 from sitelens.llm import language as OP5
 from sitelens.llm import quality as OP3
+from sitelens.llm import segmentations as OP10
 from sitelens.llm import suffix_dedup as OP1
 from sitelens.llm import topk_search as OP9
 from sitelens.llm import warc as OP2
@@ -95,3 +96,8 @@ def q_op8(spark, sf_dir) -> DataFrame:
 @register("op6_attention_lm")
 def q_op6(spark, sf_dir) -> DataFrame:
     return OP6.score_texts(table(spark, sf_dir, "documents"))
+
+
+@register("op10_segmentations")
+def q_op10(spark, sf_dir) -> DataFrame:
+    return OP10.digest(OP10.encode(table(spark, sf_dir, "documents")))
