@@ -1,11 +1,65 @@
-"""Corpus pipeline: stages over ``documents``, each calling one operator of ``sitelens.llm``."""
+"""Corpus pipeline: from the raw ``documents`` table to token ids.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage calls one operator of ``sitelens.llm`` on all that its predecessor kept.  Every
+stage's result is written as Parquet in the shared folder and read again as
+the next stage's documents, so a lost executor costs one stage's tasks at most.
 
+1. quality classifier: documents scored below the threshold go;
+2. n-gram Jaccard join: of each class of similar documents the one with the smallest doc_id stays;
+3. suffix-array dedup: repeats of 400 bytes are cut out of the texts (characters cut in part stay), n_chars is counted anew;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. SentencePiece encoding: two sampled segmentations of each text, with inclusion scores.
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+Stages 1 to 4 return the columns of ``documents``; rows whose text becomes empty in stage 3 stay, with an empty text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelens.llm import decontaminate, jaccard_join, quality, segmentations, suffix_dedup
+from sitelens.llm.common import staged, table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = jaccard_join.similar_documents(docs)
+    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.suffix_dedup(docs, whole_characters=True).select(F.col("doc_id").alias("kept_id"), F.decode("kept", "UTF-8").alias("kept_text"))
+    joined = docs.drop("text", "n_chars").join(kept, docs["doc_id"] == F.col("kept_id"))
+    return joined.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return segmentations.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("n-gram Jaccard join", one_of_each_class),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("SentencePiece encoding", token_ids),
+]
+
+ORACLE_SQL = None  # no stage but the cuts themselves can be said in SQL; tests compare with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; returns the last stage's rows."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -218,8 +218,11 @@ def maximal_repeats(docs: DataFrame, min_len: int = MIN_LEN, seed: int = SEED) -
     return _interval_tree(rows, min_len).select(F.concat_ws("-", "gram", "number").alias("repeat"), "doc_id", "start", "end")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Cut byte spans out of the texts: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
+def remove_spans(docs: DataFrame, spans: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """Cut byte spans out of the texts: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+
+    A span may begin or end inside a character; with ``whole_characters`` such a character stays.
+    """
     lists = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
@@ -229,15 +232,23 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for doc, text, cut in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("cut")):
                 raw = text.as_buffer().to_pybytes()
                 kept, at, n = [], 0, 0
+                merged = []
                 for s, e in sorted((c["start"], c["end"]) for c in cut.as_py() or []):
-                    if s > at or n == 0:
-                        kept.append(raw[at:s])
-                        n += 1
-                    at = max(at, e)
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], e)
+                    else:
+                        merged.append([s, e])
+                for s, e in merged:
+                    while whole_characters and s < e and raw[s] & 0xC0 == 0x80:
+                        s += 1
+                    while whole_characters and s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+                        e -= 1
+                    kept.append(raw[at:s])
+                    at, n = e, n + 1
                 kept.append(raw[at:])
                 kept = b"".join(kept)
                 out.append({"doc_id": doc, "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": n, "kept": kept})
-                if sum(len(x["kept"]) for x in out[-1:]) > CHUNK_BYTES or len(out) >= 500:
+                if len(kept) > CHUNK_BYTES or len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -245,7 +256,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return narrow(docs).join(lists, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, min_len: int = MIN_LEN, seed: int = SEED, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_len: int = MIN_LEN, seed: int = SEED, max_bucket: int = MAX_BUCKET, whole_characters: bool = False) -> DataFrame:
     """Every document with its repeats removed (see the module text)."""
-    return remove_spans(docs, repeat_spans(docs, min_len, seed, max_bucket))
+    return remove_spans(docs, repeat_spans(docs, min_len, seed, max_bucket), whole_characters)
 
