@@ -3,16 +3,18 @@
 Sets are split recursively on sampled tokens that they share: a set of n tokens
 takes the tokens whose hash in this run is below 1 / (similarity * n), about
 1.25 of them, so similar sets tend to take the same one.  Sets that took the same token share
-a bucket.  A bucket of more than ``bucket`` sets is split again on fresh samples
-(the path grows by a token), small buckets are compared by brute force, and runs
-are repeated until the target recall: two sets at the similarity share a token's
-sample with a chance of at least 1 - 1/e in a run, so ``RUNS`` runs miss a pair with a
-chance below 1e-5, and each split has ``CHILDREN`` runs of its own.
+a bucket.  A bucket of more than ``bucket`` sets is split again
+(the path grows by a token): each set goes on with ``CHILDREN`` sampled tokens, the least of a random
+part of the hash range, which two sets share with a chance equal to their similarity.  A bucket that doesn't
+fall apart, because half of it shares one token again, is a clump of similar sets and is
+split no further.  Buckets are compared by brute force.  Runs are repeated until the
+target recall: two sets at the similarity share a token's sample with a chance of
+at least 1 - 1/e in a run, so ``RUNS`` runs miss a pair with a chance below 1e-5.
 
 * Equal sets are collapsed first, by a 128-bit digest: copies aren't compared.
 * Inside a bucket, one-permutation sketches (64 bins) rule out pairs that are
   five standard errors below the similarity.  Only a spanning forest of the rest leaves the bucket, never
-  its pairs.  A bucket that is still large after the last split goes in
+  its pairs.  A bucket that stays large (a clump, or after the last split) goes in
   tiles, so every comparison is made and no task holds more than two tiles.
 * The forests' connected components are the groups in which links are decided
   exactly: each group's sets meet once, intersections are counted through an
@@ -40,11 +42,11 @@ from sitelens.llm.common import Rolling, mix, narrow, signed, staged, text_chunk
 from sitelens.llm.components import connected
 
 NGRAM, SIMILARITY = 5, 0.8
-RUNS, CHILDREN, SPLITS = 12, 6, 3
-BUCKET, TILE = 1000, 1000
+RUNS, CHILDREN, SPLITS = 12, 4, 4
+BUCKET, TILE = 4000, 1000
 BINS = 64
 EMPTY = 65535
-_RUN_KEYS = [int(x) for x in mix(np.arange(1, RUNS + CHILDREN * SPLITS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)]
+_RUN_KEYS = [int(x) for x in mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +70,32 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, ngram: int = NGRAM) -> tuple[
     return np.searchsorted(trow[new], np.arange(n + 1)), tokens[new]
 
 
-def samples(toff: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, run, key) of the tokens that the sets take in each run."""
+def samples(toff: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the tokens that the sets take in the runs; a key names run and token."""
     size = np.diff(toff)
     row = np.repeat(np.arange(len(size)), size)
     limit = np.minimum(2.0**64 / (similarity * np.maximum(size, 1)), 2.0**64 - 2049).astype(np.uint64)[row]
     found = []
-    for run, key in enumerate(_RUN_KEYS):
+    for key in _RUN_KEYS:
         at = np.flatnonzero(tokens * np.uint64(key) < limit)
-        found.append((row[at], np.full(len(at), run, np.int32), mix(tokens[at] ^ np.uint64(key))))
-    rows, runs, keys = (np.concatenate(x) for x in zip(*found))
+        found.append((row[at], mix(tokens[at] ^ np.uint64(key))))
+    rows, keys = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(rows, kind="stable")
-    return rows[order], runs[order], keys[order]
+    return rows[order], keys[order]
+
+
+def marks(toff: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The least token in each of CHILDREN * SPLITS parts of the hash range; an empty part takes the next one's."""
+    parts = CHILDREN * SPLITS
+    out = np.zeros((len(toff) - 1, parts), np.uint64)
+    row = np.repeat(np.arange(len(toff) - 1), np.diff(toff))
+    part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(tokens), bool)
+    first[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])  # tokens are sorted
+    out[row[first], part[first]] = tokens[first] | np.uint64(1)
+    for _ in range(parts):
+        out = np.where(out == 0, np.roll(out, -1, axis=1), out)
+    return mix(out)
 
 
 def sketches(toff: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -103,18 +119,37 @@ def _sets(docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
                 toff, tokens = shingle_sets(buf, off, ngram)
                 raw = memoryview(np.ascontiguousarray(tokens).tobytes())
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(toff[:-1].tolist(), toff[1:].tolist())]), np.int64).reshape(-1, 2)
-                rows, runs, keys = samples(toff, tokens, similarity)
+                rows, keys = samples(toff, tokens, similarity)
                 poff = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)), pa.int32())
                 sketch = pa.array([x.tobytes() for x in sketches(toff, tokens)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.diff(toff)), pa.ListArray.from_arrays(poff, pa.array(runs)), pa.ListArray.from_arrays(poff, pa.array(signed(keys))), sketch], names=["doc_id", "s1", "s2", "n", "runs", "picks", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.diff(toff)), pa.ListArray.from_arrays(poff, pa.array(signed(keys))), pa.array(list(signed(marks(toff, tokens))), pa.list_(pa.int64())), sketch], names=["doc_id", "s1", "s2", "n", "picks", "marks", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n long, runs array<int>, picks array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n long, picks array<long>, marks array<long>, sketch binary")
 
 
 def _buckets(paths: DataFrame) -> DataFrame:
     """(path, doc_id, m) of the paths that at least two sets took."""
     sizes = staged(paths.groupBy("path").agg(F.count("*").alias("m")).filter("m > 1"), "path-sizes")
-    return staged(paths.join(sizes, "path"), "paths")
+    return staged(paths.join(sizes, "path").select("path", "doc_id", "m"), "paths")
+
+
+def _leaves(reps: DataFrame, bucket: int) -> DataFrame:
+    """(path, doc_id, m): the buckets to compare by brute force."""
+    rows = _buckets(reps.select(F.explode("picks").alias("path"), "doc_id"))
+    leaves = rows.filter(F.col("m") <= bucket)
+    for level in range(SPLITS):
+        large = rows.filter(F.col("m") > bucket).select(F.col("path").alias("parent"), F.col("m").alias("whole"), "doc_id")
+        if large.isEmpty():
+            return leaves
+        parts = large.join(reps.select("doc_id", F.slice("marks", 1 + level * CHILDREN, CHILDREN).alias("marks")), "doc_id").select("parent", "whole", "doc_id", F.posexplode("marks"))
+        parts = staged(parts.select("parent", "whole", F.xxhash64("parent", "pos", "col").alias("path"), "doc_id"), "path-parts")
+        sizes = staged(parts.groupBy("parent", "whole", "path").agg(F.count("*").alias("m")), "path-sizes")
+        clumps = staged(sizes.groupBy("parent", "whole").agg(F.max("m").alias("top")).filter("2 * top >= whole").select("parent"), "path-clumps")
+        leaves = leaves.unionByName(large.join(clumps, "parent", "left_semi").select(F.col("parent").alias("path"), "doc_id", F.col("whole").alias("m")))
+        small = staged(sizes.join(clumps, "parent", "left_anti").filter("m > 1").select("path", "m"), "path-sizes")
+        rows = staged(parts.join(small, "path").select("path", "doc_id", "m"), "paths")
+        leaves = leaves.unionByName(rows if level == SPLITS - 1 else rows.filter(F.col("m") <= bucket))
+    return leaves
 
 
 def _tiled(rows: DataFrame, key: str, m: str, size: int) -> DataFrame:
@@ -215,21 +250,8 @@ def similar_documents(docs: DataFrame, ngram: int = NGRAM, similarity: float = S
     docs = narrow(docs)
     sets = staged(_sets(docs, ngram, similarity), "sets")
     classes = staged(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
-    reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").select("doc_id", "copies", "runs", "picks", "sketch"), "set-reps")
-    pick = F.explode(F.arrays_zip("runs", "picks")).alias("p")
-
-    def taken(frame: DataFrame, first: int, count: int, *keep: str) -> DataFrame:
-        return frame.select("doc_id", *keep, pick).filter((F.col("p.runs") >= first) & (F.col("p.runs") < first + count)).select("doc_id", *keep, F.col("p.picks").alias("pick"))
-
-    rows = _buckets(taken(reps, 0, RUNS).select(F.col("pick").alias("path"), "doc_id"))
-    leaves = rows.filter(F.col("m") <= bucket)
-    for level in range(SPLITS):
-        rows = rows.filter(F.col("m") > bucket)
-        if rows.isEmpty():
-            break
-        again = taken(rows.join(reps.select("doc_id", "runs", "picks"), "doc_id"), RUNS + level * CHILDREN, CHILDREN, "path")
-        rows = _buckets(again.select(F.xxhash64("path", "pick").alias("path"), "doc_id"))
-        leaves = leaves.unionByName(rows if level == SPLITS - 1 else rows.filter(F.col("m") <= bucket))
+    reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").select("doc_id", "copies", "picks", "marks", "sketch").dropDuplicates(["doc_id"]), "set-reps")
+    leaves = _leaves(reps, bucket)
     held = _tiled(leaves, "path", "m", bucket).join(reps.select("doc_id", "sketch"), "doc_id")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     forest = _grouped(held, ["doc_id", "block", "sketch"], lambda i, b, s: [{"a": x, "b": y} for x, y in sketch_forest(i, b, s, similarity)], "a long, b long", pair)
