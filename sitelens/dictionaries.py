@@ -116,16 +116,6 @@ STYLE_TEXT_LIMIT = 50000
 MAX_PARAGRAPHS = 14
 
 # HTML character references decoded in page text (name -> character).
-HTML_ENTITIES: list[tuple[str, str]] = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&#34;", '"'), ("&nbsp;", " "), ("&#160;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&bull;", "•"), ("&euro;", "€"),
-    ("&amp;", "&"),
-]
 
 
 @dataclass(frozen=True)

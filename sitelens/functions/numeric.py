@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,41 +19,40 @@ def days_between(later: Column, earlier: Column) -> Column:
     return floor_div(micros, MICROS_PER_DAY)
 
 
-def _tie_bits(nd: int, kmax: int) -> str:
-    """For k in 0..kmax: does the double nearest to (k + 1/2)/10^nd round up?
-
-    '1' when that double lies above the exact half-way point, or sits exactly on
-    it with k odd (half to even).  Built from IEEE arithmetic, not written out.
-    """
-    bits = []
-    for k in range(kmax + 1):
-        exact = Fraction(2 * k + 1, 2 * 10 ** nd)
-        diff = Fraction(float(exact)) - exact
-        bits.append("1" if diff > 0 or (diff == 0 and k % 2 == 1) else "0")
-    return "".join(bits)
+def _excess(k: str, half: str, nd: int) -> str:
+    """(2k + 1) - 2 * 10^nd * half as SQL text, exact: the factor is split into powers of two."""
+    factor, text = 2 * 10 ** nd, f"(2.0e0 * {k} + 1.0e0)"
+    for bit in sorted((1 << i for i in range(factor.bit_length()) if factor >> i & 1), reverse=True):
+        text = f"({text} - {bit}.0e0 * {half})"
+    return text
 
 
-def py_round(x: Column, nd: int, kmax: int = 1000) -> Column:
-    """Round a non-negative double to ``nd`` decimals exactly as Python's ``round``.
+def py_round(x: Column, nd: int) -> Column:
+    """Round a non-negative double to ``nd`` (1 or 2) decimals exactly as Python's ``round``.
 
     Python rounds the exact binary value, half to even.  k0 = floor(x*10^nd) is
     at most one off; the half-way point between k0 and k0+1 is compared with x
-    as a correctly-rounded double, and the rare equal case uses the tie table.
-    Valid for 0 <= x*10^nd <= kmax.
+    as a correctly-rounded double.  When they are equal, the sign of an exact
+    residual tells on which side of the true half-way point that double lies.
     """
     scale = 10 ** nd
     k0 = F.floor(x * F.lit(float(scale))).cast("long")
     half = F.concat(k0.cast("string"), F.lit(f"5e-{nd + 1}")).cast("double")
-    tie_up = F.substring(F.lit(_tie_bits(nd, kmax)), (k0 + 1).cast("int"), 1) == "1"
+    excess = F.lit(2.0) * k0.cast("double") + F.lit(1.0)
+    factor = 2 * scale
+    for bit in sorted((1 << i for i in range(factor.bit_length()) if factor >> i & 1), reverse=True):
+        excess = excess - F.lit(float(bit)) * half
+    tie_up = (excess < 0) | ((excess == 0) & (k0 % 2 == 1))
     up = (x > half) | ((x == half) & tie_up)
     return (k0 + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(scale))
 
 
-def py_round_sql(x: str, nd: int, kmax: int = 1000) -> str:
+def py_round_sql(x: str, nd: int) -> str:
     """The same rounding as a DuckDB SQL expression (for oracles)."""
     scale = 10 ** nd
     k0 = f"CAST(floor(({x}) * {float(scale)}) AS BIGINT)"
     half = f"CAST(CAST({k0} AS VARCHAR) || '5e-{nd + 1}' AS DOUBLE)"
-    tie = f"substring('{_tie_bits(nd, kmax)}', CAST({k0} + 1 AS INTEGER), 1) = '1'"
+    excess = _excess(k0, half, nd)
+    tie = f"({excess} < 0 OR ({excess} = 0 AND {k0} % 2 = 1))"
     up = f"(({x}) > {half} OR (({x}) = {half} AND {tie}))"
     return f"(CAST({k0} + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / {float(scale)})"

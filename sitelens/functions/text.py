@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +73,40 @@ def count_sub_sql(col: str, key: str) -> str:
     c = f"`{col}`"
     return (f"CASE WHEN contains({c}, {k}) THEN "
             f"(octet_length({c}) - octet_length(replace({c}, {k}, ''))) DIV {len(key)} ELSE 0L END")
+
+
+_REFERENCE = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+_LEGACY = 6  # longest name that may stand without its semicolon
+
+
+def unescape_html(c: Column) -> Column:
+    """Decode all named and numeric character references, as HTML parsers do.
+
+    The text is split at ``&``; each part's reference is looked up in the standard
+    table of names, or computed from its number.  Numbers below 256 go through a
+    table too (128-159 mean Windows characters); numbers that are no character
+    give U+FFFD.  What is no reference stays as it is.
+    """
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    low = F.from_json(F.lit(json.dumps({str(n): html.unescape(f"&#{n};") for n in range(256)})), "map<string,string>")
+
+    def part(p):
+        ref = F.regexp_extract(p, _REFERENCE, 1)
+        body = F.rtrim(ref, F.lit(";"))
+        is_hex = F.lower(F.substr(ref, F.lit(1), F.lit(2))) == "#x"
+        number = F.when(is_hex, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2))).cast("int")
+        wrong = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        char = (F.when(number < 256, F.try_element_at(low, number.cast("string"))).when(wrong, "\ufffd")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")))
+        whole = F.when(ref.startswith("#"), char).otherwise(F.try_element_at(table, ref))
+        rest = F.substr(p, F.length(ref) + 1)
+        out = F.when(whole.isNotNull(), F.concat(whole, rest)).otherwise(F.concat(F.lit("&"), p))
+        for n in range(2, _LEGACY + 1):  # a longer name found wins over a shorter one
+            name = F.try_element_at(table, F.substr(ref, F.lit(1), F.lit(n)))
+            out = F.when(whole.isNull() & (F.length(ref) > n) & name.isNotNull() & ~ref.startswith("#"),
+                         F.concat(name, F.substr(p, F.lit(n + 1)))).otherwise(out)
+        return out
+
+    parts = F.split(c, "&")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))
+    return F.when(c.contains("&"), decoded).otherwise(c)

@@ -1,26 +1,24 @@
 """Page enrichment: HTML / text -> platforms, industries, tags, colours.
 
-All detectors are column expressions over the page row (one narrow stage, no
-Python worker), except tags, which count words with ``posexplode`` + ``groupBy``
-and keep the top 10 per page with a window limit.
+All detectors are column expressions over the page row: one narrow stage, no
+Python worker and no shuffle.  Tags are counted inside the row too.
 
 Page text (``page_text``) is title + meta description + the first 14
 paragraphs.  It is extracted with regular expressions after removing comments,
 scripts and style blocks.  A paragraph starts at a ``<p>`` tag and ends at the
 next ``<p>`` tag, ``</p>`` or the end of an enclosing block: unclosed
-paragraphs are therefore flat (never nested), so no text is repeated.  A fixed
-set of named and numeric character references is decoded.
+paragraphs are therefore flat (never nested), so no text is repeated.  All named
+and numeric character references are decoded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.dictionaries import (
     DEFAULT,
     FALLBACK_PLATFORM,
-    HTML_ENTITIES,
     MAX_INDUSTRIES,
     MAX_PARAGRAPHS,
     MAX_TAGS,
@@ -31,8 +29,7 @@ from sitelens.dictionaries import (
 )
 from sitelens.functions import clean_text, normalize_hex, py_round, py_split, strip_ws
 from sitelens.functions.parse import as_of_col
-from sitelens.functions.text import count_sub_sql, sql_str
-from sitelens.operators.layout import spread
+from sitelens.functions.text import count_sub_sql, sql_str, unescape_html
 
 # FIXED VALUES: markup patterns (valid in Java regex and RE2 alike).
 COMMENT_RE = r"(?s)<!--.*?-->"
@@ -68,14 +65,6 @@ def unquote(v: Column) -> Column:
     return F.when(quoted, F.regexp_replace(v, r"""^["']|["']$""", "")).otherwise(v)
 
 
-def decode_entities(c: Column) -> Column:
-    """Decode the fixed set of character references (``&amp;`` last: one pass)."""
-    out = c
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.when(c.contains("&"), out).otherwise(c)
-
-
 def without_scripts(html) -> Column:
     """HTML with comments and script bodies removed (what a parser sees as markup)."""
     h = F.coalesce(_c(html), F.lit(""))
@@ -86,27 +75,26 @@ def without_scripts(html) -> Column:
 # H1 page text
 # ---------------------------------------------------------------------------
 
-def with_page_text(df: DataFrame, html_col: str, out: str = "text", spread_input: bool = True) -> DataFrame:
+def with_page_text(df: DataFrame, html_col: str, out: str = "text", max_paragraphs: int = MAX_PARAGRAPHS) -> DataFrame:
     """Add ``out`` = ``page_text`` of ``html_col`` (markup-free HTML projected once)."""
-    tmp = (spread(df) if spread_input else df).withColumn("_bare", F.regexp_replace(without_scripts(F.col(html_col)),
-                                                  STYLE_BLOCK_RE, ""))
-    return tmp.withColumn(out, page_text(F.col("_bare"), bare=True)).drop("_bare")
+    tmp = df.withColumn("_bare", F.regexp_replace(without_scripts(F.col(html_col)), STYLE_BLOCK_RE, ""))
+    return tmp.withColumn(out, page_text(F.col("_bare"), bare=True, max_paragraphs=max_paragraphs)).drop("_bare")
 
 
-def page_text(html, bare: bool = False) -> Column:
-    """title + ' ' + meta description + ' ' + first 14 paragraphs (space-joined)."""
+def page_text(html, bare: bool = False, max_paragraphs: int = MAX_PARAGRAPHS) -> Column:
+    """title + ' ' + meta description + ' ' + the first paragraphs (14 by the label rules; space-joined)."""
     h = _c(html) if bare else F.regexp_replace(without_scripts(html), STYLE_BLOCK_RE, "")
     title_raw = F.regexp_extract(h, TITLE_RE, 1)
-    title = F.when(title_raw.contains("<"), F.lit("")).otherwise(strip_ws(decode_entities(title_raw)))
+    title = F.when(title_raw.contains("<"), F.lit("")).otherwise(strip_ws(unescape_html(title_raw)))
     metas = F.regexp_extract_all(h, F.lit(META_RE), 0)
     desc_tags = F.filter(metas, lambda m: attr_value(m, "name") == "description")
-    desc = strip_ws(decode_entities(F.coalesce(attr_value(F.get(desc_tags, 0), "content"),
-                                               F.lit(""))))
+    desc = strip_ws(unescape_html(F.coalesce(attr_value(F.get(desc_tags, 0), "content"),
+                                             F.lit(""))))
     marked = F.regexp_replace(F.regexp_replace(h, P_OPEN_RE, P_START), BLOCK_END_RE, P_STOP)
     paras = F.regexp_extract_all(marked, F.lit(P_START + "([^" + P_START + P_STOP + "]*)"), 1)
-    paras = F.transform(F.slice(paras, 1, MAX_PARAGRAPHS),
-                        lambda p: decode_entities(F.regexp_replace(p, TAG_RE, "")))
-    return F.concat_ws(" ", title, desc, F.array_join(paras, " "))
+    paras = F.transform(F.slice(paras, 1, max_paragraphs), lambda p: F.regexp_replace(p, TAG_RE, ""))
+    # a blank can't be part of a reference, so the joined paragraphs are decoded at once
+    return F.concat_ws(" ", title, desc, unescape_html(F.array_join(paras, " ")))
 
 
 # ---------------------------------------------------------------------------
@@ -152,7 +140,7 @@ def platforms_from_counts(h: Column, items: list) -> Column:
 
 
 def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
-                     dicts: Dictionaries = DEFAULT, spread_input: bool = True) -> DataFrame:
+                     dicts: Dictionaries = DEFAULT) -> DataFrame:
     """Add ``out``: array<struct<label, confidence>>, confidence desc then dictionary order.
 
     Per platform: number of its signals found in the lower-cased HTML; confidence
@@ -161,7 +149,7 @@ def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
     per-platform counts are projected as plain columns first, so the few
     higher-order steps at the end only read attributes.
     """
-    low = (spread(df) if spread_input else df).withColumn("_low", F.lower(F.col(html_col)))
+    low = df.withColumn("_low", F.lower(F.col(html_col)))
     items = _platform_count_cols("_low", dicts)
     counted = low.select("*", *[n.alias(c) for c, _, _, n in items])
     res = counted.withColumn(out, platforms_from_counts(F.col(html_col),
@@ -183,15 +171,13 @@ def _industry_count_cols(clean_col: str, dicts: Dictionaries) -> list:
 
 
 def detect_industries(df: DataFrame, text_col: str, out: str = "industries_conf",
-                      dicts: Dictionaries = DEFAULT, clean_col: str | None = None,
-                      spread_input: bool = True) -> DataFrame:
+                      dicts: Dictionaries = DEFAULT, clean_col: str | None = None) -> DataFrame:
     """Add ``out``: array<struct<label, confidence>>, confidence = n / max n, >= 0.15, top 5.
 
     The cleaned text and the 18 per-industry keyword counts are projected as
     plain columns (a ``contains`` guard skips the replace when a keyword is
     absent, the common case); the ranking then only reads those columns.
     """
-    df = spread(df) if spread_input else df
     src = df if clean_col else df.withColumn("_clean", clean_text(F.col(text_col)))
     items = _industry_count_cols(clean_col or "_clean", dicts)
     counted = src.select("*", *[n.alias(c) for c, _, _, n in items])
@@ -220,28 +206,40 @@ def industries_from_counts(counts: Column) -> Column:
 # H4 tags
 # ---------------------------------------------------------------------------
 
-def extract_tags(df: DataFrame, id_col: str, text_col: str, k: int = MAX_TAGS,
-                 dicts: Dictionaries = DEFAULT) -> DataFrame:
-    """(id, rank, tag, freq, confidence): top-k words per row.
+def with_top_words(df: DataFrame, clean_col: str, out: str, k: int, dicts: Dictionaries) -> DataFrame:
+    """Add ``out``: the k most frequent words of a cleaned text, array<struct<neg, pos, word>>.
 
-    Words: cleaned text split on whitespace, length >= 4, not a stopword.  Order:
-    frequency desc, then first occurrence.  confidence = round(min(1, 0.2 + 0.8 *
-    f / fmax), 2), rounded exactly as Python does.
+    Words: split on whitespace, length >= 4, not a stopword.  Order: frequency
+    desc (``neg`` is its negative), then first occurrence.  A word never leaves
+    its row: the words are sorted with their places, equal ones then stand
+    together, and the gap between run starts is the frequency.
     """
-    words = (spread(df).select(F.col(id_col), F.posexplode(py_split(clean_text(F.col(text_col))))
-                       .alias("pos", "word"))
-             .filter((F.length("word") >= MIN_TAG_LENGTH) & ~F.col("word").isin(list(dicts.stopwords))))
-    counted = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("freq"),
-                                                F.min("pos").alias("first_pos"))
-    w = Window.partitionBy(id_col).orderBy(F.col("freq").desc(), F.col("first_pos").asc())
-    top = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    wmax = Window.partitionBy(id_col).orderBy("rank")
-    top = top.withColumn("_fmax", F.first("freq").over(wmax))
-    raw = F.least(F.lit(1.0), F.lit(0.2) + F.lit(0.8) * (F.col("freq").cast("double")
-                                                         / F.col("_fmax").cast("double")))
-    return top.select(F.col(id_col), F.col("rank").cast("long").alias("rank"),
-                      F.col("word").alias("tag"), F.col("freq"),
-                      py_round(raw, 2).alias("confidence"))
+    stop = ", ".join(sql_str(w) for w in dicts.stopwords)
+    kept = f"length(lv_x.w) >= {MIN_TAG_LENGTH}" + (f" AND lv_x.w NOT IN ({stop})" if stop else "")
+    tmp = df.withColumn("_words", py_split(F.col(clean_col)))
+    tmp = tmp.withColumn("_sorted", F.expr(f"sort_array(filter(transform(_words, (lv_w, lv_i) -> struct(lv_w AS w, lv_i AS i)), lv_x -> {kept}))"))
+    tmp = tmp.withColumn("_starts", F.expr("if(size(_sorted) > 0, filter(sequence(0, size(_sorted) - 1), lv_i -> lv_i = 0 OR _sorted[lv_i].w <> _sorted[lv_i - 1].w), array())"))
+    runs = ("transform(_starts, (lv_s, lv_j) -> struct(lv_s - coalesce(get(_starts, lv_j + 1), size(_sorted)) AS neg, "
+            "_sorted[lv_s].i AS pos, _sorted[lv_s].w AS word))")
+    tmp = tmp.withColumn(out, F.expr(f"slice(sort_array({runs}), 1, {k})"))
+    return tmp.drop("_words", "_sorted", "_starts")
+
+
+def tag_confidence(neg: Column, top_neg: Column) -> Column:
+    """round(min(1, 0.2 + 0.8 * f / fmax), 2), rounded exactly as Python does."""
+    share = neg.cast("double") / top_neg.cast("double")
+    return py_round(F.least(F.lit(1.0), F.lit(0.2) + F.lit(0.8) * share), 2)
+
+
+def extract_tags(df: DataFrame, id_col: str, text_col: str, k: int = MAX_TAGS,
+                 dicts: Dictionaries = DEFAULT) -> DataFrame:
+    """(id, rank, tag, freq, confidence): top-k words per row, in one narrow stage (``with_top_words``)."""
+    rows = df.select(F.col(id_col), clean_text(F.col(text_col)).alias("_clean"))
+    rows = with_top_words(rows, "_clean", "_top", k, dicts)
+    top = rows.select(id_col, F.get("_top", F.lit(0))["neg"].alias("_fmax"), F.posexplode("_top").alias("_at", "_t"))
+    return top.select(F.col(id_col), (F.col("_at") + 1).cast("long").alias("rank"), F.col("_t.word").alias("tag"),
+                      (-F.col("_t.neg")).cast("long").alias("freq"),
+                      tag_confidence(F.col("_t.neg"), F.col("_fmax")).alias("confidence"))
 
 
 def pack_tags(tags: DataFrame, id_col: str) -> DataFrame:
@@ -259,17 +257,18 @@ def pack_tags(tags: DataFrame, id_col: str) -> DataFrame:
 # H5 colours
 # ---------------------------------------------------------------------------
 
-def with_colors(df: DataFrame, html_col: str, out: str = "colors", spread_input: bool = True) -> DataFrame:
+def with_colors(df: DataFrame, html_col: str, out: str = "colors", style_limit: int = STYLE_TEXT_LIMIT) -> DataFrame:
     """Add ``out`` = ``extract_colors`` of ``html_col`` (script-free HTML projected once)."""
-    tmp = (spread(df) if spread_input else df).withColumn("_nos", without_scripts(F.col(html_col)))
-    return tmp.withColumn(out, extract_colors(F.col("_nos"), bare=True)).drop("_nos")
+    tmp = df.withColumn("_nos", without_scripts(F.col(html_col)))
+    return tmp.withColumn(out, extract_colors(F.col("_nos"), bare=True, style_limit=style_limit)).drop("_nos")
 
 
-def extract_colors(html, bare: bool = False) -> Column:
+def extract_colors(html, bare: bool = False, style_limit: int = STYLE_TEXT_LIMIT) -> Column:
     """struct<primary, secondary>: first two distinct normalised hex colours.
 
     Order: first hex of each theme-color / msapplication-TileColor meta, then
-    style attributes, then style blocks (those two cut at 50,000 characters).
+    style attributes, then style blocks (those two cut at ``style_limit``
+    characters, 50,000 by the label rules).
     """
     h = _c(html) if bare else without_scripts(html)
     metas = F.filter(F.regexp_extract_all(h, F.lit(META_RE), 0),
@@ -281,7 +280,7 @@ def extract_colors(html, bare: bool = False) -> Column:
     blocks = F.regexp_extract_all(h, F.lit(STYLE_BODY_RE), 1)
     parts = F.concat(attrs, blocks)
     style_text = F.aggregate(parts, F.lit(""), lambda a, x: F.concat(a, F.lit(" "), x))
-    cut = F.substring(style_text, 1, STYLE_TEXT_LIMIT)
+    cut = F.substring(style_text, 1, style_limit)
     style_hex = F.regexp_extract_all(cut, F.lit(HEX_RE), 1)
     allhex = F.array_distinct(F.transform(F.concat(meta_hex, style_hex),
                                           lambda x: normalize_hex(F.concat(F.lit("#"), x))))
@@ -306,60 +305,31 @@ def enrich_pages(pages: DataFrame, dicts: Dictionaries = DEFAULT, as_of=None,
     Output: key, website_url, platform, industry, tags, platforms, industries,
     colors, tag_confidence, enrichment_signals, last_enriched_at.
 
-    Plan: one narrow stage parses each page once (text, platforms, industries,
-    colours, kept words).  Every page then emits one *label row* and one row per
-    kept word; both go through the same ``groupBy(page, word)`` (partial counts
-    before the shuffle).  Word groups are ranked per page with a window limit of
-    10, and a final ``groupBy(page)`` packs the label row and its top tags
-    together -- so the HTML is read and parsed once and nothing is joined back.
+    Plan: one narrow stage, no shuffle: every page is parsed once, and its words
+    are counted inside its row (``with_top_words``).
     """
-    ts = as_of_col(as_of)
-    base = with_page_text(
-        spread(pages).select(F.col(key), F.col(url_col).alias("website_url"),
-                             F.col(html_col).alias("_h")),
-        "_h", "_text", spread_input=False)
+    base = with_page_text(pages.select(F.col(key), F.col(url_col).alias("website_url"), F.col(html_col).alias("_h")), "_h", "_text")
     base = base.withColumn("_clean", clean_text(F.col("_text")))
-    lab = detect_platforms(base, "_h", "_p", dicts, spread_input=False)
-    lab = detect_industries(lab, "_text", "_i", dicts, clean_col="_clean", spread_input=False)
-    lab = with_colors(lab, "_h", "colors", spread_input=False)
-    label = F.struct(F.col("website_url"), F.col("_p"), F.col("_i"), F.col("colors"))
-    # position 0 is the page's label row; positions >= 1 are its words
-    slots = F.concat(F.array(F.lit(None).cast("string")), py_split(F.col("_clean")))
-    rows = (lab.select(F.col(key), label.alias("_lab"), F.posexplode(slots).alias("pos", "word"))
-            .filter((F.col("pos") == 0) | ((F.length("word") >= MIN_TAG_LENGTH)
-                                           & ~F.col("word").isin(list(dicts.stopwords))))
-            .select(F.col(key), "word", "pos",
-                    F.when(F.col("pos") == 0, F.col("_lab")).alias("lab")))
-    g = rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("freq"),
-                                      F.min("pos").alias("first_pos"),
-                                      F.first("lab", ignorenulls=True).alias("lab"))
-    # One window per page: the label row (word NULL) first, then words by
-    # frequency and first occurrence; keep it and the top 10 words.
-    w = Window.partitionBy(key).orderBy(F.col("word").isNotNull().asc(), F.col("freq").desc(),
-                                        F.col("first_pos").asc())
-    top = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TAGS + 1)
-    packed = top.groupBy(key).agg(
-        F.first("lab", ignorenulls=True).alias("lab"),
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(
-            F.col("rank"), F.col("word").alias("tag"), F.col("freq"))))).alias("_w"))
-    fmax = F.get(F.col("_w"), 0)["freq"].cast("double")
-    packed = packed.withColumn("_t", F.transform("_w", lambda x: F.struct(
-        x["tag"].alias("tag"),
-        py_round(F.least(F.lit(1.0), F.lit(0.2) + F.lit(0.8) * (x["freq"].cast("double") / fmax)), 2)
-        .alias("confidence"))))
+    lab = detect_platforms(base, "_h", "_p", dicts)
+    lab = detect_industries(lab, "_text", "_i", dicts, clean_col="_clean")
+    lab = with_colors(lab, "_h", "colors")
+    lab = with_top_words(lab, "_clean", "_top", MAX_TAGS, dicts)
+    top_neg = F.get("_top", F.lit(0))["neg"]
+    packed = lab.withColumn("_t", F.transform("_top", lambda x: F.struct(
+        x["word"].alias("tag"), tag_confidence(x["neg"], top_neg).alias("confidence"))))
     to_map = (lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["label"],
                                                                               x["confidence"]))))
-    p, i = F.col("lab._p"), F.col("lab._i")
+    p, i = F.col("_p"), F.col("_i")
     return packed.select(
-        F.col(key), F.col("lab.website_url").alias("website_url"),
+        F.col(key), "website_url",
         display_labels(p).alias("platform"),
         display_labels(i).alias("industry"),
         F.array_join(F.transform("_t", lambda x: x["tag"]), ", ").alias("tags"),
         F.transform(p, lambda x: x["label"]).alias("platforms"),
         F.transform(i, lambda x: x["label"]).alias("industries"),
-        F.col("lab.colors").alias("colors"),
+        "colors",
         F.map_from_entries(F.transform("_t", lambda x: F.struct(x["tag"], x["confidence"])))
         .alias("tag_confidence"),
         F.struct(to_map(p).alias("platform_scores"), to_map(i).alias("industry_scores"),
-                 F.col("lab.colors").alias("colors")).alias("enrichment_signals"),
-        ts.alias("last_enriched_at"))
+                 F.col("colors").alias("colors")).alias("enrichment_signals"),
+        as_of_col(as_of).alias("last_enriched_at"))

@@ -59,22 +59,32 @@ def apply_usage(sites: DataFrame, usage: DataFrame, site_col: str = "site_id", t
     """Fold a usage log into the catalog.
 
     last_used_at = latest of the stored value and the newest event; heat_score =
-    coalesce(stored, 0) + sum(amount).  Sites without events are unchanged.  The
+    coalesce(stored, 0) + sum(amount); heat stays where all amounts are NULL.  Sites
+    without events are unchanged.  The
     log is pre-aggregated per site (partial aggregation before the shuffle, so a
     site holding a large share of events costs one row per map task).
     """
     agg = (usage.groupBy(F.col(site_col).alias("_sid"))
-           .agg(F.max(ts_col).alias("_ts"), F.sum(amount_col).alias("_amt"),
-                F.count(F.lit(1)).alias("_n")))
+           .agg(F.max(ts_col).alias("_ts"), F.sum(amount_col).alias("_amt")))
     j = sites.join(agg, sites["id"] == agg["_sid"], "left")
     lu = F.greatest(F.col("last_used_at"), F.col("_ts"))
-    heat = F.when(F.col("_n").isNotNull(),
+    heat = F.when(F.col("_amt").isNotNull(),
                   F.coalesce(F.col("heat_score"), F.lit(0.0)) + F.col("_amt")).otherwise(F.col("heat_score"))
     cols = [lu.alias(c) if c == "last_used_at" else heat.alias(c) if c == "heat_score" else F.col(c)
             for c in sites.columns]
     return j.select(*cols)
 
 
+def usage_from_results(results: DataFrame, as_of=None, id_col: str = "id") -> DataFrame:
+    """Usage rows for the sites that a search returned: site_id, ts, amount.
+
+    Each returned site is touched once: its last use becomes ``as_of``, its
+    heat doesn't change (amount NULL).  Feed the rows to ``apply_usage``.
+    """
+    return (results.select(F.col(id_col).alias("site_id")).filter(F.col("site_id").isNotNull()).distinct()
+            .select("site_id", _as_of(as_of).alias("ts"), F.lit(None).cast("double").alias("amount")))
+
+
 def quota_buckets(sites: DataFrame, hot: float = 0.2, warm: float = 0.5, n: int | None = None,
                   seed: int | None = None) -> DataFrame:
     """Assign unseeded sites (heat NULL or 0) to hot / warm / cold by position.
@@ -85,8 +95,7 @@ def quota_buckets(sites: DataFrame, hot: float = 0.2, warm: float = 0.5, n: int
     Output: id, pos, bucket.
     """
     cand = sites.filter(F.col("heat_score").isNull() | (F.col("heat_score") == 0)).select("id")
-    order = [F.col("id").asc()] if seed is None else \
-        [F.xxhash64(F.col("id"), F.lit(seed)).asc(), F.col("id").asc()]
+    order = [F.col("id")] if seed is None else [F.xxhash64(F.col("id"), F.lit(seed)), F.col("id")]
     pos = global_positions(cand, order)
     total = cand.agg(F.count(F.lit(1)).alias("c")).select("c").scalar()
     req = F.lit(n).cast("long") if n is not None else total

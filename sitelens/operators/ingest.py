@@ -6,7 +6,7 @@ a new path (or a table format with MERGE).  Reports carry one row per batch row:
 ``row_no, website_url, outcome, error`` with outcome in inserted / updated /
 skipped / error.
 
-Batch duplicates are resolved with ``groupBy(url)`` + ``min_by`` / ``max_by``
+Batch duplicates are resolved with a minimum or maximum per URL
 (partial aggregation), never with a window over the URL, so a URL repeated in a
 third of the batch does not land in one task.  Target lookups are equi-joins on
 the URL; adaptive execution splits skewed join partitions.
@@ -116,9 +116,9 @@ def detect_import_mode(columns: list[str]) -> str:
 # row checks
 # ---------------------------------------------------------------------------
 
-def apply_batch_limit(batch: DataFrame, max_rows: int | None = MAX_UPLOAD_ROWS,
+def apply_batch_limit(batch: DataFrame, max_rows: int | None = None,
                       max_bytes: int | None = None) -> DataFrame:
-    """Upload limits.
+    """Upload limits, both off by default (an upload form passes MAX_UPLOAD_ROWS and MAX_UPLOAD_BYTES).
 
     Rows: keep data rows with row_no - 2 < max_rows; the rows after the limit
     are replaced by one error row (row number max_rows + 2).  Size: when the
@@ -196,35 +196,40 @@ def _site_rows(dec: DataFrame, as_of: Column) -> DataFrame:
 # D1 / D2 insert if absent
 # ---------------------------------------------------------------------------
 
-def _classify(batch: DataFrame, target: DataFrame, keep: str, mode: str) -> DataFrame:
+def _classify(batch: DataFrame, target: DataFrame, mode: str) -> DataFrame:
     """Add _url and outcome/error for insert-if-absent semantics.
 
-    Batch order is (source_file, row_no) when the batch comes from several
-    files (row numbers restart per file), else row_no.
+    The first copy of a URL without a JSON error (``_json_error``, if the batch
+    has that column) is inserted.  Batch order is (source_file, row_no) when the
+    batch comes from several files (row numbers restart per file), else row_no.
+    Rows without a URL don't take part in the joins, and of the target only the
+    batch's URLs.
     """
     b = batch.withColumn("_url", strip_ws(F.coalesce(F.col("website_url"), F.lit(""))))
     order = (F.struct(F.col("source_file"), F.col("row_no")) if "source_file" in batch.columns
-             else F.struct(F.col("row_no")))
-    b = b.withColumn("_order", order)
-    pick = F.min("_order") if keep == "first" else F.max("_order")
-    chosen = (b.filter(F.length("_url") > 0).groupBy("_url").agg(pick.alias("_chosen")))
-    existing = target.select(F.col("website_url").alias("_url")).filter(F.col("_url").isNotNull()) \
-        .distinct().withColumn("_exists", F.lit(True))
-    keys = chosen.join(existing, "_url", "left")
-    j = b.join(keys, "_url", "left")
+             else F.col("row_no"))
+    json_err = F.col("_json_error") if "_json_error" in b.columns else F.lit(None).cast("string")
     limit_err = F.col("_limit_error") if "_limit_error" in b.columns else F.lit(None).cast("string")
+    b = b.withColumn("_order", order)
+    named, blank = b.filter(F.length("_url") > 0), b.filter(F.length("_url") == 0)
+    urls = named.groupBy("_url").agg(F.min(F.when(json_err.isNull(), F.col("_order"))).alias("_chosen"))
+    existing = (target.select(F.col("website_url").alias("_url")).join(urls.select("_url"), "_url", "left_semi")
+                .distinct().withColumn("_exists", F.lit(True)))
+    j = named.join(urls.join(existing, "_url", "left"), "_url", "left").unionByName(blank, allowMissingColumns=True)
     exists = F.coalesce(F.col("_exists"), F.lit(False))
-    dup = F.col("_order") != F.col("_chosen")
+    dup = F.coalesce(F.col("_order") > F.col("_chosen"), F.lit(False))
     skip_kind = "error" if mode == "upload" else "skipped"
     outcome = (F.when(limit_err.isNotNull(), "error")
                .when(F.length("_url") == 0, "error")
                .when(exists, skip_kind)
                .when(dup, skip_kind)
+               .when(json_err.isNotNull(), "error")
                .otherwise("inserted"))
     error = (F.when(limit_err.isNotNull(), limit_err)
              .when(F.length("_url") == 0, F.lit(MSG_EMPTY_URL))
              .when(exists, F.lit(MSG_EXISTS))
-             .when(dup, F.lit(MSG_EXISTS if mode == "upload" else MSG_DUPLICATE)))
+             .when(dup, F.lit(MSG_EXISTS if mode == "upload" else MSG_DUPLICATE))
+             .otherwise(json_err))
     return j.withColumn("outcome", outcome).withColumn("error", error)
 
 
@@ -240,7 +245,7 @@ def insert_ignore(target: DataFrame, batch: DataFrame, as_of=None):
     ``batch``: row_no, website_url (+ any catalog columns).  Returns
     ``(new_target, report)``.
     """
-    c = _classify(batch, target, "first", "bulk")
+    c = _classify(batch, target, "bulk")
     ins = c.filter(F.col("outcome") == "inserted")
     new_rows = conform(ins.drop("website_url").withColumnRenamed("_url", "website_url")
                        .withColumn("id", site_id(F.col("website_url")))
@@ -256,10 +261,7 @@ def import_new_rows(target: DataFrame, batch: DataFrame, mode: str = "bulk", as_
     ``target`` only needs a ``website_url`` column (the existence check).
     """
     b = apply_batch_limit(batch, max_rows, max_bytes)
-    c = _decode(_classify(b, target, "first", mode), strict=(mode == "upload"))
-    c = (c.withColumn("outcome", F.when((F.col("outcome") == "inserted") & F.col("_json_error").isNotNull(),
-                                        F.lit("error")).otherwise(F.col("outcome")))
-         .withColumn("error", F.coalesce(F.col("error"), F.col("_json_error"))))
+    c = _classify(_decode(b, strict=(mode == "upload")), target, mode)
     new_rows = _site_rows(c.filter(F.col("outcome") == "inserted"), _as_of(as_of))
     return new_rows, _report(c)
 
@@ -304,19 +306,19 @@ UPSERT_COLUMNS = ["platform", "industry", "tags", "platforms", "industries", "co
 def upsert_sites(target: DataFrame, records: DataFrame, as_of=None):
     """Upsert enrichment records by URL: the 9 enrichment columns are replaced, all
     other catalog columns kept; new URLs are inserted.  When a URL repeats in
-    ``records`` the one with the largest ``row_no`` (else any) wins, as the last
-    write does.  Returns ``(new_target, report)``.
+    ``records`` the one with the largest ``row_no`` (unique, required) wins, as the
+    last write does.  Returns ``(new_target, report)``; the report has a row for
+    every record: inserted, updated, skipped (an older copy) or error (no URL).
     """
+    if "row_no" not in records.columns:
+        raise ValueError("upsert_sites needs a row_no column: it decides which copy of a URL wins")
     ts = _as_of(as_of)
-    recs = records if "row_no" in records.columns else records.withColumn(
-        "row_no", F.monotonically_increasing_id())
-    recs = recs.withColumn("_url", strip_ws(F.coalesce(F.col("website_url"), F.lit(""))))
-    recs = recs.filter(F.length("_url") > 0)
-    payload = F.struct(*[F.col(c).alias(c) for c in UPSERT_COLUMNS if c in recs.columns],
-                       F.col("row_no"))
-    last = (recs.groupBy("_url").agg(F.max_by(payload, F.col("row_no")).alias("_r"))
-            .select(F.col("_url").alias("website_url"), "_r"))
-    tgt = conform(target).withColumn("_in_target", F.lit(True))
+    recs = records.withColumn("_url", strip_ws(F.coalesce(F.col("website_url"), F.lit(""))))
+    named = recs.filter(F.length("_url") > 0)
+    newest = named.groupBy("_url").agg(F.max("row_no").alias("row_no"))
+    payload = F.struct(*[F.col(c).alias(c) for c in UPSERT_COLUMNS if c in recs.columns], F.col("row_no"))
+    last = named.join(newest, ["_url", "row_no"]).select(F.col("_url").alias("website_url"), payload.alias("_r"))
+    tgt = conform(target)
     j = tgt.join(last, "website_url", "full_outer")
     has_rec = F.col("_r").isNotNull()
     cols = []
@@ -337,14 +339,19 @@ def upsert_sites(target: DataFrame, records: DataFrame, as_of=None):
             cols.append(F.when(has_rec, ts).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    outcome = (F.when(~has_rec, F.lit(None))
-               .when(F.col("_in_target").isNull(), F.lit("inserted")).otherwise(F.lit("updated")))
-    out = j.select(*cols, outcome.alias("_outcome"), F.col("_r.row_no").alias("_row_no"))
-    new_target = out.drop("_outcome", "_row_no")
-    report = out.filter(F.col("_outcome").isNotNull()).select(
-        F.col("_row_no").alias("row_no"), "website_url", F.col("_outcome").alias("outcome"),
-        F.lit(None).cast("string").alias("error"))
-    return new_target, report
+    new_target = j.select(*cols)
+    known = (target.select(F.col("website_url").alias("_url")).join(newest.select("_url"), "_url", "left_semi")
+             .distinct().withColumn("_known", F.lit(True)))
+    state = newest.select("_url", F.col("row_no").alias("_newest")).join(known, "_url", "left")
+    rows = named.select("row_no", "_url").join(state, "_url", "left")
+    older = F.col("row_no") < F.col("_newest")
+    report = rows.select(
+        "row_no", F.col("_url").alias("website_url"),
+        F.when(older, "skipped").when(F.col("_known"), "updated").otherwise("inserted").alias("outcome"),
+        F.when(older, MSG_DUPLICATE).alias("error"))
+    blank = recs.filter(F.length("_url") == 0).select("row_no", F.col("_url").alias("website_url"),
+                                                      F.lit("error").alias("outcome"), F.lit(MSG_EMPTY_URL).alias("error"))
+    return new_target, report.unionByName(blank)
 
 
 # ---------------------------------------------------------------------------
@@ -407,8 +414,9 @@ def enrich_batch(requests: DataFrame, pages: DataFrame, dicts=None, as_of=None,
                  on_missing: str = "error"):
     """Validate -> normalise -> look up the crawled page -> enrich.
 
-    ``requests``: row_no, url.  ``pages``: url, html (the crawl; NULL or empty
-    html = failed fetch).  Returns ``(good, errors)``: good = enrichment records
+    ``requests``: row_no (unique), url.  ``pages``: url, html (the crawl; NULL or
+    empty html = failed fetch).  Of several crawls of one URL the latest counts:
+    the largest ``crawled_at``, else the largest ``page_id``, else the largest html.  Returns ``(good, errors)``: good = enrichment records
     (+ row_no); errors = row_no, url, error.  With ``on_missing='empty'`` a
     failed fetch still yields an (Unknown) record, as the offline tool does.
     """
@@ -419,8 +427,12 @@ def enrich_batch(requests: DataFrame, pages: DataFrame, dicts=None, as_of=None,
     r = requests.select("row_no", F.col("url").alias("_in"),
                         validate_url(F.col("url")).alias("_verr"),
                         normalize_url(F.col("url")).alias("_norm"))
-    p = pages.select(F.col("url").alias("_norm"), F.col("html").alias("_html"))
-    j = r.join(p, "_norm", "left")
+    valid, invalid = r.filter(F.col("_verr").isNull()), r.filter(F.col("_verr").isNotNull())
+    when = next((c for c in ("crawled_at", "page_id") if c in pages.columns), "html")
+    p = pages.select(F.col("url").alias("_norm"), F.col("html").alias("_html"), F.col(when).alias("_when"))
+    p = (p.join(valid.select("_norm").distinct(), "_norm", "left_semi").groupBy("_norm")
+         .agg(F.max_by("_html", F.struct("_when", "_html")).alias("_html")))
+    j = valid.join(p, "_norm", "left").unionByName(invalid, allowMissingColumns=True)
     fetched = F.col("_html").isNotNull() & (F.length("_html") > 0)
     err = (F.when(F.col("_verr").isNotNull(), F.col("_verr"))
            .when(~fetched & F.lit(on_missing == "error"),
@@ -432,3 +444,14 @@ def enrich_batch(requests: DataFrame, pages: DataFrame, dicts=None, as_of=None,
         "row_no", F.col("_norm").alias("url"), F.coalesce(F.col("_html"), F.lit("")).alias("html"))
     good = enrich_pages(ok, dicts=dicts, as_of=as_of, key="row_no")
     return good, errors
+
+
+def import_urls(target: DataFrame, requests: DataFrame, pages: DataFrame, dicts=None, as_of=None):
+    """A raw list of URLs into the catalog: validate, look up the crawl, enrich, upsert.
+
+    Returns ``(new_target, report)`` with one report row per request.
+    """
+    good, errors = enrich_batch(requests, pages, dicts=dicts, as_of=as_of)
+    new_target, done = upsert_sites(target, good, as_of=as_of)
+    failed = errors.select("row_no", F.col("url").alias("website_url"), F.lit("error").alias("outcome"), "error")
+    return new_target, done.unionByName(failed)

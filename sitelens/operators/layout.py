@@ -1,42 +1,48 @@
-"""Input layout for CPU-heavy operators."""
+"""Distributed positions in a total order."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when it has fewer partitions than cores.
 
-    CPU-heavy per-row work (HTML parsing, keyword counting, scoring) runs one task
-    per input partition; an input stored as a single file with one row group would
-    otherwise use one core.  On large inputs (more splits than cores) this is a
-    no-op, so no shuffle is added where parallelism already exists.
-    """
-    if df.isStreaming:  # micro-batches are partitioned by the source
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df._jdf.rdd().getNumPartitions()
-    return df.repartition(target) if n < target else df
+def _bounds(keyed: DataFrame, buckets: int) -> list:
+    """Key values that cut the rows into about equal parts, from a small hashed sample."""
+    some = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(32 * buckets)
+    got = [r["_key"] for r in some.orderBy("_key").collect()]
+    step = max(1, len(got) // buckets)
+    return got[step::step][: buckets - 1]
 
 
-def global_positions(df: DataFrame, order: list[Column], col: str = "pos") -> DataFrame:
-    """1-based position of every row in a total order, computed without a single task.
+def global_positions(df: DataFrame, order: list[Column], col: str = "pos", ranges: list[tuple[int, int]] | None = None,
+                     buckets: int = BUCKETS) -> DataFrame:
+    """1-based position of every row in the ascending order of the ``order`` expressions.
 
-    One range exchange and a sort within each partition; a row's index inside
-    its partition comes from ``monotonically_increasing_id`` (partition id in the
-    upper bits, row index in the lower 33), so no second shuffle is needed.
-    Each partition's row count forms a tiny table whose running sum gives the
-    partition's offset.  ``order`` must be a total order (end with a unique key).
+    The expressions must form a total order (end with a unique key); NULL comes
+    first.  A row's bucket is a function of its key alone: the number of literal
+    bounds, sampled once, that aren't above it.  So counts per bucket and rows
+    always agree, however often either is computed.  A running sum of the counts
+    gives each bucket's offset, and rows are numbered within their bucket.  With
+    ``ranges`` only rows at those (first, last) positions are returned, and
+    only the buckets that hold them are sorted.
     """
-    srt = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_local", F.monotonically_increasing_id()
-                       - F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.lit(1)))
-    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    return (srt.join(F.broadcast(offsets), "_pid")
-            .withColumn(col, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_off", "_local"))
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    types = [f.dataType for f in keyed.schema["_key"].dataType.fields]
+    cuts = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in _bounds(keyed, buckets)]
+    bucket = reduce(lambda a, b: a + b, [(F.col("_key") >= c).cast("int") for c in cuts], F.lit(0))
+    placed = keyed.withColumn("_bucket", bucket)
+    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))  # at most ``buckets`` rows
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    pos = (F.col("_off") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))).cast("long")
+    if ranges is not None:
+        within = [(F.col("_off") < hi) & (F.col("_off") + F.col("_cnt") >= lo) for lo, hi in ranges]
+        offsets = offsets.filter(reduce(lambda a, b: a | b, within))
+    out = placed.join(F.broadcast(offsets), "_bucket").withColumn(col, pos)
+    if ranges is not None:
+        out = out.filter(reduce(lambda a, b: a | b, [F.col(col).between(lo, hi) for lo, hi in ranges]))
+    return out.drop("_bucket", "_off", "_cnt", "_key")

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sitelens.functions.parse import epoch_micros
@@ -52,7 +53,8 @@ class _LimiterProcessor(StatefulProcessor):
     together; otherwise (a stream's micro-batch) one key's rows of the batch
     are sorted first."""
 
-    def __init__(self, max_n: int, window_us: int, presorted: bool = False):
+    def __init__(self, max_n: int, window_us: int, presorted: bool = False, keep: list[str] | None = None):
+        self.keep = keep  # the batch's own columns, carried through
         self.max_n = max_n
         self.window_us = window_us
         self.presorted = presorted
@@ -70,6 +72,9 @@ class _LimiterProcessor(StatefulProcessor):
             chunks = [pdf.sort_values(["ts_us", "event_id"], kind="stable")]
         for pdf in chunks:
             verdicts, kept = decide(pdf["ts_us"].tolist(), kept, self.max_n, self.window_us)
+            if self.keep is not None:
+                yield pdf[self.keep].assign(allowed=verdicts)
+                continue
             yield pd.DataFrame({"key": pdf["key"].astype(str).values,
                                 "event_id": pdf["event_id"].values,
                                 "ts_us": pdf["ts_us"].values, "allowed": verdicts})
@@ -81,32 +86,32 @@ class _LimiterProcessor(StatefulProcessor):
         pass
 
 
-def _prepared(requests: DataFrame, key: str, ts: str, event_id: str) -> DataFrame:
-    from pyspark.sql.types import TimestampNTZType
-    is_ntz = isinstance(requests.schema[ts].dataType, TimestampNTZType)
+def _prepared(requests: DataFrame, key: str, ts: str, event_id: str, more: list = ()) -> DataFrame:
+    is_ntz = isinstance(requests.schema[ts].dataType, T.TimestampNTZType)
     return requests.select(F.col(key).cast("string").alias("key"),
                            F.col(event_id).cast("long").alias("event_id"),
-                           epoch_micros(F.col(ts), is_ntz).alias("ts_us"))
+                           epoch_micros(F.col(ts), is_ntz).alias("ts_us"), *more)
 
 
 def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_id: str = "event_id",
                max_n: int = UPLOAD_LIMIT[0], window_s: float = UPLOAD_LIMIT[1]) -> DataFrame:
     """Batch limiter: requests + ``allowed``.
 
-    Verdicts are joined back on ``event_id``, which must identify an event
-    uniquely.
+    All columns travel through the state machine, so every row gets exactly one
+    verdict, also rows with a NULL or repeated event id.
     """
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     _ = spark.streams  # registers the state-store coordinator batch state needs
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prep = _prepared(requests, key, ts, event_id).repartition(parts, "key") \
-        .sortWithinPartitions("key", "ts_us", "event_id")
+    own = [f"own{i}" for i in range(len(requests.columns))]
+    prep = _prepared(requests, key, ts, event_id, [F.col(c).alias(o) for c, o in zip(requests.columns, own)])
+    prep = prep.repartition(parts, "key").sortWithinPartitions("key", "ts_us", "event_id")
+    schema = T.StructType([T.StructField(o, f.dataType) for o, f in zip(own, requests.schema)] + [T.StructField("allowed", T.BooleanType())])
     verdicts = prep.groupBy("key").transformWithStateInPandas(
-        _LimiterProcessor(max_n, int(window_s * 1_000_000), presorted=True), OUT_SCHEMA,
-        "Append", "None")
-    return requests.join(verdicts.select(F.col("event_id").alias(event_id), "allowed"), event_id)
+        _LimiterProcessor(max_n, int(window_s * 1_000_000), presorted=True, keep=own), schema, "Append", "None")
+    return verdicts.toDF(*requests.columns, "allowed")
 
 
 def rate_limit_stream(requests: DataFrame, key: str = "client", ts: str = "ts",

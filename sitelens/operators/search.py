@@ -14,15 +14,15 @@ Semantics (per query):
   recency and heat multipliers.  Rows scoring 0 are dropped; ties go by id.
 
 Plans: a single query is a filter + projection with its terms unrolled as plain
-expressions (no join, no Python).  Many queries are a broadcast nested-loop
-join with the (size-checked) query table as build side; the top-k per query is
-taken with ``row_number`` so Spark applies a partial group limit before the
-shuffle, which keeps a query that matches everything from skewing a task.
+expressions (no join, no Python).  Many queries meet the catalog in equi-joins on
+short pieces of text (direct matches) and on deletion variants (typos); the
+top-k per query is taken with ``row_number`` so Spark applies a partial group
+limit before the shuffle, which keeps a query that matches everything from
+skewing a task.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,20 +32,9 @@ from sitelens.dictionaries import DEFAULT, Dictionaries
 from sitelens.functions import (as_of_col, fuzzy_host, norm, tag_tokens, url_host,
                                 url_path)
 from sitelens.functions.text import sql_str
-from sitelens.operators.layout import global_positions, spread
-from sitelens.session import shared_dir
+from sitelens.operators.layout import global_positions
 
 PAGE_SIZE = 10
-ALL_RESULTS_CAP = 10_000
-# Pages ending beyond this many rows are ranked with distributed positions
-# instead of one top-k merge.
-TOP_K_MAX = 100_000
-# Largest query table broadcast in one piece; bigger tables are processed in
-# chunks of at most this many queries (each chunk broadcast on its own).
-MAX_BROADCAST_QUERIES = 200_000
-# From this many queries on, direct candidates come from a trigram index of the
-# catalog instead of testing every (query, site) pair.
-INDEX_MIN_QUERIES = 20_000
 
 
 # ---------------------------------------------------------------------------
@@ -81,12 +70,11 @@ def expand_terms_col(q: Column, dicts: Dictionaries = DEFAULT) -> Column:
 # score
 # ---------------------------------------------------------------------------
 
-def _prepare(sites: DataFrame, spread_input: bool = True) -> DataFrame:
+def _prepare(sites: DataFrame) -> DataFrame:
     """Add the normalised fields the score reads (computed once per site), in one
     projection."""
-    src = spread(sites) if spread_input else sites
     url_n = norm("website_url")
-    return src.select(
+    return sites.select(
         "*",
         norm("platform").alias("_plat_n"), norm("industry").alias("_ind_n"),
         url_host(url_n).alias("_host"), url_path(url_n).alias("_path"),
@@ -164,13 +152,6 @@ def _direct(terms: list[str]) -> Column:
     return F.expr(" OR ".join(_direct_one_sql(sql_str(t)) for t in terms))
 
 
-def _direct_unrolled(n_max: int, terms_col: str = "_terms") -> Column:
-    """Same test for a per-row term array, unrolled over its longest length."""
-    parts = [f"(get({terms_col}, {i}) IS NOT NULL AND {_direct_one_sql(f'get({terms_col}, {i})')})"
-             for i in range(n_max)]
-    return F.expr(" OR ".join(parts) if parts else "false")
-
-
 def _fuzzy(main: str) -> Column:
     """The whole query is within edit distance 2 of the host, platform or industry."""
     parts = [f"(length({f}) > 0 AND abs(length({main}) - length({f})) <= 6 "
@@ -203,8 +184,7 @@ def scored_candidates(sites: DataFrame, q: str, dicts: Dictionaries = DEFAULT,
     main = sql_str((q or "").strip().lower())
     # "no direct candidate at all" as an uncorrelated subquery: one cheap
     # filtered scan that stops at the first hit, evaluated once.
-    # (on the input as stored: no shuffle just to find one row)
-    has_direct = (_prepare(sites, spread_input=False).filter(direct)
+    has_direct = (base.filter(direct)
                   .select(F.lit(1).alias("one")).limit(1).exists())
     cand = base.filter(direct | (~has_direct & _fuzzy(main)))
     return (cand.select("*", _as_of(as_of).alias("_as_of"))
@@ -239,28 +219,28 @@ def search(sites: DataFrame, q: str, page: int = 1, page_size: int = PAGE_SIZE,
             .withColumn("has_next", (F.col("page") < F.col("total_pages"))
                         & (F.col("total_results") > page_size))
             .select("page", "total_pages", "total_results", "has_previous", "has_next"))
-    top = ranked_prefix(c, raw_page * page_size)
+    if raw_page == 1:
+        top = top_ranked(c, page_size)
+    else:  # page 1 comes along for a page that turns out to lie past the end
+        first = (raw_page - 1) * page_size
+        top = global_positions(c, [-F.col("score"), F.col("id")], "rank", [(1, page_size), (first + 1, first + page_size)])
+        top = top.filter(F.col("score") > 0)
     rows = (with_page_info(top, info.select("page"))
             .filter(F.floor((F.col("rank") - 1) / F.lit(page_size)) + 1 == F.col("page"))
             .drop("page"))
     return rows, info
 
 
-def ranked_prefix(c: DataFrame, n: int) -> DataFrame:
+def top_ranked(c: DataFrame, n: int) -> DataFrame:
     """Rows ranked 1..n by (score desc, id) among those with score > 0, with ``rank``.
 
-    Up to ``TOP_K_MAX`` rows: a distributed top-k (TakeOrderedAndProject), then
-    ranks over that bounded set.  Deeper: positions over the whole candidate
-    set with ``global_positions`` (no single-task merge).  Zero scores sort
-    last, so dropping them after ranking is exact.
+    A distributed top-k, then ranks over those n rows.  Zero scores sort last,
+    so dropping them after ranking is exact.  Any page but the first is found
+    with ``global_positions``, whatever its depth.
     """
     order = [F.col("score").desc(), F.col("id").asc()]
-    if n <= TOP_K_MAX:
-        top = c.orderBy(*order).limit(n).filter(F.col("score") > 0)
-        w = Window.orderBy(*order)
-        return top.withColumn("rank", F.row_number().over(w).cast("long"))
-    pos = global_positions(c, order, col="rank")
-    return pos.filter((F.col("rank") <= n) & (F.col("score") > 0))
+    top = c.orderBy(*order).limit(n).filter(F.col("score") > 0)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def with_page_info(rows: DataFrame, info: DataFrame) -> DataFrame:
@@ -273,12 +253,11 @@ def with_page_info(rows: DataFrame, info: DataFrame) -> DataFrame:
     return (rows.select("*", one).join(F.broadcast(info.select("*", one)), "_one").drop("_one"))
 
 
-def search_all(sites: DataFrame, q: str, limit: int = ALL_RESULTS_CAP,
+def search_all(sites: DataFrame, q: str, limit: int | None = None,
                dicts: Dictionaries = DEFAULT, as_of=None) -> DataFrame:
-    """All matches of one query in rank order, at most ``limit`` (the all-results view)."""
-    return (scored_candidates(sites, q, dicts, as_of)
-            .orderBy(F.col("score").desc(), "id").limit(max(0, limit))
-            .filter(F.col("score") > 0))
+    """All matches of one query in rank order (the all-results view); ``limit`` cuts the list where a caller wants that."""
+    found = ranked(sites, q, dicts, as_of).orderBy(F.col("score").desc(), "id")
+    return found if limit is None else found.limit(max(0, limit))
 
 
 # ---------------------------------------------------------------------------
@@ -291,133 +270,96 @@ def _query_terms(queries: DataFrame, dicts: Dictionaries) -> DataFrame:
     return q.filter(F.size("_terms") > 0)
 
 
-def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, n_max: int) -> DataFrame:
-    """Scored candidate pairs (query_id, id, _is_direct, score), lazily: a broadcast
-    nested-loop join of the prepared catalog with the query terms."""
-    direct = _direct_unrolled(n_max)
-    return (sites_p.join(F.broadcast(q), direct | _fuzzy("_main"))
-            .select("*", as_of.alias("_as_of"))
-            .select("query_id", "id", direct.alias("_is_direct"), score_terms_col().alias("score")))
-
-
-def _trigrams(c: Column) -> Column:
-    """Every 3-character piece of a string (none for shorter strings)."""
+def _pieces(c: Column) -> Column:
+    """Every piece of 1 to 3 characters of a string."""
     n = F.length(c)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2),
-                                      lambda i: F.substr(c, i, F.lit(3)))) \
-        .otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(size):
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
+                                             lambda i: F.substr(c, i, F.lit(size)))).otherwise(none)
+    return F.concat(of(1), of(2), of(3))
 
 
-def site_trigrams(sites_p: DataFrame) -> DataFrame:
-    """(gram, id): the distinct 3-character pieces of a site's lower-cased URL,
+def site_grams(sites_p: DataFrame) -> DataFrame:
+    """(gram, id): the distinct pieces of 1 to 3 characters of a site's lower-cased URL,
     platform, industry and tags -- the index of the direct-match join."""
     fields = [F.col("_url_l"), F.lower("platform"), F.lower("industry"), F.col("_tags_l")]
-    grams = F.array_distinct(F.concat(*[_trigrams(F.coalesce(f, F.lit(""))) for f in fields]))
+    grams = F.array_distinct(F.concat(*[_pieces(F.coalesce(f, F.lit(""))) for f in fields]))
     return sites_p.select("id", F.explode(grams).alias("gram"))
 
 
 def search_index(sites: DataFrame) -> DataFrame:
-    """The trigram index of a catalog, (gram, id), to store next to it and pass to
+    """The gram index of a catalog, (gram, id), to store next to it and pass to
     ``search_batch(index=...)`` so batch searches do not rebuild it."""
-    return site_trigrams(_prepare(sites))
+    return site_grams(_prepare(sites))
+
 
+def _deletions(c: str) -> Column:
+    """Every string that up to two deletions leave of a string column, itself included."""
+    one = "if(length({0}) > 0, transform(sequence(1, length({0})), {1} -> concat(substr({0}, 1, {1} - 1), substr({0}, {1} + 1))), array())"
+    first = one.format(c, "lv_i")
+    second = f"flatten(transform({first}, lv_s -> {one.format('lv_s', 'lv_j')}))"
+    return F.array_distinct(F.expr(f"concat(array({c}), {first}, {second})"))
 
-def batch_pairs_indexed(sites_p: DataFrame, q: DataFrame, as_of: Column,
-                        grams: DataFrame) -> DataFrame:
-    """Scored candidate pairs like ``batch_pairs``, found through the trigram index.
 
-    A term of 3+ characters can only occur in a field holding its first
-    trigram: an equi-join on that trigram, then an exact ``contains`` check,
-    gives exactly the direct pairs of such terms.  Shorter terms, and the typo
-    fallback of queries without any direct pair, are tested against every site
-    (broadcast loop over a chunk-bounded query set).  Cost grows with the
-    matches instead of queries x sites.
+def _near_values(sites_p: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, id): sites with a host, platform or industry within two edits of the whole query.
+
+    Two strings within two edits share a string that up to two deletions leave of
+    each.  The distinct values and the queries meet in an equi-join on those; the
+    bounded edit distance then decides.
+    """
+    fields = F.array("_fhost", "_plat_n", "_ind_n")
+    used = sites_p.select("id", F.explode(F.array_distinct(F.filter(fields, lambda v: F.length(v) > 0))).alias("value"))
+    values = used.select("value").distinct()
+    longest = values.agg(F.coalesce(F.max(F.length("value")), F.lit(0)).alias("n")).select("n").scalar()
+    left = values.select("value", F.explode(_deletions("value")).alias("rest"))
+    right = q.filter(F.length("_main") <= longest + 2).select("query_id", "_main", F.explode(_deletions("_main")).alias("rest"))
+    near = (left.join(right, "rest").select("value", "query_id", "_main").distinct()
+            .filter(F.expr("levenshtein(_main, value, 2) >= 0")))
+    return near.join(used, "value").select("query_id", "id").distinct()
+
+
+def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, grams: DataFrame) -> DataFrame:
+    """Scored candidate pairs (query_id, id, _is_direct, score), found through the gram index.
+
+    A term can only occur in a field that holds its first three characters (all
+    of them, if it is shorter): an equi-join on that piece, then an exact
+    ``contains`` check, gives exactly the direct pairs.  Queries without any go to
+    the typo fallback, an equi-join too.  Cost grows with the matches, never
+    with queries x sites.
     """
     terms = q.select("query_id", F.explode("_terms").alias("t"))
     fields = sites_p.select("id", "_url_l", "platform", "industry", "_tags_l")
-    direct_t = F.expr(_direct_one_sql("t"))
-    long_t = terms.filter(F.length("t") >= 3).withColumn("gram", F.substr("t", F.lit(1), F.lit(3)))
-    via_index = (grams.join(long_t, "gram").select("query_id", "id", "t")
-                 .join(fields, "id").filter(direct_t).select("query_id", "id"))
-    short_t = terms.filter(F.length("t") < 3)
-    via_loop = fields.join(F.broadcast(short_t), direct_t).select("query_id", "id")
-    direct = via_index.unionByName(via_loop).distinct().withColumn("_is_direct", F.lit(True))
+    keyed = terms.withColumn("gram", F.substr("t", F.lit(1), F.lit(3)))
+    direct = (grams.join(keyed, "gram").select("query_id", "id", "t").join(fields, "id")
+              .filter(F.expr(_direct_one_sql("t"))).select("query_id", "id").distinct())
     no_direct = q.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    fuzzy = (sites_p.join(F.broadcast(no_direct), _fuzzy("_main"))
-             .select("query_id", "id", F.lit(False).alias("_is_direct")))
-    cand = direct.unionByName(fuzzy)
-    return (cand.join(sites_p, "id").join(F.broadcast(q), "query_id")
-            .select("*", as_of.alias("_as_of"))
+    cand = (direct.withColumn("_is_direct", F.lit(True))
+            .unionByName(_near_values(sites_p, no_direct).withColumn("_is_direct", F.lit(False))))
+    return (cand.join(sites_p, "id").join(q, "query_id").select("*", as_of.alias("_as_of"))
             .select("query_id", "id", "_is_direct", score_terms_col().alias("score")))
 
 
-def _batch_chunk(sites_p: DataFrame, q: DataFrame, k: int, as_of: Column, n_max: int,
-                 grams: DataFrame | None = None) -> DataFrame:
-    """Top-k rows and totals of one chunk of queries: query_id, id, rank, score, total_results.
-
-    The scored pairs are cut down to four small columns and checkpointed to the
-    shared folder (``spark.checkpoint.dir``): the top-k window and the totals
-    aggregate both read that table, so candidates are generated and scored
-    once, and a lost executor does not force the scoring to run again.
-    """
-    pairs = (batch_pairs(sites_p, q, as_of, n_max) if grams is None
-             else batch_pairs_indexed(sites_p, q, as_of, grams))
-    shared_dir(sites_p.sparkSession)
-    pairs = pairs.checkpoint(eager=True)
-    order = [F.col("_is_direct").desc(), F.col("score").desc(), F.col("id").asc()]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    top = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    # Within the bounded top-k: direct rows come first, so rank 1 tells whether
-    # the query had any direct candidate (then fuzzy-only rows are dropped).
-    wq = Window.partitionBy("query_id").orderBy("_rn")
-    top = (top.withColumn("_any_direct", F.first("_is_direct").over(wq))
-           .filter((F.col("score") > 0) & (F.col("_is_direct") | ~F.col("_any_direct"))))
-    top = top.withColumn("rank", F.row_number().over(wq).cast("long"))
-    totals = (pairs.groupBy("query_id")
-              .agg(F.max("_is_direct").alias("_any"),
-                   F.count_if(F.col("_is_direct") & (F.col("score") > 0) & F.col("id").isNotNull())
-                   .alias("_nd"),
-                   F.count_if(F.col("score") > 0).alias("_na"))
-              .select("query_id", F.when(F.col("_any"), F.col("_nd")).otherwise(F.col("_na"))
-                      .alias("total_results")))
-    return top.select("query_id", "id", "rank", "score").join(totals, "query_id")
-
-
 def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
-                 dicts: Dictionaries = DEFAULT, as_of=None, strategy: str = "auto",
-                 index: DataFrame | None = None) -> DataFrame:
+                 dicts: Dictionaries = DEFAULT, as_of=None, index: DataFrame | None = None) -> DataFrame:
     """Top ``k`` results of every query in ``queries(query_id, q)``.
 
-    Output: query_id, rank, the site columns, score, total_results.
-    ``strategy``: 'loop' tests every (query, site) pair; 'index' finds direct
-    candidates through a trigram index; 'auto' uses the index from
-    ``INDEX_MIN_QUERIES`` queries on.  Both give the same rows.  ``index``: a
-    stored ``search_index(sites)`` (it must belong to the same catalog); built
-    and checkpointed per call when absent.
+    Output: query_id, rank, the site columns, score, total_results.  ``index``:
+    a stored ``search_index(sites)`` (it must belong to the same catalog); built
+    in the same job when absent.  The top-k window cuts every query to k rows
+    before its shuffle and the totals are partial counts, so no pair is stored or
+    shuffled after scoring.
     """
     cols = sites.columns
-    as_of_c = _as_of(as_of)
     sites_p = _prepare(sites)
-    q = _query_terms(queries, dicts)
-    # size check of the broadcast side, and the longest term list (for unrolling)
-    st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_terms")).alias("m")).first()
-    n, n_max = st["n"], (st["m"] or 0)
-    chunks = max(1, math.ceil(n / MAX_BROADCAST_QUERIES))
-    use_index = strategy == "index" or (strategy == "auto" and n >= INDEX_MIN_QUERIES)
-    grams = None
-    if use_index and index is not None:
-        grams = index.select("gram", "id")
-    elif use_index:  # built once, written to the shared folder, read by every chunk
-        shared_dir(sites.sparkSession)
-        grams = site_trigrams(sites_p).checkpoint(eager=True)
-    parts = []
-    for i in range(chunks):
-        qi = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
-        parts.append(_batch_chunk(sites_p, qi, k, as_of_c, n_max, grams))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # top-k rows are at most k per (size-checked) query; fetch their site columns
+    grams = site_grams(sites_p) if index is None else index.select("gram", "id")
+    kept = batch_pairs(sites_p, _query_terms(queries, dicts), _as_of(as_of), grams).filter(F.col("score") > 0)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
+    top = kept.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    totals = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
+    out = top.select("query_id", "id", "rank", "score").join(totals, "query_id")
     return out.join(sites, "id").select("query_id", "rank", *cols, "score", "total_results")
 
 
@@ -435,12 +377,10 @@ def heat_leaderboard(sites: DataFrame, limit: int = 10, offset: int = 0) -> Data
                       .alias("total_positive_or_null"))
     off = max(0, offset)
     end = off + max(0, limit)
-    order = [F.col("heat_score").desc_nulls_first(), F.col("id").asc()]
-    if end <= TOP_K_MAX:
+    if off == 0:
+        order = [F.col("heat_score").desc_nulls_first(), F.col("id").asc()]
         page = sites.orderBy(*order).limit(end)
-        w = Window.orderBy(*order)
-        page = page.withColumn("rank", F.row_number().over(w).cast("long"))
+        page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     else:
-        page = global_positions(sites, order, col="rank")
-    page = page.filter((F.col("rank") > off) & (F.col("rank") <= end))
+        page = global_positions(sites, [-F.col("heat_score"), F.col("id")], "rank", [(off + 1, end)])
     return with_page_info(page, total)

@@ -14,8 +14,6 @@ from sitelens.functions import norm, strip_ws
 
 MIN_PARTIAL = 2
 DEFAULT_K = 5
-# Largest prefix table broadcast in one piece.
-MAX_BROADCAST_PREFIXES = 200_000
 
 
 def label_values(sites: DataFrame) -> DataFrame:
@@ -51,20 +49,17 @@ def suggest_batch(sites: DataFrame, prefixes: DataFrame, k: int = DEFAULT_K,
                   col: str = "prefix") -> DataFrame:
     """Top ``k`` suggestions for every row of ``prefixes``: prefix, rank, value, n.
 
-    Values are counted once over the catalog; only the distinct values are then
-    matched against the (size-checked, broadcast) prefix table, and the top-k per
-    prefix uses a window limit.
+    Values are counted once over the catalog.  A prefix can only occur in a value
+    that holds its first two characters: an equi-join on those, then the exact
+    ``contains`` check.  The top-k per prefix uses a window limit.
     """
     counts = value_counts(sites)
-    ps = prefixes.select(F.col(col).alias("prefix"), norm(F.col(col)).alias("_p")) \
-        .filter(F.length("_p") >= MIN_PARTIAL)
-    n = ps.count()  # size check for the broadcast side
-    chunks = max(1, -(-n // MAX_BROADCAST_PREFIXES))
-    pairs = None
-    for i in range(chunks):
-        pi = ps if chunks == 1 else ps.filter(F.pmod(F.xxhash64("prefix"), F.lit(chunks)) == i)
-        part = counts.join(F.broadcast(pi), F.col("value_norm").contains(F.col("_p")))
-        pairs = part if pairs is None else pairs.unionByName(part)
+    n = F.length("value_norm")
+    pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr("value_norm", i, F.lit(2)))
+    counts = counts.select("*", F.explode(F.array_distinct(pairs_of)).alias("_gram"))
+    ps = prefixes.select(F.col(col).alias("prefix"), norm(F.col(col)).alias("_p")).filter(F.length("_p") >= MIN_PARTIAL)
+    ps = ps.withColumn("_gram", F.substr("_p", F.lit(1), F.lit(2)))
+    pairs = counts.join(ps, "_gram").filter(F.col("value_norm").contains(F.col("_p")))
     w = Window.partitionBy("prefix").orderBy(F.col("n").desc(), F.col("value").asc())
     return (pairs.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k).select("prefix", "rank", "value", "n"))

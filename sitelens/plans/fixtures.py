@@ -21,8 +21,12 @@ FUTURE_USE_DAYS = 10          # ids with id % 50 = 7 were "used" 10 days after A
 SEEDED_AT = "2001-12-01T00:00:00Z"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A driver table.  ``wide``: the caller does much work per row, so a plain scan with
+    fewer splits than the cluster has cores is dealt out (no job runs to find out)."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if wide and rows.rdd.getNumPartitions() < cores else rows
 
 
 def as_of_col():
@@ -103,7 +107,7 @@ DOC_SEEDS = [
 
 
 def pages_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages", wide=True)
     m = F.pmod(F.col("page_id"), F.lit(8))
     ins = F.element_at(F.array(*[F.lit(s) for s in PAGE_SEEDS]), (m + 1).cast("int"))
     html = F.when(m == FAILED_FETCH_MOD, F.lit("")).otherwise(
@@ -112,7 +116,7 @@ def pages_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", wide=True)
     m = F.pmod(F.col("doc_id"), F.lit(6))
     phrase = F.element_at(F.array(*[F.lit(s) for s in DOC_SEEDS]), (m + 1).cast("int"))
     text = F.when(F.length(phrase) > 0, F.concat(F.col("text"), F.lit(" "), phrase)) \
@@ -156,7 +160,8 @@ def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(pid, F.lit(19)) == 0, F.lit("not-a-time"))
         .otherwise(F.concat(F.lit("2001-12-"), day, F.lit("T10:00:00Z"))).alias("last_enriched_at"))
     repeats = rows.filter(F.pmod(F.col("page_id"), F.lit(7)) == 0) \
-        .withColumn("row_no", F.col("row_no") + REPEAT_ROW_OFFSET)
+        .withColumn("row_no", F.col("row_no") + REPEAT_ROW_OFFSET) \
+        .withColumn("platforms", F.concat(F.lit('["'), F.col("platform"), F.lit('"]')))  # a bad copy is followed by a good one
     return rows.unionByName(repeats)
 
 
@@ -177,9 +182,8 @@ def import_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag feedback for every 5th page; every 4th of those has an unknown URL, every
-    7th of those blank tags."""
-    p = table(spark, sf_dir, "pages").filter(F.pmod(F.col("page_id"), F.lit(5)) == 0)
+    """Tag feedback for every page; every 20th has an unknown URL, every 35th blank tags."""
+    p = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     url = F.when(F.pmod(pid, F.lit(20)) == 0, F.concat(F.col("url"), F.lit("/unknown"))) \
         .otherwise(F.concat(F.lit(" "), F.col("url")))

@@ -30,7 +30,8 @@ def import_batch_cte() -> str:
   FROM pages),
 import_batch AS (
   SELECT * FROM ib0 UNION ALL
-  SELECT * REPLACE (row_no + {FX.REPEAT_ROW_OFFSET} AS row_no) FROM ib0 WHERE page_id % 7 = 0)"""
+  SELECT * REPLACE (row_no + {FX.REPEAT_ROW_OFFSET} AS row_no, '["' || platform || '"]' AS platforms)
+  FROM ib0 WHERE page_id % 7 = 0)"""
 
 
 def import_target_cte() -> str:
@@ -49,7 +50,7 @@ def feedback_cte() -> str:
     CASE WHEN page_id % 35 = 0 THEN '   ' ELSE 'tag' || CAST(page_id AS VARCHAR) || ', extra ' END
       AS suggested_tags,
     {AS_OF_SQL} + to_seconds(page_id) AS created_at
-  FROM pages WHERE page_id % 5 = 0)"""
+  FROM pages)"""
 
 
 def url_requests_cte() -> str:

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.dictionaries import DEFAULT, Dictionaries
+from sitelens.operators import heat as H
 from sitelens.operators import search as S
 from sitelens.plans import fixtures as FX
 from sitelens.plans import oracles as O
+from sitelens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,14 +149,54 @@ def q_search_batch(spark, sf_dir):
 
 @register("search_batch_index", _batch_sql())
 def q_search_batch_index(spark, sf_dir):
-    """The same batch search through the trigram-index strategy."""
+    """The same batch search with a stored index."""
     sites = FX.sites(spark, sf_dir)
+    path = scratch_path(spark, "search-index")
+    S.search_index(sites).write.parquet(path)
     out = S.search_batch(sites, _batch_queries_spark(spark, sf_dir), k=10, as_of=FX.AS_OF,
-                         strategy="index")
+                         index=spark.read.parquet(path))
     return out.select("query_id", "rank", "id", "website_url", _r6(F.col("score")).alias("score"),
                       "total_results")
 
 
+@register("search_touch", f"""WITH {O.sites_cte()}, found AS ({_batch_sql()}),
+touched AS (SELECT DISTINCT id FROM found)
+SELECT sites.id, CASE WHEN touched.id IS NOT NULL THEN greatest(last_used_at, {O.AS_OF_SQL}) ELSE last_used_at END
+  AS last_used_at, heat_score FROM sites LEFT JOIN touched ON touched.id = sites.id""")
+def q_search_touch(spark, sf_dir):
+    sites = FX.sites(spark, sf_dir)
+    found = S.search_batch(sites, _batch_queries_spark(spark, sf_dir), k=10, as_of=FX.AS_OF)
+    out = H.apply_usage(sites, H.usage_from_results(found, as_of=FX.AS_OF))
+    return out.select("id", "last_used_at", "heat_score")
+
+
+DEEP_PAGE = 7
+
+
+@register("search_deep_page", O.search_rows_sql("small", DEEP_PAGE))
+def q_search_deep_page(spark, sf_dir):
+    return _page_rows(spark, sf_dir, "small", DEEP_PAGE)
+
+
+@register("search_all", f"""WITH {O.sites_cte()}, {O.prepared_cte()}, {O.scored_cte("small", DEFAULT)}
+SELECT id, website_url, {O.r6('score')} AS score FROM scored WHERE score > 0""")
+def q_search_all(spark, sf_dir):
+    out = S.search_all(FX.sites(spark, sf_dir), "small", as_of=FX.AS_OF)
+    return out.select("id", "website_url", _r6(F.col("score")).alias("score"))
+
+
+@register("heat_deep_page", f"""WITH {O.sites_cte()},
+t AS (SELECT count(*) FILTER (WHERE heat_score > 0 OR heat_score IS NULL) AS total_positive_or_null
+      FROM sites),
+r AS (SELECT id, website_url, heat_score,
+             row_number() OVER (ORDER BY heat_score DESC NULLS FIRST, id) AS rank FROM sites)
+SELECT CAST(rank AS BIGINT) AS rank, id, website_url, heat_score, total_positive_or_null
+FROM r, t WHERE rank > 90 AND rank <= 140""")
+def q_heat_deep_page(spark, sf_dir):
+    out = S.heat_leaderboard(FX.sites(spark, sf_dir), limit=50, offset=90)
+    return out.select("rank", "id", "website_url", "heat_score", "total_positive_or_null")
+
+
 @register("heat_leaderboard", f"""WITH {O.sites_cte()},
 t AS (SELECT count(*) FILTER (WHERE heat_score > 0 OR heat_score IS NULL) AS total_positive_or_null
       FROM sites),

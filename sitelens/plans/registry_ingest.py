@@ -40,13 +40,6 @@ def arr_str_sql(a: str) -> str:
     return f"coalesce(array_to_string({a}, '|'), '')"
 
 
-CLASSIFY_SQL = f"""b AS (SELECT *, {O.strip_ws("coalesce(website_url, '')")} AS _url FROM import_batch),
-chosen AS (SELECT _url, min(row_no) AS _chosen FROM b WHERE length(_url) > 0 GROUP BY _url),
-ex AS (SELECT DISTINCT website_url AS _url, true AS _exists FROM import_target
-       WHERE website_url IS NOT NULL),
-j AS (SELECT b.*, chosen._chosen, coalesce(ex._exists, false) AS _ex
-      FROM b LEFT JOIN chosen USING (_url) LEFT JOIN ex USING (_url))"""
-
 JSON_COLS = ["platforms", "industries", "colors", "tag_confidence", "enrichment_signals"]
 
 
@@ -57,22 +50,32 @@ def _json_error_sql() -> str:
     return f"CASE {parts} END"
 
 
+def _classify_sql(mode: str, batch: str = "import_batch") -> str:
+    jerr = _json_error_sql() if mode == "upload" else "NULL"
+    return f"""b AS (SELECT *, {O.strip_ws("coalesce(website_url, '')")} AS _url, {jerr} AS _jerr FROM {batch}),
+chosen AS (SELECT _url, min(row_no) FILTER (WHERE _jerr IS NULL) AS _chosen FROM b WHERE length(_url) > 0 GROUP BY _url),
+ex AS (SELECT DISTINCT website_url AS _url, true AS _exists FROM import_target
+       WHERE website_url IS NOT NULL),
+j AS (SELECT b.*, chosen._chosen, coalesce(ex._exists, false) AS _ex
+      FROM b LEFT JOIN chosen USING (_url) LEFT JOIN ex USING (_url))"""
+
+
 def _report_sql(mode: str) -> str:
     skip = "'error'" if mode == "upload" else "'skipped'"
     dup_msg = "'Site already exists'" if mode == "upload" else "'Duplicate in batch'"
-    jerr = _json_error_sql() if mode == "upload" else "NULL"
-    return f"""r0 AS (SELECT row_no, _url AS website_url,
-  CASE WHEN length(_url) = 0 THEN 'error' WHEN _ex THEN {skip} WHEN row_no <> _chosen THEN {skip}
-       ELSE 'inserted' END AS outcome,
+    return f"""report AS (SELECT row_no, _url AS website_url,
+  CASE WHEN length(_url) = 0 THEN 'error' WHEN _ex THEN {skip} WHEN row_no > _chosen THEN {skip}
+       WHEN _jerr IS NOT NULL THEN 'error' ELSE 'inserted' END AS outcome,
   CASE WHEN length(_url) = 0 THEN 'Empty URL' WHEN _ex THEN 'Site already exists'
-       WHEN row_no <> _chosen THEN {dup_msg} END AS error, {jerr} AS _jerr, *
-  FROM j),
-report AS (SELECT row_no, website_url,
-  CASE WHEN outcome = 'inserted' AND _jerr IS NOT NULL THEN 'error' ELSE outcome END AS outcome,
-  coalesce(error, _jerr) AS error FROM r0)"""
+       WHEN row_no > _chosen THEN {dup_msg} ELSE _jerr END AS error
+  FROM j)"""
 
 
-HEAD = f"WITH {OI.import_batch_cte()}, {OI.import_target_cte()}, {CLASSIFY_SQL}"
+def _head(mode: str = "bulk", batch: str = "import_batch", more: str = "") -> str:
+    return f"WITH {OI.import_batch_cte()}, {OI.import_target_cte()}, {more}{_classify_sql(mode, batch)}"
+
+
+HEAD = _head()
 
 
 def _batch_and_target(spark, sf_dir):
@@ -86,7 +89,7 @@ def q_import_report(spark, sf_dir):
     return I.import_enriched(t, b, mode="bulk", as_of=FX.AS_OF)[1]
 
 
-@register("import_upload_report", f"""{HEAD}, {_report_sql('upload')}
+@register("import_upload_report", f"""{_head('upload')}, {_report_sql('upload')}
 SELECT row_no, website_url, outcome, error FROM report""")
 def q_import_upload_report(spark, sf_dir):
     t, b = _batch_and_target(spark, sf_dir)
@@ -102,7 +105,7 @@ def q_import_stats(spark, sf_dir):
     return I.import_stats(I.import_enriched(t, b, mode="bulk", as_of=FX.AS_OF)[1])
 
 
-@register("import_errors", f"""{HEAD}, {_report_sql('upload')}
+@register("import_errors", f"""{_head('upload')}, {_report_sql('upload')}
 SELECT row_no AS row, website_url AS url, error FROM report WHERE outcome = 'error'""")
 def q_import_errors(spark, sf_dir):
     t, b = _batch_and_target(spark, sf_dir)
@@ -160,7 +163,7 @@ def q_upsert_sites(spark, sf_dir):
         .withColumn("industries", SF.decode_json_array(F.col("industries"))) \
         .drop("colors", "tag_confidence", "enrichment_signals", "last_enriched_at")
     new_target, report = I.upsert_sites(t, recs, as_of=FX.AS_OF)
-    rep = report.select("website_url", "outcome")
+    rep = report.filter("outcome in ('inserted', 'updated')").select("website_url", "outcome")
     out = new_target.join(rep, "website_url", "left")
     return out.select("website_url", "platform", "industry", "heat_score",
                       F.try_element_at("site_metadata", F.lit("owner")).alias("owner"),
@@ -168,6 +171,32 @@ def q_upsert_sites(spark, sf_dir):
                       "last_enriched_at", "created_at", "outcome")
 
 
+@register("upsert_report", f"""WITH {OI.import_batch_cte()}, {OI.import_target_cte()},
+b AS (SELECT row_no, {O.strip_ws("coalesce(website_url, '')")} AS _url FROM import_batch),
+n AS (SELECT _url, max(row_no) AS newest FROM b WHERE length(_url) > 0 GROUP BY _url)
+SELECT row_no, b._url AS website_url,
+  CASE WHEN length(b._url) = 0 THEN 'error' WHEN row_no < newest THEN 'skipped'
+       WHEN b._url IN (SELECT website_url FROM import_target) THEN 'updated' ELSE 'inserted' END AS outcome,
+  CASE WHEN length(b._url) = 0 THEN 'Empty URL' WHEN row_no < newest THEN 'Duplicate in batch' END AS error
+FROM b LEFT JOIN n ON n._url = b._url""")
+def q_upsert_report(spark, sf_dir):
+    t, b = _batch_and_target(spark, sf_dir)
+    return I.upsert_sites(t, b.select("row_no", "website_url", "platform"), as_of=FX.AS_OF)[1]
+
+
+LIMIT_ROWS = 50
+
+
+@register("import_limits", f"""{_head(batch='limited', more=f'limited AS (SELECT * FROM import_batch WHERE row_no < {LIMIT_ROWS + 2}), ')},
+{_report_sql('bulk')}
+SELECT row_no, website_url, outcome, error FROM report
+UNION ALL SELECT DISTINCT {LIMIT_ROWS + 2}, '', 'error', 'CSV exceeds 500-row limit' FROM import_batch
+WHERE row_no >= {LIMIT_ROWS + 2}""")
+def q_import_limits(spark, sf_dir):
+    t, b = _batch_and_target(spark, sf_dir)
+    return I.import_enriched(t, b, mode="bulk", as_of=FX.AS_OF, max_rows=LIMIT_ROWS)[1]
+
+
 @register("resolve_feedback", f"""WITH {OI.feedback_cte()}, {OI.import_target_cte()},
 f AS (SELECT *, {O.strip_ws("coalesce(website_url, '')")} AS _url,
              {O.strip_ws("coalesce(suggested_tags, '')")} AS _tags FROM feedback)
@@ -260,6 +289,34 @@ def q_enrich_batch(spark, sf_dir):
         "page_id", "row_no")
 
 
+IMPORT_URLS_SQL = f"""{EB_HEAD}, {OI.import_target_cte()},
+ok AS (SELECT row_no, {O.strip_ws('_norm')} AS _url FROM k WHERE _err IS NULL),
+n AS (SELECT _url, max(row_no) AS newest FROM ok GROUP BY _url),
+t AS (SELECT DISTINCT website_url FROM import_target)"""
+
+
+@register("import_urls_report", f"""{IMPORT_URLS_SQL}
+SELECT row_no, _in AS website_url, 'error' AS outcome, _err AS error FROM k WHERE _err IS NOT NULL
+UNION ALL
+SELECT row_no, ok._url, CASE WHEN row_no < newest THEN 'skipped' WHEN t.website_url IS NOT NULL THEN 'updated'
+  ELSE 'inserted' END, CASE WHEN row_no < newest THEN 'Duplicate in batch' END
+FROM ok JOIN n ON n._url = ok._url LEFT JOIN t ON t.website_url = ok._url""")
+def q_import_urls_report(spark, sf_dir):
+    return I.import_urls(FX.import_target(spark, sf_dir), FX.url_requests(spark, sf_dir),
+                         FX.pages_seeded(spark, sf_dir), as_of=FX.AS_OF)[1]
+
+
+@register("import_urls", f"""{IMPORT_URLS_SQL}
+SELECT coalesce(it.website_url, n._url) AS website_url, it.heat_score,
+  CASE WHEN n._url IS NOT NULL THEN {O.AS_OF_SQL} END AS last_enriched_at,
+  coalesce(it.created_at, {O.AS_OF_SQL}) AS created_at
+FROM import_target it FULL OUTER JOIN n ON n._url = it.website_url""")
+def q_import_urls(spark, sf_dir):
+    new_target, _ = I.import_urls(FX.import_target(spark, sf_dir), FX.url_requests(spark, sf_dir),
+                                  FX.pages_seeded(spark, sf_dir), as_of=FX.AS_OF)
+    return new_target.select("website_url", "heat_score", "last_enriched_at", "created_at")
+
+
 # ---------------------------------------------------------------------------
 # scalar functions
 # ---------------------------------------------------------------------------

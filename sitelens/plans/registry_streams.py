@@ -1,10 +1,10 @@
 """Registered stream and stateful queries (each compared with its batch twin's SQL).
 
-Stream inputs are files derived from the driver tables, written in a few
-time-ordered groups (one file per group, written one after the other so the file
-source replays them in time order), with every 10th event repeated in the next
-group to exercise de-duplication.  Streams run with ``availableNow`` and the
-registered DataFrame reads what the sink holds afterwards.
+Stream inputs are files derived from the driver tables, in a few time-ordered
+groups, with every 10th event repeated in the next group to exercise
+de-duplication.  Each group is written by as many tasks as it has, then the stream
+runs over it with ``availableNow`` from its checkpoint; the registered DataFrame
+reads what the sink holds afterwards.
 """
 
 from __future__ import annotations
@@ -28,20 +28,24 @@ N_GROUPS = 3
 REPEAT_EVERY = 10
 
 
-def _write_groups(df: DataFrame, path: str, group: F.Column, key: str, fmt: str = "parquet") -> None:
-    """Write ``df`` as one file per group value 0..N_GROUPS-1, in group order; rows
-    with key % 10 == 0 are written again with the next group (repeats)."""
+# The replayed tables span years, and a group may repeat any event of the one before.
+REPLAY_DELAY = "3650 days"
+
+
+def _replay(df: DataFrame, path: str, group: F.Column, start, repeat_key: str | None = None, fmt: str = "parquet") -> None:
+    """Write groups 0..N_GROUPS-1 one after the other and run the stream (``start()``) after each; rows
+    with repeat_key % 10 == 0 are written again with the next group (repeats)."""
     g = df.withColumn("_g", group)
-    rep = g.filter((F.pmod(F.col(key), F.lit(REPEAT_EVERY)) == 0) & (F.col("_g") < N_GROUPS - 1)) \
-        .withColumn("_g", F.col("_g") + 1)
-    both = g.unionByName(rep)
-    for i in range(N_GROUPS):  # a fixed number of fixture files, written in order
-        part = both.filter(F.col("_g") == i).drop("_g").coalesce(1)
-        w = part.write.mode("overwrite")
+    if repeat_key is not None:
+        rep = g.filter((F.pmod(F.col(repeat_key), F.lit(REPEAT_EVERY)) == 0) & (F.col("_g") < N_GROUPS - 1)) \
+            .withColumn("_g", F.col("_g") + 1)
+        g = g.unionByName(rep)
+    for i in range(N_GROUPS):
+        w = g.filter(F.col("_g") == i).drop("_g").write
         if fmt == "csv":
-            w.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/g{i}")
-        else:
-            w.parquet(f"{path}/g{i}")
+            w = w.option("header", True).option("quote", '"').option("escape", '"')
+        w.format(fmt).save(f"{path}/g{i}")
+        _run(start())
 
 
 def _run(q) -> None:
@@ -99,32 +103,25 @@ def q_rate_limit(spark, sf_dir):
     return out.select("event_id", "user_id", "allowed")
 
 
-def _event_groups(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+@register("rate_limit_stream", RATE_LIMIT_SQL)
+def q_rate_limit_stream(spark, sf_dir):
+    _ = spark.streams
     e = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     day = F.dayofmonth("ts")
     grp = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
-    path = scratch_path(spark, "events-stream")
-    _write_groups(e, path, grp, "event_id")
-    schema = "event_id long, user_id long, ts timestamp_ntz"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{path}/*"))
-    return path, stream
+    path, sink, ckpt = (scratch_path(spark, f"limit-{x}") for x in ("in", "sink", "ckpt"))
 
+    def start():
+        stream = spark.readStream.schema("event_id long, user_id long, ts timestamp_ntz").parquet(f"{path}/*")
+        s = (stream.withColumn("ts", F.col("ts").cast("timestamp"))
+             .withWatermark("ts", REPLAY_DELAY).dropDuplicatesWithinWatermark(["event_id"]))
+        verdicts = RL.rate_limit_stream(s, key="user_id", ts="ts", event_id="event_id",
+                                        max_n=LIMIT_N, window_s=LIMIT_WINDOW_S)
+        return (verdicts.writeStream.outputMode("append").format("parquet").option("path", sink)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
 
-@register("rate_limit_stream", RATE_LIMIT_SQL)
-def q_rate_limit_stream(spark, sf_dir):
-    _ = spark.streams
-    _, stream = _event_groups(spark, sf_dir)
-    s = (stream.withColumn("ts", F.col("ts").cast("timestamp"))
-         .withWatermark("ts", ST.USAGE_DELAY).dropDuplicatesWithinWatermark(["event_id"]))
-    verdicts = RL.rate_limit_stream(s, key="user_id", ts="ts", event_id="event_id",
-                                    max_n=LIMIT_N, window_s=LIMIT_WINDOW_S)
-    sink = scratch_path(spark, "limit-sink")
     with _state_partitions(spark):
-        q = (verdicts.writeStream.outputMode("append").format("parquet").option("path", sink)
-             .option("checkpointLocation", scratch_path(spark, "limit-ckpt"))
-             .trigger(availableNow=True).start())
-        _run(q)
+        _replay(e, path, grp, start, "event_id")
     out = spark.read.parquet(sink)
     return out.select("event_id", F.col("key").cast("long").alias("user_id"), "allowed")
 
@@ -145,14 +142,14 @@ def q_usage_stream(spark, sf_dir):
     ev = spark.read.parquet(stamped)
     year = F.year("ts")
     grp = F.when(year <= 1996, 0).when(year <= 1998, 1).otherwise(2)
-    path = scratch_path(spark, "usage-in")
-    _write_groups(ev, path, grp, "event_id")
-    stream = (spark.readStream.schema("event_id long, site_id long, ts timestamp_ntz, amount double")
-              .option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    sink = scratch_path(spark, "usage-sink")
+    path, sink, ckpt = (scratch_path(spark, f"usage-{x}") for x in ("in", "sink", "ckpt"))
+
+    def start():
+        stream = spark.readStream.schema("event_id long, site_id long, ts timestamp_ntz, amount double").parquet(f"{path}/*")
+        return ST.usage_stream(stream.withColumn("ts", F.col("ts").cast("timestamp")), sink, ckpt, delay=REPLAY_DELAY)
+
     with _state_partitions(spark):
-        _run(ST.usage_stream(stream, sink, scratch_path(spark, "usage-ckpt")))
+        _replay(ev, path, grp, start, "event_id")
     totals = ST.usage_totals(spark, sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     sites = FX.sites(spark, sf_dir, with_usage=False)
     out = ST.apply_usage_totals(sites, totals)
@@ -171,21 +168,16 @@ def q_import_stream(spark, sf_dir):
     grp = (F.when(F.col("row_no") >= FX.REPEAT_ROW_OFFSET, N_GROUPS - 1)
            .otherwise(F.least(F.lit(N_GROUPS - 1),
                               F.floor((F.col("row_no") - 2) * N_GROUPS / (n_pages + 1)))).cast("int"))
-    path = scratch_path(spark, "import-in")
-    g = batch.withColumn("_g", grp)
-    for i in range(N_GROUPS):  # a fixed number of fixture files, written in order
-        (g.filter(F.col("_g") == i).drop("_g").coalesce(1).write.mode("overwrite")
-         .option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/g{i}"))
-    base = scratch_path(spark, "import-base")
+    path, base, deltas, report_root, ckpt = (scratch_path(spark, f"import-{x}") for x in ("in", "base", "deltas", "report", "ckpt"))
     I.conform(FX.import_target(spark, sf_dir)).write.parquet(base)
-    deltas = scratch_path(spark, "import-deltas")
-    report_root = scratch_path(spark, "import-report")
     schema = ", ".join(f"{c} string" for c in batch.columns if c != "row_no")
-    stream = (spark.readStream.schema(f"row_no long, {schema}").option("header", True)
-              .option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", 1)
-              .csv(f"{path}/*"))
-    _run(ST.import_stream(stream, base, deltas, report_root, scratch_path(spark, "import-ckpt"),
-                          as_of=FX.AS_OF))
+
+    def start():
+        stream = (spark.readStream.schema(f"row_no long, {schema}").option("header", True)
+                  .option("quote", '"').option("escape", '"').csv(f"{path}/*"))
+        return ST.import_stream(stream, base, deltas, report_root, ckpt, as_of=FX.AS_OF)
+
+    _replay(batch, path, grp, start, fmt="csv")
     return spark.read.parquet(report_root).select("row_no", "website_url", "outcome")
 
 
@@ -196,18 +188,22 @@ def q_import_stream(spark, sf_dir):
 @register("feedback_stream", ORACLES["resolve_feedback"])
 def q_feedback_stream(spark, sf_dir):
     fb = FX.feedback(spark, sf_dir)
-    path = scratch_path(spark, "feedback-in")
-    _write_groups(fb.withColumn("_k", F.lit(1)), path, F.pmod(F.col("feedback_id"), F.lit(N_GROUPS)), "_k")
-    stream = (spark.readStream.schema(
-        "feedback_id long, website_url string, suggested_tags string, created_at timestamp_ntz, _k int")
-        .option("maxFilesPerTrigger", 1).parquet(f"{path}/*")).drop("_k")
-    sink = scratch_path(spark, "feedback-sink")
-    _run(ST.feedback_stream(stream, FX.import_target(spark, sf_dir), sink,
-                            scratch_path(spark, "feedback-ckpt")))
-    # the repeats written for de-duplication tests are not wanted here: keep one row per id
-    out = spark.read.parquet(sink)
-    return out.dropDuplicates(["website_url", "suggested_tags", "created_at"]).select(
-        "site_id", "website_url", "suggested_tags", "created_at", "status")
+    path, sink, ckpt = (scratch_path(spark, f"feedback-{x}") for x in ("in", "sink", "ckpt"))
+
+    def start():
+        stream = spark.readStream.schema(
+            "feedback_id long, website_url string, suggested_tags string, created_at timestamp_ntz").parquet(f"{path}/*")
+        return ST.feedback_stream(stream, FX.import_target(spark, sf_dir), sink, ckpt)
+
+    _replay(fb, path, F.pmod(F.col("feedback_id"), F.lit(N_GROUPS)), start)
+    return spark.read.parquet(sink).select("site_id", "website_url", "suggested_tags", "created_at", "status")
+
+
+@register("raw_sites_scan", "SELECT url AS website_url FROM pages")
+def q_raw_sites_scan(spark, sf_dir):
+    path = scratch_path(spark, "raw-csv")
+    FX.table(spark, sf_dir, "pages").select(F.col("url").alias("website_url")).write.option("header", True).csv(path)
+    return csv_io.read_raw_sites(spark, path).select("website_url")
 
 
 # ---------------------------------------------------------------------------

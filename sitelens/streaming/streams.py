@@ -24,13 +24,24 @@ from pyspark.sql import functions as F
 from sitelens.operators import ingest as I
 from sitelens.operators.heat import apply_usage
 
-USAGE_DELAY = "3650 days"
+
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written yet; any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def usage_stream(events: DataFrame, sink: str, checkpoint: str, ts: str = "ts",
                  site_col: str = "site_id", amount_col: str = "amount", event_id: str = "event_id",
-                 delay: str = USAGE_DELAY, trigger: dict | None = None):
-    """Start the usage roll-up stream; returns the StreamingQuery."""
+                 *, delay: str, trigger: dict | None = None):
+    """Start the usage roll-up stream; returns the StreamingQuery.
+
+    ``delay`` is how late a repeated event may come: event ids are remembered that long.
+    """
     agg = (events.withWatermark(ts, delay)
            .dropDuplicatesWithinWatermark([event_id])
            .groupBy(F.col(site_col).alias("site_id"))
@@ -61,11 +72,8 @@ def apply_usage_totals(sites: DataFrame, totals: DataFrame) -> DataFrame:
 def current_catalog(spark: SparkSession, base: str, deltas: str) -> DataFrame:
     """The catalog as the base table plus every imported delta."""
     cat = I.conform(spark.read.parquet(base))
-    try:
-        d = spark.read.parquet(deltas).drop("batch_id")
-    except AnalysisException:  # no batch has inserted anything yet
-        return cat
-    return cat.unionByName(I.conform(d))
+    d = read_if_written(spark, deltas)
+    return cat if d is None else cat.unionByName(I.conform(d.drop("batch_id")))
 
 
 def import_stream(batches: DataFrame, base: str, deltas: str, report_root: str, checkpoint: str,
@@ -81,12 +89,9 @@ def import_stream(batches: DataFrame, base: str, deltas: str, report_root: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = spark.read.parquet(base).select("website_url")
-        try:
-            earlier = (spark.read.parquet(deltas).filter(F.col("batch_id") < batch_id)
-                       .select("website_url"))
-            known = known.unionByName(earlier)
-        except AnalysisException:  # no delta written yet
-            pass
+        earlier = read_if_written(spark, deltas)
+        if earlier is not None:
+            known = known.unionByName(earlier.filter(F.col("batch_id") < batch_id).select("website_url"))
         new_rows, report = I.import_new_rows(known, batch, mode=mode, as_of=as_of)
         report.write.mode("overwrite").parquet(f"{report_root}/batch_id={batch_id}")
         new_rows.write.mode("overwrite").parquet(f"{deltas}/batch_id={batch_id}")

@@ -14,7 +14,7 @@ MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from sitelens.session import get_spark
-    s = get_spark(app="sitelens-tests", master="local[*]", shuffle_partitions=8, shared=tempfile.mkdtemp(prefix="sitelens-tests-"))
+    s = get_spark(app="sitelens-tests", master=os.environ.get("SITELENS_TEST_MASTER", "local[*]"), shuffle_partitions=8, shared=tempfile.mkdtemp(prefix="sitelens-tests-"))
     yield s
 
 

@@ -132,3 +132,25 @@ def test_time_handling_ignores_session_zone(spark):
     assert got == [dt.datetime(2001, 12, 1, 10), dt.datetime(2001, 12, 1, 10), dt.datetime(2024, 1, 5),
                    dt.datetime(2024, 1, 5, 7, 8, 9), None]
     assert lit == dt.datetime(2002, 1, 1, 3, 4, 5)
+
+
+def test_py_round_of_large_ties(spark):
+    ks = list(range(0, 3000)) + [10_000, 99_999, 123_456, 199_999]
+    for nd in (1, 2):
+        xs = [float(f"{(2 * k + 1) / 2:.1f}e-{nd}") for k in ks] + [k / 7 for k in ks]
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        got = df.select("x", SF.py_round(F.col("x"), nd).alias("r")).collect()
+        assert all(r["r"] == round(r["x"], nd) for r in got)
+
+
+def test_all_character_references(spark):
+    import html
+    from html.entities import html5
+
+    from sitelens.functions.text import unescape_html
+    texts = ["caf&eacute; &#233; &#8212; &#x1F600; &#128; &#0; &#xD800; &#9999999; & && &; a&b &nope; &amp;amp; &ampx &notit; &copy 2 &#65 x", "none", "", "&", "&lt;p&gt;"]
+    texts += [f"x&{name} y" for name in html5 if name.endswith(";")] + [f"&#{n};" for n in (*range(9, 11), *range(32, 127), *range(128, 700))]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", unescape_html(F.col("t")).alias("u")).collect()}
+    assert got.pop(None) is None
+    assert {t: u for t, u in got.items() if u != html.unescape(t)} == {}

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import heat as H
@@ -35,6 +37,19 @@ def test_apply_usage(spark):
     assert got[3] == (1.0, t0)
 
 
+def test_search_results_touch_sites_without_heat(spark):
+    t0 = dt.datetime(2001, 1, 1)
+    sites = spark.createDataFrame([(1, "a", None, None, None, None), (2, "b", 5.0, t0, None, None), (3, "c", 1.0, t0, None, None)], SCHEMA)
+    found = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    got = {r["id"]: (r["heat_score"], r["last_used_at"]) for r in H.apply_usage(sites, H.usage_from_results(found, as_of=AS_OF)).collect()}
+    assert got == {1: (None, AS_OF), 2: (5.0, AS_OF), 3: (1.0, t0)}
+
+
+def test_more_cold_than_seeded(spark):
+    rows = [(i, f"u{i}", 10.0 if i < 16 else 0.0, None, None, None) for i in range(19)]
+    assert H.heat_report(spark.createDataFrame(rows, SCHEMA)).first()["cold_pct"] == round(19 / 16 * 100, 1) == 118.8
+
+
 def test_apply_usage_twice_equals_once_combined(spark):
     t0 = dt.datetime(2001, 1, 1)
     sites = spark.createDataFrame([(1, "a", None, None, None, None)], SCHEMA)
@@ -47,8 +62,30 @@ def test_apply_usage_twice_equals_once_combined(spark):
 
 def test_global_positions(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
-    out = H.global_positions(df, [F.col("k").asc()]).collect()
+    out = H.global_positions(df, [F.col("k")]).collect()
     assert sorted((r["k"], r["pos"]) for r in out) == [(k, k + 1) for k in range(1000)]
+    part = H.global_positions(df, [-F.col("k")], ranges=[(1, 3), (500, 502)]).collect()
+    assert sorted((r["pos"], r["k"]) for r in part) == [(1, 999), (2, 998), (3, 997), (500, 500), (501, 499), (502, 498)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_global_positions_of_many_wide_rows(spark, adaptive):
+    """Every position of 2 million rows with NULLs and ties equals row_number's, also after a shuffle."""
+    n = 2_000_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = (spark.range(0, n, 1, 12).select("id", F.when(F.col("id") % 10 > 0, F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0).alias("heat"),
+                                                F.repeat(F.col("id").cast("string"), 8).alias("text"))
+                .repartition(9, "id"))
+        order = [-F.col("heat"), F.col("id")]
+        got = H.global_positions(wide, order)
+        want = wide.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_first("heat"), "id")).alias("want"))
+        r = got.join(want, "id").agg(F.count("*"), F.count_if(F.col("pos") != F.col("want")), F.max("pos")).first()
+        assert tuple(r) == (n, 0, n)
+        page = H.global_positions(wide, order, ranges=[(1_234_001, 1_234_050)])
+        assert page.join(want, "id").filter("pos <> want").count() == 0 and page.count() == 50
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_quota_buckets(spark):

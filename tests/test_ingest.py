@@ -202,3 +202,49 @@ def test_repeated_url_across_files(spark, tmp_path):
     got = sorted((r["outcome"], r["error"]) for r in report.collect())
     assert got == [("inserted", None)] * 3 + [("skipped", "Duplicate in batch")]
     assert "source_file" in report.columns
+
+
+def test_upload_inserts_the_first_valid_copy(spark):
+    rows = [(2, "https://a.test", '["bad'), (3, "https://a.test", '["ok"]'), (4, "https://a.test", '["bad'), (5, "https://b.test", '["bad'), (6, None, None)]
+    b = spark.createDataFrame(rows, "row_no long, website_url string, platforms string")
+    new_target, report = I.import_enriched(target(spark), b, mode="upload", as_of=AS_OF)
+    got = {r["row_no"]: (r["outcome"], r["error"]) for r in report.collect()}
+    assert got == {2: ("error", "Invalid JSON in platforms"), 3: ("inserted", None), 4: ("error", "Site already exists"),
+                   5: ("error", "Invalid JSON in platforms"), 6: ("error", "Empty URL")}
+    assert {r["website_url"] for r in new_target.collect()} == {"https://old.test", "https://a.test"}
+
+
+def test_upsert_reports_every_row(spark):
+    import pytest
+    recs = spark.createDataFrame([(1, "https://old.test", "A"), (2, " https://old.test ", "B"), (3, "", "C"), (4, None, "D"), (5, "https://n.test", "E")],
+                                 "row_no long, website_url string, platform string")
+    new_target, report = I.upsert_sites(target(spark), recs, as_of=AS_OF)
+    assert {r["row_no"]: (r["outcome"], r["error"]) for r in report.collect()} == {
+        1: ("skipped", "Duplicate in batch"), 2: ("updated", None), 3: ("error", "Empty URL"), 4: ("error", "Empty URL"), 5: ("inserted", None)}
+    assert {r["website_url"]: r["platform"] for r in new_target.collect()} == {"https://old.test": "B", "https://n.test": "E"}
+    with pytest.raises(ValueError):
+        I.upsert_sites(target(spark), recs.drop("row_no"))
+
+
+def test_latest_crawl_counts_and_import_urls(spark):
+    pages = spark.createDataFrame([(1, "https://a.test", "<p>gamma gamma</p>"), (2, "https://a.test", "<p>alpha alpha beta</p>"), (3, "https://old.test", "<p>shop</p>")],
+                                  "page_id long, url string, html string")
+    req = spark.createDataFrame([(2, "https://a.test"), (3, "ftp://x"), (4, None), (5, "https://old.test"), (6, " https://a.test"), (7, "https://none.test")], "row_no long, url string")
+    good, _ = I.enrich_batch(req, pages, as_of=AS_OF)
+    assert {r["row_no"]: r["tags"] for r in good.collect()} == {2: "alpha, beta", 5: "shop", 6: "alpha, beta"}
+    new_target, report = I.import_urls(target(spark), req, pages, as_of=AS_OF)
+    got = {r["row_no"]: r["outcome"] for r in report.collect()}
+    assert got == {2: "skipped", 3: "error", 4: "error", 5: "updated", 6: "inserted", 7: "error"}
+    assert {r["website_url"]: r["heat_score"] for r in new_target.collect()} == {"https://old.test": 7.0, "https://a.test": None}
+
+
+def test_a_damaged_delta_folder_is_not_taken_for_an_empty_one(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    from sitelens.streaming import streams as ST
+    base = str(tmp_path / "base")
+    I.conform(target(spark)).write.parquet(base)
+    assert ST.current_catalog(spark, base, str(tmp_path / "none")).count() == 1
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(AnalysisException):
+        ST.current_catalog(spark, base, str(tmp_path / "bad"))

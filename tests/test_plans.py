@@ -26,16 +26,13 @@ def test_scan_prunes_columns(spark, sf_small):
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string>" in p
 
 
-def test_batch_search_broadcasts_queries(spark, sf_small):
+def test_batch_search_has_no_nested_loops(spark, sf_small):
+    from sitelens.operators import suggest as SG
     cat = FX.sites(spark, sf_small, with_usage=False)
-    q = spark.createDataFrame([(1, "gear"), (2, "red")], "query_id long, q string")
-    pairs = S.batch_pairs(S._prepare(cat), S._query_terms(q, S.DEFAULT),
-                          FX.as_of_col(), 2)
-    p = plan(pairs)
-    assert "BroadcastNestedLoopJoin" in p and "BroadcastExchange" in p
-    assert "Python" not in p
-    out = S.search_batch(cat, q, as_of=FX.AS_OF)
-    assert "Python" not in plan(out)
+    q = spark.createDataFrame([(1, "gear"), (2, "red"), (3, "x"), (4, "econmy")], "query_id long, q string")
+    for out in (S.search_batch(cat, q, as_of=FX.AS_OF), SG.suggest_batch(cat, spark.createDataFrame([("re",)], "prefix string"))):
+        p = plan(out)
+        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p and "Python" not in p
 
 
 def test_detectors_stay_in_jvm(spark, sf_small):
@@ -46,22 +43,43 @@ def test_detectors_stay_in_jvm(spark, sf_small):
     assert "Python" not in p and "BatchEvalPython" not in p
 
 
-def test_tags_use_partial_group_limit(spark, sf_small):
+def test_tags_and_records_take_one_narrow_stage(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
-    out = E.extract_tags(docs, "doc_id", "text")
-    out.collect()
-    p = out._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in p
-    assert "HashAggregate" in p
-
-
-def test_spread_only_when_needed(spark):
-    from sitelens.operators.layout import spread
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.range(0, 100, numPartitions=1)
-    many = spark.range(0, 100, numPartitions=cores * 2)
-    assert spread(few)._jdf.rdd().getNumPartitions() == cores
-    assert spread(many) is many
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet")
+    for out in (E.extract_tags(docs, "doc_id", "text"), E.enrich_pages(pages, as_of=FX.AS_OF)):
+        p = plan(out)
+        assert "Exchange" not in p and "Aggregate" not in p and "Python" not in p
+
+
+def test_builders_run_no_jobs(spark, sf_small):
+    import datetime as _dt
+
+    from sitelens.operators import heat as H
+    from sitelens.operators import ingest as I
+    from sitelens.operators import suggest as SG
+    cat = FX.sites(spark, sf_small).repartition(3)
+    batch, target = FX.import_batch(spark, sf_small), FX.import_target(spark, sf_small)
+    pages, requests = FX.pages_seeded(spark, sf_small), FX.url_requests(spark, sf_small)
+    q = spark.createDataFrame([(1, "gear")], "query_id long, q string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job is expected")
+    try:
+        S.search(cat, "gear", as_of=FX.AS_OF)
+        S.search_all(cat, "gear", as_of=FX.AS_OF)
+        S.search_batch(cat, q, as_of=FX.AS_OF)
+        SG.suggest(cat, "re")
+        SG.suggest_batch(cat, q.selectExpr("q AS prefix"))
+        S.heat_leaderboard(cat)
+        H.heat_report(cat)
+        H.apply_usage(cat, H.usage_from_results(cat, as_of=_dt.datetime(2002, 1, 1)))
+        I.import_enriched(target, batch)
+        I.upsert_sites(target, batch.select("row_no", "website_url", "platform"))
+        I.import_urls(target, requests, pages)
+        E.enrich_pages(pages)
+        E.extract_tags(pages, "page_id", "html")
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_search_all_cap(spark, sf_small):

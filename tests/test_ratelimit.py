@@ -34,3 +34,13 @@ def test_brute_force_on_events(spark, sf_small):
 def test_decide_function():
     verdicts, kept = RL.decide([0, 10, 20, 61], [], 2, 60)
     assert verdicts == [True, True, False, True] and kept == [10, 61]
+
+
+def test_every_row_gets_one_verdict(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(None, "c", t0, "a"), (7, "c", t0 + dt.timedelta(seconds=1), "b"), (7, "c", t0 + dt.timedelta(seconds=2), "c"), (8, None, t0, "d")]
+    df = spark.createDataFrame(rows, "event_id long, client string, ts timestamp_ntz, note string")
+    out = RL.rate_limit(df, max_n=2, window_s=60)
+    assert out.columns == [*df.columns, "allowed"]
+    assert {r["note"]: r["allowed"] for r in out.collect()} == {"a": True, "b": True, "c": False, "d": True}
+    assert {(r["event_id"], r["ts"]) for r in out.collect()} == {(r[0], r[2]) for r in rows}
