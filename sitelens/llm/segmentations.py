@@ -116,15 +116,16 @@ class Lattices:
             at, h = at[ok], h[ok]
             i = np.minimum(np.searchsorted(p.hash, h), len(p.hash) - 1)
             ok = p.hash[i] == h
-            found.append((at[ok], np.full(ok.sum(), size), p.id[i[ok]], p.weight[i[ok]]))
+            found.append((at[ok].astype(np.int32), np.full(ok.sum(), size, np.int32), p.id[i[ok]].astype(np.int32), p.weight[i[ok]]))
         start, size, ident, weight = (np.concatenate(x) for x in zip(*found))
+        found.clear()
         ends = np.append(starts[1:], n)  # a character without a piece of its own is spelled in bytes
         have = np.zeros(n + 1, bool)
         whole = np.searchsorted(starts, start)
         have[start[ends[whole] == start + size]] = True
         bare = ~have[starts]
-        start, size = np.concatenate([start, starts[bare]]), np.concatenate([size, (ends - starts)[bare]])
-        ident, weight = np.concatenate([ident, np.full(bare.sum(), -1)]), np.concatenate([weight, (ends - starts)[bare] * p.byte_weight])
+        start, size = np.concatenate([start, starts[bare].astype(np.int32)]), np.concatenate([size, (ends - starts)[bare].astype(np.int32)])
+        ident, weight = np.concatenate([ident, np.full(bare.sum(), -1, np.int32)]), np.concatenate([weight, (ends - starts)[bare] * p.byte_weight])
         order = np.argsort(start, kind="stable")  # by place, then length
         start, to, ident, weight = start[order], (start + size)[order], ident[order], weight[order]
         final = to == unit_end[start]
@@ -140,8 +141,7 @@ class Lattices:
         for lo, hi in zip(turns[:-1], turns[1:]):
             a, b = cut[lo], cut[hi]
             beta[place[node[lo:hi]]] = np.logaddexp.reduceat(own[a:b] + beta[onward[a:b]], node[lo:hi] - a)
-        self.start, self.to, self.ident = (x.astype(np.int32) for x in (start, to, ident))
-        self.final = final
+        self.start, self.to, self.ident, self.final = start, to, ident, final
         self.log_q = np.minimum(weight + beta[np.where(final, n, to)] - beta[start], 0)
         self.q = np.exp(self.log_q)
         total = np.concatenate([[0], np.cumsum(self.q)])
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, k: int = K, model: str = MODEL) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = np.asarray(batch.column("doc_id").fill_null(0), np.int64)
-            for lo, hi, buf, off in text_chunks(batch, limit=10 * CHUNK_BYTES):
+            for lo, hi, buf, off in text_chunks(batch, limit=6 * CHUNK_BYTES):
                 for rank, (at, ids, ioff, log_prob, perturbed, inclusion, same) in enumerate(sample(pieces, keys[lo:hi], buf, off, k), 1):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at + lo)), pa.array(np.full(len(at), rank, np.int32)), pa.ListArray.from_arrays(pa.array(ioff, pa.int32()), pa.array(ids, pa.int32())), pa.array(log_prob), pa.array(perturbed), pa.array(inclusion), pa.array(same)],
                                                      names=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
