@@ -114,11 +114,11 @@ def test_language_model(spark, docs):
 
 def test_language_model_sums_to_one_and_learns():
     rng = np.random.default_rng(0)
-    size = 600
+    size = 6000
     total, beside = np.r_[rng.integers(0, 50, size - 1), 0].astype(float), rng.integers(0, 3, (size, 2 * attention_lm.SIDE)).astype(np.float32)
     model = attention_lm.Model(total, beside, 5)
     prefix = rng.integers(0, size - 1, 20)
-    every = [np.r_[prefix, x] for x in range(size)]
+    every = [np.r_[prefix, x] for x in range(size)]  # all that may come next
     off = np.arange(size + 1) * 21
     alone = model.score(prefix, np.array([0, 20]))[0]
     assert np.log10(np.sum(10 ** (model.score(np.concatenate(every), off) - alone))) == pytest.approx(0, abs=1e-3)
