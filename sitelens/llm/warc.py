@@ -84,15 +84,20 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(file, start) of the candidates on the chain from offset 0 of each file, by pointer jumping."""
+    """(file, start) of the candidates on the chain from offset 0 of each file, by pointer jumping.
+
+    Round k knows the first 2^k records and every candidate's 2^k-th successor; those of the
+    known records are the next 2^k.  Offsets only grow along a chain, so they are new ones.
+    """
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    real = links.select("file", "start")
-    jump = links.filter("next is not null").select("file", "start", "next")
-    reached = real.filter("start = 0")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    real = links.select("file", F.col("start").alias("next"))
+    jump = staged(links.filter("next is not null").select("file", "start", "next").join(real, ["file", "next"]).select("file", "start", "next"), "warc-links")
+    reached = links.filter("start = 0").select("file", "start")
     span = 1
-    while span <= most:
-        ahead = jump.join(reached, ["file", "start"]).select("file", F.col("next").alias("start")).join(real, ["file", "start"])
-        reached = reached.unionByName(ahead).distinct().checkpoint()
+    while span < most:
+        ahead = jump.join(reached, ["file", "start"]).select("file", F.col("next").alias("start"))
+        reached = reached.unionByName(ahead).coalesce(parts).checkpoint()
         further = jump.select("file", F.col("start").alias("next"), F.col("next").alias("far"))
         jump = jump.join(further, ["file", "next"]).select("file", "start", F.col("far").alias("next")).checkpoint()
         span *= 2
