@@ -4,12 +4,14 @@ Sets are split recursively on sampled tokens that they share: a set of n tokens
 takes the tokens whose hash in this run is below 1 / (similarity * n), about
 1.25 of them, so similar sets tend to take the same one.  Sets that took the same token share
 a bucket.  A bucket of more than ``bucket`` sets is split again
-(the path grows by a token): each set goes on with ``CHILDREN`` sampled tokens, the least of a random
-part of the hash range, which two sets share with a chance equal to their similarity.  A bucket that doesn't
+(the path grows by a token): each set goes on with ``CHILDREN`` tokens of its sketch (below), each the first in an
+order of the bins that is drawn anew from the bucket's path, so every bucket of every run splits independently.  Two
+sets of any size share such a token with a chance equal to their similarity.  A bucket that doesn't
 fall apart, because half of it shares one token again, is a clump of similar sets and is
 split no further.  Buckets are compared by brute force.  Runs are repeated until the
 target recall: two sets at the similarity share a token's sample with a chance of
-at least 1 - 1/e in a run, so ``RUNS`` runs miss a pair with a chance below 1e-5.
+at least 1 - 1/e in a run and stay together in ``SPLITS`` splits with a chance of
+(1 - (1 - similarity) ** CHILDREN) ** SPLITS, so ``RUNS`` runs miss a pair with a chance below 1e-5.
 
 * Equal sets are collapsed first, by a 128-bit digest: copies aren't compared.
 * Inside a bucket, one-permutation sketches (64 bins) rule out pairs that are
@@ -46,6 +48,7 @@ RUNS, CHILDREN, SPLITS = 12, 4, 4
 BUCKET, TILE = 4000, 1000
 BINS = 64
 EMPTY = 65535
+_CHILD_KEYS = mix(np.arange(1, CHILDREN + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 _RUN_KEYS = [int(x) for x in mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)]
 
 
@@ -84,20 +87,6 @@ def samples(toff: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np
     return rows[order], keys[order]
 
 
-def marks(toff: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The least token in each of CHILDREN * SPLITS parts of the hash range; an empty part takes the next one's."""
-    parts = CHILDREN * SPLITS
-    out = np.zeros((len(toff) - 1, parts), np.uint64)
-    row = np.repeat(np.arange(len(toff) - 1), np.diff(toff))
-    part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    first = np.ones(len(tokens), bool)
-    first[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])  # tokens are sorted
-    out[row[first], part[first]] = tokens[first] | np.uint64(1)
-    for _ in range(parts):
-        out = np.where(out == 0, np.roll(out, -1, axis=1), out)
-    return mix(out)
-
-
 def sketches(toff: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """One-permutation sketch: the least token of each of 64 bins (16 bits), EMPTY where there is none."""
     out = np.full((len(toff) - 1, BINS), EMPTY, np.uint16)
@@ -109,6 +98,19 @@ def sketches(toff: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def children(parents: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """CHILDREN paths for each (bucket, set): the set's token in the first filled bin of an order drawn from the bucket's path."""
+    out = np.empty((len(parents), CHILDREN), np.uint64)
+    rows, bins = np.arange(len(parents)), np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = np.uint64(BINS - 1)
+    for child in range(CHILDREN):
+        seed = mix(parents ^ _CHILD_KEYS[child])
+        order = mix(seed[:, None] ^ bins) & ~low | np.arange(BINS, dtype=np.uint64)
+        at = (np.where(sketch == EMPTY, ~np.uint64(0), order).min(1) & low).astype(np.int64)
+        out[:, child] = mix(seed + (at.astype(np.uint64) << np.uint64(16) | sketch[rows, at]) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 def _sets(docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
     """One row per document: the digest of its set, its size, samples and sketch."""
 
@@ -122,9 +124,9 @@ def _sets(docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
                 rows, keys = samples(toff, tokens, similarity)
                 poff = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)), pa.int32())
                 sketch = pa.array([x.tobytes() for x in sketches(toff, tokens)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.diff(toff)), pa.ListArray.from_arrays(poff, pa.array(signed(keys))), pa.array(list(signed(marks(toff, tokens))), pa.list_(pa.int64())), sketch], names=["doc_id", "s1", "s2", "n", "picks", "marks", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.diff(toff)), pa.ListArray.from_arrays(poff, pa.array(signed(keys))), sketch], names=["doc_id", "s1", "s2", "n", "picks", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n long, picks array<long>, marks array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n long, picks array<long>, sketch binary")
 
 
 def _buckets(paths: DataFrame) -> DataFrame:
@@ -133,6 +135,21 @@ def _buckets(paths: DataFrame) -> DataFrame:
     return staged(paths.join(sizes, "path").select("path", "doc_id", "m"), "paths")
 
 
+def _parts(large: DataFrame) -> DataFrame:
+    """(parent, whole, path, doc_id): the sets of large buckets in the buckets they go on to."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                sketch = np.frombuffer(b"".join(piece.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
+                paths = children(np.asarray(piece.column("parent"), np.int64).view(np.uint64), sketch)
+                again = np.repeat(np.arange(len(paths)), CHILDREN)
+                yield pa.RecordBatch.from_arrays([piece.column("parent").take(pa.array(again)), piece.column("whole").take(pa.array(again)), pa.array(signed(paths.ravel())), piece.column("doc_id").take(pa.array(again))], names=["parent", "whole", "path", "doc_id"])
+
+    return large.select("parent", "whole", "doc_id", "sketch").mapInArrow(run, "parent long, whole long, path long, doc_id long")
+
+
 def _leaves(reps: DataFrame, bucket: int) -> DataFrame:
     """(path, doc_id, m): the buckets to compare by brute force."""
     rows = _buckets(reps.select(F.explode("picks").alias("path"), "doc_id"))
@@ -141,8 +158,7 @@ def _leaves(reps: DataFrame, bucket: int) -> DataFrame:
         large = rows.filter(F.col("m") > bucket).select(F.col("path").alias("parent"), F.col("m").alias("whole"), "doc_id")
         if large.isEmpty():
             return leaves
-        parts = large.join(reps.select("doc_id", F.slice("marks", 1 + level * CHILDREN, CHILDREN).alias("marks")), "doc_id").select("parent", "whole", "doc_id", F.posexplode("marks"))
-        parts = staged(parts.select("parent", "whole", F.xxhash64("parent", "pos", "col").alias("path"), "doc_id"), "path-parts")
+        parts = staged(_parts(large.join(reps.select("doc_id", "sketch"), "doc_id")), "path-parts")
         sizes = staged(parts.groupBy("parent", "whole", "path").agg(F.count("*").alias("m")), "path-sizes")
         clumps = staged(sizes.groupBy("parent", "whole").agg(F.max("m").alias("top")).filter("2 * top >= whole").select("parent"), "path-clumps")
         leaves = leaves.unionByName(large.join(clumps, "parent", "left_semi").select(F.col("parent").alias("path"), "doc_id", F.col("whole").alias("m")))
@@ -250,7 +266,7 @@ def similar_documents(docs: DataFrame, ngram: int = NGRAM, similarity: float = S
     docs = narrow(docs)
     sets = staged(_sets(docs, ngram, similarity), "sets")
     classes = staged(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
-    reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").select("doc_id", "copies", "picks", "marks", "sketch").dropDuplicates(["doc_id"]), "set-reps")
+    reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").select("doc_id", "copies", "picks", "sketch").dropDuplicates(["doc_id"]), "set-reps")
     leaves = _leaves(reps, bucket)
     held = _tiled(leaves, "path", "m", bucket).join(reps.select("doc_id", "sketch"), "doc_id")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])

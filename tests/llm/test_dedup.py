@@ -187,3 +187,20 @@ def test_hash_of_kept_matches_query(spark):
         assert x["n_bytes"] == len((r["text"] or "").encode())
         if x["n_removed"] == 0:
             assert x["kept_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n,k", [(5, 4), (10, 9), (20, 18), (120, 107)])
+def test_pairs_whose_tokens_are_all_hot_meet(spark, n, k):
+    """Sets of n words from a pool in which every word fills a large bucket: each pair shares a leaf of some run."""
+    r = random.Random(n)
+    pool, rows = [f"w{i}" for i in range(25 * n)], []
+    for i in range(1500):
+        w = r.sample(pool, 2 * n - k)
+        rows += [(2 * i, " ".join(w[:n])), (2 * i + 1, " ".join(w[:k] if n == 5 else w[:k] + w[n:]))]
+    reps = jaccard_join._sets(spark.createDataFrame(rows, "doc_id long, text string"), 1, 0.8)
+    leaves = jaccard_join._leaves(reps, 30)
+    met = collections.defaultdict(list)
+    for x in leaves.distinct().collect():
+        met[x["path"]].append(x["doc_id"])
+    together = {i // 2 for ids in met.values() for i in set(ids) if i % 2 == 0 and i + 1 in ids}
+    assert len(together) == 1500
