@@ -10,10 +10,12 @@ placeholders, other words lose their outer punctuation and the case of A-Z.
 Windows of ``window`` template words of the documents and of the benchmark items are hash-joined.
 Hits of one item along one diagonal (document place less item place) are one
 occurrence.  It is reported if it covers at least ``coverage`` of the item's
-windows and its slots are consistent: a value of the item (a number or name)
+windows, or of its template windows, and its slots are consistent: a value of the item (a number or name)
 always stands against one value of the document.  So a question with other numbers or
 names is caught, and ``reparameterised`` tells it from a verbatim copy.  Windows with fewer than
-half plain words say too little and are left out.
+half plain words say too little as templates.  Such windows, and items of one window, are
+joined by their words themselves (case of A-Z aside), so every verbatim copy is found.  An item's first
+word counts as a plain word and as a name, because a document may hold it inside a sentence.
 
 The benchmark is the stated query set.  Its window hashes are read in blocks of at most
 ``BLOCK`` and broadcast, to keep document windows that can't hit from being shuffled; one pass over the
@@ -43,6 +45,7 @@ _CORE = _DIGIT | _UPPER | _LOWER
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 58, 63]] = True
 SLOT = {"number": np.uint64(11), "name": np.uint64(12), "unit": np.uint64(13)}
+_EXACT = np.uint64(0xC2B2AE3D27D4EB4F)  # sets windows of words apart from windows of templates
 
 
 def _hash(word: str) -> np.uint64:
@@ -59,12 +62,12 @@ def _among(sorted_set: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
 
 
-def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, template hash, word hash, is a slot) of each word."""
+def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, template hash, word hash, is a slot, is capitalised) of each word."""
     s, e, row = words(buf, off)
     if not len(s):
         z = np.zeros(0, np.uint64)
-        return row, z, z, np.zeros(0, bool)
+        return row, z, z, np.zeros(0, bool), np.zeros(0, bool)
     core = np.flatnonzero(_CORE[buf])
     core = np.append(core, len(buf))
     first, last = core[np.searchsorted(core, s)], core[np.searchsorted(core, e) - 1] + 1
@@ -81,42 +84,63 @@ def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins = np.ones(len(s), bool)
     begins[1:] = (row[1:] != row[:-1]) | _STOP[buf[e[:-1] - 1]] | (newline[s[1:]] > newline[e[:-1]])
     number = (digits > 0) & (upper + lower == 0)
-    name = ~begins & _UPPER[buf[first]] & (upper == 1) & (lower > 0)
+    capitalised = _UPPER[buf[first]] & (upper == 1) & (lower > 0)
+    name = ~begins & capitalised
     unit = np.zeros(len(s), bool)
     unit[1:] = number[:-1] & (row[1:] == row[:-1]) & _among(_UNIT_HASHES, h[1:])
     t = np.where(number, SLOT["number"], np.where(unit, SLOT["unit"], np.where(name, SLOT["name"], h)))
-    return row, t, h, number | name | unit
+    return row, t, h, number | name | unit, capitalised
 
 
-def _windows(frame: DataFrame, sizes: list[int], wanted) -> DataFrame:
-    """(doc_id, p, m, h, slots): template windows of m words at word p.  ``wanted`` keeps those hashes only (None: all)."""
+def _windows(frame: DataFrame, sizes: list[int], wanted, window: int = WINDOW) -> DataFrame:
+    """(doc_id, p, m, h, exact, slots): windows of m words at word p.  ``wanted`` keeps those hashes only.
+
+    ``wanted`` None: the frame holds items.  Their windows come as templates and, where a template says too
+    little, as the words themselves; the first word counts as a plain word and, if it's capitalised, as a name too.
+    """
 
     def run(batches):
-        keep = None if wanted is None else wanted.value
+        of_items = wanted is None
+        keep = None if of_items else wanted.value
         if keep is not None:
             seen = np.zeros(1 << 20, bool)
             seen[(keep & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"), np.int64)
+            ids = batch.column("doc_id")
             for lo, hi, buf, off in text_chunks(batch):
-                row, t, h, slot = template(buf, off)
+                row, t, h, slot, capitalised = template(buf, off)
                 woff = np.searchsorted(row, np.arange(hi - lo + 1))
-                roll, n_slots = Rolling(t), np.concatenate([[0], np.cumsum(slot)])
-                slot_at = np.flatnonzero(slot)
-                for m in sizes:
-                    g = roll.grams(m)
-                    ok = np.ones(len(g), bool) if keep is None else seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                    p = np.flatnonzero(ok)
-                    p = p[(row[p] == row[p + m - 1]) & (2 * (n_slots[p + m] - n_slots[p]) <= m)]
-                    p = p if keep is None else p[_among(keep, g[p])]
-                    if not len(p):
-                        continue
-                    a, b = n_slots[p], n_slots[p + m]
-                    flat = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
-                    slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]), pa.int32()), pa.array(signed(h[slot_at[flat]])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][row[p]]), pa.array(p - woff[row[p]]), pa.array(np.full(len(p), m, np.int32)), pa.array(signed(g[p])), slots], names=["doc_id", "p", "m", "h", "slots"])
-
-    return frame.mapInArrow(run, "doc_id long, p long, m int, h long, slots array<long>")
+                forms = [(Rolling(t), slot, False), (Rolling(h ^ _EXACT), slot, True)]
+                if of_items and len(t):
+                    start = np.unique(woff[:-1][woff[:-1] < woff[1:]])
+                    capital = start[capitalised[start]]
+                    t2, slot2 = t.copy(), slot.copy()
+                    t2[capital], slot2[capital] = SLOT["name"], True
+                    forms.append((Rolling(t2), slot2, False))
+                for number, (roll, is_slot, exact) in enumerate(forms):
+                    n_slots, slot_at = np.concatenate([[0], np.cumsum(is_slot)]), np.flatnonzero(is_slot)
+                    for m in sizes:
+                        g = roll.grams(m)
+                        ok = np.ones(len(g), bool) if of_items else seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                        if number == 2:  # only the windows that hold a capitalised first word differ
+                            ok[:] = False
+                            ok[capital[capital < len(g)]] = True
+                        p = np.flatnonzero(ok)
+                        p = p[row[p] == row[p + m - 1]]
+                        light = 2 * (n_slots[p + m] - n_slots[p]) <= m
+                        if not exact:
+                            p = p[light]
+                        elif of_items:
+                            p = p[~light | (np.diff(woff)[row[p]] <= window)]
+                        p = p if of_items else p[_among(keep, g[p])]
+                        if not len(p):
+                            continue
+                        a, b = n_slots[p], n_slots[p + m]
+                        flat = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+                        slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]), pa.int32()), pa.array(signed(h[slot_at[flat]])))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row[p])), pa.array(p - woff[row[p]]), pa.array(np.full(len(p), m, np.int32)), pa.array(signed(g[p])), pa.array(np.full(len(p), exact)), slots], names=["doc_id", "p", "m", "h", "exact", "slots"])
+
+    return frame.mapInArrow(run, "doc_id long, p long, m int, h long, exact boolean, slots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
@@ -127,9 +151,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = items.withColumn("key", F.xxhash64("item_id", "text")).withColumn("n_words", F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
     items = items.filter(F.col("n_words") >= MIN_WORDS).withColumn("m", F.least("n_words", F.lit(window)))
     sizes = sorted(r["m"] for r in items.select("m").distinct().collect())  # at most ``window`` numbers
-    own = _windows(items.select(F.col("key").alias("doc_id"), "text"), sizes, None).withColumnRenamed("doc_id", "key").join(items.select("key", "item_id", "m"), ["key", "m"])
-    counts = own.groupBy("key").agg(F.count("*").alias("n_windows"))
-    own = own.join(counts, "key").select("key", "item_id", "n_windows", "m", "h", F.col("p").alias("q"), F.col("slots").alias("item_slots"))
+    own = _windows(items.select(F.col("key").alias("doc_id"), "text"), sizes, None, window).withColumnRenamed("doc_id", "key").join(items.select("key", "item_id", "m"), ["key", "m"])
+    light = F.when(~F.col("exact"), F.col("q"))
+    own = own.withColumnRenamed("p", "q").withColumnRenamed("slots", "item_slots")
+    counts = own.groupBy("key").agg(F.countDistinct("q").alias("n_windows"), F.countDistinct(light).alias("n_light"))
+    own = own.join(counts, "key").select("key", "item_id", "n_windows", "n_light", "m", "h", "exact", "q", "item_slots")
     hashes = own.select("h").distinct()
     n = hashes.count()
     blocks = -(-n // block)
@@ -139,11 +165,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         found = _windows(docs, sizes, spark.sparkContext.broadcast(np.sort(part.view(np.uint64))))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = spark.createDataFrame([], "doc_id long, p long, m int, h long, slots array<long>")
-    pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    met = hits.join(own, ["m", "h"]).select("doc_id", "key", "item_id", "n_windows", "q", (F.col("p") - F.col("q")).alias("diagonal"), pairs.alias("pairs"))
-    runs = met.groupBy("doc_id", "key", "item_id", "n_windows", "diagonal").agg(F.countDistinct("q").alias("n_hits"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    runs = runs.withColumn("coverage", F.col("n_hits") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+        hits = spark.createDataFrame([], "doc_id long, p long, m int, h long, exact boolean, slots array<long>")
+    same = F.transform("item_slots", lambda x: F.struct(x.alias("item"), x.alias("doc")))
+    pairs = F.when(F.col("exact"), same).otherwise(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
+    met = hits.join(own, ["m", "h", "exact"]).select("doc_id", "key", "item_id", "n_windows", "n_light", "q", light.alias("light"), (F.col("p") - F.col("q")).alias("diagonal"), pairs.alias("pairs"))
+    runs = met.groupBy("doc_id", "key", "item_id", "n_windows", "n_light", "diagonal").agg(F.countDistinct("q").alias("n_hits"), F.countDistinct("light").alias("light"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    of_light = F.when(F.col("n_light") > 0, F.col("light") / F.col("n_light")).otherwise(0.0)
+    runs = runs.withColumn("coverage", F.greatest(F.col("n_hits") / F.col("n_windows"), of_light)).filter(F.col("coverage") >= coverage)
     runs = runs.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
     runs = runs.withColumn("reparameterised", F.exists("pairs", lambda x: x["item"] != x["doc"]))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), "reparameterised", "diagonal", "key")

@@ -153,6 +153,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(edge_frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_that_are_mostly_slots(spark):
+    """Title case, lists of names, numbers, one-window items after a comma or in another case; other lists stay."""
+    items = ["The Quick Brown Fox Jumps Over The Lazy Dog And Runs Away From Home", "Anna Bert Carla Dora Emil Frida Gustav Heidi Ingo Jana Karl Lena",
+             "12 7 19 44 3 8 27 91 13 6 55 70 2 31", "What is the capital of France?", "where does Maria live now"]
+    held = [f"we saw {items[0]} there", f"guests: {items[1]}, all", f"draw {items[2]} done", f"he asked, {items[3]} and left", f"so {items[4].upper()} he said", "ask, What is the capital of Spain? and go",
+            "The Slow Green Cat Walks Under The Busy Bee And Comes Back To Town", "11 8 18 45 4 9 26 92 14 7 54 71 3 30", "Rosa Paul Nina Otto Mia Tom Eva Max Ida Leo Ben Zoe"]
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.contaminated(edge_frame(spark, list(enumerate(held))), asked).collect()}
+    assert set(got) == {*((i, i) for i in range(5)), (5, 3)}
+    assert got[5, 3]["reparameterised"] and not any(got[i, i]["reparameterised"] for i in range(5))
+
+
 def test_decontamination_finds_every_planted_item(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {x["item_id"]: x["text"].split() for x in items.collect()}
