@@ -8,9 +8,10 @@ placeholders, other words lose their outer punctuation and the case of A-Z.
 * unit: a word of ``UNITS`` right after a number.
 
 Windows of ``window`` template words of the documents and of the benchmark items are hash-joined.
-Hits of one item along one diagonal (document place less item place) are one
-occurrence.  It is reported if it covers at least ``coverage`` of the item's
-windows, or of its template windows, and its slots are consistent: a value of the item (a number or name)
+Hits of one item along neighbouring diagonals (document place less item place, at most ``DRIFT`` apart, so words may
+be put in or left out) are one occurrence.  It is reported if its words cover the item as far as ``coverage`` of the
+item's windows in one run would, or if it holds ``coverage`` of the item's template windows, and its slots are
+consistent: a value of the item (a number or name)
 always stands against one value of the document.  So a question with other numbers or
 names is caught, and ``reparameterised`` tells it from a verbatim copy.  Windows with fewer than
 half plain words say too little as templates.  Such windows, and items of one window, are
@@ -21,6 +22,10 @@ The benchmark is the stated query set.  Its window hashes are read in blocks of
 ``BLOCK`` and broadcast, to keep document windows that can't hit from being shuffled; one pass over the
 documents is made for each block, and every block is searched.
 
+Items that are too short for a whole window between two edits at the thirds are joined by
+shorter windows too, of at least ``MIN_WORDS`` words; pieces shorter than that are not matched.  Shorter windows
+with many slots are joined by their words only inside whole windows that are.
+
 Edge cases: NULL texts have no words; items with fewer than ``window`` words are
 one window of all their words, items with fewer than ``MIN_WORDS`` words are too
 short to tell and are never reported; repeated rows are reported each (documents) or once
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import Rolling, byte_values, lower_ascii, narrow, signed, text_chunks, words
 
 WINDOW, MIN_WORDS, COVERAGE, BLOCK = 8, 5, 0.5, 500_000
+DRIFT = 8
 UNITS = ("mm cm m km in ft yd mi mg g kg oz lb t ml l gal ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
          "cent cents dollar dollars euro euros pound pounds usd eur percent meter meters metre metres mile miles gram grams liter liters litre litres degree degrees").split()
 _DIGIT, _UPPER, _LOWER = (np.zeros(256, bool) for _ in range(3))
@@ -112,6 +118,11 @@ def _windows(frame: DataFrame, sizes: list[int], wanted, window: int = WINDOW) -
                 woff = np.searchsorted(row, np.arange(hi - lo + 1))
                 forms = [(Rolling(t), slot, False), (Rolling(h ^ _EXACT), slot, True)]
                 if of_items and len(t):
+                    # places whose whole windows say too little, counted: shorter windows of words are taken inside those only
+                    n_slots, q = np.concatenate([[0], np.cumsum(slot)]), np.arange(max(0, len(t) - window + 1))
+                    heavy = np.zeros(len(t), bool)
+                    heavy[q] = (row[q] == row[q + window - 1]) & (2 * (n_slots[q + window] - n_slots[q]) > window)
+                    beside = np.concatenate([[0], np.cumsum(heavy)])
                     start = np.unique(woff[:-1][woff[:-1] < woff[1:]])
                     capital = start[capitalised[start]]
                     t2, slot2 = t.copy(), slot.copy()
@@ -131,7 +142,7 @@ def _windows(frame: DataFrame, sizes: list[int], wanted, window: int = WINDOW) -
                         if not exact:
                             p = p[light]
                         elif of_items:
-                            p = p[~light | (np.diff(woff)[row[p]] <= window)]
+                            p = p[(~light & (beside[p + 1] > beside[np.maximum(p + m - window, 0)])) | (np.diff(woff)[row[p]] <= window)]
                         p = p if of_items else p[_among(keep, g[p])]
                         if not len(p):
                             continue
@@ -143,6 +154,59 @@ def _windows(frame: DataFrame, sizes: list[int], wanted, window: int = WINDOW) -
     return frame.mapInArrow(run, "doc_id long, p long, m int, h long, exact boolean, slots array<long>")
 
 
+def occurrence(hits: list[dict], n_words: int, least: int, n_light: int, coverage: float) -> tuple | None:
+    """(windows hit, coverage, diagonal, reparameterised) of the best occurrence of an item among its hits in one stretch.
+
+    Around each diagonal the hits of all diagonals at most ``DRIFT`` away are taken, nearest first, as long as a
+    value of the item stands against one value.
+    """
+
+    def share(some):
+        words, light = set(), set()
+        for x in some:
+            words.update(range(x["q"], x["q"] + x["m"]))
+            if x["light"]:
+                light.add(x["q"])
+        return max((len(words) - least + 1) / (n_words - least + 1), len(light) / n_light if n_light else 0.0)
+
+    if share(hits) < coverage:
+        return None
+    lines: dict = {}
+    for x in hits:
+        lines.setdefault(x["diagonal"], []).append(x)
+    values = {d: {(y["item"], y["doc"]) for x in some for y in x["pairs"]} for d, some in lines.items()}
+    values = {d: dict(v) for d, v in values.items() if len({x for x, _ in v}) == len(v)}
+    best = None
+    for d in sorted(values):
+        stands, taken = {}, []
+        for near in sorted((x for x in range(d - DRIFT, d + DRIFT + 1) if x in values), key=lambda x: (abs(x - d), x)):
+            if all(stands.get(x, y) == y for x, y in values[near].items()):
+                stands |= values[near]
+                taken += lines[near]
+        found = share(taken)
+        other = any(x != y for x, y in stands.items())
+        if found >= coverage and (best is None or (-found, other) < (-best[1], best[3])):
+            best = len({x["q"] for x in taken}), found, d, other
+    return best
+
+
+def _occurrences(met: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, key, item_id, n_windows, n_hits, coverage, diagonal, reparameterised) of the stretches that hold an occurrence."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_hits", pa.int64()), ("coverage", pa.float64()), ("diagonal", pa.int64()), ("reparameterised", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                out = []
+                for x in batch.slice(at, 500).to_pylist():
+                    found = occurrence(x["hits"], x["n_words"], x["least"], x["n_light"], coverage)
+                    if found:
+                        out.append({c: x[c] for c in ("doc_id", "key", "item_id", "n_windows")} | dict(zip(("n_hits", "coverage", "diagonal", "reparameterised"), found)))
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return met.mapInArrow(run, "doc_id long, key long, item_id long, n_windows long, n_hits long, coverage double, diagonal long, reparameterised boolean")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, coverage, at_word, reparameterised): reported pairs, the best occurrence of each."""
     spark = docs.sparkSession
@@ -150,12 +214,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     items = items.withColumn("key", F.xxhash64("item_id", "text")).withColumn("n_words", F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
     items = items.filter(F.col("n_words") >= MIN_WORDS).withColumn("m", F.least("n_words", F.lit(window)))
+    third = F.greatest(F.lit(min(MIN_WORDS, window)), F.least("m", F.floor((F.col("n_words") - 2) / 3).cast("int")))  # fits between two edits
+    items = items.withColumn("least", F.when(F.col("n_words") <= window, F.col("m")).otherwise(third))
+    items = items.withColumn("full", F.col("m")).withColumn("m", F.explode(F.array_distinct(F.array("m", "least"))))
     sizes = sorted(r["m"] for r in items.select("m").distinct().collect())  # at most ``window`` numbers
-    own = _windows(items.select(F.col("key").alias("doc_id"), "text"), sizes, None, window).withColumnRenamed("doc_id", "key").join(items.select("key", "item_id", "m"), ["key", "m"])
-    light = F.when(~F.col("exact"), F.col("q"))
-    own = own.withColumnRenamed("p", "q").withColumnRenamed("slots", "item_slots")
-    counts = own.groupBy("key").agg(F.countDistinct("q").alias("n_windows"), F.countDistinct(light).alias("n_light"))
-    own = own.join(counts, "key").select("key", "item_id", "n_windows", "n_light", "m", "h", "exact", "q", "item_slots")
+    own = _windows(items.select(F.col("key").alias("doc_id"), "text"), sizes, None, window).withColumnRenamed("doc_id", "key").join(items.select("key", "item_id", "n_words", "least", "full", "m"), ["key", "m"])
+    own = own.withColumnRenamed("p", "q").withColumnRenamed("slots", "item_slots").withColumn("light", (F.col("m") == F.col("full")) & ~F.col("exact"))
+    counts = own.groupBy("key").agg(F.countDistinct("q").alias("n_windows"), F.countDistinct(F.when(F.col("light"), F.col("q"))).alias("n_light"))
+    of_item = ["key", "item_id", "n_words", "least", "n_windows", "n_light"]
+    own = own.join(counts, "key").select(*of_item, "m", "h", "exact", "q", "light", "item_slots")
     hashes = own.select("h").distinct()
     n = hashes.count()
     blocks = -(-n // block)
@@ -168,12 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         hits = spark.createDataFrame([], "doc_id long, p long, m int, h long, exact boolean, slots array<long>")
     same = F.transform("item_slots", lambda x: F.struct(x.alias("item"), x.alias("doc")))
     pairs = F.when(F.col("exact"), same).otherwise(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
-    met = hits.join(own, ["m", "h", "exact"]).select("doc_id", "key", "item_id", "n_windows", "n_light", "q", light.alias("light"), (F.col("p") - F.col("q")).alias("diagonal"), pairs.alias("pairs"))
-    runs = met.groupBy("doc_id", "key", "item_id", "n_windows", "n_light", "diagonal").agg(F.countDistinct("q").alias("n_hits"), F.countDistinct("light").alias("light"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    of_light = F.when(F.col("n_light") > 0, F.col("light") / F.col("n_light")).otherwise(0.0)
-    runs = runs.withColumn("coverage", F.greatest(F.col("n_hits") / F.col("n_windows"), of_light)).filter(F.col("coverage") >= coverage)
-    runs = runs.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))))
-    runs = runs.withColumn("reparameterised", F.exists("pairs", lambda x: x["item"] != x["doc"]))
+    met = hits.join(own, ["m", "h", "exact"])
+    # an occurrence lies whole in one of the stretches that begin at a multiple of ``reach`` and are twice as long
+    reach = F.floor(F.col("p") / (F.col("n_words") + 2 * DRIFT))
+    met = met.select("doc_id", *of_item, F.explode(F.array(reach, reach - 1)).alias("stretch"), F.struct("m", "q", (F.col("p") - F.col("q")).alias("diagonal"), "light", pairs.alias("pairs")).alias("hit"))
+    runs = _occurrences(met.groupBy("doc_id", *of_item, "stretch").agg(F.collect_list("hit").alias("hits")), coverage)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("coverage"), "reparameterised", "diagonal", "key")
     return runs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "item_id", "n_windows", "n_hits", "coverage", F.col("diagonal").alias("at_word"), "reparameterised")
 

@@ -165,6 +165,23 @@ def test_decontamination_finds_copies_that_are_mostly_slots(spark):
     assert got[5, 3]["reparameterised"] and not any(got[i, i]["reparameterised"] for i in range(5))
 
 
+def test_decontamination_finds_edited_copies(spark):
+    """A word put in or left out in the middle or at the thirds, a word altered in the middle; half an item and far pieces stay."""
+    r = random.Random(3)
+    prose = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    items, rows, want = [], [], set()
+    for i, n in enumerate((17, 20, 22, 30, 41)):
+        w = prose(n)
+        items.append((i, " ".join(w)))
+        edits = [w[: n // 2] + ["more"] + w[n // 2 :], w[: n // 2] + w[n // 2 + 1 :], w[: n // 2] + ["other"] + w[n // 2 + 1 :], w[: n // 3] + ["more"] + w[n // 3 : 2 * n // 3] + ["words"] + w[2 * n // 3 :]]
+        for k, e in enumerate(edits):
+            rows.append((10 * i + k, " ".join(prose(20) + e + prose(20))))
+            want.add((10 * i + k, i))
+        rows += [(10 * i + 8, " ".join(prose(20) + w[: n // 2] + prose(20))), (10 * i + 9, " ".join(w[: n // 2] + prose(200) + w[n // 2 :]))]
+    got = decontaminate.contaminated(edge_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+
+
 def test_decontamination_finds_every_planted_item(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {x["item_id"]: x["text"].split() for x in items.collect()}
