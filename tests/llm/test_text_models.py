@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,23 @@ def test_language_model_sums_to_one_and_learns():
     assert split[1] == pytest.approx(model.score(prefix, np.array([0, 20]))[0], abs=1e-3)
 
 
+def test_language_model_trains_on_every_token(spark, docs):
+    """All tokens of the training texts, each in one round, however the rows are split; copies and NULL ids too."""
+    rows = docs.select("doc_id", "text").limit(300).collect()
+    rows = [(x["doc_id"], x["text"]) for x in rows] + [(None, "one more text " * 50)] * 3 + [(20_000 + i, "copies of a text " * 700) for i in range(40)]
+    ranks = attention_lm.load_vocabulary()
+    rng, size = np.random.default_rng(0), len(ranks) + 1
+    enc, end = attention_lm.Encoder(ranks), len(ranks)
+    ids, *_ = attention_lm._ids(enc, [(t or "").encode().lower().split() for _, t in rows], end)
+    for limit in (attention_lm.PIECE_BYTES, 30_000):
+        seen = 0
+        for number in range(2):
+            model = attention_lm.Model(np.bincount(ids, minlength=size).astype(float), rng.integers(0, 3, (size, 2 * attention_lm.SIDE)).astype(np.float32), 5)
+            frame = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t or ""} for i, t in rows])
+            seen += attention_lm.local_steps([frame], model, enc, end, attention_lm.Adam(model.w, 1e-3), number, 2, limit)
+        assert seen == len(ids)
+
+
 QUESTION = "a train with Maria leaves the old station at 9 hours and travels 120 km before Maria meets Peter near the river bridge"
 
 
