@@ -11,6 +11,7 @@ the next stage's documents, so a lost executor costs one stage's tasks at most.
 5. SentencePiece encoding: two sampled segmentations of each text, with inclusion scores.
 
 Stages 1 to 4 return the columns of ``documents``; rows whose text becomes empty in stage 3 stay, with an empty text.
+They work on rows: one with a NULL or repeated doc_id is a document of its own, and of similar rows with one doc_id the first stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import decontaminate, jaccard_join, quality, segmentations, suffix_dedup
-from sitelens.llm.common import staged, table
+from sitelens.llm.common import ROW, narrow, staged, stamped, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +28,16 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.similar_documents(docs)
+    rows, _ = stamped(docs)
+    classes = jaccard_join.similar_documents(narrow(rows, ROW))
     gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return rows.join(gone, rows[ROW] == F.col("gone_id"), "left_anti").drop(ROW)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.suffix_dedup(docs, whole_characters=True).select(F.col("doc_id").alias("kept_id"), F.decode("kept", "UTF-8").alias("kept_text"))
-    joined = docs.drop("text", "n_chars").join(kept, docs["doc_id"] == F.col("kept_id"))
+    rows, _ = stamped(docs)
+    kept = suffix_dedup.suffix_dedup(narrow(rows, ROW), whole_characters=True).select(F.col("doc_id").alias("kept_id"), F.decode("kept", "UTF-8").alias("kept_text"))
+    joined = rows.drop("text", "n_chars").join(kept, rows[ROW] == F.col("kept_id"))
     return joined.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
 
 

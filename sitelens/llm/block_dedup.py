@@ -23,8 +23,9 @@ Groups are never gathered: blocks and windows meet in grouped minima with
 partial aggregation, and joins on their keys are splittable.
 
 Edge cases: NULL text has no words; texts shorter than the window lose nothing;
-of repeated rows the smaller ``doc_id`` stays whole; an empty table gives an
-empty result; extra columns are ignored.  ``doc_id`` must be unique.
+of repeated rows the smaller ``doc_id`` stays whole, of rows with one ``doc_id`` the first, and rows with
+a NULL ``doc_id`` come last; an empty table gives an
+empty result; extra columns are ignored.  ``covered_spans`` needs a unique ``doc_id``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Rolling, anchors, narrow, signed, staged, text_chunks, word_hashes, words
+from sitelens.llm.common import Rolling, anchors, narrow, on_rows, signed, staged, text_chunks, word_hashes, words
 
 WINDOW = 50
 GRAM = 12
@@ -149,4 +150,4 @@ def remove_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def block_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Every document without the words that smaller documents already hold (see the module text)."""
-    return remove_words(docs, covered_spans(docs, window, gram))
+    return on_rows(docs, lambda rows: remove_words(rows, covered_spans(rows, window, gram)))

@@ -37,6 +37,35 @@ def narrow(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+ROW = "sitelens_row_key"
+
+
+def stamped(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, bool]:
+    """The rows with ``ROW``, a non-null number that no other row has, in the order of ``key`` (NULL last).
+
+    It is ``key`` itself where that is so already; otherwise (second value) the rows are numbered once and written.
+    """
+    number = F.col(key).cast("long")
+    most, null = docs.groupBy(number.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.isnull("k"))).first()
+    if (most or 0) <= 1 and not null:
+        return docs.withColumn(ROW, number), False
+    order = number.asc_nulls_last(), F.col(ROW)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return staged(rows.withColumn(ROW, F.monotonically_increasing_id()), "rows"), True
+
+
+def on_rows(docs: DataFrame, operator, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``operator`` over (doc_id, text) with each row under its own key; ``columns`` of the result turn back into doc_ids."""
+    rows, numbered = stamped(narrow(docs))
+    out = operator(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    if numbered:
+        for c in columns:
+            names = rows.select(F.col(ROW).alias("key_"), F.col("doc_id").alias("name_"))
+            out = out.join(names, out[c] == F.col("key_")).withColumn(c, F.col("name_")).select(*out.columns)
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits depend on all input bits."""
     h = (h ^ (h >> np.uint64(30))) * _M1

@@ -28,7 +28,7 @@ with many slots are joined by their words only inside whole windows that are.
 
 Edge cases: NULL texts have no words; items with fewer than ``window`` words are
 one window of all their words, items with fewer than ``MIN_WORDS`` words are too
-short to tell and are never reported; repeated rows are reported each (documents) or once
+short to tell and are never reported; repeated rows, also of one ``doc_id`` or NULL, are reported each (documents) or once
 (items); an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Rolling, byte_values, lower_ascii, narrow, signed, text_chunks, words
+from sitelens.llm.common import ROW, Rolling, byte_values, lower_ascii, narrow, on_rows, signed, stamped, text_chunks, words
 
 WINDOW, MIN_WORDS, COVERAGE, BLOCK = 8, 5, 0.5, 500_000
 DRIFT = 8
@@ -209,8 +209,11 @@ def _occurrences(met: DataFrame, coverage: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, coverage, at_word, reparameterised): reported pairs, the best occurrence of each."""
+    return on_rows(docs, lambda rows: _contaminated(rows, benchmark, window, coverage, block))
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
-    docs = narrow(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     items = items.withColumn("key", F.xxhash64("item_id", "text")).withColumn("n_words", F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
     items = items.filter(F.col("n_words") >= MIN_WORDS).withColumn("m", F.least("n_words", F.lit(window)))
@@ -246,5 +249,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("bad_id"), "left_anti")
+    rows, _ = stamped(docs)
+    bad = _contaminated(narrow(rows, ROW), benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    return rows.join(bad, rows[ROW] == F.col("bad_id"), "left_anti").drop(ROW)

@@ -29,7 +29,8 @@ are one token of all their words.
 
 Edge cases: NULL or wordless texts are linked with nothing and are their own class; repeated
 rows are copies; very long texts are read whole; an empty table gives an empty result; extra
-columns are ignored.  ``doc_id`` must be unique.
+columns are ignored.  Rows with a NULL or repeated ``doc_id`` are documents of their own; a class of
+NULLs alone is named NULL.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Rolling, mix, narrow, signed, staged, text_chunks, word_hashes, words
+from sitelens.llm.common import Rolling, mix, on_rows, signed, staged, text_chunks, word_hashes, words
 from sitelens.llm.components import connected
 
 NGRAM, SIMILARITY = 5, 0.8
@@ -263,7 +264,10 @@ def exact_links(ids: list, blocks: list, copies: list, sets: list, similarity: f
 
 def similar_documents(docs: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id, n_links) for every document (see the module text)."""
-    docs = narrow(docs)
+    return on_rows(docs, lambda rows: _similar(rows, ngram, similarity, bucket, tile), ("doc_id", "class_id"))
+
+
+def _similar(docs: DataFrame, ngram: int, similarity: float, bucket: int, tile: int) -> DataFrame:
     sets = staged(_sets(docs, ngram, similarity), "sets")
     classes = staged(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
     reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id").select("doc_id", "copies", "picks", "sketch").dropDuplicates(["doc_id"]), "set-reps")

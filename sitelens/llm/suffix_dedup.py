@@ -24,7 +24,8 @@ are compared one by one through grouped counts of their 128-bit hashes.
 
 Edge cases: NULL text is empty; texts shorter than ``min_len`` bytes hold no
 repeat but are returned; repeated rows are repeats of each other; an empty table gives an
-empty result; extra columns are ignored.  ``doc_id`` must be unique.
+empty result; extra columns are ignored.  Rows with a NULL or repeated ``doc_id`` are rows of
+their own; the functions that list spans need a unique ``doc_id``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import CHUNK_BYTES, anchors, byte_values, narrow, signed, staged, text_chunks
+from sitelens.llm.common import CHUNK_BYTES, anchors, byte_values, narrow, on_rows, signed, staged, text_chunks
 
 MIN_LEN = 400
 SEED = 128
@@ -258,5 +259,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, whole_characters: bool = Fal
 
 def suffix_dedup(docs: DataFrame, min_len: int = MIN_LEN, seed: int = SEED, max_bucket: int = MAX_BUCKET, whole_characters: bool = False) -> DataFrame:
     """Every document with its repeats removed (see the module text)."""
-    return remove_spans(docs, repeat_spans(docs, min_len, seed, max_bucket), whole_characters)
+    return on_rows(docs, lambda rows: remove_spans(rows, repeat_spans(rows, min_len, seed, max_bucket), whole_characters))
 
