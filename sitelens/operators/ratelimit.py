@@ -31,15 +31,22 @@ from sitelens.functions.parse import epoch_micros
 ADD_SITE_LIMIT = (10, 60)
 UPLOAD_LIMIT = (2, 60)
 
-OUT_SCHEMA = "key string, event_id long, ts_us long, allowed boolean"
+OUT_SCHEMA = "key string, event_id long, ts_us long, allowed boolean, verdict string"
 
 
-def decide(times_us, kept: list[int], max_n: int, window_us: int):
-    """Run the limiter over time-ordered events; returns (verdicts, kept)."""
+def decide(times_us, kept: list[int], max_n: int, window_us: int, watermark_us: int | None = None):
+    """Run the limiter over time-ordered events; returns (verdicts, kept).
+
+    ``kept`` may hold later times than an event (in a stream): only those in the window that ends with the
+    event count.  No event older than ``watermark_us`` follows; without one, none older than those seen.
+    """
     out = []
+    if watermark_us is not None:
+        kept = [x for x in kept if watermark_us - x < window_us]
     for t in times_us:
-        kept = [x for x in kept if t - x < window_us]
-        if len(kept) < max_n:
+        if watermark_us is None:
+            kept = [x for x in kept if t - x < window_us]
+        if sum(0 <= t - x < window_us for x in kept) < max_n:
             kept.append(t)
             out.append(True)
         else:
@@ -53,6 +60,8 @@ class _LimiterProcessor(StatefulProcessor):
     together; otherwise (a stream's micro-batch) one key's rows of the batch
     are sorted first."""
 
+    # A stream is in event time: events older than the watermark are late, and a timer drops a key's state one
+    # window after its last allowed time.
     def __init__(self, max_n: int, window_us: int, presorted: bool = False, keep: list[str] | None = None):
         self.keep = keep  # the batch's own columns, carried through
         self.max_n = max_n
@@ -60,27 +69,46 @@ class _LimiterProcessor(StatefulProcessor):
         self.presorted = presorted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.allowed = handle.getListState("allowed", "t long")
 
+    def _hold(self, kept: list[int]) -> None:
+        self.allowed.clear()
+        if kept:
+            self.allowed.put([(int(t),) for t in kept])
+        if not self.presorted:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if kept:
+                self.handle.registerTimer((max(kept) + self.window_us) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.allowed.clear()
+        return iter(())
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [int(t) for (t,) in self.allowed.get()] if self.allowed.exists() else []
+        watermark = None
         if self.presorted:
             chunks = rows
         else:
+            watermark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
             parts = list(rows)  # one key's rows of one micro-batch (bounded by the trigger)
             pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
             chunks = [pdf.sort_values(["ts_us", "event_id"], kind="stable")]
         for pdf in chunks:
-            verdicts, kept = decide(pdf["ts_us"].tolist(), kept, self.max_n, self.window_us)
+            late = [watermark is not None and t < watermark for t in pdf["ts_us"].tolist()]
+            decided, kept = decide([t for t, x in zip(pdf["ts_us"].tolist(), late) if not x], kept, self.max_n, self.window_us, watermark)
+            decided = iter(decided)
+            verdicts = [False if x else next(decided) for x in late]
             if self.keep is not None:
                 yield pdf[self.keep].assign(allowed=verdicts)
                 continue
             yield pd.DataFrame({"key": pdf["key"].astype(str).values,
                                 "event_id": pdf["event_id"].values,
-                                "ts_us": pdf["ts_us"].values, "allowed": verdicts})
-        self.allowed.clear()
-        if kept:
-            self.allowed.put([(int(t),) for t in kept])
+                                "ts_us": pdf["ts_us"].values, "allowed": verdicts,
+                                "verdict": ["late" if x else "allowed" if ok else "refused" for x, ok in zip(late, verdicts)]})
+        self._hold(kept)
 
     def close(self) -> None:
         pass
@@ -117,17 +145,19 @@ def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_i
 def rate_limit_stream(requests: DataFrame, key: str = "client", ts: str = "ts",
                       event_id: str = "event_id", max_n: int = UPLOAD_LIMIT[0],
                       window_s: float = UPLOAD_LIMIT[1]) -> DataFrame:
-    """Streaming limiter: a streaming DataFrame of (key, event_id, ts_us, allowed).
+    """Streaming limiter: a streaming DataFrame of (key, event_id, ts_us, allowed, verdict).
 
-    Each micro-batch is decided in time order per key, carrying the allowed
-    times in the state store between batches.
+    ``requests`` has a watermark on ``ts``.  Each micro-batch is decided in time order per key, carrying the
+    allowed times in the state store between batches.  ``verdict`` is allowed, refused, or late (older than the
+    watermark; not allowed); an event counts the allowed times in the window that ends with it.  A key's state
+    goes when the watermark is one window past its last allowed time.
     """
     requests.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     prep = _prepared(requests, key, ts, event_id)
     return prep.groupBy("key").transformWithStateInPandas(
-        _LimiterProcessor(max_n, int(window_s * 1_000_000)), OUT_SCHEMA, "Append", "None")
+        _LimiterProcessor(max_n, int(window_s * 1_000_000)), OUT_SCHEMA, "Append", "EventTime")
 
 
 # The processor runs in Python workers: ship this module by value so workers need

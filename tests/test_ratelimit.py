@@ -44,3 +44,22 @@ def test_every_row_gets_one_verdict(spark):
     assert out.columns == [*df.columns, "allowed"]
     assert {r["note"]: r["allowed"] for r in out.collect()} == {"a": True, "b": True, "c": False, "d": True}
     assert {(r["event_id"], r["ts"]) for r in out.collect()} == {(r[0], r[2]) for r in rows}
+
+
+def test_stream_marks_late_events_and_drops_old_state(spark, tmp_path):
+    """Out-of-order events count only earlier times; events behind the watermark are late; keys are forgotten after a window."""
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    batches = [[(1, "c", 1000), (2, "c", 1010)] + [(100 + i, f"k{i}", 900) for i in range(40)],
+               [(3, "c", 960), (4, "c", 1020), (5, "c", 300)], [(6, "c", 9000)], [(7, "c", 1030), (8, "c", 8990)]]
+    schema, path = "event_id long, client string, ts timestamp", f"{tmp_path}/in"
+    for rows in batches:
+        df = spark.createDataFrame([(i, c, t0 + dt.timedelta(seconds=s)) for i, c, s in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "600 seconds")
+        q = (RL.rate_limit_stream(stream, max_n=1, window_s=60).writeStream.outputMode("append").format("parquet")
+             .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    got = {r["event_id"]: r["verdict"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {i: got[i] for i in range(1, 9)} == {1: "allowed", 2: "refused", 3: "allowed", 4: "refused", 5: "late", 6: "allowed", 7: "late", 8: "allowed"}
+    assert held[-1] < 40
