@@ -10,7 +10,7 @@ Plan: ``groupBy(key).transformWithStateInPandas`` -- each key's rows stream
 through a small Python state machine in Arrow batches; the only state kept is a
 ``ListState`` of at most ``max_n`` allowed times.  Memory per key is therefore
 bounded by ``max_n`` no matter how many events a key has (a hot key costs time,
-not memory).  The same processor serves batch DataFrames and streams.  Within a
+not memory); a stream also keeps the allowed times of the watermark's delay.  The same processor serves batch DataFrames and streams.  Within a
 batch the input is sorted by (key, ts, event id) before the state machine runs.
 """
 
