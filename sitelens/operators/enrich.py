@@ -236,8 +236,9 @@ def extract_tags(df: DataFrame, id_col: str, text_col: str, k: int = MAX_TAGS,
     """(id, rank, tag, freq, confidence): top-k words per row, in one narrow stage (``with_top_words``)."""
     rows = df.select(F.col(id_col), clean_text(F.col(text_col)).alias("_clean"))
     rows = with_top_words(rows, "_clean", "_top", k, dicts)
-    top = rows.select(id_col, F.get("_top", F.lit(0))["neg"].alias("_fmax"), F.posexplode("_top").alias("_at", "_t"))
-    return top.select(F.col(id_col), (F.col("_at") + 1).cast("long").alias("rank"), F.col("_t.word").alias("tag"),
+    # the outer form lets no size(_top) > 0 be pushed below the steps of _top, where it would repeat the sort for each word
+    top = rows.select(id_col, F.get("_top", F.lit(0))["neg"].alias("_fmax"), F.posexplode_outer("_top").alias("_at", "_t"))
+    return top.filter("_at is not null").select(F.col(id_col), (F.col("_at") + 1).cast("long").alias("rank"), F.col("_t.word").alias("tag"),
                       (-F.col("_t.neg")).cast("long").alias("freq"),
                       tag_confidence(F.col("_t.neg"), F.col("_fmax")).alias("confidence"))
 

@@ -117,3 +117,27 @@ def test_hot_keys_are_pre_aggregated(spark):
     counts = {r["outcome"]: r["count"] for r in report.groupBy("outcome").count().collect()}
     assert counts == {"inserted": 2001, "skipped": 999}
     assert "partial_min" in plan(report)
+
+
+def test_tags_sort_once_and_take_linear_time(spark):
+    import time
+
+    def docs(words):
+        return spark.createDataFrame([(i, " ".join(f"word{(i * 7 + j * j) % 997:04d}" for j in range(words))) for i in range(40)], "doc_id long, text string").repartition(8).cache()
+
+    def seconds(frame):
+        t0 = time.time()
+        E.extract_tags(frame, "doc_id", "text").write.format("noop").mode("overwrite").save()
+        return time.time() - t0
+
+    out = E.extract_tags(docs(10), "doc_id", "text")
+    for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") + plan(out).split("\n"):
+        assert line.count("sort_array") <= 1
+    few, many = docs(8_000), docs(32_000)
+    few.count(), many.count(), seconds(few)
+    assert seconds(many) <= 6 * max(seconds(few), 0.5)
+
+
+def test_tags_of_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "and the of"), (4, "solar solar panel")], "doc_id long, text string")
+    assert {(r["doc_id"], r["rank"], r["tag"], r["freq"]) for r in E.extract_tags(docs, "doc_id", "text").collect()} == {(4, 1, "solar", 2), (4, 2, "panel", 1)}
