@@ -16,6 +16,7 @@ from sitelens.llm import quality as OP3
 from sitelens.llm import segmentations as OP10
 from sitelens.llm import suffix_dedup as OP1
 from sitelens.llm import topk_search as OP9
+from sitelens.llm import url_filter as OP13
 from sitelens.llm import warc as OP2
 from sitelens.llm.common import table
 
@@ -101,3 +102,30 @@ def q_op6(spark, sf_dir) -> DataFrame:
 @register("op10_segmentations")
 def q_op10(spark, sf_dir) -> DataFrame:
     return OP10.digest(OP10.encode(table(spark, sf_dir, "documents")))
+
+
+RULES = [OP13.Rule("allow", "com", "/"), OP13.Rule("block", "example.com", "/en/"), OP13.Rule("allow", "www.example.com", "/en/"), OP13.Rule("block", "net", "/es/"), OP13.Rule("block", "net", "/fr/")]
+
+
+@register("op13_url_filter", r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+named AS (SELECT row_number() OVER () AS row_no, page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+split AS (SELECT row_no, page_id, url, html,
+  coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM named),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM named WHERE contains(url, '://') AND (html ILIKE '%canonical%' OR html ILIKE '%http-equiv%')),
+links AS (SELECT url AS u, coalesce(nullif(regexp_extract(tag, '(?i)^<link\b.*\shref\s*=\s*["'']?(\w+://[^"''\s>]+)', 1), ''), regexp_extract(tag, '(?i)url\s*=\s*["'']?(\w+://[^"''\s>]+)', 1)) AS v FROM tags
+  WHERE regexp_matches(tag, '(?i)^<link\b.*\srel\s*=\s*["'']?canonical') OR regexp_matches(tag, '(?i)^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh')),
+ends AS (SELECT DISTINCT regexp_replace(u, '#.*$', '') AS a, regexp_replace(v, '#.*$', '') AS b FROM links WHERE v <> ''),
+both_ways AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+parts AS (SELECT a, a AS b FROM both_ways UNION SELECT p.a, e.b FROM parts p JOIN both_ways e ON p.b = e.a),
+ruled AS (SELECT b, (SELECT arg_max(r.verdict, length(r.host || r.path)) FROM rules r
+                     WHERE ('.' || lower(split_part(split_part(b, '://', 2), '/', 1))) LIKE ('%.' || r.host) AND starts_with(regexp_extract(b, '^[^:]*://[^/?#]*([^?#]*)', 1), r.path)) AS verdict
+          FROM (SELECT DISTINCT b FROM parts)),
+bad AS (SELECT DISTINCT p.a FROM parts p JOIN ruled USING (b) WHERE ruled.verdict = 'block'),
+fits AS (SELECT row_no, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+         FROM split s JOIN rules r ON ('.' || s.host) LIKE ('%.' || r.host) AND starts_with(s.path, r.path) GROUP BY row_no)
+SELECT page_id, host, path, rule, coalesce(f.verdict, CASE WHEN bad.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM split LEFT JOIN fits f USING (row_no) LEFT JOIN bad ON regexp_replace(url, '#.*$', '') = bad.a""")
+def q_op13(spark, sf_dir) -> DataFrame:
+    return OP13.judge(table(spark, sf_dir, "pages"), RULES)
