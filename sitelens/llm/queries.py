@@ -14,6 +14,7 @@ from sitelens.llm import jaccard_join as OP8
 from sitelens.llm import language as OP5
 from sitelens.llm import quality as OP3
 from sitelens.llm import segmentations as OP10
+from sitelens.llm import spelling as OP12
 from sitelens.llm import suffix_dedup as OP1
 from sitelens.llm import topk_search as OP9
 from sitelens.llm import url_filter as OP13
@@ -129,3 +130,8 @@ SELECT page_id, host, path, rule, coalesce(f.verdict, CASE WHEN bad.a IS NOT NUL
 FROM split LEFT JOIN fits f USING (row_no) LEFT JOIN bad ON regexp_replace(url, '#.*$', '') = bad.a""")
 def q_op13(spark, sf_dir) -> DataFrame:
     return OP13.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@register("op12_spelling")
+def q_op12(spark, sf_dir) -> DataFrame:
+    return OP12.variants(table(spark, sf_dir, "documents"))
