@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm import alignment as OP11
 from sitelens.llm import attention_lm as OP6
 from sitelens.llm import block_dedup as OP4
 from sitelens.llm import decontaminate as OP7
@@ -135,3 +136,9 @@ def q_op13(spark, sf_dir) -> DataFrame:
 @register("op12_spelling")
 def q_op12(spark, sf_dir) -> DataFrame:
     return OP12.variants(table(spark, sf_dir, "documents"))
+
+
+@register("op11_alignment")
+def q_op11(spark, sf_dir) -> DataFrame:
+    documents, _ = OP11.align(table(spark, sf_dir, "documents"))
+    return documents
