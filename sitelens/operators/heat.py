@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.parse import as_of_col
 
 from sitelens.functions import days_between, py_round
-from sitelens.operators.layout import global_positions  # noqa: F401  (re-exported)
+from sitelens.operators.layout import global_positions
 
 HOT_MIN = 70.0
 WARM_MIN = 30.0
@@ -109,42 +109,18 @@ def quota_buckets(sites: DataFrame, hot: float = 0.2, warm: float = 0.5, n: int
     return out.select("id", "pos", "bucket")
 
 
-# FIXED VALUES: per bucket, (days since use lo, hi) and (heat lo, hi) of the seeding rule.
-BUCKET_RANGES = {
-    "hot": ((1, 3), (70.0, 100.0)),
-    "warm": ((7, 14), (30.0, 69.0)),
-    "cold": ((30, 180), (0.0, 29.0)),
-}
-
-
-def seed_heat(sites: DataFrame, buckets: DataFrame, as_of=None, seed: int = 0) -> DataFrame:
-    """Give bucketed sites a heat score and a last-use time, and mark them.
-
-    Values are drawn uniformly per bucket from a hash of (id, seed) -- a
-    reproducible stand-in for random seeding; heat is rounded to 2 decimals.
-    ``site_metadata['seeded_at']`` is set so ``rollback_marked`` can undo it.
-    """
+def mark_buckets(sites: DataFrame, buckets: DataFrame, as_of=None, key: str = SEEDED_KEY) -> DataFrame:
+    """Give the sites of ``quota_buckets`` the lowest heat of their band and mark them with ``site_metadata[key]``
+    (the time), so that ``rollback_marked`` can undo it; other sites are unchanged."""
     ts = _as_of(as_of)
     b = buckets.select(F.col("id").alias("_bid"), F.col("bucket").alias("_bucket"))
-    j = sites.join(b, sites["id"] == b["_bid"], "left")
-    u1 = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(1)), F.lit(1_000_000)) / F.lit(1_000_000.0))
-    u2 = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(2)), F.lit(1_000_000)) / F.lit(1_000_000.0))
-    heat = F.lit(None).cast("double")
-    days = F.lit(None).cast("int")
-    for name, ((dlo, dhi), (hlo, hhi)) in BUCKET_RANGES.items():
-        is_b = F.col("_bucket") == name
-        heat = F.when(is_b, F.round(F.lit(hlo) + u1 * F.lit(hhi - hlo), 2)).otherwise(heat)
-        days = F.when(is_b, (F.lit(dlo) + F.floor(u2 * F.lit(dhi - dlo + 1))).cast("int")).otherwise(days)
-    seeded = F.col("_bucket").isNotNull()
-    marker = F.create_map(F.lit(SEEDED_KEY), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    repl = {
-        "heat_score": F.when(seeded, heat).otherwise(F.col("heat_score")),
-        "last_used_at": F.when(seeded, ts - F.make_dt_interval(days)).otherwise(F.col("last_used_at")),
-        "site_metadata": F.when(seeded, F.map_concat(
-            F.map_filter(F.coalesce(F.col("site_metadata"), F.create_map().cast("map<string,string>")),
-                         lambda k, v: k != SEEDED_KEY), marker)).otherwise(F.col("site_metadata")),
-    }
-    return j.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in sites.columns])
+    own = F.col("_bucket")
+    heat = F.when(own == "hot", HOT_MIN).when(own == "warm", WARM_MIN).otherwise(0.0)
+    rest = F.map_filter(F.coalesce(F.col("site_metadata"), F.create_map().cast("map<string,string>")), lambda k, v: k != key)
+    marker = F.create_map(F.lit(key), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    new = {"heat_score": heat, "last_used_at": ts, "site_metadata": F.map_concat(rest, marker)}
+    return sites.join(b, sites["id"] == b["_bid"], "left").select(
+        *[F.when(own.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in sites.columns])
 
 
 def rollback_marked(sites: DataFrame, key: str = SEEDED_KEY) -> DataFrame:

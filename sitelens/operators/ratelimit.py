@@ -6,12 +6,13 @@ Rule: for each key, in time order, an event is allowed when fewer than
 depends on earlier verdicts: it is a sequential state machine per key, not a
 window count.
 
-Plan: ``groupBy(key).transformWithStateInPandas`` -- each key's rows stream
-through a small Python state machine in Arrow batches; the only state kept is a
-``ListState`` of at most ``max_n`` allowed times.  Memory per key is therefore
-bounded by ``max_n`` no matter how many events a key has (a hot key costs time,
-not memory); a stream also keeps the allowed times of the watermark's delay.  The same processor serves batch DataFrames and streams.  Within a
-batch the input is sorted by (key, ts, event id) before the state machine runs.
+Batch plan: a gap of at least one window between two events of a key resets the
+machine, so a key's events fall into independent runs.  Runs are found by grouped
+minima and maxima, dealt over the cluster by (key, run), sorted and decided one
+after the other in Arrow batches; at most ``max_n`` times are held.
+
+Stream plan: ``groupBy(key).transformWithStateInPandas``, with the allowed times of a key as one value in
+the state store; a stream also keeps the allowed times of the watermark's delay.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -55,60 +57,57 @@ def decide(times_us, kept: list[int], max_n: int, window_us: int, watermark_us:
 
 
 class _LimiterProcessor(StatefulProcessor):
-    """``presorted``: rows of a key arrive in (ts, event id) order (batch input is
-    sorted before grouping), so they are decided chunk by chunk and never held
-    together; otherwise (a stream's micro-batch) one key's rows of the batch
-    are sorted first."""
-
-    # A stream is in event time: events older than the watermark are late, and a timer drops a key's state one
-    # window after its last allowed time.
-    def __init__(self, max_n: int, window_us: int, presorted: bool = False, keep: list[str] | None = None):
-        self.keep = keep  # the batch's own columns, carried through
+    """One key of a stream, in event time: events older than the watermark are late.
+
+    The allowed times that can still matter are one array value, rewritten only when it changes.  One timer a key stands for its
+    expiry: it is moved on, when it fires, to one window after the last allowed time, and drops the state once that has passed.
+    """
+
+    def __init__(self, max_n: int, window_us: int):
         self.max_n = max_n
         self.window_us = window_us
-        self.presorted = presorted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.allowed = handle.getListState("allowed", "t long")
-
-    def _hold(self, kept: list[int]) -> None:
-        self.allowed.clear()
-        if kept:
-            self.allowed.put([(int(t),) for t in kept])
-        if not self.presorted:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            if kept:
-                self.handle.registerTimer((max(kept) + self.window_us) // 1000 + 1)
+        self.allowed = handle.getValueState("allowed", "times array<long>")
+
+    def _held(self) -> list[int]:
+        got = self.allowed.get() if self.allowed.exists() else None
+        return list(got[0]) if got else []
+
+    def _due(self, kept: list[int]) -> int:
+        return (max(kept) + self.window_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.allowed.clear()
+        kept = self._held()
+        if kept and self._due(kept) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(kept))
+        else:
+            self.allowed.clear()
         return iter(())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [int(t) for (t,) in self.allowed.get()] if self.allowed.exists() else []
-        watermark = None
-        if self.presorted:
-            chunks = rows
-        else:
-            watermark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-            parts = list(rows)  # one key's rows of one micro-batch (bounded by the trigger)
-            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-            chunks = [pdf.sort_values(["ts_us", "event_id"], kind="stable")]
-        for pdf in chunks:
-            late = [watermark is not None and t < watermark for t in pdf["ts_us"].tolist()]
-            decided, kept = decide([t for t, x in zip(pdf["ts_us"].tolist(), late) if not x], kept, self.max_n, self.window_us, watermark)
-            decided = iter(decided)
-            verdicts = [False if x else next(decided) for x in late]
-            if self.keep is not None:
-                yield pdf[self.keep].assign(allowed=verdicts)
-                continue
-            yield pd.DataFrame({"key": pdf["key"].astype(str).values,
-                                "event_id": pdf["event_id"].values,
-                                "ts_us": pdf["ts_us"].values, "allowed": verdicts,
-                                "verdict": ["late" if x else "allowed" if ok else "refused" for x, ok in zip(late, verdicts)]})
-        self._hold(kept)
+        before = self._held()
+        watermark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        parts = list(rows)  # one key's rows of one micro-batch (bounded by the trigger)
+        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        pdf = pdf.sort_values(["ts_us", "event_id"], kind="stable")
+        times = pdf["ts_us"].tolist()
+        late = [t < watermark for t in times]
+        decided, kept = decide([t for t, x in zip(times, late) if not x], before, self.max_n, self.window_us, watermark)
+        decided = iter(decided)
+        verdicts = [False if x else next(decided) for x in late]
+        if kept != before:
+            if kept:
+                self.allowed.update((kept,))
+                if not before:
+                    self.handle.registerTimer(self._due(kept))
+            else:
+                self.allowed.clear()
+        yield pd.DataFrame({"key": pdf["key"].astype(str).values,
+                            "event_id": pdf["event_id"].values,
+                            "ts_us": pdf["ts_us"].values, "allowed": verdicts,
+                            "verdict": ["late" if x else "allowed" if ok else "refused" for x, ok in zip(late, verdicts)]})
 
     def close(self) -> None:
         pass
@@ -121,25 +120,59 @@ def _prepared(requests: DataFrame, key: str, ts: str, event_id: str, more: list
                            epoch_micros(F.col(ts), is_ntz).alias("ts_us"), *more)
 
 
+def with_runs(prep: DataFrame, window_us: int) -> DataFrame:
+    """Add ``run`` to (key, ts_us, ...) rows: the runs of a key are a gap of at least one window apart, so none affects another.
+
+    No window runs over a key's events.  They are first counted down, partially before the shuffle, to the least
+    and greatest time in each window-long slot of the clock (a gap can't hide inside one); a slot starts a
+    run where the gap to the slot before is long enough, and the run is named by that slot.  Rows without a time get no run.
+    """
+    rows = prep.withColumn("slot", F.expr(f"ts_us div {window_us} - if(pmod(ts_us, {window_us}) <> 0 and ts_us < 0, 1, 0)"))  # floored
+    rows = rows.withColumn("who", F.coalesce(F.concat(F.lit("k"), F.col("key")), F.lit("")))  # a NULL key is a client too
+    slots = rows.filter("slot is not null").groupBy("who", "slot").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    by_key = Window.partitionBy("who").orderBy("slot")
+    starts = F.coalesce(F.col("lo") - F.lag("hi").over(by_key) >= window_us, F.lit(True))
+    runs = slots.withColumn("start", F.when(starts, F.col("slot"))).withColumn("run", F.last("start", ignorenulls=True).over(by_key))
+    return rows.join(runs.select("who", "slot", "run"), ["who", "slot"], "left").drop("slot")
+
+
+def _decided(rows: DataFrame, own: list[str], schema: T.StructType, max_n: int, window_us: int) -> DataFrame:
+    """The ``own`` columns and ``allowed`` of rows sorted by (who, run, time, event): runs stream through, and only the allowed times in the window are held."""
+
+    def run(batches):
+        now, kept = None, []
+        for batch in batches:
+            verdicts = []
+            for who, number, t in zip(*(batch.column(c).to_pylist() for c in ("who", "run", "ts_us"))):
+                if number is None:
+                    verdicts.append(None)
+                    continue
+                if (who, number) != now:
+                    now, kept = (who, number), []
+                ok, kept = decide([t], kept, max_n, window_us)
+                verdicts += ok
+            columns = [batch.column(c) for c in own] + [pa.array(verdicts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, "allowed"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def rate_limit(requests: DataFrame, key: str = "client", ts: str = "ts", event_id: str = "event_id",
                max_n: int = UPLOAD_LIMIT[0], window_s: float = UPLOAD_LIMIT[1]) -> DataFrame:
     """Batch limiter: requests + ``allowed``.
 
-    All columns travel through the state machine, so every row gets exactly one
-    verdict, also rows with a NULL or repeated event id.
+    The unit of work is a run of a key (``with_runs``), so a hot key spreads over as many tasks as it has runs.  What
+    remains sequential is one run: a client that never pauses for a window.  All columns travel through, so every
+    row gets exactly one verdict, also rows with a NULL or repeated event id; a row without a time gets NULL and doesn't count.
     """
-    spark = requests.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    _ = spark.streams  # registers the state-store coordinator batch state needs
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    window_us = int(window_s * 1_000_000)
     own = [f"own{i}" for i in range(len(requests.columns))]
     prep = _prepared(requests, key, ts, event_id, [F.col(c).alias(o) for c, o in zip(requests.columns, own)])
-    prep = prep.repartition(parts, "key").sortWithinPartitions("key", "ts_us", "event_id")
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.coalesce("run", "event_id")  # rows without a run are dealt by their id
+    rows = with_runs(prep, window_us).repartition(parts, F.col("who"), spread).sortWithinPartitions("who", "run", "ts_us", "event_id")
     schema = T.StructType([T.StructField(o, f.dataType) for o, f in zip(own, requests.schema)] + [T.StructField("allowed", T.BooleanType())])
-    verdicts = prep.groupBy("key").transformWithStateInPandas(
-        _LimiterProcessor(max_n, int(window_s * 1_000_000), presorted=True, keep=own), schema, "Append", "None")
-    return verdicts.toDF(*requests.columns, "allowed")
+    return _decided(rows, own, schema, max_n, window_us).toDF(*requests.columns, "allowed")
 
 
 def rate_limit_stream(requests: DataFrame, key: str = "client", ts: str = "ts",

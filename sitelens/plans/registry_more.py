@@ -263,7 +263,6 @@ r AS (SELECT id,
 SELECT id, heat_score, last_used_at, array_to_string(list_sort(_keys), ',') AS meta_keys FROM r""")
 def q_seed_rollback(spark, sf_dir):
     sites = FX.sites(spark, sf_dir)
-    seeded = H.seed_heat(sites, H.quota_buckets(sites, seed=7), as_of=FX.AS_OF, seed=7)
-    out = H.rollback_marked(seeded)
+    out = H.rollback_marked(H.mark_buckets(sites, H.quota_buckets(sites, seed=7), as_of=FX.AS_OF))
     return out.select("id", "heat_score", "last_used_at",
                       F.array_join(F.array_sort(F.map_keys("site_metadata")), ",").alias("meta_keys"))

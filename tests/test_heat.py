@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import heat as H
+from sitelens.operators import layout
 
 AS_OF = dt.datetime(2002, 1, 1)
 SCHEMA = ("id long, website_url string, heat_score double, last_used_at timestamp_ntz, "
@@ -62,9 +63,9 @@ def test_apply_usage_twice_equals_once_combined(spark):
 
 def test_global_positions(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
-    out = H.global_positions(df, [F.col("k")]).collect()
+    out = layout.global_positions(df, [F.col("k")]).collect()
     assert sorted((r["k"], r["pos"]) for r in out) == [(k, k + 1) for k in range(1000)]
-    part = H.global_positions(df, [-F.col("k")], ranges=[(1, 3), (500, 502)]).collect()
+    part = layout.global_positions(df, [-F.col("k")], ranges=[(1, 3), (500, 502)]).collect()
     assert sorted((r["pos"], r["k"]) for r in part) == [(1, 999), (2, 998), (3, 997), (500, 500), (501, 499), (502, 498)]
 
 
@@ -78,16 +79,43 @@ def test_global_positions_of_many_wide_rows(spark, adaptive):
                                                 F.repeat(F.col("id").cast("string"), 8).alias("text"))
                 .repartition(9, "id"))
         order = [-F.col("heat"), F.col("id")]
-        got = H.global_positions(wide, order)
+        got = layout.global_positions(wide, order)
         want = wide.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_first("heat"), "id")).alias("want"))
         r = got.join(want, "id").agg(F.count("*"), F.count_if(F.col("pos") != F.col("want")), F.max("pos")).first()
         assert tuple(r) == (n, 0, n)
-        page = H.global_positions(wide, order, ranges=[(1_234_001, 1_234_050)])
+        page = layout.global_positions(wide, order, ranges=[(1_234_001, 1_234_050)])
         assert page.join(want, "id").filter("pos <> want").count() == 0 and page.count() == 50
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_positions_by_refinement(spark):
+    """Pages found by counting equal the full ranking; overlapping ranges give each row once, ranges past the end none."""
+    df = spark.range(0, 20_000).select(F.when(F.col("id") % 3 > 0, F.pmod(F.xxhash64("id"), F.lit(50)) / 7.0).alias("heat"), "id").repartition(5)
+    order = [-F.col("heat"), F.col("id")]
+    want = {r["id"]: r["pos"] for r in layout.global_positions(df, order).collect()}
+    assert sorted(want.values()) == list(range(1, 20_001))
+    for rows in (700,):
+        for ranges in ([(1, 3), (3, 9), (5_000, 5_002), (19_999, 20_500)], [(20_001, 20_010), (7, 4), (-5, 0)], [(100, 900)]):
+            part = layout.global_positions(df, order, ranges=ranges, rows=rows).collect()
+            assert {r["id"]: r["pos"] for r in part} == {i: p for i, p in want.items() if any(a <= p <= b for a, b in ranges)}
+            assert len(part) == len({r["id"] for r in part})
+    assert layout.global_positions(df.limit(0), order, ranges=[(1, 5)]).count() == layout.global_positions(df.limit(0), order).count() == 0
+
+
+def test_largest_sort_stays_the_same_with_more_rows(spark):
+    """Twenty times the rows give twenty times the parts, not larger ones; a page sorts no more either way."""
+    for n in (10_000, 200_000):
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), "id")
+        sorted_in = layout.global_positions(df, [F.col("k"), F.col("id")], rows=2_000).groupBy(F.spark_partition_id()).count()
+        assert sorted_in.count() > 0
+        keyed = df.withColumn("_key", F.struct(F.col("k").alias("k0"), F.col("id").alias("k1")))
+        placed = keyed.repartitionByRange(-(-n // 2_000), "_key").groupBy(F.spark_partition_id().alias("p")).count()
+        assert placed.agg(F.max("count")).first()[0] < 2 * 2_000
+        _, before, inside = layout._interval(keyed, n, n // 2, n // 2 + 9, 2_000)
+        assert inside <= 2_000 and before < n // 2 <= before + inside
+
+
 def test_quota_buckets(spark):
     rows = [(i, f"u{i}", None if i % 2 else 0.0, None, None, None) for i in range(10)]
     rows.append((99, "hot", 50.0, None, None, None))
@@ -118,22 +146,18 @@ def test_stale(spark):
     assert got == [2, 3]
 
 
-def test_seed_then_rollback(spark):
-    rows = [(i, f"u{i}", None if i % 2 else 0.0, None, None, {"k": "v"} if i == 3 else None)
-            for i in range(10)]
+def test_mark_then_rollback(spark):
+    rows = [(i, f"u{i}", None if i % 2 else 0.0, None, None, {"k": "v"} if i == 3 else None) for i in range(10)]
     rows.append((99, "keep", 50.0, AS_OF, None, None))
     sites = spark.createDataFrame(rows, SCHEMA)
     b = H.quota_buckets(sites, seed=11)
-    seeded = H.seed_heat(sites, b, as_of=AS_OF, seed=11)
-    got = {r["id"]: r for r in seeded.collect()}
-    by_bucket = {r["id"]: r["bucket"] for r in b.collect()}
-    for i, bucket in by_bucket.items():
-        (dlo, dhi), (hlo, hhi) = H.BUCKET_RANGES[bucket]
-        assert hlo <= got[i]["heat_score"] <= hhi
-        assert dlo <= (AS_OF - got[i]["last_used_at"]).days <= dhi
-        assert "seeded_at" in got[i]["site_metadata"]
+    marked = H.mark_buckets(sites, b, as_of=AS_OF)
+    got = {r["id"]: r for r in marked.collect()}
+    for r in b.collect():
+        assert got[r["id"]]["heat_score"] == {"hot": 70.0, "warm": 30.0, "cold": 0.0}[r["bucket"]]
+        assert got[r["id"]]["last_used_at"] == AS_OF and "seeded_at" in got[r["id"]]["site_metadata"]
     assert got[3]["site_metadata"]["k"] == "v"
     assert got[99]["heat_score"] == 50.0 and got[99]["site_metadata"] is None
-    back = {r["id"]: r for r in H.rollback_marked(seeded).collect()}
-    assert all(back[i]["heat_score"] == 0.0 and back[i]["last_used_at"] is None for i in by_bucket)
+    back = {r["id"]: r for r in H.rollback_marked(marked).collect()}
+    assert all(back[i]["heat_score"] == 0.0 and back[i]["last_used_at"] is None for i in range(10))
     assert back[3]["site_metadata"] == {"k": "v"} and back[99]["heat_score"] == 50.0

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from sitelens.operators import ratelimit as RL
 
 
@@ -63,3 +65,36 @@ def test_stream_marks_late_events_and_drops_old_state(spark, tmp_path):
     got = {r["event_id"]: r["verdict"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert {i: got[i] for i in range(1, 9)} == {1: "allowed", 2: "refused", 3: "allowed", 4: "refused", 5: "late", 6: "allowed", 7: "late", 8: "allowed"}
     assert held[-1] < 40
+
+
+def test_hot_key_spreads_over_its_runs(spark):
+    """A third of all rows belong to one client: equal to brute force, and no task decides more than a small share."""
+    import random
+    r = random.Random(0)
+    rows = []
+    for i in range(6_000):
+        who = "hot" if i % 3 == 0 else None if i % 50 == 1 else f"c{r.randrange(40)}"
+        rows.append((i, who, r.randrange(-10_000_000, 10_000_000) if who == "hot" else r.randrange(100_000), i % 7))
+    times = [t for _, _, t, _ in rows]
+    assert min(times) < 0
+    t0 = dt.datetime(1970, 1, 1)
+    df = spark.createDataFrame([(i, w, t0 + dt.timedelta(milliseconds=t), n) for i, w, t, n in rows] + [(9_999, "hot", None, 1), (9_998, None, None, 1)],
+                               "event_id long, client string, ts timestamp_ntz, run int").repartition(5)
+    got = {x["event_id"]: x["allowed"] for x in RL.rate_limit(df, max_n=2, window_s=9).collect()}
+    want, kept = {9_999: None, 9_998: None}, {}
+    for i, w, t, _ in sorted(rows, key=lambda x: (x[2], x[0])):
+        near = [x for x in kept.get(w, []) if t - x < 9_000]
+        want[i] = len(near) < 2
+        kept[w] = near + [t] * want[i]
+    assert got == want
+    prep = RL._prepared(df, "client", "ts", "event_id")
+    shares = RL.with_runs(prep, 9_000_000).filter("key = 'hot' and run is not null").repartition(16, "who", "run").groupBy(F.spark_partition_id()).count()
+    sizes = [x["count"] for x in shares.collect()]
+    assert len(sizes) > 8 and max(sizes) < 2_000 // 4
+
+
+def test_runs_are_a_window_apart(spark):
+    """Two events of neighbouring slots belong to one run unless the gap is a whole window."""
+    df = spark.createDataFrame([(i, "c", t) for i, t in enumerate([0, 59, 118, 178, 237, 400, -60, -1])], "event_id long, key string, ts_us long")
+    runs = {x["event_id"]: x["run"] for x in RL.with_runs(df, 60).collect()}
+    assert runs == {6: -1, 7: -1, 0: -1, 1: -1, 2: -1, 3: 2, 4: 2, 5: 6}
