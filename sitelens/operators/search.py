@@ -35,6 +35,7 @@ from sitelens.functions.text import sql_str
 from sitelens.operators.layout import global_positions
 
 PAGE_SIZE = 10
+TYPOS = 2  # edits that the typo fallback allows
 
 
 # ---------------------------------------------------------------------------
@@ -295,44 +296,62 @@ def search_index(sites: DataFrame) -> DataFrame:
     return site_grams(_prepare(sites))
 
 
-def _deletions(c: str) -> Column:
-    """Every string that up to two deletions leave of a string column, itself included."""
-    one = "if(length({0}) > 0, transform(sequence(1, length({0})), {1} -> concat(substr({0}, 1, {1} - 1), substr({0}, {1} + 1))), array())"
-    first = one.format(c, "lv_i")
-    second = f"flatten(transform({first}, lv_s -> {one.format('lv_s', 'lv_j')}))"
-    return F.array_distinct(F.expr(f"concat(array({c}), {first}, {second})"))
+def _segments(c: str) -> str:
+    """SQL: the three segments of a string column as array<struct<length, part, piece>>: one key each."""
+    cut = "CAST({0} * length({1}) / 3 AS INT)"
+    lo, hi = cut.format("lv_i", c), cut.format("(lv_i + 1)", c)
+    return f"transform(sequence(0, 2), lv_i -> struct(length({c}) AS length, lv_i AS part, substr({c}, {lo} + 1, {hi} - {lo}) AS piece))"
+
+
+def _asked_segments(c: str) -> str:
+    """SQL: the same keys of every string within two edits of a string column, as far as one segment stays whole: for
+    each length up to two off, the pieces that stand where a segment is, moved by at most two."""
+    lo, hi = "CAST(lv_p * lv_n / 3 AS INT)", "CAST((lv_p + 1) * lv_n / 3 AS INT)"
+    piece = f"struct(lv_n AS length, lv_p AS part, if({lo} + lv_s >= 0 AND {hi} + lv_s <= length({c}), substr({c}, {lo} + lv_s + 1, {hi} - {lo}), NULL) AS piece)"
+    every = (f"flatten(transform(sequence(greatest(length({c}) - {TYPOS}, 1), length({c}) + {TYPOS}), lv_n -> "
+             f"flatten(transform(sequence(0, 2), lv_p -> transform(sequence(-{TYPOS}, {TYPOS}), lv_s -> {piece})))))")
+    return f"array_distinct(filter({every}, lv_x -> lv_x.piece IS NOT NULL))"
 
 
 def _near_values(sites_p: DataFrame, q: DataFrame) -> DataFrame:
     """(query_id, id): sites with a host, platform or industry within two edits of the whole query.
 
-    Two strings within two edits share a string that up to two deletions leave of
-    each.  The distinct values and the queries meet in an equi-join on those; the
-    bounded edit distance then decides.
+    Two edits leave at least one of a value's three segments whole, and it then stands in the query
+    at most two places off.  The distinct values, with three keys each, and the queries, with a
+    constant number of keys, meet in an equi-join on (value length, segment, text); the bounded edit distance then decides.
     """
     fields = F.array("_fhost", "_plat_n", "_ind_n")
     used = sites_p.select("id", F.explode(F.array_distinct(F.filter(fields, lambda v: F.length(v) > 0))).alias("value"))
     values = used.select("value").distinct()
-    longest = values.agg(F.coalesce(F.max(F.length("value")), F.lit(0)).alias("n")).select("n").scalar()
-    left = values.select("value", F.explode(_deletions("value")).alias("rest"))
-    right = q.filter(F.length("_main") <= longest + 2).select("query_id", "_main", F.explode(_deletions("_main")).alias("rest"))
-    near = (left.join(right, "rest").select("value", "query_id", "_main").distinct()
-            .filter(F.expr("levenshtein(_main, value, 2) >= 0")))
+    left = values.select("value", F.explode(F.expr(_segments("value"))).alias("key"))
+    right = q.select("query_id", "_main", F.explode(F.expr(_asked_segments("_main"))).alias("key"))
+    near = left.join(right, "key").filter(F.expr(f"levenshtein(_main, value, {TYPOS}) >= 0")).select("value", "query_id").distinct()
     return near.join(used, "value").select("query_id", "id").distinct()
 
 
+def _rarest_piece(terms: DataFrame, grams: DataFrame) -> DataFrame:
+    """(t, gram): for each term the piece of three characters (the whole term, if it is shorter) that the fewest sites
+    hold.  A term with a piece that no site holds can't occur and is left out."""
+    n = F.length("t")
+    own = F.when(n <= 3, F.array("t")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr("t", i, F.lit(3))))
+    pieces = terms.select("t").distinct().select("t", F.explode(F.array_distinct(own)).alias("gram"))
+    held = grams.join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("sites"))
+    best = pieces.join(held, "gram", "left").groupBy("t").agg(F.min(F.struct(F.coalesce("sites", F.lit(0)).alias("sites"), "gram")).alias("b"))
+    return best.filter("b.sites > 0").select("t", "b.gram")
+
+
 def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, grams: DataFrame) -> DataFrame:
     """Scored candidate pairs (query_id, id, _is_direct, score), found through the gram index.
 
-    A term can only occur in a field that holds its first three characters (all
-    of them, if it is shorter): an equi-join on that piece, then an exact
+    A term can only occur in a field that holds all its pieces of three characters: an
+    equi-join on the rarest of them (``_rarest_piece``), then an exact
     ``contains`` check, gives exactly the direct pairs.  Queries without any go to
     the typo fallback, an equi-join too.  Cost grows with the matches, never
     with queries x sites.
     """
     terms = q.select("query_id", F.explode("_terms").alias("t"))
     fields = sites_p.select("id", "_url_l", "platform", "industry", "_tags_l")
-    keyed = terms.withColumn("gram", F.substr("t", F.lit(1), F.lit(3)))
+    keyed = terms.join(_rarest_piece(terms, grams), "t")
     direct = (grams.join(keyed, "gram").select("query_id", "id", "t").join(fields, "id")
               .filter(F.expr(_direct_one_sql("t"))).select("query_id", "id").distinct())
     no_direct = q.join(direct.select("query_id").distinct(), "query_id", "left_anti")

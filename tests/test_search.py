@@ -146,3 +146,30 @@ def test_stored_index(spark, sf_small, tmp_path):
         out = S.search_batch(cat, qs, k=10, as_of=FX.AS_OF, **kw)
         return sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in out.collect())
     assert rows(index=idx) == rows()
+
+
+def test_batch_typos_meet_on_three_keys_a_value(spark):
+    """Every pair within two edits meets through a segment, for all short strings and many longer ones."""
+    import itertools
+    import random
+    r = random.Random(0)
+    names = ["".join(w) for n in (1, 2, 3, 4) for w in itertools.product("ab", repeat=n)]
+    names += ["".join(r.choice("abc") for _ in range(r.randint(5, 14))) for _ in range(60)]
+    values = spark.createDataFrame([(v,) for v in names], "value string")
+    keys = values.selectExpr("value", f"{S._segments('value')} AS keys")
+    assert keys.selectExpr("max(size(keys))").first()[0] == 3
+    asked = values.selectExpr("value AS q", f"explode({S._asked_segments('value')}) AS key")
+    met = {(x["value"], x["q"]) for x in keys.selectExpr("value", "explode(keys) AS key").join(asked, "key").distinct().collect()}
+    near = values.crossJoin(values.withColumnRenamed("value", "q")).filter("levenshtein(value, q) <= 2").collect()
+    assert len(near) > 500 and {(x["value"], x["q"]) for x in near} <= met
+    assert asked.groupBy("q").count().agg({"count": "max"}).first()[0] <= 75
+
+
+def test_batch_terms_are_looked_up_by_their_rarest_piece(spark):
+    from pyspark.sql import functions as F
+    grams = spark.createDataFrame([("htt", i) for i in range(50)] + [("ttp", i) for i in range(50)] + [("tpx", 7), ("ab", 3)], "gram string, id long")
+    terms = spark.createDataFrame([(1, "httpx"), (2, "ab"), (3, "htq"), (4, "http"), (5, "httpq"), (6, "httpx")], "query_id long, t string")
+    found = {x["t"]: x["gram"] for x in S._rarest_piece(terms, grams).collect()}
+    assert found == {"httpx": "tpx", "ab": "ab", "http": "htt"}
+    joined = grams.join(terms.join(S._rarest_piece(terms, grams), "t"), "gram")
+    assert joined.filter(F.col("t") == "httpx").count() == 2  # one site for each of two queries, not the whole catalog
