@@ -1,17 +1,17 @@
 """CSV / Parquet / JDBC edges of the catalog.
 
 Inside the engine nested values are arrays, maps and structs; JSON text exists
-only at the CSV edge.  CSV files are read with ``multiLine`` (quoted newlines),
-which reads each file in one task, so the row number of a row inside its file is
-well defined: the header is row 1, data rows count from 2.
+only at the CSV edge.  A CSV file is cut into splits, also where quoted values hold
+line breaks, and the row number of a row inside its file is exact: the header is row 1, data rows count from 2.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import strip_ws
+from sitelens.sources.csv_split import records
 
 ENRICHED_CSV_COLUMNS = ["website_url", "platform", "industry", "tags", "platforms", "industries",
                         "colors", "tag_confidence", "enrichment_signals", "last_enriched_at"]
@@ -20,20 +20,17 @@ ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, plus ``source_file``, ``source_bytes`` (file size) and
-    ``row_no`` (2 = first data row).
+    ``row_no`` (2 = first data row, blank lines not counted).
 
-    An explicit ``row_no`` column in the file is kept as is.
+    An explicit ``row_no`` column in the file is kept as is.  A large file is read by many tasks (``csv_split``).
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-          .csv(path))
-    df = df.withColumn("source_file", F.col("_metadata.file_path")) \
-        .withColumn("source_bytes", F.col("_metadata.file_size"))
-    if "row_no" in df.columns:
-        return df.withColumn("row_no", F.col("row_no").cast("long"))
-    df = df.withColumn("_mid", F.monotonically_increasing_id())
-    w = Window.partitionBy("source_file").orderBy("_mid")
-    return df.withColumn("row_no", (F.row_number().over(w) + 1).cast("long")).drop("_mid")
+    form = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    names = spark.read.options(header=True, multiLine=True, **form).csv(path).columns  # of the first file's header
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = records(spark, path).filter("record > 1").withColumn("_row", F.from_csv("text", ddl, {**form, "multiLine": "true"}))
+    number = F.col("_row").getField("row_no").cast("long") if "row_no" in names else F.col("record")
+    return rows.select(*[number.alias(n) if n == "row_no" else F.col("_row").getField(n).alias(n) for n in names], F.col("file").alias("source_file"),
+                       F.col("bytes").alias("source_bytes"), *([] if "row_no" in names else [number.alias("row_no")]))
 
 
 def read_raw_sites(spark: SparkSession, path: str) -> DataFrame:
