@@ -14,10 +14,11 @@ the proven bound of a broadcast.  All vectors are scanned against a block in Arr
 batches; a task keeps k rows per query, and the tasks' rows are merged by
 a window limited to k rows per query before the shuffle.
 
-Edge cases: vectors that are NULL, empty, or hold NULL or non-finite components take no
-part (neither as query nor as candidate); vectors of another length than the block's
-queries aren't comparable to them and take no part there; equal scores go to the smaller id;
-fewer than k candidates give all of them; extra columns are ignored.  ``vec_id`` must be unique.
+Edge cases: vectors that are NULL, empty, or hold NULL or non-finite components, and rows with a NULL ``vec_id``, take no
+part (neither as query nor as candidate); of rows with one ``vec_id`` the one with the smallest vector stands for it; vectors of another length than the block's
+queries aren't comparable to them and take no part there; components of any size count, scores stay exact and are cut off at
+the limits of a long (a component that overflows a double when scaled counts unscaled); equal scores go to the smaller id;
+fewer than k candidates give all of them; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +33,34 @@ from sitelens.llm.common import staged
 SCALE = 256
 BLOCK = 4096
 SLACK = 1e-3
+PAIRS = 1 << 16  # pairs multiplied at a time where numbers are large
+WHOLE, LIMIT = 2**53, 2**63  # doubles hold all integers below the first, a long those below the second
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, vec): integer components as doubles, unusable vectors left out."""
+    """(vec_id, vec): integer components as doubles; unusable vectors left out, one row for each id."""
     v = F.col("embedding")
-    ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    floored = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), floored.alias("vec"))
+    ok = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def floored(x):
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).when(F.abs(y) == float("inf"), x.cast("double")).otherwise(y)  # larger doubles are whole numbers
+
+    rows = vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, floored).alias("vec"))
+    if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows (broadcast against each other) as long, cut off at its limits."""
+    high = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[-1]
+    if high < WHOLE:
+        return (q * x).sum(-1).astype(np.int64)
+    if high < LIMIT:
+        return (q.astype(np.int64) * x.astype(np.int64)).sum(-1)
+    rows = [sum(int(a) * int(b) for a, b in zip(m, n)) for m, n in zip(*np.broadcast_arrays(q, x))]
+    return np.array([min(max(r, 1 - LIMIT), LIMIT - 1) for r in rows], np.int64)
 
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +101,30 @@ def _best(scores, ids, owner, k):
 
 def _scan(queries: dict, k: int):
     """Task: k best candidates of each query; ``queries`` holds, by vector length, ids and matrix."""
-    fields = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
+    fields = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+
+    def survivors(qid, pid, st, part):
+        """Pairs of a query and another vector that no level's bound cuts."""
+        alive = None
+        for n, mq, sq in st["stats"]:
+            mx, sx = statistics(part, n)
+            if alive is None:  # the coarsest level looks at every pair
+                bound = mq @ mx.T + sq @ sx.T
+                qi, xi = np.nonzero((bound + SLACK * (1 + np.abs(bound)) >= st["kth"][:, None]) & (qid[:, None] != pid))
+            elif len(qi) > len(qid) * len(pid) // 4:  # too many survivors for gathering: next level as a product
+                bound = (mq @ mx.T + sq @ sx.T)[qi, xi]
+            else:
+                bound = np.einsum("ij,ij->i", mq[qi], mx[xi]) + np.einsum("ij,ij->i", sq[qi], sx[xi])
+            if alive is not None:
+                keep = bound + SLACK * (1 + np.abs(bound)) >= st["kth"][qi]
+                qi, xi = qi[keep], xi[keep]
+            alive = True
+        return qi, xi
 
     def run(batches):
         state = {}
         for dim, (qid, q) in queries.value.items():
-            state[dim] = {"stats": [(n, *statistics(q, n)) for n in levels(dim)], "kth": np.full(len(qid), -np.inf), "best": (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))}
+            state[dim] = {"stats": [(n, *statistics(q, n)) for n in levels(dim)], "kth": np.full(len(qid), -np.inf), "best": (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))}
         for batch in batches:
             ids, by_size = _rows(batch)
             for dim in by_size.keys() & state.keys():
@@ -93,21 +132,12 @@ def _scan(queries: dict, k: int):
                 (qid, q), st = queries.value[dim], state[dim]
                 for lo in range(0, len(at), 1024):
                     part, pid = x[lo : lo + 1024], ids[at[lo : lo + 1024]]
-                    alive = None
-                    for n, mq, sq in st["stats"]:
-                        mx, sx = statistics(part, n)
-                        if alive is None:  # the coarsest level looks at every pair
-                            bound = mq @ mx.T + sq @ sx.T
-                            qi, xi = np.nonzero((bound + SLACK * (1 + np.abs(bound)) >= st["kth"][:, None]) & (qid[:, None] != pid))
-                        elif len(qi) > len(qid) * len(pid) // 4:  # too many survivors for gathering: next level as a product
-                            bound = (mq @ mx.T + sq @ sx.T)[qi, xi]
-                        else:
-                            bound = np.einsum("ij,ij->i", mq[qi], mx[xi]) + np.einsum("ij,ij->i", sq[qi], sx[xi])
-                        if alive is not None:
-                            keep = bound + SLACK * (1 + np.abs(bound)) >= st["kth"][qi]
-                            qi, xi = qi[keep], xi[keep]
-                        alive = True
-                    exact = (q @ part.T)[qi, xi] if len(qi) > len(qid) * len(pid) // 16 else np.einsum("ij,ij->i", q[qi], part[xi])
+                    if np.abs(q).max(initial=0) * np.abs(part).max(initial=0) * dim >= WHOLE:  # bounds would round too much: every pair, exactly
+                        qi, xi = np.nonzero(qid[:, None] != pid)
+                        exact = np.concatenate([products(q[qi[a : a + PAIRS]], part[xi[a : a + PAIRS]]) for a in range(0, max(1, len(qi)), PAIRS)])
+                    else:
+                        qi, xi = survivors(qid, pid, st, part)
+                        exact = ((q @ part.T)[qi, xi] if len(qi) > len(qid) * len(pid) // 16 else np.einsum("ij,ij->i", q[qi], part[xi])).astype(np.int64)
                     b = st["best"]
                     st["best"] = b = _best(np.r_[b[0], exact], np.r_[b[1], pid[xi]], np.r_[b[2], qi], k)
                     full = np.flatnonzero(np.bincount(b[2], minlength=len(qid)) >= k)
@@ -132,9 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     for part in range(-(-n // block)):  # each block is a broadcast of at most a few thousand vectors
         chosen = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // block))) == part)
         for sub in _matrices(chosen, block):
-            found = base.mapInArrow(_scan(spark.sparkContext.broadcast(sub), k), "query_id long, vec_id long, score double")
+            found = base.mapInArrow(_scan(spark.sparkContext.broadcast(sub), k), "query_id long, vec_id long, score long")
             ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            result = result.unionByName(ranked.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score")))
+            result = result.unionByName(ranked.select("query_id", "rank", "vec_id", "score"))
     return result
 
 
