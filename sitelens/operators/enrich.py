@@ -161,30 +161,59 @@ def detect_platforms(df: DataFrame, html_col: str, out: str = "platforms_conf",
 # H3 industries
 # ---------------------------------------------------------------------------
 
-def _industry_count_cols(clean_col: str, dicts: Dictionaries) -> list:
-    """One long column per industry: summed keyword counts (one SQL expression each)."""
+def _overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[-n:]) for n in range(1, len(word)))
+
+
+def _one_of(words: set[str]) -> str:
+    """Pattern of the longest of the words that begins at a place, as a tree of their letters."""
+    ends, rest = "" in words, {}
+    for w in words - {""}:
+        rest.setdefault(w[0], set()).add(w[1:])
+    letter = lambda c: c if c.isalnum() else "\\" + c
+    ways = [letter(c) + _one_of(tails) for c, tails in sorted(rest.items())]
+    if not ways:
+        return ""
+    return "(?:" + "|".join(ways) + ")" + ("?" if ends else "")
+
+
+def _industry_count_cols(clean_col: str, found_col: str, dicts: Dictionaries) -> tuple[list, Column]:
+    """One long column per industry with its summed keyword counts, and the keyword places they are counted in.
+
+    One pass over the text notes at every place the longest keyword that begins there; the
+    shorter keywords that begin at the same place are its prefixes.  A keyword that can't overlap itself occurs as often
+    as it is noted; one that can, or is empty, is counted on its own.
+    """
+    labels = [(o, label, [k.lower() for k in kws]) for o, (label, kws) in enumerate(dicts.industries)]
+    plain = {k for _, _, kws in labels for k in kws if k and not _overlaps_itself(k)}
     cols = []
-    for o, (label, kws) in enumerate(dicts.industries):
-        n = " + ".join(f"({count_sub_sql(clean_col, k.lower())})" for k in kws)
-        cols.append((f"_ic{o}", o, label, F.expr(f"CAST(0 AS BIGINT) + {n}")))
-    return cols
+    for o, label, kws in labels:
+        weights: dict[int, list[str]] = {}
+        for noted in sorted(plain):
+            w = sum(noted.startswith(k) for k in kws if k in plain)
+            if w:
+                weights.setdefault(w, []).append(sql_str(noted))
+        n = [f"{w} * size(filter({found_col}, lv_m -> lv_m IN ({', '.join(own)})))" for w, own in weights.items()]
+        n += [f"({count_sub_sql(clean_col, k)})" for k in kws if k not in plain]
+        cols.append((f"_ic{o}", o, label, F.expr(" + ".join(["CAST(0 AS BIGINT)", *n]))))
+    places = F.regexp_extract_all(clean_col, F.lit(f"(?=({_one_of(plain)}))"), 1) if plain else F.array().cast("array<string>")
+    return cols, places
 
 
 def detect_industries(df: DataFrame, text_col: str, out: str = "industries_conf",
                       dicts: Dictionaries = DEFAULT, clean_col: str | None = None) -> DataFrame:
     """Add ``out``: array<struct<label, confidence>>, confidence = n / max n, >= 0.15, top 5.
 
-    The cleaned text and the 18 per-industry keyword counts are projected as
-    plain columns (a ``contains`` guard skips the replace when a keyword is
-    absent, the common case); the ranking then only reads those columns.
+    The cleaned text, its keyword places and the per-industry counts are projected as
+    plain columns, so the text is searched once; the ranking then only reads the counts.
     """
     src = df if clean_col else df.withColumn("_clean", clean_text(F.col(text_col)))
-    items = _industry_count_cols(clean_col or "_clean", dicts)
-    counted = src.select("*", *[n.alias(c) for c, _, _, n in items])
+    items, places = _industry_count_cols(clean_col or "_clean", "_places", dicts)
+    counted = src.withColumn("_places", places).select("*", *[n.alias(c) for c, _, _, n in items])
     res = counted.withColumn(out, industries_from_counts(
         F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(lab).alias("label"), F.col(c).alias("n"))
                   for c, o, lab, _ in items])))
-    drop = [c for c, _, _, _ in items] + ([] if clean_col else ["_clean"])
+    drop = ["_places"] + [c for c, _, _, _ in items] + ([] if clean_col else ["_clean"])
     return res.drop(*drop)
 
 

@@ -74,3 +74,21 @@ def test_enrich_record(spark):
     assert r["tags"].split(", ")[0] == "shop"
     assert r["enrichment_signals"]["platform_scores"] == {"Shopify": 1.0}
     assert r["tag_confidence"]["shop"] == 1.0
+
+
+def test_industry_counts_equal_plain_counting(spark):
+    """Keywords inside, before and behind one another are counted as str.count does, for any dictionary."""
+    import random
+
+    from sitelens.dictionaries import Dictionaries
+    kws = (("A", ("shop", "shopping", "hop", "pin", "c++", "a b")), ("B", ("aa", "aba", "ping", "shop")), ("C", ("x.y", "(z", "é", "shop")), ("D", ()))
+    dicts = Dictionaries(industries=kws)
+    r = random.Random(0)
+    texts = ["".join(r.choice(["shop", "ping", "a", "b", " ", "aa", "aba", "c++", "x.y", "xzy", "(z", "é", "hop"]) for _ in range(r.randrange(60))) for _ in range(80)] + ["", "shopping" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    items, places = E._industry_count_cols("t", "p", dicts)
+    got = df.withColumn("p", places).select("t", *[c.alias(label) for _, _, label, c in items]).collect()
+    for x in got:
+        assert tuple(x)[1:] == tuple(sum(x["t"].count(k) for k in ks) for _, ks in kws)
+    plan = E.detect_industries(df, "t", "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
