@@ -303,14 +303,17 @@ def sample(p: Pieces, keys: np.ndarray, buf: np.ndarray, off: np.ndarray, k: int
         yield docs, ids, ioff, path.log_prob[docs], perturbed[docs], -np.expm1(-np.exp(np.minimum(path.log_prob[docs] - kappa[docs], 700))), same
 
 
-def encode(docs: DataFrame, k: int = K, model: str = MODEL) -> DataFrame:
-    """(doc_id, rank, ids, log_prob, perturbed, inclusion, round_trip): up to k distinct segmentations of every text."""
+def encode(docs: DataFrame, k: int = K, model: str = MODEL, chunk_bytes: int = 6 * CHUNK_BYTES) -> DataFrame:
+    """(doc_id, rank, ids, log_prob, perturbed, inclusion, round_trip): up to k distinct segmentations of every text.
+
+    Lattices are built for about ``chunk_bytes`` of text at a time: more is faster, less takes less memory.
+    """
     pieces = Pieces(model)
 
     def run(batches):
         for batch in batches:
             keys = np.asarray(batch.column("doc_id").fill_null(0), np.int64)
-            for lo, hi, buf, off in text_chunks(batch, limit=6 * CHUNK_BYTES):
+            for lo, hi, buf, off in text_chunks(batch, limit=chunk_bytes):
                 for rank, (at, ids, ioff, log_prob, perturbed, inclusion, same) in enumerate(sample(pieces, keys[lo:hi], buf, off, k), 1):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at + lo)), pa.array(np.full(len(at), rank, np.int32)), pa.ListArray.from_arrays(pa.array(ioff, pa.int32()), pa.array(ids, pa.int32())), pa.array(log_prob), pa.array(perturbed), pa.array(inclusion), pa.array(same)],
                                                      names=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])

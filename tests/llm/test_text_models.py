@@ -134,6 +134,37 @@ def test_language_model_sums_to_one_and_learns():
     assert split[1] == pytest.approx(model.score(prefix, np.array([0, 20]))[0], abs=1e-3)
 
 
+def test_language_model_score_equals_naive_attention():
+    """One token at a time, in double precision: attention over the block before and its own, then group, class and id."""
+    rng = np.random.default_rng(3)
+    size = 3000
+    model = attention_lm.Model(np.r_[rng.integers(0, 50, size - 1), 0].astype(float), rng.integers(0, 3, (size, 2 * attention_lm.SIDE)).astype(np.float32), 5)
+    model.w = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in model.w.items()}
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    dim, block, group = attention_lm.DIM, attention_lm.BLOCK, attention_lm.GROUP
+
+    def share(z, i):
+        e = np.exp(z - z.max())
+        return np.log10(e[i] / e.sum())
+
+    def naive(ids):
+        x = w["emb"][np.r_[model.start, model.code[ids[:-1]]]]
+        q, k, v = (x @ w["qkv"][:, i * dim : (i + 1) * dim] for i in range(3))
+        total = 0.0
+        for t, token in enumerate(ids):
+            seen = np.arange(max(0, (t // block - 1) * block), t + 1)
+            a = np.exp(k[seen] @ q[t] + w["rel"][t - seen])
+            h = np.r_[(a / a.sum()) @ v[seen] @ w["o"] + x[t], 1.0]
+            c = model.cls[token]
+            total += share(h @ w["out"], c // group) + (share(h @ w["inside"][c // group], c % group) if c // group < len(w["inside"]) else 0.0) + model.inner[token]
+        return total
+
+    texts = [np.r_[rng.integers(0, size - 1, n), size - 1] for n in (0, 1, 15, 16, 17, 90)]
+    off = np.cumsum([0, *map(len, texts)])
+    for step in (1, 3, 1024):
+        assert model.score(np.concatenate(texts), off, step) == pytest.approx([naive(t) for t in texts], rel=1e-4)
+
+
 def test_language_model_trains_on_every_token(spark, docs):
     """All tokens of the training texts, each in one round, however the rows are split; copies and NULL ids too."""
     rows = docs.select("doc_id", "text").limit(300).collect()
