@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import decontaminate, jaccard_join, quality, segmentations, suffix_dedup
-from sitelens.llm.common import ROW, narrow, staged, stamped, table
+from sitelens.llm.common import CHUNK_BYTES, ROW, narrow, staged, stamped, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentations.encode(docs)
+    return segmentations.encode(docs, chunk_bytes=2 * CHUNK_BYTES)  # beside what earlier stages left in the workers
 
 
 STAGES = [
