@@ -52,6 +52,20 @@ def test_warc_round_trip(spark, split):
             assert (r["type"], r["refers_to"], bytes(r["payload"])) == ("response", None, raw)
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    long = "same payload " * 100
+    rows = [(None, "u", long), (5, "u", long), (5, "v", long), (3, "u", long), (None, "u", "x"), (None, "u", "x"), (7, None, None)]
+    got = sorted(((r["record_id"], r["type"], r["refers_to"], len(r["payload"])) for r in warc.round_trip(frame(spark, rows)).collect()), key=repr)
+    name = "<urn:page:%d>"
+    assert got == sorted([(None, "response", None, len(long)), (name % 5, "response", None, len(long)), (name % 5, "response", None, len(long)), (name % 3, "revisit", name % 5, 0),
+                          (None, "response", None, 1), (None, "response", None, 1), (name % 7, "response", None, 0)], key=repr)
+
+
+def test_warc_texts_are_not_shuffled_when_nothing_is_rejected(spark, sf_small):
+    plan = warc.round_trip(spark.read.parquet(f"{sf_small}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_warc_stops_at_a_broken_chain_and_reads_nothing_from_an_empty_table(spark):
     assert warc.round_trip(frame(spark, pages()).limit(0)).count() == 0
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
@@ -82,6 +96,24 @@ def test_topk(spark, block):
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_null_repeated_and_huge(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(None, [1.0, 2.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (50, [0.5, 9.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0]), (None, None)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = [tuple(r) for r in topk_search.top_k(df, df.filter("vec_id % 50 = 0")).orderBy("rank").collect()]
+    assert got == [(50, 1, 2, 65536 // 2 + 9 * 65536), (50, 2, 1, 3 * 65536 // 2)]  # the smallest vector stands for id 50
+    big = [(0, [3e20, 1.0, 0.0]), (1, [1.0, 1.0, 0.0]), (2, [-3e20, 0.0, 0.0]), (3, [2.0**53 / 256, 1.0, 1.0]), (50, [2.0**30, 1.0, 0.0]), (4, [1e308, 0.0, 0.0]), (5, [0.0, 1.0, 0.0])]
+    whole = lambda v: [int(x * 256) if abs(x) < 1e300 else int(x) for x in v]
+    limit = 2**63 - 1
+    want = []
+    for q in (0, 50):
+        dot = {i: sum(a * b for a, b in zip(whole(dict(big)[q]), whole(v))) for i, v in big if i != q}
+        ranked = sorted(((-max(-limit, min(limit, d)), i) for i, d in dot.items()))[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    df = spark.createDataFrame(big, schema).repartition(2)
+    assert sorted(tuple(r) for r in topk_search.top_k(df, df.filter("vec_id % 50 = 0")).collect()) == want
+
+
 def test_segment_bounds_hold_and_tighten():
     rng = np.random.default_rng(1)
     q, x = rng.normal(0, 50, (20, 64)), rng.normal(10, 50, (300, 64))
