@@ -115,8 +115,6 @@ MIN_TAG_LENGTH = 4
 STYLE_TEXT_LIMIT = 50000
 MAX_PARAGRAPHS = 14
 
-# HTML character references decoded in page text (name -> character).
-
 
 @dataclass(frozen=True)
 class Dictionaries:
