@@ -367,17 +367,17 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
 
     Output: query_id, rank, the site columns, score, total_results.  ``index``:
     a stored ``search_index(sites)`` (it must belong to the same catalog); built
-    in the same job when absent.  The top-k window cuts every query to k rows
-    before its shuffle and the totals are partial counts, so no pair is stored or
-    shuffled after scoring.
+    in the same job when absent.  Scored pairs pass one exchange as (query_id, id, score), evenly dealt; from it the
+    top-k window cuts every query to k rows before its own shuffle, and the totals are partial counts.
     """
     cols = sites.columns
     sites_p = _prepare(sites)
     grams = site_grams(sites_p) if index is None else index.select("gram", "id")
     kept = batch_pairs(sites_p, _query_terms(queries, dicts), _as_of(as_of), grams).filter(F.col("score") > 0)
+    kept = kept.select("query_id", "id", "score").repartition("query_id", "id")  # one exchange of narrow rows, read by both consumers: pairs are scored once
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     top = kept.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    totals = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
+    totals = kept.groupBy("query_id").agg(F.count_if(F.col("id").isNotNull() & (F.col("score") > 0)).alias("total_results"))  # the columns of the other consumer
     out = top.select("query_id", "id", "rank", "score").join(totals, "query_id")
     return out.join(sites, "id").select("query_id", "rank", *cols, "score", "total_results")
 
