@@ -9,14 +9,15 @@ first, then by finer ones, and exact products are computed for survivors only.
 A bound cuts a candidate only when it is below the k-th score already found
 (a small slack covers rounding), so the result is exact and ties stay.
 
-Queries go in blocks of at most ``block`` vectors, each broadcast on its own: that is
-the proven bound of a broadcast.  All vectors are scanned against a block in Arrow
-batches; a task keeps k rows per query, and the tasks' rows are merged by
-a window limited to k rows per query before the shuffle.
+Queries and vectors are dealt into shares by a hash of their ids, and every share of queries meets every
+share of vectors in a cell of a grid.  Both sides travel to the cells by a shuffle, so nothing goes through
+the driver and nothing is broadcast.  A share holds about ``block`` rows, and ``COMPONENTS`` numbers where vectors are
+long; that bounds a cell's memory, and only the number of cells grows with the tables.  A cell keeps k rows per query, and the
+cells' rows are merged by a window limited to k rows per query before the shuffle.
 
 Edge cases: vectors that are NULL, empty, or hold NULL or non-finite components, and rows with a NULL ``vec_id``, take no
-part (neither as query nor as candidate); of rows with one ``vec_id`` the one with the smallest vector stands for it; vectors of another length than the block's
-queries aren't comparable to them and take no part there; components of any size count, scores stay exact and are cut off at
+part (neither as query nor as candidate); of rows with one ``vec_id`` the one with the smallest vector stands for it; vectors of another length than a
+query's aren't comparable to it; components of any size count, scores stay exact and are cut off at
 the limits of a long (a component that overflows a double when scaled counts unscaled); equal scores go to the smaller id;
 fewer than k candidates give all of them; extra columns are ignored.
 """
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import staged
 
 SCALE = 256
-BLOCK = 4096
+BLOCK, COMPONENTS = 1 << 14, 1 << 20  # rows of a share, and its numbers (8 MB)
+SLICE, STEP = 4096, 1024  # queries and vectors bounded at a time inside a cell
 SLACK = 1e-3
 PAIRS = 1 << 16  # pairs multiplied at a time where numbers are large
 WHOLE, LIMIT = 2**53, 2**63  # doubles hold all integers below the first, a long those below the second
@@ -81,9 +83,9 @@ def levels(dim: int) -> list[int]:
     return out
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def _rows(rows: pa.Table) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Ids, and by vector length the rows and their matrix."""
-    ids, col = np.asarray(batch.column("vec_id"), np.int64), batch.column("vec")
+    ids, col = rows.column("vec_id").to_numpy().astype(np.int64), pa.concat_arrays(rows.column("vec").chunks or [pa.array([], pa.list_(pa.float64()))])
     size = np.diff(np.asarray(col.offsets))
     flat = np.asarray(col.flatten(), np.float64)
     start = np.cumsum(size) - size
@@ -99,89 +101,82 @@ def _best(scores, ids, owner, k):
     return scores[keep], ids[keep], owner[keep]
 
 
-def _scan(queries: dict, k: int):
-    """Task: k best candidates of each query; ``queries`` holds, by vector length, ids and matrix."""
-    fields = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
-
-    def survivors(qid, pid, st, part):
-        """Pairs of a query and another vector that no level's bound cuts."""
-        alive = None
-        for n, mq, sq in st["stats"]:
-            mx, sx = statistics(part, n)
-            if alive is None:  # the coarsest level looks at every pair
-                bound = mq @ mx.T + sq @ sx.T
-                qi, xi = np.nonzero((bound + SLACK * (1 + np.abs(bound)) >= st["kth"][:, None]) & (qid[:, None] != pid))
-            elif len(qi) > len(qid) * len(pid) // 4:  # too many survivors for gathering: next level as a product
-                bound = (mq @ mx.T + sq @ sx.T)[qi, xi]
-            else:
-                bound = np.einsum("ij,ij->i", mq[qi], mx[xi]) + np.einsum("ij,ij->i", sq[qi], sx[xi])
-            if alive is not None:
-                keep = bound + SLACK * (1 + np.abs(bound)) >= st["kth"][qi]
-                qi, xi = qi[keep], xi[keep]
-            alive = True
-        return qi, xi
-
-    def run(batches):
-        state = {}
-        for dim, (qid, q) in queries.value.items():
-            state[dim] = {"stats": [(n, *statistics(q, n)) for n in levels(dim)], "kth": np.full(len(qid), -np.inf), "best": (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))}
-        for batch in batches:
-            ids, by_size = _rows(batch)
-            for dim in by_size.keys() & state.keys():
-                at, x = by_size[dim]
-                (qid, q), st = queries.value[dim], state[dim]
-                for lo in range(0, len(at), 1024):
-                    part, pid = x[lo : lo + 1024], ids[at[lo : lo + 1024]]
-                    if np.abs(q).max(initial=0) * np.abs(part).max(initial=0) * dim >= WHOLE:  # bounds would round too much: every pair, exactly
-                        qi, xi = np.nonzero(qid[:, None] != pid)
-                        exact = np.concatenate([products(q[qi[a : a + PAIRS]], part[xi[a : a + PAIRS]]) for a in range(0, max(1, len(qi)), PAIRS)])
-                    else:
-                        qi, xi = survivors(qid, pid, st, part)
-                        exact = ((q @ part.T)[qi, xi] if len(qi) > len(qid) * len(pid) // 16 else np.einsum("ij,ij->i", q[qi], part[xi])).astype(np.int64)
-                    b = st["best"]
-                    st["best"] = b = _best(np.r_[b[0], exact], np.r_[b[1], pid[xi]], np.r_[b[2], qi], k)
-                    full = np.flatnonzero(np.bincount(b[2], minlength=len(qid)) >= k)
-                    if len(full):
-                        lastpos = np.searchsorted(b[2], full, "right") - 1
-                        st["kth"][full] = b[0][lastpos]
-        for dim, st in state.items():
-            score, vid, owner = st["best"]
-            yield pa.RecordBatch.from_arrays([pa.array(queries.value[dim][0][owner]), pa.array(vid), pa.array(score)], schema=pa.schema(fields))
+def _survivors(qid, pid, stats, kth, part):
+    """Pairs of a query and another vector that no level's bound cuts."""
+    alive = None
+    for n, mq, sq in stats:
+        mx, sx = statistics(part, n)
+        if alive is None:  # the coarsest level looks at every pair
+            bound = mq @ mx.T + sq @ sx.T
+            qi, xi = np.nonzero((bound + SLACK * (1 + np.abs(bound)) >= kth[:, None]) & (qid[:, None] != pid))
+        elif len(qi) > len(qid) * len(pid) // 4:  # too many survivors for gathering: next level as a product
+            bound = (mq @ mx.T + sq @ sx.T)[qi, xi]
+        else:
+            bound = np.einsum("ij,ij->i", mq[qi], mx[xi]) + np.einsum("ij,ij->i", sq[qi], sx[xi])
+        if alive is not None:
+            keep = bound + SLACK * (1 + np.abs(bound)) >= kth[qi]
+            qi, xi = qi[keep], xi[keep]
+        alive = True
+    return qi, xi
+
+
+def _search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best (score, vec_id, place of the query) of each query among the vectors, one slice of them after the other."""
+    stats, kth, best = [(n, *statistics(q, n)) for n in levels(q.shape[1])], np.full(len(qid), -np.inf), (np.zeros(0, np.int64),) * 3
+    for lo in range(0, len(ids), STEP):
+        part, pid = x[lo : lo + STEP], ids[lo : lo + STEP]
+        if np.abs(q).max(initial=0) * np.abs(part).max(initial=0) * q.shape[1] >= WHOLE:  # bounds would round too much: every pair, exactly
+            qi, xi = np.nonzero(qid[:, None] != pid)
+            exact = np.concatenate([products(q[qi[a : a + PAIRS]], part[xi[a : a + PAIRS]]) for a in range(0, max(1, len(qi)), PAIRS)])
+        else:
+            qi, xi = _survivors(qid, pid, stats, kth, part)
+            exact = ((q @ part.T)[qi, xi] if len(qi) > len(qid) * len(pid) // 16 else np.einsum("ij,ij->i", q[qi], part[xi])).astype(np.int64)
+        best = _best(np.r_[best[0], exact], np.r_[best[1], pid[xi]], np.r_[best[2], qi], k)
+        full = np.flatnonzero(np.bincount(best[2], minlength=len(qid)) >= k)
+        if len(full):
+            kth[full] = best[0][np.searchsorted(best[2], full, "right") - 1]
+    return best
+
+
+def _cell(k: int):
+    """Task of a cell: a share of queries against a share of vectors."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        (qids, queries), (ids, vectors), out = _rows(asked), _rows(held), [schema.empty_table()]
+        for dim in queries.keys() & vectors.keys():
+            (q_at, q), (at, x) = queries[dim], vectors[dim]
+            for lo in range(0, len(q), SLICE):
+                own = qids[q_at[lo : lo + SLICE]]
+                score, found, place = _search(own, q[lo : lo + SLICE], ids[at], x, k)
+                out.append(pa.table([own[place], found, score], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _share_count(rows: DataFrame, block: int) -> tuple[int, int]:
+    """How many shares the rows make, and the rows."""
+    n, numbers = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0))).first()
+    return max(1, -(-n // block), -(-numbers // COMPONENTS)), n
+
+
+def _dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """The rows under their share ``own``, once for every share of the other side."""
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int")
+    return rows.select(share.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), "vec_id", "vec")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, itself excluded."""
-    spark = vectors.sparkSession
     base = staged(usable(vectors, scale), "vectors")
     asked = staged(usable(queries, scale), "queries")
+    (n_asked, _), (n_base, rows) = _share_count(asked, block), _share_count(base, block)
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_base = max(n_base, min(-(-tasks // n_asked), -(-rows // STEP)))  # small tables still make a cell for each task
+    cell = ["asked_share", "base_share"]
+    left = _dealt(asked, "asked_share", n_asked, "base_share", n_base)
+    right = _dealt(base, "base_share", n_base, "asked_share", n_asked)
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    result = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n = asked.count()
-    for part in range(-(-n // block)):  # each block is a broadcast of at most a few thousand vectors
-        chosen = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // block))) == part)
-        for sub in _matrices(chosen, block):
-            found = base.mapInArrow(_scan(spark.sparkContext.broadcast(sub), k), "query_id long, vec_id long, score long")
-            ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            result = result.unionByName(ranked.select("query_id", "rank", "vec_id", "score"))
-    return result
-
-
-def _matrices(chosen: DataFrame, block: int):
-    """Read one block of queries in pieces of at most ``block`` rows: {length: (ids, matrix)}."""
-    rows = []
-    for r in chosen.toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            yield _by_size(rows)
-            rows = []
-    if rows:
-        yield _by_size(rows)
-
-
-def _by_size(rows):
-    out = {}
-    for r in rows:
-        out.setdefault(len(r["vec"]), []).append(r)
-    return {d: (np.array([r["vec_id"] for r in rs], np.int64), np.array([r["vec"] for r in rs], np.float64)) for d, rs in out.items()}
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
