@@ -185,9 +185,11 @@ def rate_limit_stream(requests: DataFrame, key: str = "client", ts: str = "ts",
     watermark; not allowed); an event counts the allowed times in the window that ends with it.  A key's state
     goes when the watermark is one window past its last allowed time.
     """
-    requests.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = requests.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass",
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # many small stores: without this each of them reserves 4 MB of disk for its log of files
+    conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     prep = _prepared(requests, key, ts, event_id)
     return prep.groupBy("key").transformWithStateInPandas(
         _LimiterProcessor(max_n, int(window_s * 1_000_000)), OUT_SCHEMA, "Append", "EventTime")

@@ -36,6 +36,7 @@ def get_spark(app: str = "sitelens", master: str | None = None,
         .config("spark.driver.memory", os.environ.get("SITELENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small stores reserve no disk ahead
     )
     if shared:
         builder = builder.config("spark.checkpoint.dir", shared)
