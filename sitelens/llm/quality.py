@@ -213,7 +213,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The documents, all columns, that score at least ``threshold``; each row is decided in place, without a shuffle.
 
-    Without labelled training rows there is no model, and every document stays, whatever the threshold.
+    With fewer than four trusted or four unlabelled training rows there is no model, and every document stays, whatever the threshold.
     """
     net, _ = train(docs, labels, sample)
     if net is None:
