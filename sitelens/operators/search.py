@@ -15,7 +15,8 @@ Semantics (per query):
 
 Plans: a single query is a filter + projection with its terms unrolled as plain
 expressions (no join, no Python).  Many queries meet the catalog in equi-joins on
-short pieces of text (direct matches) and on deletion variants (typos); the
+short pieces of text (direct matches) and on segments of values (typos), never with
+the catalog in a broadcast: the sizes of its files say little about its rows.  The
 top-k per query is taken with ``row_number`` so Spark applies a partial group
 limit before the shuffle, which keeps a query that matches everything from
 skewing a task.
@@ -36,6 +37,7 @@ from sitelens.operators.layout import global_positions
 
 PAGE_SIZE = 10
 TYPOS = 2  # edits that the typo fallback allows
+SPREAD = 16  # parts that the sites of one term are dealt into
 
 
 # ---------------------------------------------------------------------------
@@ -293,7 +295,7 @@ def site_grams(sites_p: DataFrame) -> DataFrame:
 def search_index(sites: DataFrame) -> DataFrame:
     """The gram index of a catalog, (gram, id), to store next to it and pass to
     ``search_batch(index=...)`` so batch searches do not rebuild it."""
-    return site_grams(_prepare(sites))
+    return site_grams(_prepare(sites.repartition("id")))
 
 
 def _segments(c: str) -> str:
@@ -325,17 +327,18 @@ def _near_values(sites_p: DataFrame, q: DataFrame) -> DataFrame:
     values = used.select("value").distinct()
     left = values.select("value", F.explode(F.expr(_segments("value"))).alias("key"))
     right = q.select("query_id", "_main", F.explode(F.expr(_asked_segments("_main"))).alias("key"))
-    near = left.join(right, "key").filter(F.expr(f"levenshtein(_main, value, {TYPOS}) >= 0")).select("value", "query_id").distinct()
-    return near.join(used, "value").select("query_id", "id").distinct()
+    near = left.hint("merge").join(right, "key").filter(F.expr(f"levenshtein(_main, value, {TYPOS}) >= 0")).select("value", "query_id").distinct()
+    return near.join(used.hint("merge"), "value").select("query_id", "id").distinct()
 
 
 def _rarest_piece(terms: DataFrame, grams: DataFrame) -> DataFrame:
     """(t, gram): for each term the piece of three characters (the whole term, if it is shorter) that the fewest sites
-    hold.  A term with a piece that no site holds can't occur and is left out."""
+    hold.  A term with a piece that no site holds can't occur and is left out.  Of the letters and digits that queries
+    are cut into there are 47,988 pieces at most, besides those of the synonyms: few enough to be broadcast."""
     n = F.length("t")
     own = F.when(n <= 3, F.array("t")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr("t", i, F.lit(3))))
     pieces = terms.select("t").distinct().select("t", F.explode(F.array_distinct(own)).alias("gram"))
-    held = grams.join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("sites"))
+    held = grams.join(F.broadcast(pieces.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("sites"))
     best = pieces.join(held, "gram", "left").groupBy("t").agg(F.min(F.struct(F.coalesce("sites", F.lit(0)).alias("sites"), "gram")).alias("b"))
     return best.filter("b.sites > 0").select("t", "b.gram")
 
@@ -345,19 +348,26 @@ def batch_pairs(sites_p: DataFrame, q: DataFrame, as_of: Column, grams: DataFram
 
     A term can only occur in a field that holds all its pieces of three characters: an
     equi-join on the rarest of them (``_rarest_piece``), then an exact
-    ``contains`` check, gives exactly the direct pairs.  Queries without any go to
-    the typo fallback, an equi-join too.  Cost grows with the matches, never
-    with queries x sites.
+    ``contains`` check, once for each term and site, gives the sites of every term and with them exactly the
+    direct pairs.  Queries without any go to the typo fallback, an equi-join too.  Cost grows with the matches, never
+    with queries x sites.  Neither the catalog nor the queries are broadcast, and no shuffle deals out whole sites by query.
     """
     terms = q.select("query_id", F.explode("_terms").alias("t"))
     fields = sites_p.select("id", "_url_l", "platform", "industry", "_tags_l")
-    keyed = terms.join(_rarest_piece(terms, grams), "t")
-    direct = (grams.join(keyed, "gram").select("query_id", "id", "t").join(fields, "id")
-              .filter(F.expr(_direct_one_sql("t"))).select("query_id", "id").distinct())
-    no_direct = q.join(direct.select("query_id").distinct(), "query_id", "left_anti")
+    best = _rarest_piece(terms, grams)
+    asked = grams.join(F.broadcast(best.select("gram").distinct()), "gram", "left_semi").join(best.hint("merge"), "gram")
+    found = asked.select("id", "t").join(fields.hint("merge"), "id").filter(F.expr(_direct_one_sql("t"))).select("t", "id")
+    part = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
+    found = found.withColumn("_part", part).repartition("t", "_part")  # one exchange, read by both consumers
+    spread = terms.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    direct = found.join(spread.hint("merge"), ["t", "_part"]).select("query_id", "id").distinct()
+    hits = found.groupBy("t").agg(F.count_if(F.col("id").isNotNull() & (F.col("_part") >= 0)).alias("sites"))  # the columns of the other consumer
+    answered = terms.join(hits.filter("sites > 0").hint("merge"), "t", "left_semi").select("query_id").distinct()
+    no_direct = q.join(answered.hint("merge"), "query_id", "left_anti")
     cand = (direct.withColumn("_is_direct", F.lit(True))
             .unionByName(_near_values(sites_p, no_direct).withColumn("_is_direct", F.lit(False))))
-    return (cand.join(sites_p, "id").join(q, "query_id").select("*", as_of.alias("_as_of"))
+    cand = cand.join(q.hint("merge"), "query_id")  # while the pairs are narrow
+    return (cand.join(sites_p.hint("merge"), "id").select("*", as_of.alias("_as_of"))
             .select("query_id", "id", "_is_direct", score_terms_col().alias("score")))
 
 
@@ -371,6 +381,7 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     top-k window cuts every query to k rows before its own shuffle, and the totals are partial counts.
     """
     cols = sites.columns
+    sites = sites.repartition("id")  # a small file is one split
     sites_p = _prepare(sites)
     grams = site_grams(sites_p) if index is None else index.select("gram", "id")
     kept = batch_pairs(sites_p, _query_terms(queries, dicts), _as_of(as_of), grams).filter(F.col("score") > 0)
@@ -379,7 +390,7 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     top = kept.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     totals = kept.groupBy("query_id").agg(F.count_if(F.col("id").isNotNull() & (F.col("score") > 0)).alias("total_results"))  # the columns of the other consumer
     out = top.select("query_id", "id", "rank", "score").join(totals, "query_id")
-    return out.join(sites, "id").select("query_id", "rank", *cols, "score", "total_results")
+    return out.join(sites.hint("merge"), "id").select("query_id", "rank", *cols, "score", "total_results")
 
 
 # ---------------------------------------------------------------------------

@@ -35,6 +35,15 @@ def test_batch_search_has_no_nested_loops(spark, sf_small):
         assert "NestedLoopJoin" not in p and "CartesianProduct" not in p and "Python" not in p
 
 
+def test_batch_search_broadcasts_no_catalog(spark, sf_small):
+    """Small files can hold many rows: only the pieces that queries ask for, a bounded set, are broadcast."""
+    import re
+    cat = FX.sites(spark, sf_small, with_usage=False)
+    q = spark.createDataFrame([(1, "gear"), (2, "red"), (3, "x"), (4, "econmy")], "query_id long, q string")
+    joins = re.findall(r"BroadcastHashJoin \[(\w+)", plan(S.search_batch(cat, q, as_of=FX.AS_OF)))
+    assert joins and set(joins) == {"gram"}
+
+
 def test_detectors_stay_in_jvm(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     out = E.detect_platforms(pages, "html", "p")
