@@ -38,10 +38,14 @@ def test_batch_search_has_no_nested_loops(spark, sf_small):
 def test_batch_search_broadcasts_no_catalog(spark, sf_small):
     """Small files can hold many rows: only the pieces that queries ask for, a bounded set, are broadcast."""
     import re
+
+    from sitelens.operators import heat as H
     cat = FX.sites(spark, sf_small, with_usage=False)
     q = spark.createDataFrame([(1, "gear"), (2, "red"), (3, "x"), (4, "econmy")], "query_id long, q string")
-    joins = re.findall(r"BroadcastHashJoin \[(\w+)", plan(S.search_batch(cat, q, as_of=FX.AS_OF)))
-    assert joins and set(joins) == {"gram"}
+    found = S.search_batch(cat, q, as_of=FX.AS_OF)
+    for out in (found, H.apply_usage(cat, H.usage_from_results(found, as_of=FX.AS_OF))):
+        joins = re.findall(r"BroadcastHashJoin \[(\w+)", plan(out))
+        assert joins and set(joins) == {"gram"}
 
 
 def test_detectors_stay_in_jvm(spark, sf_small):
