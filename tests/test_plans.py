@@ -48,6 +48,21 @@ def test_batch_search_broadcasts_no_catalog(spark, sf_small):
         assert joins and set(joins) == {"gram"}
 
 
+def test_batch_search_deals_only_narrow_pairs_by_query(spark, sf_small):
+    import re
+    cat = FX.sites(spark, sf_small, with_usage=False)
+    q = spark.createDataFrame([(1, "gear"), (2, "red")], "query_id long, q string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table of queries that is no small one
+    try:
+        text = S.search_batch(cat, q, as_of=FX.AS_OF)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dealt = re.findall(r"Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning\(query_id#\d+L?, \d+\)", text)
+    assert dealt and not any("tag_confidence" in x or "_host" in x for x in dealt)
+
+
 def test_detectors_stay_in_jvm(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     out = E.detect_platforms(pages, "html", "p")
