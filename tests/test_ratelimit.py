@@ -98,3 +98,19 @@ def test_runs_are_a_window_apart(spark):
     df = spark.createDataFrame([(i, "c", t) for i, t in enumerate([0, 59, 118, 178, 237, 400, -60, -1])], "event_id long, key string, ts_us long")
     runs = {x["event_id"]: x["run"] for x in RL.with_runs(df, 60).collect()}
     assert runs == {6: -1, 7: -1, 0: -1, 1: -1, 2: -1, 3: 2, 4: 2, 5: 6}
+
+
+def test_stream_limiter_asks_its_store_once_per_key():
+    from types import SimpleNamespace
+
+    import pandas as pd
+    calls = []
+    state = SimpleNamespace(get=lambda: calls.append("get"), exists=lambda: calls.append("exists"), update=lambda v: calls.append(("update", v)))
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=lambda t: None)
+    p = RL._LimiterProcessor(1, 10)
+    p.init(handle)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    parts = [pd.DataFrame({"key": ["a", "a"], "event_id": [3, 2], "ts_us": [25, 5]}), pd.DataFrame({"key": ["a"], "event_id": [1], "ts_us": [5]})]
+    (out,) = p.handleInputRows(("a",), iter(parts), clock)
+    assert calls == ["get", ("update", ([5, 25],))]
+    assert out.values.tolist() == [["a", 1, 5, True, "allowed"], ["a", 2, 5, False, "refused"], ["a", 3, 25, True, "allowed"]]
