@@ -119,11 +119,10 @@ def _multipliers_sql(score: str) -> str:
     """Recency and heat multipliers; ``_as_of`` is a column of the frame."""
     micros = "timestampdiff(MICROSECOND, last_used_at, _as_of)"
     days = f"CAST((({micros}) - pmod({micros}, 86400000000L)) div 86400000000L AS DOUBLE)"
-    s = (f"CASE WHEN last_used_at IS NOT NULL THEN ({score}) * (1.0D + greatest(0.0D, -0.0001D * {days})) "
-         f"ELSE ({score}) END")
+    recency = f"CASE WHEN last_used_at IS NOT NULL THEN 1.0D + greatest(0.0D, -0.0001D * {days}) ELSE 1.0D END"
     boost = "least(0.05D, 0.01D * (heat_score / 10.0D))"
-    return (f"CASE WHEN heat_score IS NOT NULL AND heat_score <> 0 THEN ({s}) * (1.0D + {boost}) "
-            f"ELSE ({s}) END")
+    heat = f"CASE WHEN heat_score IS NOT NULL AND heat_score <> 0 THEN 1.0D + {boost} ELSE 1.0D END"
+    return f"({score}) * ({recency}) * ({heat})"  # times 1 changes no double, and the score stands in the plan once
 
 
 def score_terms(terms: list[str]) -> Column:
@@ -384,12 +383,13 @@ def search_batch(sites: DataFrame, queries: DataFrame, k: int = PAGE_SIZE,
     sites = sites.repartition("id")  # a small file is one split
     sites_p = _prepare(sites)
     grams = site_grams(sites_p) if index is None else index.select("gram", "id")
-    kept = batch_pairs(sites_p, _query_terms(queries, dicts), _as_of(as_of), grams).filter(F.col("score") > 0)
-    kept = kept.select("query_id", "id", "score").repartition("query_id", "id")  # one exchange of narrow rows, read by both consumers: pairs are scored once
+    pairs = batch_pairs(sites_p, _query_terms(queries, dicts), _as_of(as_of), grams)
+    above = F.explode(F.filter(F.array("score"), lambda s: s > 0))  # a filter would be pushed into the join and score every pair twice
+    kept = pairs.select("query_id", "id", above.alias("score")).repartition("query_id", "id")  # one exchange of narrow rows, read by both consumers: pairs are scored once
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     top = kept.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     totals = kept.groupBy("query_id").agg(F.count_if(F.col("id").isNotNull() & (F.col("score") > 0)).alias("total_results"))  # the columns of the other consumer
-    out = top.select("query_id", "id", "rank", "score").join(totals, "query_id")
+    out = top.select("query_id", "id", "rank", "score").join(totals, "query_id", "left")  # each has its total; who reads none doesn't count
     return out.join(sites.hint("merge"), "id").select("query_id", "rank", *cols, "score", "total_results")
 
 

@@ -48,6 +48,15 @@ def test_batch_search_broadcasts_no_catalog(spark, sf_small):
         assert joins and set(joins) == {"gram"}
 
 
+def test_batch_search_scores_pairs_in_one_place(spark, sf_small):
+    import __spark_entry__ as entry
+
+    def scores(name):  # the factor of the recency stands in the plan once for each place where pairs are scored
+        return entry.queries()[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString().count("-1.0E-4")
+    assert scores("search_touch") == 1  # no totals, which it doesn't read
+    assert scores("search_batch") == scores("search_batch_index") == 2  # equal exchanges, of which Spark runs one
+
+
 def test_batch_search_deals_only_narrow_pairs_by_query(spark, sf_small):
     import re
     cat = FX.sites(spark, sf_small, with_usage=False)
