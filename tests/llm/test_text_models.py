@@ -165,6 +165,56 @@ def test_language_model_score_equals_naive_attention():
         assert model.score(np.concatenate(texts), off, step) == pytest.approx([naive(t) for t in texts], rel=1e-4)
 
 
+def test_language_model_slopes_equal_differences():
+    """Along the slope of each weight the loss changes by the slope's square; chunks of any size give the same slopes."""
+    rng = np.random.default_rng(5)
+    size = 3000
+    model = attention_lm.Model(np.r_[rng.integers(0, 50, size - 1), 0].astype(float), rng.integers(0, 3, (size, 2 * attention_lm.SIDE)).astype(np.float32), 5)
+    model.w = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in model.w.items()}
+    texts = [np.r_[rng.integers(0, size - 1, n), size - 1] for n in (0, 1, 15, 16, 17, 90, 700)]
+    ids, off = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    codes, target, _ = model.blocks(ids, off)
+    slopes = model.gradient(codes, target)
+    for name, slope in slopes.items():
+        weight, far = model.w[name], 0.02 / np.abs(slope).max()
+        ends = []
+        for sign in (1, -1):
+            model.w[name] = weight + np.float32(sign * far) * slope
+            ends.append(-np.log(10) * model.score(ids, off).sum() / len(ids))
+        model.w[name] = weight
+        assert (ends[0] - ends[1]) / (2 * far) == pytest.approx((slope.astype(float) ** 2).sum(), rel=0.03)
+    for chunk in (1, 7, 10_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(attention_lm, "CHUNK", chunk)
+            again = model.gradient(codes, target)
+        assert all(again[k] == pytest.approx(slopes[k], abs=1e-6) for k in slopes)
+
+
+def test_language_model_encodes_new_words_in_one_call():
+    """Words joined by blanks have the ids of each alone, whatever (Unicode) blanks or marks they hold; plain words take one call."""
+    ranks = attention_lm.load_vocabulary()
+    rng = np.random.default_rng(7)
+    odd = ["\u00a0", "a\u00a0", "\u00a0b", "\x85", "\x1c", "a\x1db", "'s", "'ll", "x's", "1'2", "\ufffd", "\u65e5\u672c", "!!", "\u200b", "\u3000", "\u2028", "<|endoftext|>"]
+    words = ["".join(rng.choice(odd, n)).encode() for n in rng.integers(1, 4, 500)] + [b"\xff\xfe", b"a\xc3"]
+    enc = attention_lm.Encoder(ranks)
+    one = [enc.encode(" " + w.decode("utf-8", "replace")) for w in words]
+    flat, length = enc.ids(enc.numbers(words))
+    assert flat.tolist() == [i for ids in one for i in ids] and length.tolist() == list(map(len, one))
+    enc = attention_lm.Encoder(ranks, {b"word5": -1.0})
+    plain, calls, encode = [f"word{i}".encode() for i in range(1000)], [], enc.encode
+    enc.encode = lambda text: calls.append(text) or encode(text)
+    numbers = enc.numbers(plain + plain[:10])
+    assert len(calls) == 1
+    assert [x.tolist() for x in np.split(enc.ids(numbers)[0], np.cumsum(enc.ids(numbers)[1])[:-1])] == [encode(" " + w.decode()) for w in plain + plain[:10]]
+    assert enc.log[numbers][5] == -1.0 and np.isnan(enc.log[numbers]).sum() == 1008
+
+
+def test_language_model_splits_only_texts_whose_turn_it_is():
+    frame = pa.RecordBatch.from_pylist([{"text": "A b"}, {"text": "c"}, {"text": "D e f"}])
+    assert list(attention_lm._texts(frame, 3, [True, False, True])) == [(0, [[b"a", b"b"], None]), (2, [[b"d", b"e", b"f"]])]
+    assert [words for _, texts in attention_lm._texts(frame, 3) for words in texts] == [[b"a", b"b"], [b"c"], [b"d", b"e", b"f"]]
+
+
 def test_language_model_trains_on_every_token(spark, docs):
     """All tokens of the training texts, each in one round, however the rows are split; copies and NULL ids too."""
     rows = docs.select("doc_id", "text").limit(300).collect()
